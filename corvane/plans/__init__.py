@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "retrieval")
+MODULES = ("texts", "retrieval", "metrics", "storage")
 
 
 def load() -> None:
