@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "retrieval", "metrics", "storage", "sessions", "pages")
+MODULES = ("texts", "retrieval", "metrics", "storage", "sessions", "pages", "helpers")
 
 
 def load() -> None:

@@ -56,7 +56,7 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     tag = F.when(n % 10 == 3, F.concat(F.lit("Error F"), n % 9, F.lit(" E"), n % 6, F.lit(" at J"), n % 50, F.lit(" motor harness. "))).when(n % 10 == 4, F.concat(F.lit("Door will not unlock, TEST #"), n % 9, F.lit(". "))).otherwise(F.lit(""))
     return d.select(
         n.alias("chunk_no"), F.concat(F.lit("D"), F.lpad(F.substring("source", 4, 9), 4, "0")).alias("doc_id"), F.concat(F.lit("c"), F.lpad(n.cast("string"), 8, "0")).alias("chunk_id"),
-        F.concat(tag, "text").alias("text"), F.when(n % 7 != 0, F.col("lang")).alias("language"), (n % 40 + 1).cast("int").alias("page"), F.element_at(kinds, (n % 5 + 1).cast("int")).alias("kind"),
+        F.concat(tag, "text").alias("text"), F.when(n % 7 != 0, F.col("lang")).alias("language"), (F.floor(n / 7) % 40 + 1).cast("int").alias("page"), F.element_at(kinds, (n % 5 + 1).cast("int")).alias("kind"),
         F.concat(F.lit("W1"), F.lpad(F.substring("source", 4, 9), 7, "0")).alias("publication_number"), F.when(n % 3 == 0, "A").when(n % 3 == 1, "B").alias("revision"), codes.alias("error_codes"),
     )
 
@@ -64,7 +64,7 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
 CHUNKS_SQL = """chunks AS (
   SELECT doc_id AS chunk_no, 'D' || lpad(substr(source, 4), 4, '0') AS doc_id, 'c' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS chunk_id,
     CASE WHEN doc_id % 10 = 3 THEN 'Error F' || doc_id % 9 || ' E' || doc_id % 6 || ' at J' || doc_id % 50 || ' motor harness. ' WHEN doc_id % 10 = 4 THEN 'Door will not unlock, TEST #' || doc_id % 9 || '. ' ELSE '' END || text AS text,
-    CASE WHEN doc_id % 7 <> 0 THEN lang END AS language, CAST(doc_id % 40 + 1 AS INTEGER) AS page,
+    CASE WHEN doc_id % 7 <> 0 THEN lang END AS language, CAST(doc_id // 7 % 40 + 1 AS INTEGER) AS page,
     ['table_row', 'article', 'prose', 'procedure', 'heading'][CAST(doc_id % 5 + 1 AS INTEGER)] AS kind,
     'W1' || lpad(substr(source, 4), 7, '0') AS publication_number, CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS revision,
     CASE WHEN doc_id % 12 = 0 THEN ['F' || doc_id % 10 || 'E' || doc_id % 7, 'F5E2'] WHEN doc_id % 6 = 0 THEN ['F' || doc_id % 10 || 'E' || doc_id % 7] ELSE CAST([] AS VARCHAR[]) END AS error_codes
