@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, require
+from .common import arrow_map, at_task_end, require
 
 #: Fixed value: the pattern that pre-splits text for this kind of vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,8 +35,9 @@ _SPLIT = regex.compile(PATTERN)
 #: The same splits, by a faster engine, for texts of ASCII and Latin letters only: there [^\W\d_] is \p{L}, \d is \p{N}, and white space agrees.
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _OTHER = re.compile("[^\t\n\r -~À-ÖØ-öø-ɏ]")
-#: Words whose encoding is kept by a worker; when full, it starts afresh.
-CACHE = 400_000
+#: Words whose encoding a task keeps, and transitions that a worker keeps; when full, they start afresh.
+CACHE, CELLS = 250_000, 2_000_000
+END = -1
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -50,6 +51,35 @@ def split(text: str) -> list[str]:
     return _FAST.findall(text) if _OTHER.search(text) is None else _SPLIT.findall(text)
 
 
+class Words(dict):
+    """The encodings of words met so far, made where one is missing."""
+
+    def __init__(self, a: Automaton):
+        super().__init__()
+        self.a = a
+
+    def __missing__(self, text: str) -> tuple[int, str, bytes]:
+        if len(self) >= CACHE:
+            self.clear()
+        ids, label = self.a.encode_word(text.encode("utf-8", "surrogatepass")), self.a.label
+        found = self[text] = (len(ids), ",".join(map(str, ids)), b"".join([label[i] for i in ids]))
+        return found
+
+
+class Counts(dict):
+    """Words' numbers of tokens, made where one is missing."""
+
+    def __init__(self, a: Automaton):
+        super().__init__()
+        self.a = a
+
+    def __missing__(self, text: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        found = self[text] = len(self.a.encode_word(text.encode("utf-8", "surrogatepass")))
+        return found
+
+
 class Automaton:
     """The automaton of a byte-level BPE vocabulary: `vocabulary` maps byte strings to ids, `merges` are pairs of byte strings in order."""
 
@@ -68,12 +98,15 @@ class Automaton:
         for k, (u, v) in enumerate(merges):
             self._gadget(k, vocabulary[u], vocabulary[v], vocabulary[u + v])
         self.reachable = {self.label[i]: i for i in self.time}
-        self.deepest = max(map(len, self.reachable), default=1)
-        heads: dict[bytes, set[int]] = {}
-        for b in self.reachable:
-            heads.setdefault(b[:2], set()).add(len(b))
-        self.sizes = {b: sorted(x) for b, x in heads.items()}
-        self.words: dict[str, tuple[int, str, bytes]] = {}
+        # the vocabulary's bytes as a tree; END leads to the entry that ends there
+        self.root: dict[int, dict | int] = {}
+        for b, i in self.reachable.items():
+            node = self.root
+            for octet in b:
+                node = node.setdefault(octet, {})
+            node[END] = i
+        self.cells = 0
+        self.words, self.counts = Words(self), Counts(self)
         self._specials = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
@@ -103,47 +136,44 @@ class Automaton:
         return yes
 
     def encode_word(self, word: bytes) -> list[int]:
-        n, get, sizes, table = len(word), self.reachable.get, self.sizes, self.table
-        if (whole := get(word)) is not None and n == 1:
-            return [whole]
+        if (whole := self.reachable.get(word)) is not None:
+            return [whole]  # an entry's own bytes are read as that entry
+        n, root, table = len(word), self.root, self.table
         state: list[int] = [-1] * (n + 1)
         for at in range(n):
             q = state[at]
             row = table.get(q)
             if row is None:
                 row = table[q] = {}
-            head = word[at : at + 2]
-            x = get(head[:1])
-            if state[at + 1] < 0 and x is not None and (at == 0 or self.arc(q, x)):
-                state[at + 1] = x
-            for size in sizes.get(head, ()):
-                end = at + size
-                if end > n:
+            node, end = root, at
+            while end < n:
+                node = node.get(word[end])
+                if node is None:
                     break
-                if state[end] < 0 and (x := get(word[at:end])) is not None:
-                    if at == 0:
-                        state[end] = x  # the first state has every arc; which of them is right shows at the next
-                    else:
-                        yes = row.get(x)
-                        if yes is None:
-                            yes = row[x] = self._open(q, x, 1 << 60)
-                        if yes:
-                            state[end] = x
+                end += 1
+                x = node.get(END)
+                if x is None or state[end] >= 0:
+                    continue
+                if at == 0:
+                    state[end] = x  # the first state has every arc
+                    continue
+                yes = row.get(x)
+                if yes is None:
+                    yes = row[x] = self._open(q, x, 1 << 60)
+                    self.cells += 1
+                if yes:
+                    state[end] = x
         out, label = [], self.label
         while n:
             out.append(state[n])
             n -= len(label[state[n]])
+        if self.cells > CELLS:
+            self.table, self.cells = {}, 0
         return out[::-1]
 
     def word(self, text: str) -> tuple[int, str, bytes]:
         """(number of tokens, ids in decimal joined by commas, labels joined) of a pre-split word."""
-        found = self.words.get(text)
-        if found is None:
-            ids = self.encode_word(text.encode("utf-8", "surrogatepass"))
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            found = self.words[text] = (len(ids), ",".join(map(str, ids)), b"".join([self.label[i] for i in ids]))
-        return found
+        return self.words[text]
 
     def parts(self, text: str) -> list[tuple[str, int | None]]:
         """Stretches of plain text, and special tokens that stand in it with their ids."""
@@ -158,15 +188,15 @@ class Automaton:
     def encoded(self, text: str) -> tuple[int, str, bytes]:
         """As `word`, of a whole text."""
         n, lines, labels = 0, [], []
-        words = self.words
+        word = self.words.__getitem__
         for part, special in self.parts(text):
             if special is not None:
                 n, lines, labels = n + 1, [*lines, str(special)], [*labels, self.label[special]]
-                continue
-            got = [words.get(w) or self.word(w) for w in split(part)]
-            n += sum([g[0] for g in got])
-            lines += [g[1] for g in got]
-            labels += [g[2] for g in got]
+            elif part:
+                counts, ids, spelled = zip(*map(word, split(part)))
+                n += sum(counts)
+                lines += ids
+                labels += spelled
         return n, ",".join(lines), b"".join(labels)
 
     def encode(self, text: str) -> list[int]:
@@ -197,6 +227,15 @@ def compile_tokenizer(source: bytes) -> Automaton:
 _held: dict[str, Automaton] = {}
 
 
+def _forget() -> None:
+    for a in _held.values():
+        a.words.clear()
+        a.counts.clear()
+
+
+at_task_end(_forget)
+
+
 def automaton(source: bytes) -> Automaton:
     key = hashlib.sha256(source).hexdigest()
     if key not in _held:
@@ -223,9 +262,9 @@ def encode_table(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
             n, sha, back, tokens, texts = [], [], [], [], []
             for x in batch.column(1).to_pylist():
                 k, line, data = a.encoded(x or "")
-                plain = data.decode("utf-8", "replace")
                 n.append(k)
                 sha.append(hashlib.sha256(line.encode()).hexdigest())
+                plain = data.decode("utf-8", "replace")
                 back.append(hashlib.sha256(plain.encode()).hexdigest())
                 if ids:
                     tokens.append([int(i) for i in line.split(",")] if line else [])

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,10 +95,46 @@ def reach_workers(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, held) if x)
 
 
+#: What a worker drops when a task ends: caches that the next task fills anew.
+_at_task_end: list[Callable[[], None]] = []
+
+
+def at_task_end(drop: Callable[[], None]) -> None:
+    _at_task_end.append(drop)
+
+
+def release() -> None:
+    """Drops tasks' caches and returns free memory to the system, since workers outlive tasks."""
+    for drop in _at_task_end:
+        drop()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to a few megabytes, where the session has Spark's default of 10,000 rows of any size."""
+    if spark.conf.get(ROWS, "10000") == "10000":
+        spark.conf.set(ROWS, str(BATCH_ROWS))
+        spark.conf.set(BYTES, str(BATCH_BYTES))
+
+
+ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: T.StructType | str) -> DataFrame:
-    """`mapInArrow` with the package reachable from the workers."""
+    """`mapInArrow` with the package reachable from the workers, bounded batches, and caches dropped after each task."""
     reach_workers(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    bounded_batches(df.sparkSession)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def doc_crc(column: str = "doc_id"):

@@ -27,17 +27,21 @@ AHEAD = 256
 
 
 class SegmentTree:
-    """Sums of (characters, tokens) over a list of blocks of pieces."""
+    """Sums of (characters, tokens) over a list of blocks; a block is a list of pieces and a list of their numbers of tokens."""
 
-    def __init__(self, pieces: list[tuple[str, int]]):
-        self.blocks = [pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK)] or [[]]
+    def __init__(self, pieces: list[str], counts: list[int]):
+        self.blocks = self._cut(pieces, counts)
         self._build()
 
+    @staticmethod
+    def _cut(pieces: list[str], counts: list[int]) -> list[tuple[list[str], list[int]]]:
+        return [(pieces[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, len(pieces), BLOCK)] or [([], [])]
+
     def _build(self) -> None:
         n = len(self.blocks)
         self.chars, self.tokens = [0] * (2 * n), [0] * (2 * n)
-        for i, b in enumerate(self.blocks):
-            self.chars[n + i], self.tokens[n + i] = sum([len(p) for p, _ in b]), sum([t for _, t in b])
+        for i, (pieces, counts) in enumerate(self.blocks, n):
+            self.chars[i], self.tokens[i] = len("".join(pieces)), sum(counts)
         for i in range(n - 1, 0, -1):
             self._pull(i)
 
@@ -63,8 +67,8 @@ class SegmentTree:
             a, b = a // 2, b // 2
         return out
 
-    def find(self, at: int) -> tuple[int, int]:
-        """The block that holds the character at offset `at` (the last one, at the end), and its own offset."""
+    def find(self, at: int) -> int:
+        """The block that holds the character at offset `at` (the last one, at the end)."""
         low, high = 0, len(self.blocks) - 1
         while low < high:
             mid = (low + high + 1) // 2
@@ -72,47 +76,41 @@ class SegmentTree:
                 low = mid
             else:
                 high = mid - 1
-        return low, self.before(low)
-
-    def put(self, first: int, last: int, pieces: list[tuple[str, int]]) -> None:
-        """Blocks first..last get `pieces` instead of theirs."""
-        n = last - first + 1
-        if len(pieces) <= 2 * BLOCK * n and (pieces or len(self.blocks) == n):
-            cut = [len(pieces) * i // n for i in range(n + 1)]
-            leaves = len(self.blocks)
-            for i in range(n):
-                b = self.blocks[first + i] = pieces[cut[i] : cut[i + 1]]
-                at = leaves + first + i
-                self.chars[at], self.tokens[at] = sum([len(p) for p, _ in b]), sum([t for _, t in b])
-                at //= 2
-                while at:
-                    self._pull(at)
-                    at //= 2
-        else:
-            self.blocks[first : last + 1] = [pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK)]
-            self.blocks = self.blocks or [[]]
+        return low
+
+    def put(self, first: int, last: int, pieces: list[str], counts: list[int]) -> None:
+        """Blocks first..last get these pieces instead of theirs."""
+        n, leaves = last - first + 1, len(self.blocks)
+        if len(pieces) > 2 * BLOCK * n or (not pieces and n < leaves):  # the number of blocks changes
+            self.blocks[first : last + 1] = self._cut(pieces, counts) if pieces else []
             self._build()
+            return
+        cut = [len(pieces) * i // n for i in range(n + 1)]
+        for i in range(n):
+            a, b, at = cut[i], cut[i + 1], leaves + first + i
+            self.blocks[first + i] = pieces[a:b], counts[a:b]
+            self.chars[at], self.tokens[at] = len("".join(pieces[a:b])), sum(counts[a:b])
+            at //= 2
+            while at:
+                self._pull(at)
+                at //= 2
 
 
 class Document:
     """An edited document: `tokens` is its count of tokens, `encoded` the number of pieces encoded since it was made."""
 
     def __init__(self, text: str, a: Automaton):
-        self.automaton = a
+        self.count = a.counts.__getitem__
         self.encoded = 0
-        self.tree = SegmentTree([self._piece(p) for p in split(text)])
-        self.encoded = 0
-
-    def _piece(self, p: str) -> tuple[str, int]:
-        self.encoded += 1
-        return p, self.automaton.word(p)[0]
+        pieces = split(text)
+        self.tree = SegmentTree(pieces, list(map(self.count, pieces)))
 
     @property
     def tokens(self) -> int:
         return self.tree.total()[1]
 
-    def text(self) -> str:
-        return "".join(p for b in self.tree.blocks for p, _ in b)
+    def pieces(self) -> list[str]:
+        return [p for pieces, _ in self.tree.blocks for p in pieces]
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Puts `new` in place of the characters start..end; offsets outside the text are held to its ends."""
@@ -120,58 +118,56 @@ class Document:
         size = tree.total()[0]
         start = min(max(0, start), size)
         end = min(max(start, end), size)
-        first, _ = tree.find(start)
-        last, _ = tree.find(max(start, end))
-        first = self._back(first, start)
+        first, last = self._back(tree.find(start), start), tree.find(end)
         base = tree.before(first)
-        held = [p for i in range(first, last + 1) for p in tree.blocks[i]]
+        held, counts = ([x for b in tree.blocks[first : last + 1] for x in b[i]] for i in (0, 1))
         ahead = AHEAD
         while True:
-            ends = list(accumulate((len(p) for p, _ in held), initial=base))  # of old pieces, from the start on
+            ends = list(accumulate(map(len, held), initial=base))  # of old pieces, from the start on
             # the first piece to split anew: two before the one with the edit's start, and white space before those
             k = next((i for i in range(len(held)) if ends[i + 1] >= start), len(held))
             k = max(0, k - 2)
-            while k and held[k - 1][0].isspace():
+            while k and held[k - 1].isspace():
                 k -= 1
             k = max(0, k - 1)
-            line = "".join(p for p, _ in held)
+            line = "".join(held)
             right = line[end - base :]
             whole = last + 1 >= len(tree.blocks)
             if whole or len(right) >= ahead:
-                pieces = split(line[ends[k] - base : start - base] + new + right)
-                shift = len(new) - (end - start)
+                shift, after = len(new) - (end - start), start + len(new)
                 old = {e + shift: i for i, e in enumerate(ends) if e >= end}
-                at, fresh = ends[k], []
-                limit = size + shift if whole else ends[-1] + shift - ahead // 2  # beyond it pieces might depend on text not seen
-                after = start + len(new)
-                for p in pieces:
+                # pieces near the end of what is held might depend on text beyond it
+                limit = size + shift if whole else ends[-1] + shift - ahead // 2
+                at, fresh, meet = ends[k], [], len(held) if whole else None
+                for p in split(line[ends[k] - base : start - base] + new + right):
                     fresh.append(p)
                     at += len(p)
-                    if at >= after and at <= limit and (i := old.get(at)) is not None and (whole or at < limit):
-                        tree.put(first, last, held[:k] + [self._piece(p) for p in fresh] + held[i:])
-                        return
-                if whole:
-                    tree.put(first, last, held[:k] + [self._piece(p) for p in fresh])
+                    if after <= at <= limit and at in old:
+                        meet = old[at]
+                        break
+                if meet is not None:
+                    self.encoded += len(fresh)
+                    tree.put(first, last, held[:k] + fresh + held[meet:], counts[:k] + list(map(self.count, fresh)) + counts[meet:])
                     return
             ahead *= 2
             more = 0
             while more < ahead and last + 1 < len(tree.blocks):
                 last += 1
-                held += tree.blocks[last]
-                more += sum(len(p) for p, _ in tree.blocks[last])
+                held += tree.blocks[last][0]
+                counts += tree.blocks[last][1]
+                more += len("".join(tree.blocks[last][0]))
 
     def _back(self, block: int, start: int) -> int:
-        """A block early enough for four pieces, and any white space before them, ahead of `start`."""
-        tree, offset = self.tree, self.tree.before(block)
-        pieces = 0
-        for p, _ in tree.blocks[block]:
-            if offset + len(p) >= start:
-                break
+        """A block early enough for four pieces that aren't white space ahead of `start`."""
+        tree, offset, found = self.tree, self.tree.before(block), 0
+        for p in tree.blocks[block][0]:
             offset += len(p)
-            pieces = pieces + 1 if not p.isspace() else pieces
-        while block and pieces < 4:
+            if offset >= start:
+                break
+            found += not p.isspace()
+        while block and found < 4:
             block -= 1
-            pieces += sum(not p.isspace() for p, _ in tree.blocks[block])
+            found += sum(not p.isspace() for p in tree.blocks[block][0])
         return block
 
 
@@ -198,7 +194,7 @@ def count_edits(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
             out: list[list[int]] = [[] for _ in names[1:]]
             for x, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 d = Document(x or "", a)
-                pieces = sum(map(len, d.tree.blocks))
+                pieces = sum(len(b[0]) for b in d.tree.blocks)
                 before = d.tokens
                 for e in changes or []:
                     at = (e or {}).get("start") or 0

@@ -211,9 +211,8 @@ def test_edits_by_hand():
             new = "".join(rng.choice(alphabet, rng.integers(0, 12)))
             x = x[:s] + new + x[e:] if s <= len(x) else x + new
             d.edit(int(s), int(e), new)
-            pieces = [p for b in d.tree.blocks for p, _ in b]
-            assert pieces == bpe.split(x)
-            assert d.tokens == sum(a.word(p)[0] for p in pieces)
+            assert d.pieces() == bpe.split(x)
+            assert d.tokens == sum(a.word(p)[0] for p in d.pieces())
 
 
 def test_attach_edits(spark, docs):
