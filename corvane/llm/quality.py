@@ -14,13 +14,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise, require
+from .common import arrow_map, at_task_end, materialise, require
 from .selection import first_k
 
 BUCKETS = 10_000
 #: Words whose hashes are kept by a worker, and words handled at once.
 CACHE, BLOCK = 500_000, 1 << 17
 _words: dict[bytes, int] = {}
+at_task_end(_words.clear)
 
 
 def gram_counts(text: str | None, buckets: int = BUCKETS) -> np.ndarray | None:
