@@ -33,19 +33,21 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(x, r"(?<=\p{Nd})[.,:/](?=\p{Nd})|[^\p{L}\p{N}\p{M}\s" + NAME + "]", "")
 
 
+def words_of(mark: Column) -> Column:
+    return F.filter(F.split(mark, r"\s+"), lambda w: w != "")
+
+
 def template(mark: Column) -> Column:
-    """The template of a marked text: word for word the same number of words."""
+    """The template words of a marked text, one for each of its words."""
     x = F.regexp_replace(F.lower(mark), NAME + r"\S+", NAME)
-    x = F.regexp_replace(x, r"\p{Nd}+", NUMBER)
-    # the first letter's class makes most words fail at once
-    words = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
+    initials = "".join(sorted({w[0] for w in NUMBER_WORDS}))
+    numbers = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    x = F.regexp_replace(x, r"(?<![^\s])(?:" + words + r")(?![^\s])", NUMBER)
-    return F.regexp_replace(x, "(?<=" + NUMBER + r"\s?)(?:" + units + r")(?![^\s])", UNIT)
-
-
-def _words(x: Column) -> Column:
-    return F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    # each pattern starts with what is rare in text, so that it fails at once elsewhere
+    x = F.regexp_replace(x, rf"(?<!\S)(?=[{initials}])(?:{numbers})(?!\S)", NUMBER)
+    x = F.regexp_replace(x, rf"\p{{Nd}}+(?:{units})(?!\S)", NUMBER + UNIT)
+    x = F.regexp_replace(x, r"\p{Nd}+", NUMBER)
+    return words_of(F.regexp_replace(x, rf"{NUMBER}(\s+)(?:{units})(?!\S)", f"{NUMBER}$1{UNIT}"))
 
 
 def _window_hash(hashes: str, at: Column, words: int) -> Column:
@@ -59,7 +61,7 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, words: int) -> D
     fewer words have one window of all their words. Repeated items with one text count once.
     """
     mark = marked(F.col(text))
-    rows = benchmark.select(F.col(item_id).alias("item_id"), mark.alias("mark")).distinct().select("item_id", _words(F.col("mark")).alias("raw"), _words(template(F.col("mark"))).alias("t"))
+    rows = benchmark.select(F.col(item_id).alias("item_id"), mark.alias("mark")).distinct().select("item_id", words_of(F.col("mark")).alias("raw"), template(F.col("mark")).alias("t"))
     rows = rows.where(F.size("t") > 0).withColumn("size", F.least(F.size("t"), F.lit(words)))
     rows = rows.withColumn("h", F.transform("t", lambda w: F.xxhash64(w)))
     each = rows.select("item_id", "size", "raw", "t", "h", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("idx"))
@@ -69,24 +71,24 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, words: int) -> D
         at = F.when(F.col("size") == n, _window_hash("h", F.col("idx"), n))
         key = at if key is None else F.coalesce(key, at)
     windows = each.where(literal).select("item_id", "size", "idx", key.alias("key"), F.slice("raw", F.col("idx") + 1, F.col("size")).alias("raw"), F.slice("t", F.col("idx") + 1, F.col("size")).alias("t"))
+    windows = windows.withColumn("slotted", F.exists("t", lambda w: w.rlike(MARKS)))
     many = windows.groupBy("item_id").agg(F.countDistinct("key").alias("n"))
     return windows.join(many, "item_id")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, words: int) -> DataFrame:
-    """Windows that a document shares with an item: doc_id, dk (hash of the text), item_id, n, key, pos, idx, and both sides' words."""
+    """Windows that a document shares with an item: doc_id, dk (hash of the text), item_id, n, key, pos, idx, and both sides' words (the document's null for windows without slots)."""
     windows = item_windows(benchmark, item_id, item_text, words)
     sizes = {r["size"]: r["c"] for r in windows.groupBy("size").agg(F.count(F.lit(1)).alias("c")).collect()}  # `words` rows at most
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("dk"), marked(F.col(text)).alias("mark"))
-    rows = rows.select("doc_id", "dk", _words(F.col("mark")).alias("raw_d"), _words(template(F.col("mark"))).alias("t_d"))
-    rows = rows.withColumn("h", F.transform("t_d", lambda w: F.xxhash64(w)))
+    rows = rows.select("doc_id", "dk", "mark", F.transform(template(F.col("mark")), lambda w: F.xxhash64(w)).alias("h"))
     out = None
     for size, count in sorted(sizes.items()) or [(words, 0)]:
-        each = rows.where(F.size("h") >= size).select("doc_id", "dk", "raw_d", "h", F.explode(F.sequence(F.lit(0), F.size("h") - size)).alias("pos"))
+        each = rows.where(F.size("h") >= size).select("doc_id", "dk", "mark", "h", F.explode(F.sequence(F.lit(0), F.size("h") - size)).alias("pos"))
         keyed = each.withColumn("key", _window_hash("h", F.col("pos"), size))
         side = windows.where(F.col("size") == size).drop("size")
         met = keyed.join(F.broadcast(side) if count <= BROADCAST_WINDOWS else side, "key")
-        got = met.select("doc_id", "dk", "item_id", "n", "key", "pos", "idx", "raw", "t", F.slice("raw_d", F.col("pos") + 1, size).alias("raw_d"))
+        got = met.select("doc_id", "dk", "item_id", "n", "key", "pos", "idx", "raw", "t", F.when(F.col("slotted"), F.slice(words_of(F.col("mark")), F.col("pos") + 1, size)).alias("raw_d"))
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -103,8 +105,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     found = hits(docs, benchmark, doc_id, text, item_id, item_text, words)
     # slots of a window as pairs (item's word, document's word)
     pairs = F.filter(F.arrays_zip(F.col("t").alias("t"), F.col("raw").alias("raw"), F.col("raw_d").alias("raw_d")), lambda z: z["t"].rlike(MARKS))
-    found = found.select("doc_id", "dk", "item_id", "n", "key", (F.col("pos") - F.col("idx")).alias("shift"), F.transform(pairs, lambda z: F.struct(F.lower(z["raw"]).alias("i"), F.lower(z["raw_d"]).alias("d"))).alias("slots"))
-    lines = found.groupBy("doc_id", "dk", "item_id", "n", "shift").agg(F.collect_set("key").alias("keys"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    found = found.select("doc_id", "dk", "item_id", "n", "key", (F.col("pos") - F.col("idx")).alias("shift"), F.when(F.col("raw_d").isNotNull(), F.transform(pairs, lambda z: F.struct(F.lower(z["raw"]).alias("i"), F.lower(z["raw_d"]).alias("d")))).alias("slots"))
+    lines = found.groupBy("doc_id", "dk", "item_id", "n", "shift").agg(F.collect_set("key").alias("keys"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))  # collect_set leaves out windows without slots
     # a line holds a window of an item at most once, so its sets are no longer than the item
     steady = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
     same = F.forall("slots", lambda s: s["i"] == s["d"])
