@@ -1,6 +1,6 @@
 """Operator 9: toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a text: densities of a lexicon (given insults, and words learned from the labelled rows), how
+Features of a text: densities of a lexicon (given insults, and words and stems learned from the labelled rows), how
 near to second-person words they stand, rates of capitals, of punctuation, and of obfuscated words. Trees
 are fitted on the driver to a bounded sample of labelled rows, and applied where the documents are.
 """
@@ -22,6 +22,8 @@ INSULTS = frozenset("idiot idiots moron morons stupid dumb scum trash garbage lo
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre usted ustedes tú ti".split())
 FEATURES = ("given_density", "given_count", "given_kinds", "learned_density", "learned_count", "learned_kinds", "near_second", "second_density", "capitals", "shouted", "exclamations", "questions", "punctuation", "obfuscated", "obfuscated_lexicon", "words")
 WORDS_NEAR = 5
+#: Lengths of the beginnings of words that are learned beside whole words, since insults are inflected.
+STEMS = (4, 5, 6, 7)
 _BREAK = str.maketrans({c: " " for c in ".,;:!?\"'()[]{}<>|/\\-_…«»“”„¿¡"})
 _DISGUISED = re.compile(r"(?<!\S)(?=\S*[A-Za-z])[A-Za-z]*[0-9@$*!+][A-Za-z0-9@$*!+]*[A-Za-z][A-Za-z0-9@$*!+]*(?!\S)")
 _PLAIN = str.maketrans("013457@$!+", "oieastasit")
@@ -34,9 +36,9 @@ def features(text: str | None, learned: frozenset[str] | set[str]) -> list[float
     n = len(words)
     if not text:
         return [0.0] * len(FEATURES)
-    hits = [i for i, w in enumerate(words) if w in INSULTS or w in learned]
+    hits = [i for i, w in enumerate(words) if w in INSULTS or w in learned or w[:4] in learned or w[:5] in learned or w[:6] in learned or w[:7] in learned]
     given = [words[i] for i in hits if words[i] in INSULTS]
-    new = [words[i] for i in hits if words[i] in learned]
+    new = [words[i] for i in hits if words[i] not in INSULTS]
     near = sum(any(w in SECOND for w in words[max(0, i - WORDS_NEAR) : i + WORDS_NEAR + 1]) for i in hits)
     second = sum([w in SECOND for w in words])
     disguised = _DISGUISED.findall(text)
@@ -177,7 +179,7 @@ def _feature_rows(rows: DataFrame, learned: set[str], keep: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = 20_000, learned_words: int = 200) -> Model:
-    """A model from `fit_rows` labelled rows at most (the first by hash of their id), and `learned_words` words at most.
+    """A model from `fit_rows` labelled rows at most (the first by hash of their id), and `learned_words` words and stems at most.
 
     Labels of a repeated id: 1 if any is. Labels and ids that are null are left out.
     """
@@ -192,12 +194,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     bad, good = n.get(1.0, 0), n.get(0.0, 0)
     learned: set[str] = set()
     if bad and good:
-        words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " "))
-        counts = rows.select("y", F.explode(words).alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+        words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")
+        stems = F.flatten(F.transform(words, lambda w: F.array(w, *[F.left(w, F.lit(n)) for n in STEMS])))
+        texts = rows.dropDuplicates(["text"])  # copies of a text say no more than one
+        n = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        bad, good = n.get(1.0, 0), n.get(0.0, 0)
+        counts = texts.select("y", F.explode(F.array_distinct(F.filter(stems, lambda w: F.length(w) >= min(STEMS)))).alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
         odds = F.log((F.col("a") + 0.5) / (bad + 1)) - F.log((F.col("b") + 0.5) / (good + 1))
-        # words of a twentieth of the toxic rows at least, and ten times as frequent there
-        found = counts.where((F.col("a") >= max(3, 0.05 * bad)) & (odds >= math.log(10))).select("w", odds.alias("o")).orderBy(F.desc("o"), "w").limit(learned_words)
-        learned = {r["w"] for r in found.collect()}
+        # of a fiftieth of the toxic texts at least, and ten times as frequent there
+        found = counts.where((F.col("a") >= max(3, 0.02 * bad)) & (odds >= math.log(10))).select("w", (odds * F.col("a")).alias("o")).orderBy(F.desc("o"), "w").limit(10 * learned_words)
+        likely = {r["w"]: None for r in found.collect()}
+        # a stem stands for all that begin with it
+        learned = set([w for w in likely if not any(w[:n] in likely for n in STEMS if n < len(w))][:learned_words])
     got = _feature_rows(rows, learned, "y").collect()  # fit_rows rows of some numbers, or a few more where ids repeat
     x = np.array([r["x"] for r in got], dtype=float).reshape(len(got), len(FEATURES))
     return Model(learned, x, np.array([r["y"] for r in got], dtype=float))
