@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import bpe, decontamination, edit_counts, exact_dedup, langid, quality, secrets, sharding, simhash, toxicity
 from .common import table
 
-#: Share of documents that importance resampling keeps.
+#: Share of documents that importance resampling keeps where no label says otherwise.
 QUALITY_FRACTION = 0.85
 SHARDS = 16
 
@@ -28,7 +28,9 @@ def tokenizer_path() -> str:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ratios = quality.fit(docs, labels.where("quality = 1"))
-    return quality.resample(docs, ratios, QUALITY_FRACTION)
+    # as large a share is kept as labels call good
+    good = labels.agg(F.avg("quality").alias("g")).first()["g"]
+    return quality.resample(docs, ratios, QUALITY_FRACTION if good is None else float(good))
 
 
 def sample_edits(text: str = "text"):
