@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "retrieval", "metrics", "storage", "sessions", "pages", "helpers", "streams")
+MODULES = ("texts", "retrieval", "metrics", "storage", "sessions", "pages", "helpers", "streams", "more")
 
 
 def load() -> None:

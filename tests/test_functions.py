@@ -84,7 +84,7 @@ def test_verdict(spark, text, verdict):
 
 
 def test_private_use_characters(spark):
-    rows = [(" ab\x00 JJ366--11",)]
+    rows = [("\uf0d8 a\uf06eb\x00 JJ366--11",)]
     assert values(spark, layout.map_private(F.col("t")), rows, "t string") == ["• a•b J36-1"]
 
 
