@@ -117,3 +117,24 @@ def test_gate_stream_stops_at_a_hazard(spark, tmp_path):
     q = streams.gate_stream(src, hold_back=5, ttl_ms=None).writeStream.format("memory").queryName("gated").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.answer_id: (r.released, r.stopped) for r in spark.table("gated").collect()} == {"a": ("", True), "b": ("All is well here.", False)}
+
+
+def test_operators_over_nothing(spark):
+    h = hits(spark, [(1, "a", "x", 1, 1.0)]).where("false")
+    assert fusion.merge_hits(h, h).count() == 0 and fusion.rrf(h, h).count() == 0 and fusion.union_pool(h, h).count() == 0 and fusion.restrict(h, F.lit(True)).count() == 0
+    ranked = h.withColumn("final_score", F.col("score")).withColumn("merge_ord", F.col("arm_rank"))
+    assert ranking.diverse_top(ranked, 3).count() == 0 and ranking.dispositions(ranked, 3).count() == 0
+    turns = spark.createDataFrame([(1, 1, "user", None)], "conv_id long, turn long, role string, text string")
+    assert sessions.session_query(turns.where("false")).count() == 0 and sessions.board_fold(turns).collect()[0].step == 0
+    assert chunking.fixed_windows(spark.createDataFrame([(1, None), (2, ""), (3, " ")], "k int, text string"), "k").count() == 0
+
+
+def test_document_applies_reasons(spark):
+    asked = spark.createDataFrame([(1, "WFW5620HW0", "CF81600001", 2018), (2, "WFW5620HW0", None, 2018), (3, "ABC", None, None), (4, "WFW5620HW0", "bad", 2018)], "query_id int, model string, serial string, introduced int")
+    pats = spark.createDataFrame([("d1", "WFW*"), ("d2", "WFW5620HW0"), ("d3", "wfw5620hw*")], "doc_id string, pattern string")
+    rng = spark.createDataFrame([("d1", "range", None, "CF81500000", "CF820xxxx"), ("d2", "all", None, None, None)], "doc_id string, scope string, model string, first string, last string")
+    docs = spark.createDataFrame([("d1", "2018"), ("d2", "2018-05"), ("d3", None)], "doc_id string, published string")
+    got = {(r.query_id, r.doc_id): r.reason for r in ranking.document_applies(asked, pats, rng, docs).collect()}
+    assert got[1, "d1"] == "serial in a range" and got[2, "d1"] == "serial number missing" and got[4, "d1"] == "serial malformed"
+    assert {got[q, "d2"] for q in (1, 2, 4)} == {"all serial numbers"} and {got[q, "d3"] for q in (1, 2, 4)} == {"no serial restriction"}
+    assert {got[3, d] for d in ("d1", "d2", "d3")} == {"model not listed"}
