@@ -49,9 +49,8 @@ def shingle_hashes(text: str, words: int, seed: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), dtype=np.uint64, count=len(parts))
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The unsigned fingerprint; a bit is set if it is set in over half the shingles' hashes. No words: 0."""
-    h = shingle_hashes(text or "", words, seed)
+def _majority(h: np.ndarray) -> int:
+    """The unsigned value whose bits are those set in over half of `h`; none: 0."""
     if not len(h):
         return 0
     octets = h.astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -61,6 +60,24 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * count > len(h), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """The unsigned fingerprint; a bit is set if it is set in over half the shingles' hashes. No words: 0."""
+    return _majority(shingle_hashes(text or "", words, seed))
+
+
+def fingerprints(text: str | None, words: int, seed: int, count: int) -> list[int]:
+    """`count` fingerprints of one text: `fingerprint`, and others of the same shingles hashed anew."""
+    h = shingle_hashes(text or "", words, seed)
+    out = [_majority(h)]
+    with np.errstate(over="ignore"):
+        for k in range(1, count):
+            z = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out.append(_majority(z ^ (z >> np.uint64(31))))
+    return out
+
+
 def with_fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed: int = 42, name: str = "fp") -> DataFrame:
     """`docs` and a column `name` (long; the fingerprint's 64 bits). A null text counts as one without words."""
     require(docs, text)
@@ -74,6 +91,19 @@ def with_fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed:
     return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
+def with_many_fingerprints(docs: DataFrame, text: str, words: int, seed: int, count: int, name: str) -> DataFrame:
+    """As `with_fingerprints`, with an array of `count` of them."""
+    require(docs, text)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            values = np.array([fingerprints(x, words, seed, count) for x in batch.column(at).to_pylist()], dtype=np.uint64).reshape(-1, count)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64).tolist(), pa.list_(pa.int64()))], names=[*batch.schema.names, name])
+
+    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))]))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -92,35 +122,44 @@ def projections(bits: int, groups: int) -> list[int]:
     return [_signed(sum(masks[g] for g in kept)) for kept in combinations(range(groups), groups - bits)]
 
 
-def links(fps: DataFrame, bits: int = 2, groups: int = 5, cell_limit: int = 64) -> DataFrame:
-    """`fps(fp)`, distinct -> edges `(u, v)` whose components are those of all pairs within `bits` bits."""
+def links(fps: DataFrame, bits: int = 2, groups: int = 5, cell_limit: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """`fps(fp)`, distinct -> edges `(u, v)` whose components are those of all pairs within `bits` bits.
+
+    With columns `by`, only fingerprints that agree in them are linked, and edges have them too.
+    """
     if bits not in (0, 1, 2) or groups <= bits:
         raise ValueError("bits must be 0, 1 or 2, and groups more than bits")
     if bits == 0:
-        return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where(F.lit(False))
+        return fps.select(*by, F.col("fp").alias("u"), F.col("fp").alias("v")).where(F.lit(False))
     masks = projections(bits, groups)
-    point = fps.select("fp", embedding(F.col("fp")).alias("t"))
-    cells = point.select("fp", "t", F.posexplode(F.array(*[F.col("t").bitwiseAND(F.lit(m)) for m in masks])).alias("p", "c"))
-    shared = materialise(cells.groupBy("p", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cells")
-    met = materialise(cells.join(shared.hint("merge"), ["p", "c"]), "met")
+    point = fps.select(*by, "fp", embedding(F.col("fp")).alias("t"))
+    keys = [F.xxhash64(F.lit(p), F.col("t").bitwiseAND(F.lit(m))) for p, m in enumerate(masks)]
+    cells = point.select(*by, "fp", F.explode(F.array(*keys)).alias("k"))
+
+    def near(a, b):
+        """Within the bound, then exactly."""
+        return (F.bit_count(embedding(a).bitwiseXOR(embedding(b))) <= bits) & (F.bit_count(a.bitwiseXOR(b)) <= bits) & (a < b)
+
+    shared = cells.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
+    shared = materialise(shared, "cells")
+    # of a cell's two members the count has already met both; only larger cells are read again
+    pairs = shared.where("n = 2").where(near(F.col("u"), F.col("v"))).select(*by, "u", "v")
+    met = materialise(cells.join(shared.where("n > 2").select(*by, "k", "n"), [*by, "k"]), "met")
     few = met.where(F.col("n") <= cell_limit).drop("n")
     a, b = few.alias("a"), few.alias("b")
-    near = (
-        (F.col("a.p") == F.col("b.p"))
-        & (F.col("a.c") == F.col("b.c"))
-        & (F.col("a.fp") < F.col("b.fp"))
-        & (F.bit_count(F.col("a.t").bitwiseXOR(F.col("b.t"))) <= bits)
-        & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits)
-    )
-    pairs = a.join(b.hint("merge"), near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    many = met.where(F.col("n") > cell_limit).select("fp").distinct()
+    same = F.col("a.k") == F.col("b.k")
+    for c in by:
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    found = a.join(b.hint("merge"), same & near(F.col("a.fp"), F.col("b.fp"))).select(*[F.col(f"a.{c}").alias(c) for c in by], F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    pairs = pairs.unionByName(found)
+    many = met.where(F.col("n") > cell_limit).select(*by, "fp").distinct()
     flips = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)]]
-    around = many.select("fp", F.explode(F.array(*flips)).alias("at"))
+    around = many.select(*by, "fp", F.explode(F.array(*flips)).alias("at"))
     if bits == 1:
-        crowd = around.join(many.select(F.col("fp").alias("at")), "at", "left_semi").where("fp > at")
-        return pairs.unionByName(crowd.select(F.col("fp").alias("u"), F.col("at").alias("v")))
-    least = materialise(around.groupBy("at").agg(F.min("fp").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "around")
-    crowd = around.join(least.hint("merge"), "at").where("fp <> m").select(F.col("fp").alias("u"), F.col("m").alias("v"))
+        crowd = around.join(many.withColumnRenamed("fp", "at"), [*by, "at"], "left_semi").where("fp > at")
+        return pairs.unionByName(crowd.select(*by, F.col("fp").alias("u"), F.col("at").alias("v")))
+    least = materialise(around.groupBy(*by, "at").agg(F.min("fp").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "around")
+    crowd = around.join(least.hint("merge"), [*by, "at"]).where("fp <> m").select(*by, F.col("fp").alias("u"), F.col("m").alias("v"))
     return pairs.unionByName(crowd)
 
 
@@ -152,16 +191,26 @@ def classes(rows: DataFrame, bits: int, groups: int, cell_limit: int) -> DataFra
     return materialise(out.select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42, bits: int = 2, groups: int = 5, cell_limit: int = 64) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, seed: int = 42, bits: int = 2, groups: int = 4, cell_limit: int = 64, count: int = 16) -> DataFrame:
     """`docs` with one row of each component: that with the smallest doc_id (rows without one come last).
 
-    Columns are those of `docs`. Of rows that tie in doc_id, one stays.
+    Rows are linked if any of their `count` fingerprints, of five-word shingles hashed `count` times, are within
+    `bits` bits; each kind of fingerprint is linked as `links` says. Several kinds find most of the pairs of
+    similar texts that a single one misses. Columns are those of `docs`. Of rows that tie in doc_id, one stays.
     """
-    fp, rid = fresh(docs.columns, "fp_", "rid_")
-    marked = materialise(with_fingerprints(docs, text, words, seed, fp).withColumn(rid, F.monotonically_increasing_id()), "marked")
-    rows = marked.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"), F.col(rid).alias("rid"))
-    points = materialise(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("first")), "points")
-    found = connected_components(links(points.select("fp"), bits, groups, cell_limit)).withColumnRenamed("node", "fp")
-    grouped = points.join(found.hint("merge"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
-    stay = materialise(grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias(rid)), "stay")
-    return marked.join(stay.hint("merge"), rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    fps, rid = fresh(docs.columns, "fps_", "rid_")
+    marked = materialise(with_many_fingerprints(docs, text, words, seed, count, fps).withColumn(rid, F.monotonically_increasing_id()), "marked")
+    own = marked.select(F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"), F.col(fps).alias("fps"))
+    rows = own.select("rid", F.posexplode("fps").alias("j", "fp"))
+    points = materialise(rows.groupBy("j", "fp").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("n")), "points")
+    near = materialise(links(points.select("j", "fp"), bits, groups, cell_limit, ("j",)), "near")
+    reps = points.select("j", "fp", "rep")
+    ends = near.join(reps.select("j", F.col("fp").alias("u"), F.col("rep").alias("a")).hint("merge"), ["j", "u"]).select("j", "v", "a")
+    ends = ends.join(reps.select("j", F.col("fp").alias("v"), F.col("rep").alias("b")).hint("merge"), ["j", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = rows.join(points.where("n > 1").select("j", "fp", "rep").hint("merge"), ["j", "fp"]).where("rid <> rep").select(F.col("rid").alias("u"), F.col("rep").alias("v"))
+    found = connected_components(ends.unionByName(same))
+    keyed = found.join(own.select(F.col("rid").alias("node"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid").alias("key")).hint("merge"), "node")
+    keyed = materialise(keyed.select("node", "root", "key"), "members")
+    first = materialise(keyed.groupBy("root").agg(F.min("key")["rid"].alias("stays")), "first")
+    gone = materialise(keyed.join(first.hint("merge"), "root").where("node <> stays").select(F.col("node").alias(rid)), "gone")
+    return marked.join(gone, rid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

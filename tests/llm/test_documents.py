@@ -95,6 +95,21 @@ def test_near_dedup_keeps_one_row_of_each_component(docs):
     assert ids == [1, 3, 6, 7, 8, 9, 10, 11]
 
 
+def test_more_fingerprints_find_more_near_copies(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(40):
+        base = list(rng.choice(words, 300))
+        rows.append((2 * g, " ".join(base)))
+        base[int(rng.integers(0, 300))] = "edited"
+        base[int(rng.integers(0, 300))] = "changed"
+        rows.append((2 * g + 1, " ".join(base)))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * g for g in range(40)} <= kept and len(kept) <= 50
+    assert simhash.fingerprints("a b c d", 3, 42, 3)[0] == simhash.fingerprint("a b c d")
+
+
 def test_exact_dedup(docs):
     rows = same_rows(exact_dedup.exact_duplicates(docs))
     groups = {}
@@ -353,14 +368,14 @@ def test_pipeline_against_brute_force(spark, sf):
         if key not in best or len(left[i]) > len(left[best[key]]):
             best[key] = i
     left = {i: left[i] for i in best.values()}
-    fps = {i: simhash.fingerprint(t) for i, t in left.items()}
+    fps = {i: simhash.fingerprints(t, 5, 42, 16) for i, t in left.items()}
     label = {i: i for i in left}
     changed = True
     while changed:
         changed = False
         for a in left:
             for b in left:
-                if label[b] < label[a] and bin(fps[a] ^ fps[b]).count("1") <= 2:
+                if label[b] < label[a] and any(bin(x ^ y).count("1") <= 2 for x, y in zip(fps[a], fps[b])):
                     label[a], changed = label[b], True
     left = {i: t for i, t in left.items() if label[i] == i}
     items = [r.text.strip() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
