@@ -20,13 +20,13 @@ def turns(spark, folder):
     return c.select("conv_id", "turn", "role", text.alias("text"))
 
 
-@plan("session_store", """SELECT user_id, event_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM (
+@plan("session_store", """SELECT user_id, event_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session_no FROM (
 SELECT user_id, event_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 1800 SECOND THEN 1 ELSE 0 END AS new FROM events)""")
 def session_store(spark, folder):
     return sessions.sessionize(table(spark, folder, "events"), 1800).select("user_id", "event_id", "session_no")
 
 
-@plan("assist_store", """SELECT user_id, session_no, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM (
+@plan("assist_store", """SELECT user_id, session_no, count(*) AS n FROM (SELECT user_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session_no FROM (
 SELECT user_id, event_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 3600 SECOND THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY 1, 2 HAVING count(*) <= 40""")
 def assist_store(spark, folder):
     s = sessions.sessionize(table(spark, folder, "events"), 3600)

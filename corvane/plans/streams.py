@@ -59,7 +59,7 @@ def file_identity(spark, folder):
     return readers.file_identities(spark, folder, "region*.parquet")
 
 
-@plan("scan_parsed", """SELECT 'D' || source AS doc_id, count(*) AS n, sum(length(text)) AS chars FROM documents WHERE doc_id < 200 GROUP BY 1""")
+@plan("scan_parsed", """SELECT 'D' || source AS doc_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE doc_id < 200 GROUP BY 1""")
 def scan_parsed(spark, folder):
     out = f"{_scratch(spark)}/parsed-{uuid.uuid4().hex}"
     d = table(spark, folder, "documents").where("doc_id < 200").select(F.concat(F.lit("D"), "source").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text")

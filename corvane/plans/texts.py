@@ -128,9 +128,9 @@ def order_serials(spark, folder):
     return o.withColumn("parts", serials.serial_parts(F.col("serial")))
 
 
-@plan("serial_parse", sql("SELECT o_orderkey, serial, division, year_code, week, sequence FROM parsed", SERIALS_SQL))
+@plan("serial_parse", sql("SELECT o_orderkey, serial, division, year_code, coalesce(week, -1) AS week, sequence FROM parsed", SERIALS_SQL))
 def serial_parse(spark, folder):
-    return order_serials(spark, folder).select("o_orderkey", "serial", "parts.*")
+    return order_serials(spark, folder).select("o_orderkey", "serial", "parts.*").withColumn("week", F.coalesce("week", F.lit(-1)))
 
 
 YEARS_SQL = f"list_filter(generate_series(1990 + strpos('{serials.YEAR_CODES}', year_code) - 1, 2049, 30), lambda y: y >= 1990 + o_custkey % 40)"
