@@ -18,6 +18,7 @@ the smallest of them gives the same components with a number of links in proport
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import accumulate, combinations, repeat
 
 import numpy as np
@@ -91,19 +92,87 @@ def with_fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed:
     return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
-def with_many_fingerprints(docs: DataFrame, text: str, words: int, seed: int, count: int, name: str) -> DataFrame:
-    """As `with_fingerprints`, with an array of `count` of them."""
+@lru_cache(maxsize=4)
+def _orders(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 2**64, count, dtype=np.uint64), rng.integers(0, 2**64, count, dtype=np.uint64) | np.uint64(1)
+
+
+def band_keys(h: np.ndarray, bands: int, rows: int, seed: int) -> list[int]:
+    """A key for each band of `rows` least hashes (MinHash) of a set of shingles; two sets share a band's key with a chance of their Jaccard similarity to the power `rows`. No shingles: zeros."""
+    if not len(h):
+        return [0] * bands
+    flip, times = _orders(bands * rows, seed)
+    least = np.full(bands * rows, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(h), 512):
+        np.minimum(least, ((h[at : at + 512, None] ^ flip) * times).min(axis=0), out=least)
+    return [_signed(xxhash.xxh64_intdigest(least[j * rows : (j + 1) * rows].tobytes(), j)) for j in range(bands)]
+
+
+def with_band_keys(docs: DataFrame, text: str, words: int, seed: int, bands: int, rows: int, name: str) -> DataFrame:
+    """`docs` and a column `name`, an array of the `band_keys` of the text's shingles."""
     require(docs, text)
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            values = np.array([fingerprints(x, words, seed, count) for x in batch.column(at).to_pylist()], dtype=np.uint64).reshape(-1, count)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64).tolist(), pa.list_(pa.int64()))], names=[*batch.schema.names, name])
+            keys = [band_keys(shingle_hashes(x or "", words, seed), bands, rows, seed) for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names, name])
 
     return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))]))
 
 
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
+    """Of `pairs(u, v)`, rids of `texts(rid, text)`, those whose shingle sets have that Jaccard similarity at least."""
+
+    def shingles(x):
+        return frozenset(shingle_hashes(x or "", words, seed).tolist())
+
+    def run(batches):
+        held, other = None, frozenset()
+        for batch in batches:
+            keep = []
+            for v, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if v != held:  # rows come in order of v
+                    held, other = v, shingles(b)
+                own = shingles(a)
+                both = len(own & other)
+                keep.append(both >= similarity * (len(own) + len(other) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("rid").alias("u"), F.col("text").alias("tu")).hint("merge"), "u")
+    both = both.join(texts.select(F.col("rid").alias("v"), F.col("text").alias("tv")).hint("merge"), "v")
+    return arrow_map(both.select("u", "v", "tu", "tv"), run, "u long, v long")
+
+
+def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, cell_limit: int) -> DataFrame:
+    """`rows(rid, text, keys)` -> edges `(u, v)`: rows that share a key and have the similarity, by their whole texts.
+
+    All pairs of a cell (the rows of one key) are compared while it has `cell_limit` rows at most. Of a larger one all
+    rows are compared with one of them, those that are similar are linked to it and leave, and so on with the rest, so
+    that a large group of near copies costs as many comparisons as it has rows.
+    """
+    spark = rows.sparkSession
+    cells = rows.select("rid", F.posexplode("keys").alias("j", "key")).select("rid", F.xxhash64("j", "key").alias("k"))
+    shared = materialise(cells.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    cells = materialise(cells.join(shared.hint("merge"), "k").drop("n"), "cells")
+    texts = materialise(rows.join(cells.select("rid").distinct(), "rid", "left_semi").select("rid", "text"), "texts")
+    found = spark.createDataFrame([], "u long, v long")
+    while not cells.isEmpty():
+        # another row stands for each of a row's cells
+        sizes = materialise(cells.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min_by("rid", F.xxhash64("rid", "k")).alias("v")).where("n > 1"), "sizes")
+        met = materialise(cells.join(sizes.hint("merge"), "k"), "met")
+        few = met.where(F.col("n") <= cell_limit).select("k", "rid")
+        small = few.select("k", F.col("rid").alias("u")).join(few.select("k", F.col("rid").alias("v")).hint("merge"), "k").where("u > v").select("u", "v")
+        large = met.where((F.col("n") > cell_limit) & (F.col("rid") != F.col("v")))
+        pairs = small.unionByName(large.select(F.col("rid").alias("u"), "v")).distinct()
+        linked = materialise(similar(pairs, texts, similarity, words, seed), "linked")
+        found = found.unionByName(linked)
+        rest = large.select("k", F.col("rid").alias("u"), "v").join(linked.hint("merge"), ["u", "v"], "left_anti")
+        cells = materialise(rest.select(F.col("u").alias("rid"), "k"), "cells")
+    return found
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -191,24 +260,18 @@ def classes(rows: DataFrame, bits: int, groups: int, cell_limit: int) -> DataFra
     return materialise(out.select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, seed: int = 42, bits: int = 2, groups: int = 4, cell_limit: int = 64, count: int = 16) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8, bands: int = 16, rows: int = 4, cell_limit: int = 64) -> DataFrame:
     """`docs` with one row of each component: that with the smallest doc_id (rows without one come last).
 
-    Rows are linked if any of their `count` fingerprints, of five-word shingles hashed `count` times, are within
-    `bits` bits; each kind of fingerprint is linked as `links` says. Several kinds find most of the pairs of
-    similar texts that a single one misses. Columns are those of `docs`. Of rows that tie in doc_id, one stays.
+    Rows are linked if the Jaccard similarity of their sets of five-word shingles is `similarity` at least. It is
+    computed from whole texts, for rows that share a key of `bands` bands of `rows` least hashes: at a similarity of 0.8
+    all but one in 4,500 pairs do, above it fewer are missed. Columns are those of `docs`. Of rows that tie in doc_id,
+    one stays.
     """
-    fps, rid = fresh(docs.columns, "fps_", "rid_")
-    marked = materialise(with_many_fingerprints(docs, text, words, seed, count, fps).withColumn(rid, F.monotonically_increasing_id()), "marked")
-    own = marked.select(F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"), F.col(fps).alias("fps"))
-    rows = own.select("rid", F.posexplode("fps").alias("j", "fp"))
-    points = materialise(rows.groupBy("j", "fp").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("n")), "points")
-    near = materialise(links(points.select("j", "fp"), bits, groups, cell_limit, ("j",)), "near")
-    reps = points.select("j", "fp", "rep")
-    ends = near.join(reps.select("j", F.col("fp").alias("u"), F.col("rep").alias("a")).hint("merge"), ["j", "u"]).select("j", "v", "a")
-    ends = ends.join(reps.select("j", F.col("fp").alias("v"), F.col("rep").alias("b")).hint("merge"), ["j", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    same = rows.join(points.where("n > 1").select("j", "fp", "rep").hint("merge"), ["j", "fp"]).where("rid <> rep").select(F.col("rid").alias("u"), F.col("rep").alias("v"))
-    found = connected_components(ends.unionByName(same))
+    keys, rid = fresh(docs.columns, "keys_", "rid_")
+    marked = materialise(with_band_keys(docs, text, words, seed, bands, rows, keys).withColumn(rid, F.monotonically_increasing_id()), "marked")
+    own = marked.select(F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"), F.col(text).alias("text"), F.col(keys).alias("keys"))
+    found = connected_components(similar_links(own.drop("doc_id"), similarity, words, seed, cell_limit))
     keyed = found.join(own.select(F.col("rid").alias("node"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid").alias("key")).hint("merge"), "node")
     keyed = materialise(keyed.select("node", "root", "key"), "members")
     first = materialise(keyed.groupBy("root").agg(F.min("key")["rid"].alias("stays")), "first")
