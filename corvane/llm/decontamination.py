@@ -1,12 +1,15 @@
 """Operator 5: benchmark decontamination by template canonicalisation.
 
-Words of documents and benchmark items are brought to templates: numbers (digits and number words), names
-(capitalised words within a sentence) and units become typed placeholders, the rest is lower-cased and
-stripped of punctuation. Windows of `words` template words are hashed, and documents' windows are hash
-joined with the items'. A document holds an item if it has at least `coverage` of the item's windows. So
-that windows which agree by chance don't count as the same question with other parameters, each alignment
-is held to slot consistency: under it, a value that fills several slots of the item must be filled by one
-value in the document too. DataFrame operations only.
+Words of documents and benchmark items are read twice. As templates: numbers (digits, number words and compounds of
+them), names (runs of capitalised words, first words of sentences included) and units become typed placeholders, the
+rest is lower-cased and stripped of punctuation. And plainly: all words in lower case, so that a verbatim copy is
+found whatever its case and spacing. Windows of `words` words are hashed, and documents' windows are hash joined with
+the items'. Each run of shared windows is then aligned: the longest common subsequence of the item's words and the
+document's words around the run tells how many of the item's words are there in order, whatever was changed, inserted
+or left out between them. A document holds an item from `coverage` of its words on. So that templates which agree by
+chance don't count as the same question with other parameters, a run is held to slot consistency: a value that fills
+several slots of the item must be filled by one value in the document too, as far as words stand at the run's own
+distance. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -22,99 +25,168 @@ UNITS = "mm cm m km in ft yd mi mg g kg lb lbs oz ml l gal s sec secs second sec
 #: Characters that mark placeholders; they stand in no text that is left after punctuation is stripped.
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 MARKS = "[\ue000-\ue002]"
+#: Joins the words of one slot.
+JOINER = "\ue003"
+#: Words of an item that are aligned at once, one bit of a long each.
+BLOCK = 62
 #: Benchmark windows beyond which they are no longer broadcast but joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
 
 def marked(text: Column) -> Column:
-    """The text with names marked, marks and punctuation otherwise gone, and numbers without separators."""
-    x = F.regexp_replace(F.coalesce(text, F.lit("")), MARKS, " ")
-    x = F.regexp_replace(x, r"(\p{Lu})(?<=[\p{Ll}\p{Nd},;:] .)(?=\p{Ll})", NAME + "$1")
-    return F.regexp_replace(x, r"(?<=\p{Nd})[.,:/](?=\p{Nd})|[^\p{L}\p{N}\p{M}\s" + NAME + "]", "")
+    """The text with names marked, words of one slot joined, marks and punctuation otherwise gone, and numbers without separators."""
+    initials = "".join(sorted({w[0] for w in NUMBER_WORDS}))
+    numbers = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
+    x = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}-{JOINER}]", " ")
+    x = F.regexp_replace(x, rf"[ -](?=(?i:[{initials}]))(?=(?i:{numbers})(?![\p{{L}}\p{{Nd}}]))(?<=(?i:{numbers}|\p{{Nd}})[ -])(?<![\p{{L}}](?i:{numbers})[ -])", JOINER)
+    x = F.regexp_replace(x, rf"(\p{{Lu}})(?=\p{{Ll}})(?<![\p{{L}}\p{{M}}\p{{Nd}}{JOINER}].)", NAME + "$1")
+    x = F.regexp_replace(x, rf"({NAME}[\p{{L}}\p{{M}}]+)\s+(?={NAME})", f"$1{JOINER}")
+    return F.regexp_replace(x, r"(?<=\p{Nd})[.,:/](?=\p{Nd})|[^\p{L}\p{N}\p{M}\s" + NAME + JOINER + "]", "")
 
 
 def words_of(mark: Column) -> Column:
     return F.filter(F.split(mark, r"\s+"), lambda w: w != "")
 
 
+def plain(mark: Column) -> Column:
+    """The words of a marked text in lower case."""
+    return words_of(F.lower(F.translate(mark, JOINER + NAME, " ")))
+
+
 def template(mark: Column) -> Column:
-    """The template words of a marked text, one for each of its words."""
-    x = F.regexp_replace(F.lower(mark), NAME + r"\S+", NAME)
+    """The template words of a marked text, one for each of its words and slots."""
     initials = "".join(sorted({w[0] for w in NUMBER_WORDS}))
     numbers = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
     units = "|".join(sorted(UNITS, key=len, reverse=True))
+    # number words that begin a sentence are numbers, not names
+    x = F.regexp_replace(F.lower(mark), rf"{NAME}(?!(?:{numbers})[\s{JOINER}])\S+", NAME)
     # each pattern starts with what is rare in text, so that it fails at once elsewhere
-    x = F.regexp_replace(x, rf"(?<!\S)(?=[{initials}])(?:{numbers})(?!\S)", NUMBER)
+    x = F.regexp_replace(x, rf"(?<![^\s{NAME}])(?=[{initials}])(?:{numbers})(?:{JOINER}(?:{numbers}))*(?!\S)", NUMBER)
+    x = F.regexp_replace(x, NAME + NUMBER, NUMBER)
     x = F.regexp_replace(x, rf"\p{{Nd}}+(?:{units})(?!\S)", NUMBER + UNIT)
-    x = F.regexp_replace(x, r"\p{Nd}+", NUMBER)
+    x = F.regexp_replace(x, rf"\p{{Nd}}+(?:{JOINER}(?:{numbers}))*", NUMBER)
     return words_of(F.regexp_replace(x, rf"{NUMBER}(\s+)(?:{units})(?!\S)", f"{NUMBER}$1{UNIT}"))
 
 
+def readings(mark: Column) -> Column:
+    """Both readings of a marked text: mode, raw (its words; of the plain one none are needed) and t."""
+    slots = F.struct(F.lit("slots").alias("mode"), words_of(mark).alias("raw"), template(mark).alias("t"))
+    return F.array(slots, F.struct(F.lit("plain").alias("mode"), F.array().cast("array<string>").alias("raw"), plain(mark).alias("t")))
+
+
 def _window_hash(hashes: str, at: Column, words: int) -> Column:
     return F.xxhash64(*[F.get(F.col(hashes), at + i) for i in range(words)])
 
 
-def item_windows(benchmark: DataFrame, item_id: str, text: str, words: int) -> DataFrame:
-    """The items' windows: item_id, n (windows of the item), size (words of a window), idx, key, and their slots' words.
-
-    Windows that are placeholders alone say nothing; an item that has no others has no windows. Items of
-    fewer words have one window of all their words. Repeated items with one text count once.
-    """
+def item_readings(benchmark: DataFrame, item_id: str, text: str, words: int) -> DataFrame:
+    """Both readings of each item: ik (a hash of item and reading), item_id, mode, n (words), size (words of a window),
+    raw, t, their hashes ih, and masks (for each BLOCK words a map from a word's hash to its places). Repeated items
+    with one text count once."""
     mark = marked(F.col(text))
-    rows = benchmark.select(F.col(item_id).alias("item_id"), mark.alias("mark")).distinct().select("item_id", words_of(F.col("mark")).alias("raw"), template(F.col("mark")).alias("t"))
-    rows = rows.where(F.size("t") > 0).withColumn("size", F.least(F.size("t"), F.lit(words)))
-    rows = rows.withColumn("h", F.transform("t", lambda w: F.xxhash64(w)))
-    each = rows.select("item_id", "size", "raw", "t", "h", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("idx"))
-    literal = F.exists(F.slice("t", F.col("idx") + 1, F.col("size")), lambda w: ~w.rlike(f"^{MARKS}+$"))
+    rows = benchmark.select(F.col(item_id).alias("item_id"), mark.alias("mark")).distinct().select("item_id", F.inline(readings(F.col("mark"))))
+    rows = rows.where(F.size("t") > 0).withColumn("ih", F.transform("t", lambda w: F.xxhash64(w)))
+
+    def mask(part):
+        def places(w):
+            at = F.transform(part, lambda x, i: F.when(x == w, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+            return F.aggregate(at, F.lit(0).cast("long"), lambda a, y: a.bitwiseOR(y))
+
+        return F.map_from_entries(F.transform(F.array_distinct(part), lambda w: F.struct(w, places(w))))
+
+    starts = F.sequence(F.lit(0), F.floor((F.size("t") - 1) / BLOCK).cast("int"))
+    ik = F.xxhash64(F.col("item_id"), F.col("item_id").isNull(), F.col("mode"), F.array_join("raw", " "), F.array_join("t", " "))
+    return rows.select(ik.alias("ik"), "item_id", "mode", F.size("t").alias("n"), F.least(F.size("t"), F.lit(words)).alias("size"), "raw", "t", "ih", F.transform(starts, lambda k: mask(F.slice("ih", k * BLOCK + 1, BLOCK))).alias("masks"))
+
+
+def item_windows(items: DataFrame, words: int) -> DataFrame:
+    """The windows of `item_readings`: ik, mode, n, size, idx, key, before (hash of the word before the window, null where
+    there is no window with it). Template windows that are placeholders alone say nothing. Items of fewer words have one window of all their words."""
+
+    def literal(i):
+        return (F.col("mode") == "plain") | F.exists(F.slice("t", i + 1, F.col("size")), lambda w: ~w.rlike(f"^{MARKS}+$"))
+
+    each = items.withColumn("idx", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size")))).where(literal(F.col("idx")))
     key = None
     for n in range(1, words + 1):
-        at = F.when(F.col("size") == n, _window_hash("h", F.col("idx"), n))
+        at = F.when(F.col("size") == n, _window_hash("ih", F.col("idx"), n))
         key = at if key is None else F.coalesce(key, at)
-    windows = each.where(literal).select("item_id", "size", "idx", key.alias("key"), F.slice("raw", F.col("idx") + 1, F.col("size")).alias("raw"), F.slice("t", F.col("idx") + 1, F.col("size")).alias("t"))
-    windows = windows.withColumn("slotted", F.exists("t", lambda w: w.rlike(MARKS)))
-    many = windows.groupBy("item_id").agg(F.countDistinct("key").alias("n"))
-    return windows.join(many, "item_id")
+    before = F.when((F.col("idx") > 0) & literal(F.greatest(F.col("idx") - 1, F.lit(0))), F.get("ih", F.col("idx") - 1))
+    return each.select("ik", "mode", "n", "size", "idx", key.alias("key"), before.alias("before"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, words: int) -> DataFrame:
-    """Windows that a document shares with an item: doc_id, dk (hash of the text), item_id, n, key, pos, idx, and both sides' words (the document's null for windows without slots)."""
-    windows = item_windows(benchmark, item_id, item_text, words)
+    """First windows of runs that a document shares with an item: doc_id, dk (hash of the text), the item's reading,
+    and around: h and w (hashes and, in the reading with slots, words of the document around the run) and at (where the item's first word would stand in them)."""
+    items = item_readings(benchmark, item_id, item_text, words)
+    windows = item_windows(items, words)
     sizes = {r["size"]: r["c"] for r in windows.groupBy("size").agg(F.count(F.lit(1)).alias("c")).collect()}  # `words` rows at most
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("dk"), marked(F.col(text)).alias("mark"))
-    rows = rows.select("doc_id", "dk", "mark", F.transform(template(F.col("mark")), lambda w: F.xxhash64(w)).alias("h"))
     out = None
-    for size, count in sorted(sizes.items()) or [(words, 0)]:
-        each = rows.where(F.size("h") >= size).select("doc_id", "dk", "mark", "h", F.explode(F.sequence(F.lit(0), F.size("h") - size)).alias("pos"))
-        keyed = each.withColumn("key", _window_hash("h", F.col("pos"), size))
-        side = windows.where(F.col("size") == size).drop("size")
-        met = keyed.join(F.broadcast(side) if count <= BROADCAST_WINDOWS else side, "key")
-        got = met.select("doc_id", "dk", "item_id", "n", "key", "pos", "idx", "raw", "t", F.when(F.col("slotted"), F.slice(words_of(F.col("mark")), F.col("pos") + 1, size)).alias("raw_d"))
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, coverage: float = 0.8) -> DataFrame:
-    """One row per document text and item that it holds: doc_id, dk (hash of the text), item_id, n_windows, n_found, coverage, n_slots, reparameterised.
-
-    `reparameterised` is true where no consistent alignment of the windows has the item's own slot values.
-    Rows with one doc_id and text give one row. Null and empty texts hold nothing, null and empty items are
-    held by nothing; a null doc_id or item_id is a value like others. Empty tables give an empty result.
+    for mode, read in (("slots", template), ("plain", plain)):
+        raw = words_of(F.col("mark")) if mode == "slots" else F.array().cast("array<string>")
+        held = rows.select("doc_id", "dk", raw.alias("w"), F.transform(read(F.col("mark")), lambda w: F.xxhash64(w)).alias("h"))
+        for size, count in sorted(sizes.items()) or [(words, 0)]:
+            each = held.where(F.size("h") >= size).select("doc_id", "dk", "w", "h", F.explode(F.sequence(F.lit(0), F.size("h") - size)).alias("pos"))
+            keyed = each.withColumn("key", _window_hash("h", F.col("pos"), size))
+            side = windows.where((F.col("size") == size) & (F.col("mode") == mode)).drop("size", "mode")
+            met = keyed.join(F.broadcast(side) if count <= BROADCAST_WINDOWS else side, "key")
+            # a window whose forerunner is shared too belongs to that one's run
+            met = met.where(F.col("before").isNull() | (F.col("pos") == 0) | (F.get("h", F.greatest(F.col("pos") - 1, F.lit(0))) != F.col("before")))
+            shift, slack = F.col("pos") - F.col("idx"), F.floor(F.col("n") / 4).cast("int") + 2  # words that may be inserted or missing
+            start = F.greatest(shift - slack, F.lit(0))
+            length = shift + F.col("n") + slack - start
+            # as a generator, so that it isn't put off until after the join: a row must not carry its whole document on
+            around = F.explode(F.array(F.struct(F.slice("h", start + 1, length).alias("h"), F.slice("w", start + 1, length).alias("w"), (shift - start).alias("at"))))
+            got = met.select("doc_id", "dk", "ik", around.alias("around"))
+            out = got if out is None else out.unionByName(got)
+    return out.join(F.broadcast(items) if sum(sizes.values()) <= BROADCAST_WINDOWS else items, "ik")
+
+
+def common_words(masks: Column, region: Column) -> Column:
+    """Words of an item in the longest common subsequence with `region`, by bits: after each word of the region, the zeros of a block's long are the length's steps."""
+    full = F.lit((1 << BLOCK) - 1).cast("long")
+
+    def step(v, m):
+        u = v.bitwiseAND(m)
+        return (v + u).bitwiseOR(v - u).bitwiseAND(full)
+
+    def block(m):
+        return BLOCK - F.bit_count(F.aggregate(region, full, lambda v, w: step(v, F.coalesce(F.try_element_at(m, w), F.lit(0).cast("long")))))
+
+    return F.aggregate(F.transform(masks, block), F.lit(0), lambda a, x: a + x)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, coverage: float = 0.6) -> DataFrame:
+    """One row per document text and item that it holds: doc_id, dk (hash of the text), item_id, n_words, n_found, coverage, n_slots, reparameterised.
+
+    Words are those of the reading, with slots or plain, that covers more. `reparameterised` is true where no alignment
+    has the item's own slot values. Rows with one doc_id and text give one row. Null and empty texts hold nothing, null
+    and empty items are held by nothing; a null doc_id or item_id is a value like others. Empty tables give an empty result.
     """
     require(docs, doc_id, text)
     require(benchmark, item_id, item_text)
     found = hits(docs, benchmark, doc_id, text, item_id, item_text, words)
-    # slots of a window as pairs (item's word, document's word)
-    pairs = F.filter(F.arrays_zip(F.col("t").alias("t"), F.col("raw").alias("raw"), F.col("raw_d").alias("raw_d")), lambda z: z["t"].rlike(MARKS))
-    found = found.select("doc_id", "dk", "item_id", "n", "key", (F.col("pos") - F.col("idx")).alias("shift"), F.when(F.col("raw_d").isNotNull(), F.transform(pairs, lambda z: F.struct(F.lower(z["raw"]).alias("i"), F.lower(z["raw_d"]).alias("d")))).alias("slots"))
-    lines = found.groupBy("doc_id", "dk", "item_id", "n", "shift").agg(F.collect_set("key").alias("keys"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))  # collect_set leaves out windows without slots
-    # a line holds a window of an item at most once, so its sets are no longer than the item
+    region = F.col("around.h")
+    # words that aren't there at all can't be in any alignment
+    found = found.where(F.size(F.array_except("ih", region)) <= F.col("n") * (1 - coverage) + 1e-9)
+
+    def equal(i):
+        return F.coalesce(F.get("ih", i) == F.get(region, F.col("around.at") + i), F.lit(False))
+
+    def aligned(i):
+        """Equal, in three equal words at least (or in all of a shorter item)."""
+        return equal(i) & ((F.col("n") < 3) | (equal(i - 1) & (equal(i + 1) | equal(i - 2))) | (equal(i + 1) & equal(i + 2)))
+
+    slots = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("t", i).rlike(MARKS) & aligned(i))
+    pairs = F.array_distinct(F.transform(slots, lambda i: F.struct(F.lower(F.get("raw", i)).alias("i"), F.lower(F.get(F.col("around.w"), F.col("around.at") + i)).alias("d"))))
+    found = found.withColumn("slots", F.when(F.col("mode") == "slots", pairs).otherwise(F.array().cast("array<struct<i:string,d:string>>")))
     steady = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
     same = F.forall("slots", lambda s: s["i"] == s["d"])
-    lines = lines.where(steady).select("doc_id", "dk", "item_id", "n", F.explode("keys").alias("key"), F.size("slots").alias("slots"), same.alias("same"))
-    by_key = lines.groupBy("doc_id", "dk", "item_id", "n", "key").agg(F.max("slots").alias("slots"), F.max("same").alias("same"))
-    out = by_key.groupBy("doc_id", "dk", "item_id", "n").agg(F.count(F.lit(1)).alias("n_found"), F.max("slots").alias("n_slots"), F.min("same").alias("same"))
-    out = out.withColumn("coverage", F.col("n_found") / F.col("n")).where(F.col("coverage") >= coverage)
-    return out.select("doc_id", "dk", "item_id", F.col("n").alias("n_windows"), "n_found", "coverage", "n_slots", (~F.col("same")).alias("reparameterised"))
+    lines = found.where(steady).select("doc_id", "dk", "item_id", "n", common_words(F.col("masks"), region).alias("found"), F.size("slots").alias("slots"), same.alias("same"))
+    lines = lines.withColumn("coverage", F.col("found") / F.col("n")).where(F.col("coverage") >= coverage)
+    best = F.max(F.struct("coverage", "n", "found"))
+    out = lines.groupBy("doc_id", "dk", "item_id").agg(best.alias("best"), F.max("slots").alias("n_slots"), F.max("same").alias("same"))
+    return out.select("doc_id", "dk", "item_id", F.col("best.n").alias("n_words"), F.col("best.found").alias("n_found"), F.col("best.coverage").alias("coverage"), "n_slots", (~F.col("same")).alias("reparameterised"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
