@@ -1,9 +1,11 @@
 """Edited, partial, re-parameterised and reflowed copies of benchmark items."""
 
 import numpy as np
+import pytest
 
 from corvane.llm import decontamination
 
+ITEM = "Tom has 3 apples and gives them to Ann Lee. Tom then buys twenty-five pears for 10 days in the garden, because Mary likes fruit"
 SHORT = "the river runs below an old stone bridge where seven grey herons stand every morning"
 
 
@@ -31,6 +33,17 @@ def test_two_edits_in_items_of_median_length(spark):
     assert held_by(spark, texts, items) >= {(i, i) for i in range(30)}
 
 
+@pytest.mark.parametrize("change", [str.upper, str.lower, lambda x: x.replace(" ", "\n"), lambda x: x.replace(" ", "  ")])
+def test_copies_whatever_their_case_and_spacing(spark, change):
+    assert held_by(spark, ["so " + change(ITEM)], [ITEM]) == {(0, 0)}
+
+
+def test_other_names_and_numbers_of_any_number_of_words(spark):
+    other = ITEM.replace("Tom", "Bob Roy").replace("Ann Lee", "Eve").replace("twenty-five", "forty").replace("Mary", "Joan of")
+    other = other.replace("Joan of", "Joan")
+    assert held_by(spark, ["Here it is. " + other], [ITEM], coverage=0.8) == {(0, 0)}
+
+
 def test_items_of_more_words_than_a_block(spark):
     w = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
     half = [x if i % 10 else "other" for i, x in enumerate(w)]
