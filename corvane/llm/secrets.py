@@ -6,8 +6,9 @@ candidates are decoded and reported only if their bytes have the structure of a
 * jwt: three base64url parts of which the first decodes to a JSON object with a string `alg`, the second
   to a JSON object;
 * der_key: bytes that are one DER SEQUENCE whose nested lengths fill it exactly, and whose first elements
-  are those of a PKCS#1, PKCS#8 or EC private key, or of a public key; in base64 (with or without armour
-  and line breaks) or hex;
+  are those of a PKCS#1, PKCS#8 or EC private key, or of a public key; in base64 or base64url (with or
+  without armour and line breaks, indented or escaped) or hex;
+  the length of the SEQUENCE tells where it ends, whatever text follows;
 * ssh_key: the magic of an OpenSSH private key and its length-prefixed fields, or a public key blob whose
   length-prefixed fields fill it exactly.
 """
@@ -34,9 +35,15 @@ KINDS = ("assign", "access", "hex", "jwt", "der_key", "ssh_key")
 KEYWORDS = ("passw", "secret", "token", "api")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.ey[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M|b3Bl|AAAA)[A-Za-z0-9+/]{30,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+#: The first line of a key in base64 or base64url, also after an escaped line break; and what continues it: line breaks
+#: (plain, escaped as in JSON, or after a backslash), indented or not.
+BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?:M|b3Bl|AAAA)[A-Za-z0-9+/_-]{30,}")
+NEXT_LINE = re.compile(r"[\x20\t]*(?:(?:\\+r)?\\+n|\\?\r?\n)[\x20\t]*([A-Za-z0-9+/_-]+)")
+PADDING = re.compile(r"={0,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}")
 SSH_MAGIC = b"openssh-key-v1\x00"
+#: Fields of public key blobs, by their first field; of other kinds (certificates) the longest that ends with a line counts.
+SSH_FIELDS = {b"ssh-ed25519": 2, b"ssh-rsa": 3, b"ssh-dss": 5, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
 
 #: Object identifiers of key algorithms: rsaEncryption, ecPublicKey, X25519, Ed25519, dsa.
 KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b656e", "2b6570", "2a8648ce380401")}
@@ -117,6 +124,85 @@ def decoded64(x: str) -> bytes:
         return b""
 
 
+class Folded:
+    """The bytes of a base64 candidate, read line by line as far as they are asked for."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.lines, self.chars = text, [(start, end)], text[start:end]
+
+    def more(self) -> bool:
+        m = NEXT_LINE.match(self.text, self.lines[-1][1])
+        if m is None:
+            return False
+        self.lines.append(m.span(1))
+        self.chars += m[1]
+        return True
+
+    def first(self, n: int) -> bytes | None:
+        """The first n bytes, None if there are fewer."""
+        need = (4 * n + 2) // 3
+        while len(self.chars) < need:
+            if not self.more():
+                return None
+        return decoded64(self.chars[:need])[:n]
+
+    def end(self, n: int) -> int | None:
+        """Where the text of the first n bytes ends, padding included; None if base64 goes on in that line."""
+        need = (4 * n + 2) // 3
+        for start, end in self.lines:
+            if need <= end - start:
+                at = start + need
+                return None if at < end and self.text[at] not in "-_" else PADDING.match(self.text, at).end()
+            need -= end - start
+        return None
+
+
+def der_end(key: Folded) -> int | None:
+    head = key.first(2)
+    if head is None or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or head[1] == 0x80 or (head := key.first(3 + n)) is None or head[2 + n] not in (0x02, 0x30):
+        return None
+    total = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+    data = key.first(total)
+    return key.end(total) if data is not None and is_der_key(data) else None
+
+
+def ssh_end(key: Folded) -> int | None:
+    def field(at: int) -> int | None:
+        """Where the field at `at` ends."""
+        size = key.first(at + 4)
+        end = None if size is None else at + 4 + int.from_bytes(size[at:], "big")
+        return None if end is None or key.first(end) is None else end
+
+    if key.first(len(SSH_MAGIC)) == SSH_MAGIC:
+        at, left = len(SSH_MAGIC), 3
+        while at is not None and left:
+            at, left = field(at), left - 1
+        count = None if at is None else key.first(at + 4)
+        if count is not None:
+            at, left = at + 4, int.from_bytes(count[at:], "big") + 1  # public keys and the private part
+            while at is not None and left:
+                at, left = field(at), left - 1
+            if at is not None and (end := key.end(at)) is not None:
+                return end
+        while key.more():
+            pass
+        # cut off: all of its lines
+        return PADDING.match(key.text, key.lines[-1][1]).end() if is_ssh_key(decoded64(key.chars[: len(key.chars) // 4 * 4])) else None
+    name = key.first(8)
+    if name is None or name[4:8] not in (b"ssh-", b"ecds") or (at := field(0)) is None:
+        return None
+    known = SSH_FIELDS.get(key.first(at)[4:])
+    n, found = 1, None
+    while n != known and (at := field(at)) is not None:
+        n += 1
+        if known is None or n == known:
+            found = key.end(at) or found
+    return found
+
+
 def json_object(part: str) -> dict | None:
     try:
         found = json.loads(decoded64(part))
@@ -154,12 +240,15 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             found = json_object(head)
             if found is not None and isinstance(found.get("alg"), str) and json_object(body) is not None:
                 out.append((m.start(), m.end(), "jwt"))
-    for m in BASE64.finditer(text):
-        data = decoded64(m[0])
-        if is_der_key(data):
-            out.append((m.start(), m.end(), "der_key"))
-        elif is_ssh_key(data):
-            out.append((m.start(), m.end(), "ssh_key"))
+    m = BASE64.search(text)
+    while m:
+        key, stop = Folded(text, *m.span()), None
+        for kind, ending in (("der_key", der_end), ("ssh_key", ssh_end)):
+            if (stop := ending(key)) is not None:
+                out.append((m.start(), stop, kind))
+                break
+        # lines after one that isn't a key may hold one of their own
+        m = BASE64.search(text, m.end() if stop is None else stop)
     for m in HEX_DER.finditer(text):
         x = m[0][: len(m[0]) // 2 * 2]
         if is_der_key(bytes.fromhex(x)):
