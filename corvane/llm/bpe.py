@@ -8,8 +8,11 @@ a merge (u, v) -> w, for every state q with an arc u whose target has an arc v:
 A token's arcs all lead to one state, so states are named by the token last read, and a state differs from
 the first one by the arcs it has lost: v itself by a merge (u, v), and every later token that begins with a
 lost one. So the gadgets keep, for each token, its two parts and its time, and for each state the arcs it
-lost at its own merges; `arc` resolves a transition along the parts and puts it in the state's table, where
-all later steps find it.
+lost at its own merges. A merge whose parts never meet (the automaton has no arc v from u at its time) does
+nothing, and a token that only such merges make is in no arc. (Where a merge names a token that only a later one
+makes, which training never does, merges take place out of order; such vocabularies are merged pair by pair.) The automaton is determinised as it is used: of
+the square of the vocabulary's size of transitions, `arc` resolves one along the parts when it is first met
+and puts it in the state's table, where all later steps find it.
 
 To encode a pre-split word, states run along its bytes: from the state at each byte offset, every
 vocabulary entry that the bytes spell there is a candidate arc. Every byte string has exactly one accepted
@@ -35,8 +38,8 @@ _SPLIT = regex.compile(PATTERN)
 #: The same splits, by a faster engine, for texts of ASCII and Latin letters only: there [^\W\d_] is \p{L}, \d is \p{N}, and white space agrees.
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _OTHER = re.compile("[^\t\n\r -~À-ÖØ-öø-ɏ]")
-#: Words whose encoding a task keeps, and transitions that a worker keeps; when full, they start afresh.
-CACHE, CELLS = 250_000, 2_000_000
+#: Words whose encoding, and words whose count a task keeps, and transitions that a worker keeps; when full, they start afresh.
+CACHE, COUNTED, CELLS = 200_000, 500_000, 2_000_000
 END = -1
 
 
@@ -74,7 +77,7 @@ class Counts(dict):
         self.a = a
 
     def __missing__(self, text: str) -> int:
-        if len(self) >= CACHE:
+        if len(self) >= COUNTED:
             self.clear()
         found = self[text] = len(self.a.encode_word(text.encode("utf-8", "surrogatepass")))
         return found
@@ -95,8 +98,12 @@ class Automaton:
         for b in (bytes([x]) for x in range(256)):
             if b in vocabulary:
                 self.time[vocabulary[b]] = -1
-        for k, (u, v) in enumerate(merges):
-            self._gadget(k, vocabulary[u], vocabulary[v], vocabulary[u + v])
+        pairs = [(vocabulary[u], vocabulary[v], vocabulary[u + v]) for u, v in merges]
+        early: set[int] = set()
+        for k, pair in enumerate(pairs):
+            self._gadget(k, *pair, early)
+        # merges of tokens that later ones make take place out of order, for which there is no gadget
+        self.ranks = {(u, v): (k, w) for k, (u, v, w) in enumerate(pairs)} if early & set(self.time) else None
         self.reachable = {self.label[i]: i for i in self.time}
         # the vocabulary's bytes as a tree; END leads to the entry that ends there
         self.root: dict[int, dict | int] = {}
@@ -109,7 +116,13 @@ class Automaton:
         self.words, self.counts = Words(self), Counts(self)
         self._specials = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
-    def _gadget(self, k: int, u: int, v: int, w: int) -> None:
+    def _gadget(self, k: int, u: int, v: int, w: int, early: set[int]) -> None:
+        """Merge k; tokens that it needs and that aren't made yet go to `early`."""
+        if missing := {u, v} - self.time.keys():
+            early |= missing
+            return
+        if not self._open(u, v, k):
+            return
         self.lost.setdefault((u, v), k)
         if w not in self.time:
             self.left[w], self.right[w], self.time[w] = u, v, k
@@ -136,6 +149,8 @@ class Automaton:
         return yes
 
     def encode_word(self, word: bytes) -> list[int]:
+        if self.ranks is not None:
+            return self._merged(word)
         if (whole := self.reachable.get(word)) is not None:
             return [whole]  # an entry's own bytes are read as that entry
         n, root, table = len(word), self.root, self.table
@@ -171,6 +186,16 @@ class Automaton:
             self.table, self.cells = {}, 0
         return out[::-1]
 
+    def _merged(self, word: bytes) -> list[int]:
+        """Merges one by one, for the rare vocabularies that have no automaton."""
+        ids = [self.reachable[bytes([b])] for b in word]
+        while True:
+            found = [(*self.ranks[pair], i) for i, pair in enumerate(zip(ids, ids[1:])) if pair in self.ranks]
+            if not found:
+                return ids
+            _, w, i = min(found, key=lambda x: (x[0], x[2]))
+            ids[i : i + 2] = [w]
+
     def word(self, text: str) -> tuple[int, str, bytes]:
         """(number of tokens, ids in decimal joined by commas, labels joined) of a pre-split word."""
         return self.words[text]
