@@ -1,8 +1,11 @@
 """Operator 2: token counts that follow edits.
 
 A document is held as its pre-tokens (the pieces that the vocabulary's pattern splits it into; merges never
-cross them) in blocks of about `BLOCK` pieces, under a segment tree whose nodes sum characters and tokens
-of the blocks below. An edit replaces a range of characters. The tree finds the blocks at its ends; pieces
+cross them) in blocks of `BLOCK` pieces, under a segment tree whose nodes sum characters and tokens
+of the blocks below. Trees are a table (`build_trees`): it is made once, by splitting and encoding whole texts, and
+edits are applied to its rows (`apply_edits`), which gives counts, or the rows of the table as they are afterwards.
+
+An edit replaces a range of characters. The tree finds the blocks at its ends, and only their pieces are read; they
 are split anew from two pieces and any white space before it (a piece depends on the text from its start
 on, and looks ahead by no more than a run of white space) until a new piece ends where an old one ended,
 after the edit; from there on all pieces are as before. Only pieces in between are encoded again, and sums
@@ -13,45 +16,101 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Automaton, automaton, split
-from .common import arrow_map, require
+from .common import arrow_map, materialise, require
 
 BLOCK = 64
 #: Characters after an edit that are split anew at first; doubled until pieces meet the old ones.
 AHEAD = 256
 
 
-class SegmentTree:
-    """Sums of (characters, tokens) over a list of blocks; a block is a list of pieces and a list of their numbers of tokens."""
+class Block:
+    """Some pieces: their characters and tokens, and the pieces with their counts once they have been read (else the block's number in the table)."""
+
+    __slots__ = ("at", "chars", "counts", "pieces", "tokens")
+
+    def __init__(self, chars: int, tokens: int, at: int = -1, pieces: list[str] | None = None, counts: list[int] | None = None):
+        self.chars, self.tokens, self.at, self.pieces, self.counts = chars, tokens, at, pieces, counts
+
+    @staticmethod
+    def of(pieces: list[str], counts: list[int]) -> Block:
+        return Block(sum(map(len, pieces)), sum(counts), -1, pieces, counts)
+
+
+def node_sums(leaves: list[int]) -> list[int]:
+    """The nodes of a segment tree over `leaves`: node i sums nodes 2i and 2i + 1, the root is node 1, leaves come last."""
+    n = len(leaves)
+    out = [0] * n + list(leaves)
+    for i in range(n - 1, 0, -1):
+        out[i] = out[2 * i] + out[2 * i + 1]
+    return out
 
-    def __init__(self, pieces: list[str], counts: list[int]):
-        self.blocks = self._cut(pieces, counts)
-        self._build()
+
+def tree_columns(lens: np.ndarray, counts: np.ndarray) -> tuple[list[int], list[int]]:
+    """The nodes' characters and tokens for pieces of these lengths and counts."""
+    cuts = np.arange(0, max(1, len(lens)), BLOCK)
+    return tuple(node_sums(np.add.reduceat(x, cuts).tolist() if len(x) else [0]) for x in (lens, counts))
+
+
+class Document:
+    """A document under edits, from a row of the table. `tokens` is its count of tokens, `encoded` the number of pieces encoded since it was read."""
+
+    def __init__(self, text: str, lens: np.ndarray, counts: np.ndarray, chars: list[int], tokens: list[int], a: Automaton):
+        self.text, self.lens, self.piece_counts = text, lens, counts
+        self.count = a.counts.__getitem__
+        self.encoded = 0
+        n = len(chars) // 2
+        self.blocks = [Block(chars[n + i], tokens[n + i], i) for i in range(n)]
+        self.chars, self.sums = list(chars), list(tokens)
+        self.starts = [0, *accumulate(chars[n:])]  # of the blocks, in the text as it was read
 
     @staticmethod
-    def _cut(pieces: list[str], counts: list[int]) -> list[tuple[list[str], list[int]]]:
-        return [(pieces[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, len(pieces), BLOCK)] or [([], [])]
+    def parse(text: str, a: Automaton) -> Document:
+        pieces = split(text)
+        lens = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces))
+        counts = np.fromiter(map(a.counts.__getitem__, pieces), dtype=np.int32, count=len(pieces))
+        return Document(text, lens, counts, *tree_columns(lens, counts), a)
 
-    def _build(self) -> None:
-        n = len(self.blocks)
-        self.chars, self.tokens = [0] * (2 * n), [0] * (2 * n)
-        for i, (pieces, counts) in enumerate(self.blocks, n):
-            self.chars[i], self.tokens[i] = len("".join(pieces)), sum(counts)
-        for i in range(n - 1, 0, -1):
-            self._pull(i)
+    @property
+    def size(self) -> int:
+        return self.chars[1]
 
-    def _pull(self, i: int) -> None:
-        self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-        self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+    @property
+    def tokens(self) -> int:
+        return self.sums[1]
+
+    def read(self, i: int) -> Block:
+        """Block i with its pieces."""
+        b = self.blocks[i]
+        if b.pieces is None:
+            low = b.at * BLOCK
+            ends = list(accumulate(self.lens[low : low + BLOCK].tolist(), initial=self.starts[b.at]))
+            b.pieces = [self.text[x:y] for x, y in zip(ends, ends[1:])]
+            b.counts = self.piece_counts[low : low + BLOCK].tolist()
+        return b
 
-    def total(self) -> tuple[int, int]:
-        """(characters, tokens)."""
-        return (self.chars[1], self.tokens[1]) if len(self.blocks) > 1 else (self.chars[-1], self.tokens[-1])
+    def pieces(self) -> list[str]:
+        return [p for i in range(len(self.blocks)) for p in self.read(i).pieces]
+
+    def columns(self) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+        """lens, counts, chars and tokens of the document as it is now; blocks that no edit read are copied."""
+        lens, counts = [], []
+        for b in self.blocks:
+            if b.pieces is None:
+                low = b.at * BLOCK
+                lens.append(self.lens[low : low + BLOCK])
+                counts.append(self.piece_counts[low : low + BLOCK])
+            else:
+                lens.append(np.fromiter(map(len, b.pieces), dtype=np.int32, count=len(b.pieces)))
+                counts.append(np.array(b.counts, dtype=np.int32))
+        lens, counts = np.concatenate(lens), np.concatenate(counts)
+        return lens, counts, *tree_columns(lens, counts)
 
     def before(self, block: int) -> int:
         """Characters in the blocks before `block`."""
@@ -82,45 +141,31 @@ class SegmentTree:
         """Blocks first..last get these pieces instead of theirs."""
         n, leaves = last - first + 1, len(self.blocks)
         if len(pieces) > 2 * BLOCK * n or (not pieces and n < leaves):  # the number of blocks changes
-            self.blocks[first : last + 1] = self._cut(pieces, counts) if pieces else []
-            self._build()
+            self.blocks[first : last + 1] = [Block.of(pieces[i : i + BLOCK], counts[i : i + BLOCK]) for i in range(0, len(pieces), BLOCK)]
+            self.chars, self.sums = node_sums([b.chars for b in self.blocks]), node_sums([b.tokens for b in self.blocks])
             return
         cut = [len(pieces) * i // n for i in range(n + 1)]
         for i in range(n):
-            a, b, at = cut[i], cut[i + 1], leaves + first + i
-            self.blocks[first + i] = pieces[a:b], counts[a:b]
-            self.chars[at], self.tokens[at] = len("".join(pieces[a:b])), sum(counts[a:b])
+            at = leaves + first + i
+            b = self.blocks[first + i] = Block.of(pieces[cut[i] : cut[i + 1]], counts[cut[i] : cut[i + 1]])
+            self.chars[at], self.sums[at] = b.chars, b.tokens
             at //= 2
             while at:
-                self._pull(at)
+                self.chars[at] = self.chars[2 * at] + self.chars[2 * at + 1]
+                self.sums[at] = self.sums[2 * at] + self.sums[2 * at + 1]
                 at //= 2
 
-
-class Document:
-    """An edited document: `tokens` is its count of tokens, `encoded` the number of pieces encoded since it was made."""
-
-    def __init__(self, text: str, a: Automaton):
-        self.count = a.counts.__getitem__
-        self.encoded = 0
-        pieces = split(text)
-        self.tree = SegmentTree(pieces, list(map(self.count, pieces)))
-
-    @property
-    def tokens(self) -> int:
-        return self.tree.total()[1]
-
-    def pieces(self) -> list[str]:
-        return [p for pieces, _ in self.tree.blocks for p in pieces]
-
     def edit(self, start: int, end: int, new: str) -> None:
         """Puts `new` in place of the characters start..end; offsets outside the text are held to its ends."""
-        tree = self.tree
-        size = tree.total()[0]
+        size = self.size
         start = min(max(0, start), size)
         end = min(max(start, end), size)
-        first, last = self._back(tree.find(start), start), tree.find(end)
-        base = tree.before(first)
-        held, counts = ([x for b in tree.blocks[first : last + 1] for x in b[i]] for i in (0, 1))
+        first, last = self._back(self.find(start), start), self.find(end)
+        base = self.before(first)
+        held, counts = [], []
+        for i in range(first, last + 1):
+            held += self.read(i).pieces
+            counts += self.blocks[i].counts
         ahead = AHEAD
         while True:
             ends = list(accumulate(map(len, held), initial=base))  # of old pieces, from the start on
@@ -132,7 +177,7 @@ class Document:
             k = max(0, k - 1)
             line = "".join(held)
             right = line[end - base :]
-            whole = last + 1 >= len(tree.blocks)
+            whole = last + 1 >= len(self.blocks)
             if whole or len(right) >= ahead:
                 shift, after = len(new) - (end - start), start + len(new)
                 old = {e + shift: i for i, e in enumerate(ends) if e >= end}
@@ -147,68 +192,124 @@ class Document:
                         break
                 if meet is not None:
                     self.encoded += len(fresh)
-                    tree.put(first, last, held[:k] + fresh + held[meet:], counts[:k] + list(map(self.count, fresh)) + counts[meet:])
+                    self.put(first, last, held[:k] + fresh + held[meet:], counts[:k] + list(map(self.count, fresh)) + counts[meet:])
                     return
             ahead *= 2
             more = 0
-            while more < ahead and last + 1 < len(tree.blocks):
+            while more < ahead and last + 1 < len(self.blocks):
                 last += 1
-                held += tree.blocks[last][0]
-                counts += tree.blocks[last][1]
-                more += len("".join(tree.blocks[last][0]))
+                held += self.read(last).pieces
+                counts += self.blocks[last].counts
+                more += self.blocks[last].chars
 
     def _back(self, block: int, start: int) -> int:
         """A block early enough for four pieces that aren't white space ahead of `start`."""
-        tree, offset, found = self.tree, self.tree.before(block), 0
-        for p in tree.blocks[block][0]:
+        offset, found = self.before(block), 0
+        for p in self.read(block).pieces:
             offset += len(p)
             if offset >= start:
                 break
             found += not p.isspace()
         while block and found < 4:
             block -= 1
-            found += sum(not p.isspace() for p in tree.blocks[block][0])
+            found += sum(not p.isspace() for p in self.read(block).pieces)
         return block
 
 
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("new", T.StringType())]))
+#: The columns of a tree: lengths and counts of its pieces, and its nodes' sums of characters and tokens.
+TREE = ("lens", "counts", "chars", "tokens")
+INTS = T.ArrayType(T.IntegerType())
 
 
-def count_edits(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", edits: str = "edits") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_chars, n_tokens (before), n_tokens_edited, n_pieces, n_encoded (pieces encoded again), n_edits.
+def _lists(rows: list) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows], dtype=np.int64))).astype(np.int32)
+    values = np.concatenate([np.asarray(r, dtype=np.int32) for r in rows]) if rows else np.empty(0, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+
+
+def _rows(column: pa.Array):
+    """A list column's values as one array, and its offsets."""
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(zero_copy_only=False).tolist()
+
+
+def _tokenizer(docs: DataFrame, path: str):
+    with open(path, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
+def build_trees(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The table of trees: doc_id, text, lens, counts, chars, tokens, and the columns `carry`; one row per row of `docs`.
 
-    `edits`: array of (start, end, new), applied in order, offsets in code points of the text as it is then,
-    held to its ends; a null array has none, a null `new` is empty, null offsets are 0 and the start. A null
-    text counts as empty. Special tokens' strings count as plain text. Repeated rows stay; an empty table
-    gives an empty result. `tokenizer` as in `bpe.encode_table`.
+    A null text counts as empty and becomes so. Special tokens' strings count as plain text. Repeated rows stay; an
+    empty table gives an empty result. `tokenizer` as in `bpe.encode_table`.
     """
-    require(docs, doc_id, text, edits)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(edits).cast(EDITS).alias("edits"))
-    with open(tokenizer, "rb") as f:
-        source = docs.sparkSession.sparkContext.broadcast(f.read())
-    names = ["doc_id", "n_chars", "n_tokens", "n_tokens_edited", "n_pieces", "n_encoded", "n_edits"]
+    require(docs, doc_id, text, *carry)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carry)
+    source = _tokenizer(docs, tokenizer)
 
     def run(batches):
         a = automaton(source.value)
         for batch in batches:
-            out: list[list[int]] = [[] for _ in names[1:]]
-            for x, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                d = Document(x or "", a)
-                pieces = sum(len(b[0]) for b in d.tree.blocks)
+            trees = []
+            for x in batch.column(1).to_pylist():
+                d = Document.parse(x, a)
+                trees.append((d.lens, d.piece_counts, d.chars, d.sums))
+            made = [_lists([t[i] for t in trees]) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *TREE])
+
+    return arrow_map(rows, run, T.StructType([*rows.schema.fields, *[T.StructField(c, INTS) for c in TREE]]))
+
+
+def apply_edits(trees: DataFrame, tokenizer: str, edits: str = "edits", keep: bool = False) -> DataFrame:
+    """Applies a column of edits to the rows of `build_trees`' table.
+
+    One row per row: doc_id, n_chars, n_tokens (before), n_tokens_edited, n_pieces, n_encoded (pieces encoded again),
+    n_edits; with `keep` also the table's columns as they are after the edits. `edits`: array of (start, end, new),
+    applied in order, offsets in code points of the text as it is then, held to its ends; a null array has none, a null
+    `new` is empty, null offsets are 0 and the start.
+    """
+    require(trees, "doc_id", "text", *TREE, edits)
+    rows = trees.select("doc_id", "text", *TREE, F.col(edits).cast(EDITS).alias("edits"))
+    source = _tokenizer(trees, tokenizer)
+    names = ["n_chars", "n_tokens", "n_tokens_edited", "n_pieces", "n_encoded", "n_edits"]
+
+    def run(batches):
+        a = automaton(source.value)
+        for batch in batches:
+            out, after, texts = [], [], []
+            held = [_rows(batch.column(i)) for i in range(2, 6)]
+            for i, (text, changes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(6).to_pylist())):
+                lens, counts, chars, sums = (values[at[i] : at[i + 1]] for values, at in held)
+                d = Document(text, lens, counts, chars.tolist(), sums.tolist(), a)
                 before = d.tokens
                 for e in changes or []:
                     at = (e or {}).get("start") or 0
                     end = (e or {}).get("end")
                     d.edit(at, at if end is None else end, (e or {}).get("new") or "")
-                for column, v in zip(out, (len(x or ""), before, d.tokens, pieces, d.encoded, len(changes or []))):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out)], names=names)
+                out.append((len(text), before, d.tokens, len(lens), d.encoded, len(changes or [])))
+                if keep:
+                    texts.append("".join(d.pieces()))
+                    after.append(d.columns())
+            arrays = [batch.column(0), *(pa.array([r[i] for r in out], pa.int64()) for i in range(6))]
+            if keep:
+                arrays += [pa.array(texts, pa.string()), *(_lists([t[i] for t in after]) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *names, *(["text", *TREE] if keep else [])])
 
-    return arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names[1:]))
+    fields = [rows.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in names]]
+    if keep:
+        fields += [T.StructField("text", T.StringType()), *[T.StructField(c, INTS) for c in TREE]]
+    return arrow_map(rows, run, T.StructType(fields))
+
+
+def count_edits(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", edits: str = "edits") -> DataFrame:
+    """`apply_edits` to a table of trees made of `docs` and written to the shared folder, where later edits could follow."""
+    trees = build_trees(docs, tokenizer, doc_id, text, (edits,))
+    return apply_edits(materialise(trees, "trees", "zstd"), tokenizer, edits)
 
 
 def attach_edits(docs: DataFrame, edits: DataFrame, doc_id: str = "doc_id", name: str = "edits") -> DataFrame:
-    """`docs` and a column of their edits, from a table (doc_id, seq, start, end, new) in order of seq.
+    """`docs` (or trees) and a column of their edits, from a table (doc_id, seq, start, end, new) in order of seq.
 
     A document's edits are held together, as its text is. Documents without edits get null.
     """
