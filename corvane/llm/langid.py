@@ -1,14 +1,9 @@
 """Operator 4: language identification by hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. The vector of a trigram abc binds (multiplies) a's vector
-permuted twice, b's permuted once and c's; a document's vector bundles (adds) those of its trigrams, and a
-language's prototype those of its documents, each at unit length. A document gets the language whose
-prototype has the largest cosine with it.
-
-Bundling is linear, so a document's product with a prototype is the sum, over its trigrams, of the
-trigram's product with the prototype; those products are tabulated once a model. Trigram vectors are
-nearly orthogonal, so the length of a document's vector is taken as that of orthogonal ones; it is common
-to all languages and can't change which of them is predicted.
+Each letter, of whatever script, has a random vector of +1 and -1 of its own, drawn from its code point. The vector of
+a trigram abc binds (multiplies) a's vector permuted twice, b's permuted once and c's; a document's vector bundles
+(adds) those of its trigrams, each as often as it stands there, and a language's prototype those of its documents, each
+at unit length. A document gets the language whose prototype has the largest cosine with it; that cosine is its score.
 """
 
 from __future__ import annotations
@@ -21,99 +16,136 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, doc_crc, require
 
-#: Symbols: 0 what is no letter, 1-26 a-z, the rest other letters by code point.
-SYMBOLS = 40
-GRAMS = SYMBOLS**3
-DIMENSIONS = 4096
+DIMENSIONS = 2048
 SEED = 20240501
-#: Characters handled at once; bounds memory for very long texts.
-BLOCK = 1 << 18
+#: What stands for white space, punctuation, digits and the text's ends.
+BLANK = 32
+#: Characters handled at once, trigrams bundled at once (few enough to stay in the cache of a core), and trigrams whose vectors a worker keeps.
+BLOCK, ROWS, KEPT = 1 << 18, 64, 20_000
 UNKNOWN = "und"
 
-_codes: list[np.ndarray] = []
+_letters: list[np.ndarray] = []
 
 
-def symbol_table() -> np.ndarray:
-    """The symbol of each code point, made once a process."""
-    if not _codes:
-        table = np.zeros(0x110000, dtype=np.int32)
-        for c in range(0x110000):
-            if chr(c).isalpha():
-                table[c] = c - 96 if 97 <= c <= 122 else 27 + c % (SYMBOLS - 27)
-        _codes.append(table)
-    return _codes[0]
+def is_letter() -> np.ndarray:
+    """Whether each code point is a letter, made once a process."""
+    if not _letters:
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000))
+    return _letters[0]
 
 
-def grams(text: str | None) -> np.ndarray:
-    """Counts of a text's trigrams, white space and punctuation as one blank; empty if it has no letter."""
+def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's trigrams (three code points of 21 bits) in order, and their counts; lower case, what is no letter as one blank. Empty without a letter."""
+    none = np.empty(0, dtype=np.int64)
     if not text:
-        return np.empty(0)
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    table, out, tail = symbol_table(), None, np.zeros(1, dtype=np.int32)
+        return none, none
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    letter, parts, tail = is_letter(), [], np.array([BLANK])
     for at in range(0, len(points), BLOCK):
-        s = np.concatenate((tail, table[points[at : at + BLOCK]]))
-        if at + BLOCK >= len(points):
-            s = np.append(s, np.int32(0))
+        s = points[at : at + BLOCK]
+        s = np.concatenate((tail, np.where(letter[s], s, BLANK), [BLANK] if at + BLOCK >= len(points) else none))
         keep = np.ones(len(s), dtype=bool)
-        keep[1:] = (s[1:] > 0) | (s[:-1] > 0)
+        keep[1:] = (s[1:] != BLANK) | (s[:-1] != BLANK)
         s = s[keep]
         if len(s) > 2:
-            found = np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=GRAMS)
-            out = found if out is None else out + found
+            parts.append(np.unique((s[:-2] << 42) | (s[1:-1] << 21) | s[2:], return_counts=True))
         tail = s[-2:]
-    return np.empty(0) if out is None else out.astype(np.float64)
-
-
-def letters(seed: int = SEED, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The letters' vectors, and those permuted (rotated) twice, once and not."""
-    base = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dimensions)).astype(np.float32) * 2 - 1
-    return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
-
-
-def bundle(weights: np.ndarray, vectors) -> np.ndarray:
-    """The vector of a bag of trigrams."""
-    first, second, third = vectors
-    inner = (weights.reshape(-1, SYMBOLS).astype(np.float32) @ third).reshape(SYMBOLS, SYMBOLS, -1)
-    return np.einsum("ad,bd,abd->d", first, second, inner, optimize=True)
-
-
-def products(prototype: np.ndarray, vectors) -> np.ndarray:
-    """Each trigram's product with a prototype."""
-    first, second, third = vectors
-    pairs = (first[:, None, :] * second[None, :, :]).reshape(SYMBOLS * SYMBOLS, -1) * prototype
-    return (pairs @ third.T).reshape(-1)
+    if len(parts) < 2:
+        return parts[0] if parts else (none, none)
+    ids, places = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return ids, np.bincount(places, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
+class Vectors:
+    """Letters' and trigrams' vectors, made when they are first asked for."""
+
+    def __init__(self, seed: int = SEED, dimensions: int = DIMENSIONS):
+        self.seed, self.dimensions = seed, dimensions
+        self.letters: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.place: dict[int, int] = {}
+        self.table, self.rows = np.empty((KEPT, dimensions), dtype=np.int8), np.empty((ROWS, dimensions), dtype=np.float32)
+
+    def letter(self, point: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A letter's vector permuted (rotated) twice, once and not."""
+        if (found := self.letters.get(point)) is None:
+            v = np.random.default_rng([self.seed, point]).integers(0, 2, self.dimensions, dtype=np.int8) * 2 - 1
+            v = v.astype(np.int8)
+            if len(self.letters) >= KEPT:
+                self.letters.clear()
+            found = self.letters[point] = (np.roll(v, 2), np.roll(v, 1), v)
+        return found
+
+    def gram(self, g: int) -> np.ndarray:
+        return self.letter(g >> 42)[0] * self.letter(g >> 21 & 0x1FFFFF)[1] * self.letter(g & 0x1FFFFF)[2]
+
+    def _places(self, ids: np.ndarray) -> np.ndarray:
+        """Rows of the table that hold the vectors of `ids` (no more than it has rows)."""
+        held = self.place
+        ids = ids.tolist()
+        new = [g for g in ids if g not in held]
+        if len(held) + len(new) > KEPT:
+            held.clear()
+            new = ids
+        for g in new:
+            self.table[len(held)] = self.gram(g)
+            held[g] = len(held)
+        return np.fromiter(map(held.__getitem__, ids), dtype=np.int64, count=len(ids))
+
+    def bundle(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The sum of trigrams' vectors, each as often as counted."""
+        out, weights = np.zeros(self.dimensions), counts.astype(np.float32)
+        for low in range(0, len(ids), KEPT):
+            places = self._places(ids[low : low + KEPT])
+            for at in range(0, len(places), ROWS):
+                rows = self.rows[: min(ROWS, len(places) - at)]
+                rows[:] = self.table[places[at : at + ROWS]]
+                out += weights[low + at : low + at + len(rows)] @ rows
+        return out
+
+
+#: Vectors of this worker, by seed and dimensions.
+_held: dict[tuple[int, int], Vectors] = {}
+
+
+def vectors(seed: int, dimensions: int) -> Vectors:
+    if (seed, dimensions) not in _held:
+        _held[seed, dimensions] = Vectors(seed, dimensions)
+    return _held[seed, dimensions]
+
+
+def document_vector(text: str | None, seed: int = SEED, dimensions: int = DIMENSIONS) -> np.ndarray | None:
+    """A text's vector at unit length; None without a letter, or if its trigrams cancel out."""
+    ids, counts = grams(text)
+    if not len(ids):
+        return None
+    v = vectors(seed, dimensions).bundle(ids, counts)
+    size = float(np.sqrt(v @ v))
+    return v / size if size else None
 
 
 class Profiles:
-    """Prototypes' tables: `names`, and a column of trigram products, over the prototype's length, for each."""
-
-    def __init__(self, weights: dict[str, np.ndarray], seed: int = SEED, dimensions: int = DIMENSIONS):
-        self.names = sorted(weights)
-        self.dimensions = dimensions
-        vectors = letters(seed, dimensions)
-        columns = []
-        for name in self.names:
-            p = bundle(weights[name], vectors)
-            columns.append(products(p, vectors) / max(float(np.linalg.norm(p)), 1e-9))
-        self.table = np.stack(columns, axis=1).astype(np.float64) if columns else np.zeros((GRAMS, 0))
+    """Prototypes at unit length, one for each of `names`."""
+
+    def __init__(self, prototypes: dict[str, np.ndarray], seed: int = SEED, dimensions: int = DIMENSIONS):
+        self.names, self.seed, self.dimensions = sorted(prototypes), seed, dimensions
+        rows = [prototypes[n] / max(float(np.linalg.norm(prototypes[n])), 1e-9) for n in self.names]
+        self.table = np.stack(rows) if rows else np.zeros((0, dimensions))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, cosine held to 0..1); `und` and 0 without a letter or without any language learned."""
-        n = grams(text)
-        at = np.flatnonzero(n) if len(n) else n
-        if not len(at) or not self.names:
+        """(language, cosine, 0 where negative); `und` and 0 without a letter or without any language learned."""
+        v = document_vector(text, self.seed, self.dimensions) if self.names else None
+        if v is None:
             return UNKNOWN, 0.0
-        some = n[at]
-        cosines = some @ self.table[at] / np.sqrt(self.dimensions * (some @ some))
+        cosines = self.table @ v
         best = int(np.argmax(cosines))
         return self.names[best], float(min(1.0, max(0.0, cosines[best])))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = 20_000) -> Profiles:
-    """Prototypes of the non-null languages of `docs`, from `rows_per_language` rows of each at most.
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = 20_000, seed: int = SEED, dimensions: int = DIMENSIONS) -> Profiles:
+    """Prototypes of the non-null languages of `docs`, from `rows_per_language` rows of each at most, about.
 
     Where a language has more rows, those whose key hashes under a threshold are taken. The driver gets one
-    weight for each language and trigram.
+    vector for each language.
     """
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)).alias("r"))
     many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -123,23 +155,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             bound = F.when(F.col("lang") == name, F.lit(int((1 << 20) * rows_per_language / n))).otherwise(bound)
     rows = rows.where(F.col("r") < bound).select("lang", "text")
 
-    def count(batches):
+    def bundled(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, x in zip(*(c.to_pylist() for c in batch.columns)):
-                n = grams(x)
-                if len(n) and (size := np.sqrt(n @ n)):
-                    if name not in held:
-                        held[name] = np.zeros(GRAMS)
-                    held[name] += n / size
-        for name, n in held.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "gram", "weight"])
-
-    weights: dict[str, np.ndarray] = {}
-    for r in arrow_map(rows, count, "lang string, gram int, weight double").groupBy("lang", "gram").agg(F.sum("weight").alias("w")).toLocalIterator():
-        weights.setdefault(r["lang"], np.zeros(GRAMS))[r["gram"]] = r["w"]
-    return Profiles(weights)
+                if (v := document_vector(x, seed, dimensions)) is not None:
+                    held[name] = held[name] + v if name in held else v
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], names=["lang", "v"])
+
+    parts = arrow_map(rows, bundled, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
+    found: dict[str, np.ndarray] = {}
+    for r in parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).toLocalIterator():
+        found.setdefault(r["lang"], np.zeros(dimensions))[r["i"]] = r["x"]
+    return Profiles(found, seed, dimensions)
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
