@@ -116,14 +116,10 @@ class Trees:
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Non-decreasing least-squares fit by pooling adjacent violators: points for interpolation."""
-    order = np.argsort(score, kind="stable")
+    at, place, size = np.unique(score, return_inverse=True, return_counts=True)  # equal scores are one point
     blocks: list[list[float]] = []  # [weight, mean, first score, last score]
-    for s, v in zip(score[order], y[order]):
-        if blocks and blocks[-1][2] == s and blocks[-1][3] == s:
-            w = blocks[-1]
-            w[1], w[0] = (w[1] * w[0] + v) / (w[0] + 1), w[0] + 1
-        else:
-            blocks.append([1.0, float(v), float(s), float(s)])
+    for s, w, total in zip(at, size, np.bincount(place, y)):
+        blocks.append([float(w), total / w, float(s), float(s)])
         while len(blocks) > 1 and blocks[-2][1] >= blocks[-1][1]:
             b = blocks.pop()
             a = blocks[-1]
@@ -136,16 +132,15 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """`learned` words, `trees`, and the calibration's points."""
+    """`learned` words, `trees` fitted to the rows that aren't `held`, and the calibration's points, fitted to those that are."""
 
-    def __init__(self, learned: set[str], x: np.ndarray, y: np.ndarray, seed: int = 7):
+    def __init__(self, learned: set[str], x: np.ndarray, y: np.ndarray, held: np.ndarray):
         self.learned = frozenset(learned)
         self.prior = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.0
         self.trees = None
         if len(y) and 0 < y.sum() < len(y):
-            held = np.random.default_rng(seed).permutation(len(y)) % 3 == 0
             if not 0 < y[~held].sum() < (~held).sum() or not 0 < y[held].sum() < held.sum():
-                held[:] = False
+                held = np.zeros(len(y), dtype=bool)  # too few rows to set some aside
             self.trees = Trees().fit(x[~held], y[~held])
             some = held if held.any() else ~held
             # a row of each label at the ends, so that no block is certain
@@ -155,10 +150,7 @@ class Model:
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
             return np.full(len(x), self.prior)
-        margin = self.trees.margin(x)
-        flat = np.interp(margin, *self.points)
-        # a little of the raw margin orders rows within a block
-        return np.clip(0.98 * flat + 0.02 / (1 + np.exp(-margin)), 0.0, 1.0)
+        return np.clip(np.interp(self.trees.margin(x), *self.points), 0.0, 1.0)
 
 
 def held_out(column: str = "doc_id"):
@@ -181,34 +173,42 @@ def _feature_rows(rows: DataFrame, learned: set[str], keep: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = 20_000, learned_words: int = 200) -> Model:
     """A model from `fit_rows` labelled rows at most (the first by hash of their id), and `learned_words` words and stems at most.
 
-    Labels of a repeated id: 1 if any is. Labels and ids that are null are left out.
+    Labels of a repeated id: 1 if any is; texts of one: the first in order. Labels, ids and texts that are null are left
+    out. A third of the rows, by hash of their text (so that copies stay together), are set aside for the calibration:
+    neither words nor trees are learned from them.
     """
     require(docs, doc_id, text)
     require(labels, doc_id, label)
     y = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     y = y.orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(fit_rows)
     # broadcast: fit_rows rows of two numbers
-    rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("text")).join(F.broadcast(y), "k")
-    rows = materialise(rows.select(F.col("y").cast("double").alias("y"), "text").where("text is not null"), "toxicity-fit")
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = n.get(1.0, 0), n.get(0.0, 0)
-    learned: set[str] = set()
-    if bad and good:
-        words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")
-        stems = F.flatten(F.transform(words, lambda w: F.array(w, *[F.left(w, F.lit(n)) for n in STEMS])))
-        texts = rows.dropDuplicates(["text"])  # copies of a text say no more than one
-        n = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-        bad, good = n.get(1.0, 0), n.get(0.0, 0)
-        counts = texts.select("y", F.explode(F.array_distinct(F.filter(stems, lambda w: F.length(w) >= min(STEMS)))).alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-        odds = F.log((F.col("a") + 0.5) / (bad + 1)) - F.log((F.col("b") + 0.5) / (good + 1))
-        # of a fiftieth of the toxic texts at least, and ten times as frequent there
-        found = counts.where((F.col("a") >= max(3, 0.02 * bad)) & (odds >= math.log(10))).select("w", (odds * F.col("a")).alias("o")).orderBy(F.desc("o"), "w").limit(10 * learned_words)
-        likely = {r["w"]: None for r in found.collect()}
-        # a stem stands for all that begin with it
-        learned = set([w for w in likely if not any(w[:n] in likely for n in STEMS if n < len(w))][:learned_words])
-    got = _feature_rows(rows, learned, "y").collect()  # fit_rows rows of some numbers, or a few more where ids repeat
+    rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(y), "k")
+    rows = rows.groupBy("k").agg(F.max("y").cast("double").alias("y"), F.min("text").alias("text"))
+    rows = materialise(rows.select("y", (F.pmod(F.xxhash64("text"), F.lit(3)) == 0).alias("held"), "text"), "toxicity-fit")
+    learned = learn_words(rows.where("not held"), learned_words)
+    got = _feature_rows(rows.withColumn("row", F.col("y").cast("int") + F.when(F.col("held"), 2).otherwise(0)), learned, "row").collect()  # fit_rows rows of some numbers
     x = np.array([r["x"] for r in got], dtype=float).reshape(len(got), len(FEATURES))
-    return Model(learned, x, np.array([r["y"] for r in got], dtype=float))
+    row = np.array([r["row"] for r in got], dtype=np.int64)
+    return Model(learned, x, (row % 2).astype(float), row >= 2)
+
+
+def learn_words(rows: DataFrame, most: int) -> set[str]:
+    """Words and stems that tell texts with y = 1 from those with 0: `most` at most."""
+    texts = rows.dropDuplicates(["text"])  # copies of a text say no more than one
+    n = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bad, good = n.get(1.0, 0), n.get(0.0, 0)
+    if not (bad and good):
+        return set()
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")
+    stems = F.flatten(F.transform(words, lambda w: F.array(w, *[F.left(w, F.lit(n)) for n in STEMS])))
+    each = texts.select("y", F.explode(F.array_distinct(F.filter(stems, lambda w: F.length(w) >= min(STEMS)))).alias("w"))
+    counts = each.groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    odds = F.log((F.col("a") + 0.5) / (bad + 1)) - F.log((F.col("b") + 0.5) / (good + 1))
+    # of a fiftieth of the toxic texts at least, and ten times as frequent there
+    found = counts.where((F.col("a") >= max(3, 0.02 * bad)) & (odds >= math.log(10))).select("w", (odds * F.col("a")).alias("o")).orderBy(F.desc("o"), "w").limit(10 * most)
+    likely = {r["w"]: None for r in found.collect()}
+    # a stem stands for all that begin with it
+    return set([w for w in likely if not any(w[:n] in likely for n in STEMS if n < len(w))][:most])
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
