@@ -80,8 +80,8 @@ def fit(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str =
 def resample(docs: DataFrame, ratios: np.ndarray, fraction: float, doc_id: str = "doc_id", text: str = "text", seed: int = 11) -> DataFrame:
     """One row per row of `docs`: doc_id, n_grams, log_weight, gumbel_key, kept.
 
-    `kept` is true of the ceil(fraction * rows) rows with the largest key, exactly; ties are broken by row
-    number. Noise comes from a hash of doc_id, whole text and seed. A null or empty text has no n-grams and
+    `kept` is true of the ceil(fraction * rows) rows with the largest key, exactly; ties are broken by noise, and
+    rows with one doc_id and text, which tie even there, by row number. Noise comes from a hash of doc_id, whole text and seed. A null or empty text has no n-grams and
     log weight 0; repeated rows stay and may both be kept; an empty table gives an empty result.
     """
     require(docs, doc_id, text)
@@ -100,9 +100,9 @@ def resample(docs: DataFrame, ratios: np.ndarray, fraction: float, doc_id: str =
             key = np.array(w) - np.log(-np.log((u + 0.5) / (1 << 53)))
             bits = key.view(np.int64)
             order = ~(bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)))  # largest key first
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(key), pa.array(order)], names=["doc_id", "n_grams", "log_weight", "gumbel_key", "o_"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(key), pa.array(order), batch.column(1)], names=["doc_id", "n_grams", "log_weight", "gumbel_key", "o_", "t_"])
 
-    scored = arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_grams long, log_weight double, gumbel_key double, o_ long")
+    scored = arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_grams long, log_weight double, gumbel_key double, o_ long, t_ long")
     scored = materialise(scored.withColumn("rid_", F.monotonically_increasing_id()), "weights")
     k = int(np.ceil(fraction * scored.count()))
-    return scored.withColumn("kept", first_k(scored, ["o_", "rid_"], k)).drop("o_", "rid_")
+    return scored.withColumn("kept", first_k(scored, ["o_", "t_", "rid_"], k)).drop("o_", "t_", "rid_")

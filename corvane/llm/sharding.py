@@ -24,7 +24,7 @@ NUMBERED = 50_000
 
 
 def numeric_dimension(column: Column) -> Column:
-    """A place for a number: its logarithm, so that long tails don't take up the whole scale. Null: 0."""
+    """A place for a number: the logarithm of its size, so that long tails don't take up the whole scale. Numbers of one size and other sign share a place, infinite ones the last. Null and not a number: 0."""
     x = F.log2(1 + F.abs(column.cast("double")))
     return F.coalesce(F.when(F.isnan(x), 0.0).otherwise(F.least(x, F.lit(64.0))) / 64.0, F.lit(0.0))
 
