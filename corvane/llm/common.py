@@ -16,15 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Directories written by `materialise` in this process.
-_written: list[str] = []
+#: Folders written by `materialise` in this process and not yet deleted, with the session that can delete them.
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is `spark.checkpoint.dir` of the session; only where that is unset (tests on one machine) a
-    temporary folder is set as the checkpoint folder.
+    It is `spark.checkpoint.dir` of the session; only where that is unset and all runs on one machine, a temporary
+    folder is set as the checkpoint folder.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
@@ -33,27 +33,47 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             base = "file://" + tempfile.mkdtemp(prefix="corvane-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Writes `df` as Parquet to the shared folder and reads it back.
 
     This cuts the lineage, survives the loss of executors, and fixes values (row numbers) that a second
-    evaluation might deal differently.
+    evaluation might deal differently. `discard` deletes the files, else the end of the process does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=compression)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corvane_path = path
+    return out
+
+
+def discard(*held: DataFrame) -> None:
+    """Deletes the files of results of `materialise` that nothing reads any more; other frames are left alone."""
+    for df in held:
+        path = getattr(df, "_corvane_path", None)
+        if path in _written:
+            _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    with contextlib.suppress(Exception):  # a session that has ended, or a folder that is gone
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _sweep() -> None:
-    for path in _written:
+    for path in list(_written):
+        _delete(path)
         local = path.removeprefix("file://")
         if local.startswith("/"):
             shutil.rmtree(local, ignore_errors=True)

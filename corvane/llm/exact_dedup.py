@@ -1,16 +1,16 @@
 """Operator 10: exact duplicates through an extendible-hash index on shared files.
 
 1. Segments. Each map task reads documents batch by batch, normalises texts, and writes index entries to
-   files in the shared folder: hash, digest, row number, and for the best row of each text in the batch
-   also the row itself and how many copies of it the batch held. So a text that makes up a third of all
-   rows leaves one full entry per batch.
-2. Directory. From the entries' sizes by hash prefix, buckets over `bucket_bytes` are split, the directory
-   doubling whenever a bucket needs more bits than it has; a bucket that holds one hash only is not split.
-   Its entries are counts of bytes by prefix, in number bounded by the input's size over `bucket_bytes`.
-3. Owners. Each task owns a run of buckets, so a range of hashes, and reads its entries in order of hash.
-   Entries with the same hash are chained: an entry joins the link whose normalised bytes equal its own,
-   else it makes a new link. A link sums copies and keeps the best row; one link is held per different
-   text with the same 64-bit hash, so memory doesn't grow with copies.
+   files in the shared folder: hash, digest, row number, and, for rows that are the best of their text in the task
+   so far, the row itself. So a text that makes up a third of all rows leaves one full entry a task, or a few.
+2. Directory. It starts with one bucket. From the full entries' sizes by hash prefix, buckets over `bucket_bytes` are
+   split, the directory doubling whenever a bucket needs more bits than it has; while buckets are overfull at the
+   prefix's end, longer prefixes of theirs are counted. A bucket that holds one hash only is not split.
+3. Owners. Runs of neighbouring buckets of `bucket_bytes` together have one owner task each, so a range of hashes, which
+   reads its entries in order of hash. Entries with the same hash are chained: an entry joins the link whose normalised
+   bytes equal its own, else it makes a new link. A link keeps the best row; one link is held per different
+   text with the same 64-bit hash, so memory doesn't grow with copies. A bucket of one hash that is overfull is first
+   dealt to several owners by row, and what they leave is chained once more.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -25,12 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, fresh, materialise, partitions, require
+from .common import arrow_map, fresh, materialise, require
 
 #: What normalisation deletes: [\x20\x09-\x0D].
 WHITE = b" \t\n\x0b\x0c\r"
-#: The directory has at most 2 ** MAX_DEPTH slots; buckets that are still overfull there are read in order of hash like others.
-MAX_DEPTH = 20
+#: The directory has at most 2 ** MAX_DEPTH slots, and DEEPER bits more than equal buckets would need; buckets that are
+#: still overfull there (many texts with one hash, nearly) are read in order of hash like others.
+MAX_DEPTH, DEEPER = 24, 10
+#: Bits that a count of entries looks ahead.
+AHEAD = 4
+#: Texts whose best row a map task remembers; when full, it starts afresh, which leaves some more full entries.
+REMEMBERED = 200_000
 
 
 def normalised(text: str | None) -> bytes:
@@ -47,7 +53,7 @@ class _Names:
     """Names of the index's own columns beside those of the documents."""
 
     def __init__(self, taken: list[str]):
-        self.h, self.sha, self.rid, self.id, self.lead, self.copies, self.size = fresh(taken, "h_", "sha_", "rid_", "id_", "lead_", "copies_", "size_")
+        self.h, self.sha, self.rid, self.id, self.lead, self.size = fresh(taken, "h_", "sha_", "rid_", "id_", "lead_", "size_")
 
 
 def _better(a: tuple, b: tuple) -> bool:
@@ -60,132 +66,163 @@ def segments(docs: DataFrame, doc_id: str, text: str, hasher=key_hash) -> tuple[
     n = _Names(docs.columns)
     at_id, at_text, fields = docs.columns.index(doc_id), docs.columns.index(text), docs.schema.fields
     own = [
-        T.StructField(n.h, T.LongType()), T.StructField(n.sha, T.StringType()), T.StructField(n.rid, T.LongType()), T.StructField(n.id, fields[at_id].dataType),
-        T.StructField(n.lead, T.BooleanType()), T.StructField(n.copies, T.LongType()), T.StructField(n.size, T.LongType()),
+        T.StructField(n.h, T.LongType()), T.StructField(n.sha, T.StringType()), T.StructField(n.rid, T.LongType()),
+        T.StructField(n.id, fields[at_id].dataType), T.StructField(n.lead, T.BooleanType()), T.StructField(n.size, T.LongType()),
     ]
     names = [*docs.columns, *(f.name for f in own)]
 
     def run(batches):
         row = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
+        best: dict[bytes, tuple] = {}  # of the texts met so far
         for batch in batches:
             ids = batch.column(at_id).to_pylist()
             digests, hashes, sizes = [], [], []
-            best: dict[str, list] = {}
+            leads: dict[bytes, int] = {}
             for i, x in enumerate(batch.column(at_text).to_pylist()):
                 norm = normalised(x)
-                digest = hashlib.sha256(norm).hexdigest()
-                digests.append(digest)
+                digest = hashlib.sha256(norm)
+                digests.append(digest.hexdigest())
                 hashes.append(hasher(norm))
                 sizes.append(len(norm))
-                mine = (len(x or ""), ids[i], row + i)
-                if (held := best.get(digest)) is None:
-                    best[digest] = [mine, i, 1]
-                else:
-                    held[2] += 1
-                    if _better(mine, held[0]):
-                        held[0], held[1] = mine, i
+                mine, key = (len(x or ""), ids[i], row + i), digest.digest()
+                if key not in best or _better(mine, best[key]):
+                    best[key], leads[key] = mine, i
             lead = [False] * len(ids)
-            copies = [0] * len(ids)
-            for _, i, c in best.values():
-                lead[i], copies[i] = True, c
+            for i in leads.values():
+                lead[i] = True
             take = pa.array([i if yes else None for i, yes in enumerate(lead)], type=pa.int64())
             arrays = [c.take(take) for c in batch.columns]
-            arrays += [pa.array(hashes, pa.int64()), pa.array(digests), pa.array(range(row, row + len(ids)), pa.int64()), batch.column(at_id), pa.array(lead), pa.array(copies, pa.int64()), pa.array(sizes, pa.int64())]
+            arrays += [pa.array(hashes, pa.int64()), pa.array(digests), pa.array(range(row, row + len(ids)), pa.int64()), batch.column(at_id), pa.array(lead), pa.array(sizes, pa.int64())]
             row += len(ids)
+            if len(best) > REMEMBERED:
+                best.clear()
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     fields = [T.StructField(f.name, f.dataType, True) for f in fields]
     return materialise(arrow_map(docs, run, T.StructType([*fields, *own])), "segments"), n
 
 
-def directory(counts: list[tuple[int, int, int]], depth: int, capacity: int) -> list[tuple[int, int]]:
-    """Splits overfull buckets of an extendible-hash directory.
-
-    counts: (prefix of `depth` bits, bytes, distinct hashes at least) of the entries -> the buckets as
-    (prefix, local depth), in order of hash. A bucket over `capacity` is split unless it holds one hash.
-    """
-    sizes: list[dict[int, list[int]]] = [{} for _ in range(depth + 1)]
-    for prefix, size, keys in counts:
-        for d in range(depth + 1):
-            held = sizes[d].setdefault(prefix >> (depth - d), [0, 0])
-            held[0] += size
-            held[1] += keys
-    done, todo = [], [(0, 0)]
-    while todo:
-        prefix, d = todo.pop()
-        size, keys = sizes[d].get(prefix, (0, 0))
-        if size > capacity and keys > 1 and d < depth:
-            todo += [(2 * prefix + 1, d + 1), (2 * prefix, d + 1)]
-        else:
-            done.append((prefix, d))
-    return done
+class Directory:
+    """2 ** depth slots by the first bits of a hash, each with the number of its bucket. A bucket is (prefix, local depth)."""
+
+    def __init__(self):
+        self.depth, self.slots, self.buckets = 0, np.zeros(1, dtype=np.int64), [(0, 0)]
+
+    def split(self, b: int) -> int:
+        """Splits bucket b by one more bit; returns the new one, with the upper half. The directory doubles if b has all its bits."""
+        prefix, d = self.buckets[b]
+        if d == self.depth:
+            self.slots = np.repeat(self.slots, 2)
+            self.depth += 1
+        width = 1 << (self.depth - d - 1)
+        self.buckets[b] = (2 * prefix, d + 1)
+        self.buckets.append((2 * prefix + 1, d + 1))
+        self.slots[(2 * prefix + 1) * width : (2 * prefix + 2) * width] = len(self.buckets) - 1
+        return len(self.buckets) - 1
+
+    def grow(self, todo: list[int], counts: list[tuple[int, int, int]], depth: int, capacity: int) -> dict[int, tuple[int, int]]:
+        """Splits overfull buckets of `todo` as far as counts of (prefix of `depth` bits, bytes, 1 or 2 for several
+        hashes) tell. Returns the bytes and hashes (1 or more) of each bucket that comes of them."""
+        at = np.array([c[0] for c in counts], dtype=np.int64)
+        size, keys = (np.concatenate(([0], np.cumsum([c[k] for c in counts]))).astype(np.int64) for k in (1, 2))
+        todo, held = list(todo), {}
+        while todo:
+            b = todo.pop()
+            prefix, d = self.buckets[b]
+            low, high = np.searchsorted(at, [prefix << (depth - d), (prefix + 1) << (depth - d)])
+            held[b] = (int(size[high] - size[low]), int(keys[high] - keys[low]))
+            if held[b][0] > capacity and held[b][1] > 1 and d < depth:
+                todo += [b, self.split(b)]
+        return held
+
+    def in_order(self) -> list[int]:
+        """The buckets' numbers in order of hash."""
+        return self.slots[np.concatenate(([True], self.slots[1:] != self.slots[:-1]))].tolist()
 
 
-def owners(buckets: list[tuple[int, int]], size_of, n: int) -> list[int]:
-    """The owner, of n at most, of each bucket: runs of near equal size."""
-    total = max(1, sum(map(size_of, buckets)))
-    out, before = [], 0
-    for b in buckets:
-        out.append(min(n - 1, before * n // total))
-        before += size_of(b)
-    return out
+def directory(counts: list[tuple[int, int, int]], depth: int, capacity: int) -> list[tuple[int, int]]:
+    """The buckets, in order of hash, of a directory grown by counts of prefixes (in order)."""
+    d = Directory()
+    d.grow([0], counts, depth, capacity)
+    return [d.buckets[b] for b in d.in_order()]
+
+
+def owners(sizes: list[int], hot: list[int], capacity: int) -> tuple[list[int], int]:
+    """The first owner of each bucket, and the number of owners: runs of buckets of `capacity` together. `hot`: owners that a bucket needs for itself (0: none)."""
+    out, owner, held = [], 0, 0
+    for size, several in zip(sizes, hot):
+        if held and (several or held + size > capacity):
+            owner, held = owner + 1, 0
+        out.append(owner)
+        if several:
+            owner += several
+        else:
+            held += max(size, 1)
+    return out, owner + bool(held)
 
 
-def index_entries(entries: DataFrame, n: _Names, bucket_bytes: int) -> DataFrame:
-    """Full entries with their owner's number, by the directory."""
-    spark = entries.sparkSession
-    total = entries.agg(F.sum(n.size)).first()[0] or 0
-    depth = max(1, min(MAX_DEPTH, ceil(total / bucket_bytes).bit_length() + 4))
-    slot = F.shiftrightunsigned(F.col(n.h), 64 - depth)
-    sums = entries.groupBy(slot.alias("slot")).agg(F.sum(F.col(n.size) + 1).alias("b"), F.when(F.min(n.h) == F.max(n.h), 1).otherwise(2).alias("k"))
-    counts = sorted((r["slot"], r["b"], r["k"]) for r in sums.collect())  # at most 2 ** depth rows
-    buckets = directory(counts, depth, bucket_bytes)
-    sizes: dict[tuple[int, int], int] = {}
-    depths = {d for _, d in buckets}
-    held = set(buckets)
-    for prefix, b, _ in counts:
-        for d in depths:
-            if (key := (prefix >> (depth - d), d)) in held:
-                sizes[key] = sizes.get(key, 0) + b
-    tasks = partitions(spark)
-    owner = owners(buckets, lambda b: sizes.get(b, 0), tasks)
-    slots = pa.table({
-        "slot_": pa.array([(p << (depth - d)) + i for p, d in buckets for i in range(1 << (depth - d))], pa.int64()),
-        "owner_": pa.array([o for (_, d), o in zip(buckets, owner) for _ in range(1 << (depth - d))], pa.int32()),
-    })
-    # broadcast: 2 ** depth rows of 12 bytes, depth at most MAX_DEPTH
-    routed = entries.join(F.broadcast(spark.createDataFrame(slots)), slot == F.col("slot_")).drop("slot_")
-    return routed.repartitionById(tasks, F.col("owner_")).sortWithinPartitions(n.h).drop("owner_")
-
-
-def groups(docs: DataFrame, doc_id: str, text: str, bucket_bytes: int = 64 << 20, hasher=key_hash) -> tuple[DataFrame, DataFrame, _Names]:
-    """(entries of all rows, one row per different text with its best row's columns, names of index columns).
+def build_directory(entries: DataFrame, n: _Names, capacity: int) -> tuple[Directory, dict[int, tuple[int, int]]]:
+    """A directory of the entries' hashes, and the bytes and hashes (1 or more) of each bucket.
 
-    The second has the index's hash, digest, the best row's row number and id, and its number of copies.
+    The driver gets counts by prefix: about `2 ** AHEAD` for each bucket that comes of them.
     """
-    entries, n = segments(docs, doc_id, text, hasher)
-    full = index_entries(entries.where(F.col(n.lead)), n, bucket_bytes)
-    cols = full.columns
-    at = {c: cols.index(c) for c in (n.h, n.rid, n.id, n.copies, text)}
+    spark, total = entries.sparkSession, entries.agg(F.sum(F.col(n.size) + 1)).first()[0] or 0
+    d, held, todo = Directory(), {0: (0, 0)}, [0]
+    even = ceil(total / capacity).bit_length()
+    depth, deepest = min(MAX_DEPTH, even + AHEAD), min(MAX_DEPTH, even + DEEPER)
+    while todo:
+        rows = entries.select(F.shiftrightunsigned(F.col(n.h), 64 - depth).alias("slot"), F.col(n.h).alias("h"), F.col(n.size).alias("b"))
+        if d.depth:  # entries of the buckets at hand only
+            some = spark.createDataFrame([(d.buckets[b][0] << (depth - d.buckets[b][1]), (d.buckets[b][0] + 1) << (depth - d.buckets[b][1])) for b in todo], "low long, high long")
+            width = depth - max(d.buckets[b][1] for b in todo)  # buckets that don't fit have all bits that there were
+            rows = rows.join(F.broadcast(some.select(F.shiftrightunsigned("low", width).alias("top"))), F.shiftrightunsigned("slot", width) == F.col("top"), "left_semi")
+        sums = rows.groupBy("slot").agg(F.sum(F.col("b") + 1).alias("b"), F.when(F.min("h") == F.max("h"), 1).otherwise(2).alias("k"))
+        held |= d.grow(todo, sorted(tuple(r) for r in sums.collect()), depth, capacity)
+        # overfull buckets of several hashes that have all bits counted
+        todo = [b for b, (size, keys) in held.items() if size > capacity and keys > 1 and d.buckets[b][1] == depth < deepest]
+        depth = min(deepest, depth + AHEAD)
+    return d, held
+
+
+def index_entries(entries: DataFrame, n: _Names, bucket_bytes: int) -> tuple[DataFrame, bool]:
+    """Full entries with their owners, by the directory, in order of hash; and whether some hash has several owners (column hot_)."""
+    spark = entries.sparkSession
+    d, held = build_directory(entries, n, bucket_bytes)
+    order = d.in_order()
+    sizes = [held.get(b, (0, 0))[0] for b in order]
+    several = [-(-size // bucket_bytes) if size > bucket_bytes and held[b][1] == 1 else 0 for b, size in zip(order, sizes)]
+    first, tasks = owners(sizes, several, bucket_bytes)
+    rank = np.empty(len(d.buckets), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    place = rank[d.slots]
+    # broadcast: 2 ** depth rows of 16 bytes, depth at most MAX_DEPTH
+    slots = pa.table({"slot_": pa.array(np.arange(len(place)), pa.int64()), "first_": pa.array(np.array(first)[place], pa.int32()), "fan_": pa.array(np.array(several)[place], pa.int32())})
+    slot = F.shiftrightunsigned(F.col(n.h), 64 - d.depth) if d.depth else F.lit(0).cast("long")
+    routed = entries.join(F.broadcast(spark.createDataFrame(slots)), slot == F.col("slot_"))
+    owner = F.col("first_") + F.when(F.col("fan_") > 0, F.pmod(F.xxhash64(n.rid), F.col("fan_"))).otherwise(0).cast("int")
+    routed = routed.select(*[F.col(f"`{c}`") for c in entries.columns], (F.col("fan_") > 0).alias("hot_"), owner.alias("owner_"))
+    return routed.repartitionById(max(1, tasks), F.col("owner_")).sortWithinPartitions(n.h).drop("owner_"), any(several)
+
+
+def chained(entries: DataFrame, n: _Names, text: str) -> DataFrame:
+    """The best row of each different text, of entries that come in order of hash in each partition."""
+    at = {c: entries.columns.index(c) for c in (n.h, n.rid, n.id, text)}
 
     def own(batches):
-        chain: list[list] = []  # of the hash at hand: [bytes, best row's key, its batch, its place there, copies]
+        chain: list[list] = []  # of the hash at hand: [bytes, best row's key, its batch, its place there]
         now = None
 
         def put(kept):
             """Rows of the links in `kept`, batch by batch."""
-            by: dict[int, list] = {}
+            by: dict[int, tuple] = {}
             for link in kept:
-                by.setdefault(id(link[2]), [link[2], [], []])
-                by[id(link[2])][1].append(link[3])
-                by[id(link[2])][2].append(link[4])
-            for batch, rows, copies in by.values():
-                part = batch.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([c if i != at[n.copies] else pa.array(copies, pa.int64()) for i, c in enumerate(part.columns)], names=part.schema.names)
+                by.setdefault(id(link[2]), (link[2], []))[1].append(link[3])
+            for batch, rows in by.values():
+                yield batch.take(pa.array(rows, pa.int64()))
 
         for batch in batches:
             done: list[list] = []
-            hashes, rids, ids, copies, texts = (batch.column(at[c]).to_pylist() for c in (n.h, n.rid, n.id, n.copies, text))
+            hashes, rids, ids, texts = (batch.column(at[c]).to_pylist() for c in (n.h, n.rid, n.id, text))
             for i, h in enumerate(hashes):
                 if h != now:
                     done += chain
@@ -193,22 +230,36 @@ def groups(docs: DataFrame, doc_id: str, text: str, bucket_bytes: int = 64 << 20
                 norm, mine = normalised(texts[i]), (len(texts[i] or ""), ids[i], rids[i])
                 for link in chain:
                     if link[0] == norm:
-                        link[4] += copies[i]
                         if _better(mine, link[1]):
                             link[1:4] = mine, batch, i
                         break
                 else:
-                    chain.append([norm, mine, batch, i, copies[i]])
+                    chain.append([norm, mine, batch, i])
             yield from put(done)
             for link in chain:  # keeps one row, not the whole batch, until the next
                 if link[2].num_rows > 1:
                     link[2], link[3] = link[2].take(pa.array([link[3]], pa.int64())), 0
         yield from put(chain)
 
-    return entries, arrow_map(full, own, full.schema), n
+    return arrow_map(entries, own, entries.schema)
+
+
+def groups(docs: DataFrame, doc_id: str, text: str, bucket_bytes: int = 32 << 20, hasher=key_hash) -> tuple[DataFrame, DataFrame, _Names]:
+    """(entries of all rows, one row per different text with its best row's columns, names of index columns).
+
+    The second has the index's hash, digest, and the best row's row number and id.
+    """
+    entries, n = segments(docs, doc_id, text, hasher)
+    full, hot = index_entries(entries.where(F.col(n.lead)), n, bucket_bytes)
+    kept = chained(full, n, text)
+    if hot:  # what several owners of one hash have left goes to one
+        kept = materialise(kept, "kept")
+        again = kept.where("hot_").repartition(F.col(n.h)).sortWithinPartitions(n.h)
+        kept = kept.where("not hot_").unionByName(chained(again, n, text))
+    return entries, kept.drop("hot_"), n
 
 
-def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 64 << 20, hasher=key_hash) -> DataFrame:
+def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 32 << 20, hasher=key_hash) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
     Texts are equal if they are identical without white space; a null text counts as empty, and empty texts
@@ -218,12 +269,14 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     require(docs, doc_id, text)
     entries, kept, n = groups(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", bucket_bytes, hasher)
-    stays = kept.select(F.col(n.h).alias("h"), F.col(n.sha).alias("s"), F.col(n.id).alias("keep_id"), F.col(n.rid).alias("keep"), F.col(n.copies).alias("group_size"))
     rows = entries.select(F.col(n.id).alias("doc_id"), F.col(n.h).alias("h"), F.col(n.sha).alias("s"), F.col(n.rid).alias("rid"))
+    copies = rows.groupBy("h", "s").agg(F.count(F.lit(1)).alias("group_size"))
+    stays = kept.select(F.col(n.h).alias("h"), F.col(n.sha).alias("s"), F.col(n.id).alias("keep_id"), F.col(n.rid).alias("keep")).join(copies.hint("merge"), ["h", "s"])
+    stays = materialise(stays, "stays")
     return rows.join(stays.hint("merge"), ["h", "s"]).select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep")).alias("kept"), F.col("s").alias("text_sha256"))
 
 
-def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 64 << 20) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 32 << 20) -> DataFrame:
     """The rows of `docs` that `exact_duplicates` keeps, with all their columns."""
     _, kept, _ = groups(docs, doc_id, text, bucket_bytes)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
