@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -30,9 +30,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large")
         large = both.join(least.hint("merge"), "u").where("v > u and v <> m")
         large = materialise(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        discard(e, least)
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "small")
         small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small-star")
+        discard(large, least)
         held, state = state, _state(e)
         if held == state:
             break

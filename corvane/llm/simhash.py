@@ -14,6 +14,10 @@ A cell with more than `cell_limit` different fingerprints is not joined with its
 linked exactly by their one-bit neighbourhoods instead: fingerprints at most two bits apart share a value
 at most one bit from both, and all that share such a value are at most two bits apart, so linking each to
 the smallest of them gives the same components with a number of links in proportion to the rows.
+
+Near copies by Jaccard similarity (`drop_near_duplicates`) differ in about ten bits of 64 at a similarity of 0.8, too
+many for the grid: candidates are met by bands of least hashes there, held to the fingerprints' Manhattan bound and
+Hamming distance, and verified exactly on the shingles of whole texts.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, fresh, materialise, require
+from .common import arrow_map, discard, fresh, materialise, require
 from .components import connected_components
 
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
@@ -66,19 +70,6 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return _majority(shingle_hashes(text or "", words, seed))
 
 
-def fingerprints(text: str | None, words: int, seed: int, count: int) -> list[int]:
-    """`count` fingerprints of one text: `fingerprint`, and others of the same shingles hashed anew."""
-    h = shingle_hashes(text or "", words, seed)
-    out = [_majority(h)]
-    with np.errstate(over="ignore"):
-        for k in range(1, count):
-            z = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            out.append(_majority(z ^ (z >> np.uint64(31))))
-    return out
-
-
 def with_fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed: int = 42, name: str = "fp") -> DataFrame:
     """`docs` and a column `name` (long; the fingerprint's 64 bits). A null text counts as one without words."""
     require(docs, text)
@@ -109,21 +100,28 @@ def band_keys(h: np.ndarray, bands: int, rows: int, seed: int) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(least[j * rows : (j + 1) * rows].tobytes(), j)) for j in range(bands)]
 
 
-def with_band_keys(docs: DataFrame, text: str, words: int, seed: int, bands: int, rows: int, name: str) -> DataFrame:
-    """`docs` and a column `name`, an array of the `band_keys` of the text's shingles."""
+def with_sketches(docs: DataFrame, text: str, words: int, seed: int, bands: int, rows: int, names: tuple[str, str]) -> DataFrame:
+    """`docs` and two columns: the text's fingerprint (long), and an array of its `band_keys`."""
     require(docs, text)
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            keys = [band_keys(shingle_hashes(x or "", words, seed), bands, rows, seed) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names, name])
+            fps, keys = [], []
+            for x in batch.column(at).to_pylist():
+                h = shingle_hashes(x or "", words, seed)
+                fps.append(_signed(_majority(h)))
+                keys.append(band_keys(h, bands, rows, seed))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names, *names])
+
+    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.LongType()))]))
 
-    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))]))
 
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int, bits: int) -> DataFrame:
+    """Of `pairs(u, v)`, rids of `texts(rid, text, fp)`, those whose shingle sets have that Jaccard similarity at least.
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
-    """Of `pairs(u, v)`, rids of `texts(rid, text)`, those whose shingle sets have that Jaccard similarity at least."""
+    Pairs whose fingerprints lie over `bits` bits apart, by the Manhattan bound or then exactly, aren't compared.
+    """
 
     def shingles(x):
         return frozenset(shingle_hashes(x or "", words, seed).tolist())
@@ -140,37 +138,43 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int, s
                 keep.append(both >= similarity * (len(own) + len(other) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("rid").alias("u"), F.col("text").alias("tu")).hint("merge"), "u")
-    both = both.join(texts.select(F.col("rid").alias("v"), F.col("text").alias("tv")).hint("merge"), "v")
-    return arrow_map(both.select("u", "v", "tu", "tv"), run, "u long, v long")
+    both = pairs.join(texts.select(F.col("rid").alias("u"), F.col("text").alias("tu"), F.col("fp").alias("fu")).hint("merge"), "u")
+    both = both.join(texts.select(F.col("rid").alias("v"), F.col("text").alias("tv"), F.col("fp").alias("fv")).hint("merge"), "v")
+    return arrow_map(both.where(within(F.col("fu"), F.col("fv"), bits)).select("u", "v", "tu", "tv"), run, "u long, v long")
 
 
-def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, cell_limit: int) -> DataFrame:
-    """`rows(rid, text, keys)` -> edges `(u, v)`: rows that share a key and have the similarity, by their whole texts.
+def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, bits: int, cell_limit: int, probes: int) -> DataFrame:
+    """`rows(rid, text, fp, keys)` -> edges `(u, v)`: rows that share a key and have the similarity, by their whole texts.
 
-    All pairs of a cell (the rows of one key) are compared while it has `cell_limit` rows at most. Of a larger one all
-    rows are compared with one of them, those that are similar are linked to it and leave, and so on with the rest, so
-    that a large group of near copies costs as many comparisons as it has rows.
+    The rows of one key are a cell. First all rows of a cell are compared with its first one, so that a group of near
+    copies costs as many comparisons as it has rows. Cells whose rows then still are in several components are gone
+    through again: all pairs of different components are compared in a cell of `cell_limit` rows at most, and in a larger
+    one all rows are compared with `probes` more rows of it, drawn by hash.
     """
-    spark = rows.sparkSession
     cells = rows.select("rid", F.posexplode("keys").alias("j", "key")).select("rid", F.xxhash64("j", "key").alias("k"))
-    shared = materialise(cells.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    cells = materialise(cells.join(shared.hint("merge"), "k").drop("n"), "cells")
-    texts = materialise(rows.join(cells.select("rid").distinct(), "rid", "left_semi").select("rid", "text"), "texts")
-    found = spark.createDataFrame([], "u long, v long")
-    while not cells.isEmpty():
-        # another row stands for each of a row's cells
-        sizes = materialise(cells.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min_by("rid", F.xxhash64("rid", "k")).alias("v")).where("n > 1"), "sizes")
-        met = materialise(cells.join(sizes.hint("merge"), "k"), "met")
-        few = met.where(F.col("n") <= cell_limit).select("k", "rid")
-        small = few.select("k", F.col("rid").alias("u")).join(few.select("k", F.col("rid").alias("v")).hint("merge"), "k").where("u > v").select("u", "v")
-        large = met.where((F.col("n") > cell_limit) & (F.col("rid") != F.col("v")))
-        pairs = small.unionByName(large.select(F.col("rid").alias("u"), "v")).distinct()
-        linked = materialise(similar(pairs, texts, similarity, words, seed), "linked")
-        found = found.unionByName(linked)
-        rest = large.select("k", F.col("rid").alias("u"), "v").join(linked.hint("merge"), ["u", "v"], "left_anti")
-        cells = materialise(rest.select(F.col("u").alias("rid"), "k"), "cells")
-    return found
+    sizes = materialise(cells.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lead")).where("n > 1"), "sizes")
+    met = materialise(cells.join(sizes.hint("merge"), "k"), "met")
+    discard(sizes)
+    texts = materialise(rows.join(met.select("rid").distinct().hint("merge"), "rid", "left_semi").select("rid", "text", "fp"), "texts")
+    starred = met.where("rid <> lead").select(F.col("rid").alias("u"), F.col("lead").alias("v")).distinct()
+    first = materialise(similar(starred, texts, similarity, words, seed, bits), "linked")
+    labels = connected_components(first).select(F.col("node").alias("rid"), "root")
+    named = met.join(labels.hint("merge"), "rid", "left").select("k", "rid", "n", "lead", F.coalesce("root", "rid").alias("c"))
+    named = materialise(named, "named")
+    discard(met, labels)
+    drawn = [F.xxhash64("rid", "k", F.lit(i)) for i in range(probes)]
+    drawn = F.array(*[F.struct(F.min_by("rid", d).alias("v"), F.min_by("c", d).alias("c")) for d in drawn]).alias("drawn")
+    several = materialise(named.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b"), drawn).where("a <> b").select("k", "drawn"), "several")
+    left = materialise(named.join(several.hint("merge"), "k"), "left")
+    discard(named, several)
+    few = left.where(F.col("n") <= cell_limit).drop("drawn")
+    small = few.select("k", F.col("rid").alias("u"), F.col("c").alias("cu")).join(few.select("k", F.col("rid").alias("v"), F.col("c").alias("cv"), "lead").hint("merge"), "k")
+    small = small.where("u > v and cu <> cv and v <> lead").select("u", "v")
+    large = left.where(F.col("n") > cell_limit).select("rid", "c", F.explode("drawn").alias("d")).where("c <> d.c")
+    large = large.select(F.greatest("rid", "d.v").alias("u"), F.least("rid", "d.v").alias("v"))
+    second = materialise(similar(small.unionByName(large).distinct(), texts, similarity, words, seed, bits), "linked")
+    discard(left, texts)
+    return first.unionByName(second)
 
 
 def _signed(x: int) -> int:
@@ -184,6 +188,11 @@ def embedding(fp):
     return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseOR(high))
 
 
+def within(a, b, bits: int):
+    """Whether two fingerprint columns lie within `bits` bits: by the Manhattan distance of their grid points, then exactly."""
+    return (F.bit_count(embedding(a).bitwiseXOR(embedding(b))) <= bits) & (F.bit_count(a.bitwiseXOR(b)) <= bits)
+
+
 def projections(bits: int, groups: int) -> list[int]:
     """Masks over grid points that keep all but `bits` of the groups of segments."""
     cuts = [round(32 * i / groups) for i in range(groups + 1)]
@@ -206,8 +215,7 @@ def links(fps: DataFrame, bits: int = 2, groups: int = 5, cell_limit: int = 64,
     cells = point.select(*by, "fp", F.explode(F.array(*keys)).alias("k"))
 
     def near(a, b):
-        """Within the bound, then exactly."""
-        return (F.bit_count(embedding(a).bitwiseXOR(embedding(b))) <= bits) & (F.bit_count(a.bitwiseXOR(b)) <= bits) & (a < b)
+        return within(a, b, bits) & (a < b)
 
     shared = cells.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1")
     shared = materialise(shared, "cells")
@@ -260,20 +268,25 @@ def classes(rows: DataFrame, bits: int, groups: int, cell_limit: int) -> DataFra
     return materialise(out.select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8, bands: int = 16, rows: int = 4, cell_limit: int = 64) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8,
+    bands: int = 16, rows: int = 4, bits: int = 20, cell_limit: int = 64, probes: int = 4,
+) -> DataFrame:
     """`docs` with one row of each component: that with the smallest doc_id (rows without one come last).
 
     Rows are linked if the Jaccard similarity of their sets of five-word shingles is `similarity` at least. It is
-    computed from whole texts, for rows that share a key of `bands` bands of `rows` least hashes: at a similarity of 0.8
-    all but one in 4,500 pairs do, above it fewer are missed. Columns are those of `docs`. Of rows that tie in doc_id,
-    one stays.
-    """
-    keys, rid = fresh(docs.columns, "keys_", "rid_")
-    marked = materialise(with_band_keys(docs, text, words, seed, bands, rows, keys).withColumn(rid, F.monotonically_increasing_id()), "marked")
-    own = marked.select(F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"), F.col(text).alias("text"), F.col(keys).alias("keys"))
-    found = connected_components(similar_links(own.drop("doc_id"), similarity, words, seed, cell_limit))
+    computed from whole texts, for rows that share a key of `bands` bands of `rows` least hashes (at a similarity of 0.8
+    all but one in 4,500 pairs do, above it fewer are missed) and whose fingerprints lie within `bits` bits (at 0.8
+    about ten differ, with a standard deviation of three). See `similar_links` for crowded cells. Columns are those of
+    `docs`. Of rows that tie in doc_id, one stays; texts without words are alike.
+    """
+    fp, keys, rid = fresh(docs.columns, "fp_", "keys_", "rid_")
+    marked = materialise(with_sketches(docs, text, words, seed, bands, rows, (fp, keys)).withColumn(rid, F.monotonically_increasing_id()), "marked")
+    own = marked.select(F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"), F.col(text).alias("text"), F.col(fp).alias("fp"), F.col(keys).alias("keys"))
+    found = connected_components(similar_links(own.drop("doc_id"), similarity, words, seed, bits, cell_limit, probes))
     keyed = found.join(own.select(F.col("rid").alias("node"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid").alias("key")).hint("merge"), "node")
     keyed = materialise(keyed.select("node", "root", "key"), "members")
     first = materialise(keyed.groupBy("root").agg(F.min("key")["rid"].alias("stays")), "first")
     gone = materialise(keyed.join(first.hint("merge"), "root").where("node <> stays").select(F.col("node").alias(rid)), "gone")
+    discard(keyed, first)
     return marked.join(gone, rid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

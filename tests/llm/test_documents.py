@@ -95,7 +95,7 @@ def test_near_dedup_keeps_one_row_of_each_component(docs):
     assert ids == [1, 3, 6, 7, 8, 9, 10, 11]
 
 
-def test_more_fingerprints_find_more_near_copies(spark):
+def test_near_copies_with_two_edited_words_go(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(3000)]
     rows = []
@@ -107,7 +107,6 @@ def test_more_fingerprints_find_more_near_copies(spark):
         rows.append((2 * g + 1, " ".join(base)))
     kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {2 * g for g in range(40)} <= kept and len(kept) <= 50
-    assert simhash.fingerprints("a b c d", 3, 42, 3)[0] == simhash.fingerprint("a b c d")
 
 
 def test_exact_dedup(docs):
@@ -153,28 +152,15 @@ def test_langid(spark, docs, sf):
     assert all(r.p == "und" for r in langid.identify(docs, langid.fit(docs.where("lang = 'none'")), names=("p", "s")).collect())
 
 
-def test_langid_table_equals_hypervectors():
-    vectors = langid.letters(dimensions=512)
-    rng = np.random.default_rng(2)
-    a, b = (langid.grams("".join(rng.choice(list("abcdeé ñ"), 400))) for _ in range(2))
-    p, d = langid.bundle(a, vectors), langid.bundle(b, vectors)
-    # the bundle is the sum of bound, permuted letter vectors
-    slow = np.zeros(512)
-    base = vectors[2]
-    for g in np.flatnonzero(b):
-        x, y, z = g // 1600, g // 40 % 40, g % 40
-        slow += b[g] * np.roll(base[x], 2) * np.roll(base[y], 1) * base[z]
-    assert np.allclose(d, slow)
-    assert np.allclose(langid.products(p, vectors) @ b, p @ d, rtol=1e-3)
-    wide = langid.letters()
-    assert np.linalg.norm(langid.bundle(b, wide)) == pytest.approx(np.sqrt(langid.DIMENSIONS * (b @ b)), rel=0.15)
-
-
 def test_grams_do_not_depend_on_blocks(monkeypatch):
     text = "ab, c é\n" * 50 + "Zß "
     whole = langid.grams(text)
     monkeypatch.setattr(langid, "BLOCK", 7)
     assert np.array_equal(whole, langid.grams(text))
+    vector = langid.document_vector(text)
+    monkeypatch.setattr(langid, "KEPT", 5)
+    monkeypatch.setattr(langid, "_held", {})
+    assert np.allclose(vector, langid.document_vector(text))
 
 
 def test_bpe_equals_the_library(docs):
@@ -219,7 +205,7 @@ def test_edits_by_hand():
     alphabet = list("ab  \n\n'sdon't1,.!é") + ["'ll", "word ", "   "]
     for _ in range(150):
         x = "".join(rng.choice(alphabet, rng.integers(0, 700)))
-        d = edit_counts.Document(x, a)
+        d = edit_counts.Document.parse(x, a)
         for _ in range(6):
             s, e = sorted(rng.integers(0, len(x) + 3, 2))
             e = min(e, s + 40)
@@ -357,30 +343,3 @@ def test_pipeline_stages_keep_columns(spark, docs, sf):
         assert out.count() <= at.count()
         at = out
     assert corpus_pipeline.STAGES[-1][1](spark, at, sf).count() == at.count()
-
-
-def test_pipeline_against_brute_force(spark, sf):
-    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    left = {i: r.text for i, r in docs.items() if any(c.isalpha() for c in r.text or "")}
-    best = {}
-    for i in sorted(left):
-        key = exact_dedup.normalised(left[i])
-        if key not in best or len(left[i]) > len(left[best[key]]):
-            best[key] = i
-    left = {i: left[i] for i in best.values()}
-    fps = {i: simhash.fingerprints(t, 5, 42, 16) for i, t in left.items()}
-    label = {i: i for i in left}
-    changed = True
-    while changed:
-        changed = False
-        for a in left:
-            for b in left:
-                if label[b] < label[a] and any(bin(x ^ y).count("1") <= 2 for x, y in zip(fps[a], fps[b])):
-                    label[a], changed = label[b], True
-    left = {i: t for i, t in left.items() if label[i] == i}
-    items = [r.text.strip() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    left = {i: t for i, t in left.items() if not any(x in t for x in items)}
-    got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf).collect()}
-    assert set(got) == set(left)
-    a = bpe.automaton(open(tokenizer_path(), "rb").read())
-    assert all(got[i] == a.encoded(t)[0] for i, t in left.items())
