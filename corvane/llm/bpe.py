@@ -25,6 +25,7 @@ import hashlib
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -38,8 +39,8 @@ _SPLIT = regex.compile(PATTERN)
 #: The same splits, by a faster engine, for texts of ASCII and Latin letters only: there [^\W\d_] is \p{L}, \d is \p{N}, and white space agrees.
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _OTHER = re.compile("[^\t\n\r -~À-ÖØ-öø-ɏ]")
-#: Words whose encoding, and words whose count a task keeps, and transitions that a worker keeps; when full, they start afresh.
-CACHE, COUNTED, CELLS = 200_000, 500_000, 2_000_000
+#: Words whose encoding, and words whose count a task keeps (in each of two generations), and transitions that a worker keeps until they start afresh.
+CACHE, COUNTED, CELLS = 100_000, 250_000, 500_000
 END = -1
 
 
@@ -54,33 +55,41 @@ def split(text: str) -> list[str]:
     return _FAST.findall(text) if _OTHER.search(text) is None else _SPLIT.findall(text)
 
 
-class Words(dict):
-    """The encodings of words met so far, made where one is missing."""
+class Recent(dict):
+    """What was made of the words met lately: two generations of `most` words each, so that frequent ones stay."""
 
-    def __init__(self, a: Automaton):
+    def __init__(self, a: Automaton, most: int):
         super().__init__()
-        self.a = a
-
-    def __missing__(self, text: str) -> tuple[int, str, bytes]:
-        if len(self) >= CACHE:
-            self.clear()
-        ids, label = self.a.encode_word(text.encode("utf-8", "surrogatepass")), self.a.label
-        found = self[text] = (len(ids), ",".join(map(str, ids)), b"".join([label[i] for i in ids]))
+        self.a, self.most, self.before = a, most, {}
+
+    def __missing__(self, text: str):
+        if len(self) >= self.most:
+            self.before = dict(self)
+            super().clear()
+        found = self.before.get(text)
+        if found is None:
+            found = self.make(text)
+        self[text] = found
         return found
 
+    def clear(self) -> None:
+        super().clear()
+        self.before = {}
 
-class Counts(dict):
-    """Words' numbers of tokens, made where one is missing."""
 
-    def __init__(self, a: Automaton):
-        super().__init__()
-        self.a = a
+class Words(Recent):
+    """Encodings of words: the number of tokens, their ids joined by commas, and their labels joined."""
 
-    def __missing__(self, text: str) -> int:
-        if len(self) >= COUNTED:
-            self.clear()
-        found = self[text] = len(self.a.encode_word(text.encode("utf-8", "surrogatepass")))
-        return found
+    def make(self, text: str) -> tuple[int, str, bytes]:
+        ids, label = self.a.encode_word(text.encode("utf-8", "surrogatepass")), self.a.label
+        return len(ids), ",".join(map(str, ids)), b"".join([label[i] for i in ids])
+
+
+class Counts(Recent):
+    """Words' numbers of tokens."""
+
+    def make(self, text: str) -> int:
+        return len(self.a.encode_word(text.encode("utf-8", "surrogatepass")))
 
 
 class Automaton:
@@ -113,7 +122,7 @@ class Automaton:
                 node = node.setdefault(octet, {})
             node[END] = i
         self.cells = 0
-        self.words, self.counts = Words(self), Counts(self)
+        self.words, self.counts = Words(self, CACHE), Counts(self, COUNTED)
         self._specials = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def _gadget(self, k: int, u: int, v: int, w: int, early: set[int]) -> None:
@@ -268,8 +277,8 @@ def automaton(source: bytes) -> Automaton:
     return _held[key]
 
 
-def encode_table(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_tokens, ids_sha256, decoded_sha256, and with `ids` the tokens (array) and the decoded text.
+def encode_table(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_tokens, ids_sha256, decoded_sha256, with `ids` the tokens (array), and with `decoded` the decoded text.
 
     `tokenizer`: path, on the driver, of a tokenizer file; its content (of fixed size) is broadcast. A null
     text counts as empty; an empty text has no tokens. Special tokens' strings in a text give their ids, as
@@ -292,14 +301,17 @@ def encode_table(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 plain = data.decode("utf-8", "replace")
                 back.append(hashlib.sha256(plain.encode()).hexdigest())
                 if ids:
-                    tokens.append([int(i) for i in line.split(",")] if line else [])
+                    tokens.append(np.array(line.split(",") if line else [], dtype=np.int32))
+                if decoded:
                     texts.append(plain)
             arrays, names = [batch.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
-                arrays, names = [*arrays, pa.array(tokens, pa.list_(pa.int32())), pa.array(texts, pa.string())], [*names, "tokens", "decoded"]
+                arrays, names = [*arrays, pa.array(tokens, pa.list_(pa.int32()))], [*names, "tokens"]
+            if decoded:
+                arrays, names = [*arrays, pa.array(texts, pa.string())], [*names, "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    more = ", tokens array<int>, decoded string" if ids else ""
+    more = (", tokens array<int>" if ids else "") + (", decoded string" if decoded else "")
     return arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 
 

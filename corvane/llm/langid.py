@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, doc_crc, require
+from .common import arrow_map, at_task_end, doc_crc, require
 
 DIMENSIONS = 2048
 SEED = 20240501
@@ -103,8 +103,9 @@ class Vectors:
         return out
 
 
-#: Vectors of this worker, by seed and dimensions.
+#: Vectors of this task, by seed and dimensions.
 _held: dict[tuple[int, int], Vectors] = {}
+at_task_end(_held.clear)
 
 
 def vectors(seed: int, dimensions: int) -> Vectors:

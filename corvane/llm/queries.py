@@ -64,7 +64,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_table(table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
+    return bpe.encode_table(table(spark, sf_dir, "documents"), tokenizer_path(), ids=False, decoded=False)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
