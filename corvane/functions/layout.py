@@ -75,6 +75,12 @@ def unread_figure(text: Column) -> Column:
     return F.coalesce(text.rlike(FIGURE_REFERENCE), F.lit(False))
 
 
+def needs_image(text: Column) -> Column:
+    """Whether a hit is better shown with its page: a figure, a schematic, photos, or text that refers to a figure."""
+    t = F.coalesce(text, F.lit(""))
+    return is_figure(t) | is_schematic(t) | is_photo_access(t) | unread_figure(t)
+
+
 def missing_steps(text: Column, least: int = 5) -> Column:
     """Step numbers that a procedure's numbered lines leave out between their first and last; null for what is no procedure."""
     found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^([0-9]{1,4})\.\s"), F.lit(1)), lambda x: x.cast("int"))))

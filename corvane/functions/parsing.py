@@ -52,3 +52,19 @@ def fence(text: Column) -> Column:
     """Evidence between delimiters, put there once."""
     mark = "<<<EVIDENCE"
     return F.when(F.contains(text, F.lit(mark)), text).otherwise(F.concat(F.lit(mark + "\n"), text, F.lit("\nEVIDENCE>>>")))
+
+
+def model_label(text: Column, labels: tuple[str, ...]) -> Column:
+    """A label of a closed set, from a JSON object (fenced or not) with a key `label`, or bare; null for any other."""
+    x = F.trim(F.coalesce(text, F.lit("")))
+    bare = F.regexp_replace(x, r"(?i)^```(?:json)?\s*|\s*```$", "")
+    is_object = F.startswith(bare, F.lit("{")) & F.try_parse_json(bare).isNotNull()
+    said = F.when(is_object, F.trim(F.coalesce(F.get_json_object(bare, "$.label"), F.lit("")))).otherwise(x)
+    return F.when(said.isin(*labels), said)
+
+
+def confident_choice(payload: Column, labels: tuple[str, ...], least: float) -> Column:
+    """A decision's label, if it is a choice of the closed set and sure enough; else null."""
+    j = lambda k: F.get_json_object(payload, f"$.answers.retrieve_label.{k}")
+    choice, sure = F.trim(F.coalesce(j("choice"), F.lit(""))), F.coalesce(j("confidence").try_cast("double"), F.lit(0.0))
+    return F.when((j("type") == "choice") & choice.isin(*labels) & (sure >= least), choice)

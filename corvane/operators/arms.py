@@ -7,10 +7,15 @@ each partition before the shuffle.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import codes
+from .rows import reach_workers
 
 # The arms' scores.
 CODE, CONNECTOR, NEIGHBOUR, LITERAL, REVISION, REFERENCE = 1.0, 1.0, 0.95, 0.95, 0.88, 0.85
@@ -26,8 +31,9 @@ def ranked(hits: DataFrame, limit: int, *order: Column, by: str = "query_id") ->
 
 
 def small(queries: DataFrame, bound: int = BROADCAST_QUERIES) -> DataFrame:
-    """Queries, marked for broadcast where there are few."""
-    return F.broadcast(queries) if queries.limit(bound + 1).count() <= bound else queries
+    """Queries, marked for broadcast where there are few; a table made of rows of the driver is one."""
+    local = "LocalRelation" in queries._jdf.queryExecution().optimizedPlan().toString()
+    return F.broadcast(queries) if local or queries.limit(bound + 1).count() <= bound else queries
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
@@ -38,15 +44,73 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, limit: int, group: str | None = None, cosine: bool = True) -> DataFrame:
+    """query_id, id_ (or `group`), score and arm_rank: for each query the nearest of vectors(id_, embedding), exactly, ties by id_.
+
+    queries: query_id, vector. With `group`, the best vector of each group counts. Queries are taken in blocks of
+    BROADCAST_QUERIES; a block goes to all workers as a matrix (of that bounded size), which score their batches of vectors
+    by one product and pass on the best rows of each batch.
+    """
+    asked = queries.where("size(vector) > 0").select(F.col("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = asked.limit(BROADCAST_QUERIES + 1).collect()
+    if len(rows) > BROADCAST_QUERIES:
+        blocks = -(-asked.count() // (BROADCAST_QUERIES // 2))
+        out = None
+        for i in range(blocks):
+            part = nearest(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), vectors, limit, group, cosine)
+            out = part if out is None else out.unionByName(part)
+        return out
+    key = group or "id_"
+    held = vectors.select("id_", *([group] if group else []), F.col("embedding").cast("array<double>").alias("embedding")).where("size(embedding) > 0")
+    kinds = [held.schema[key].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()]
+    qtype = to_arrow_type(T._parse_datatype_string(kinds[1]))
+    width = max((len(r["vector"]) for r in rows), default=0)
+    same = [r for r in rows if len(r["vector"]) == width]
+    names, matrix = np.array([r["query_id"] for r in same], dtype=object), np.array([r["vector"] for r in same], dtype=np.float64).reshape(len(same), width)
+    names, matrix = _unit_rows(names, matrix) if cosine else (names, matrix)
+    reach_workers(queries.sparkSession)
+
+    def score(batches):
+        for batch in batches:
+            column = batch.column("embedding")
+            values, starts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(zero_copy_only=False)
+            fit = np.flatnonzero(np.diff(starts) == width)
+            if not len(fit) or not len(names):
+                continue
+            v = np.nan_to_num(values[starts[fit][:, None] + np.arange(width)])
+            fit, v = _unit_rows(fit, v) if cosine else (fit, v)
+            found = v @ matrix.T
+            keys = batch.column(key).take(pa.array(fit))
+            if group:  # the best of each group in the batch
+                coded = keys.dictionary_encode()
+                best = np.full((len(coded.dictionary), len(names)), -np.inf)
+                np.maximum.at(best, coded.indices.to_numpy(zero_copy_only=False), found)
+                keys, found = coded.dictionary, best
+            n = len(found)
+            # the first `limit` of a batch, and those that tie with the last of them, can be among the first of all
+            keep = np.ones_like(found, dtype=bool) if n <= limit else found >= np.partition(found, n - limit, axis=0)[n - limit] - 1e-12
+            at, q = np.nonzero(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(names[q].tolist(), qtype), keys.take(pa.array(at)), pa.array(found[at, q])], names=["query_id", key, "score"])
+
+    scored = held.mapInArrow(score, f"query_id {kinds[1]}, {key} {kinds[0]}, score double")
+    if group:
+        scored = scored.groupBy("query_id", key).agg(F.max("score").alias("score"))
+    return ranked(scored, limit, F.desc(F.round("score", 12)), F.col(key))
+
+
+def _unit_rows(names: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at unit length; those of length zero are left out."""
+    size = np.linalg.norm(matrix, axis=1)
+    return names[size > 0], matrix[size > 0] / size[size > 0, None]
+
+
 def vector_fetch(queries: DataFrame, chunks: DataFrame, limit: int, include_synthetic: bool = False) -> DataFrame:
-    """Exact nearest chunks by cosine. queries: query_id, vector; chunks: with `embedding`, null where there is none."""
+    """Exact nearest chunks by cosine. queries: query_id, vector; chunks: with chunk_no and `embedding`, null where there is none."""
     held = chunks.where("embedding is not null")
     if not include_synthetic:
         held = held.where(~F.startswith("doc_id", F.lit("synth-")))
-    # every chunk is compared with every query; a query's best rows are kept before the shuffle
-    pairs = held.crossJoin(small(queries.where("size(vector) > 0")))
-    pairs = pairs.withColumn("score", cosine("vector", "embedding")).where("score is not null")
-    return ranked(pairs.drop("vector", "embedding"), limit, F.desc("score"), F.col("chunk_no"))
+    near = nearest(queries, held.select(F.col("chunk_no").alias("id_"), "embedding"), limit)
+    return chunks.drop("embedding").join(near.withColumnRenamed("id_", "chunk_no"), "chunk_no")
 
 
 def code_fetch(queries: DataFrame, chunks: DataFrame, limit: int = 30) -> DataFrame:
@@ -106,10 +170,18 @@ def manual_revision_fetch(queries: DataFrame, applicable: DataFrame, chunks: Dat
 
 
 def literal_fetch(queries: DataFrame, chunks: DataFrame, limit: int = 40, rare: int = LITERAL_CHUNKS) -> DataFrame:
-    """Chunks that hold a query's literals, those that `rare` chunks at most have. queries: query_id, ask."""
+    """Chunks that hold a query's literals, those that `rare` chunks at most have. queries: query_id, ask.
+
+    A literal is letters and digits, so a chunk that holds it has a run of them that does. Runs are made distinct
+    before literals are looked for in them, and a run that holds one is joined back to its chunks by equality.
+    """
     asked = queries.select("query_id", F.explode(codes.query_literals(F.col("ask"))).alias("literal"))
     words = small(asked.select("literal").distinct())
-    found = chunks.join(words, F.contains(F.upper("text"), F.col("literal")))
+    runs = chunks.select("chunk_no", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z0-9]{3,}"), F.lit(0)))).alias("run"))
+    mixed = runs.where(F.col("run").rlike("[0-9]") & F.col("run").rlike("[A-Z]"))
+    # a literal has a digit and a letter, so does a run that holds it; distinct runs are compared with the few literals
+    holding = mixed.select("run").distinct().join(words, F.contains("run", F.col("literal")))
+    found = mixed.join(holding, "run").select("chunk_no", "literal").distinct()
     counts = found.groupBy("literal").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= rare)
     hits = found.join(counts, "literal").join(small(asked), "literal").groupBy("query_id", "chunk_no").agg(F.count(F.lit(1)).alias("n_literals"))
     hits = chunks.join(hits, "chunk_no").withColumn("score", F.lit(LITERAL))

@@ -79,3 +79,44 @@ def prefix_within(items: DataFrame, key: str, order: str, cost: str, budget: int
 def cited_indexes(answer: Column) -> Column:
     """The [n] of an answer, in order of their first appearance."""
     return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda x: x.cast("int")))
+
+
+def first_ids(rows: DataFrame, key: str, order: str, column: str) -> DataFrame:
+    """key and ids: a key's distinct values that aren't blank, by where they first stand. They are a conversation's or an answer's few."""
+    x = F.trim(F.col(column))
+    first = rows.where(x != "").groupBy(key, x.alias("id_")).agg(F.min(order).alias("at_"))
+    ids = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at_", "id_"))), lambda r: r["id_"]).alias("ids"))
+    return rows.select(key).distinct().join(ids, key, "left").select(key, F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+
+
+def pack_order(hits: DataFrame, key: str, rank: str, boxed: str) -> DataFrame:
+    """Hits with `place`, the order in which they are tried for a pack: the top one, then those with a box, then the rest."""
+    top = F.min(rank).over(Window.partitionBy(key))
+    h = hits.withColumn("bucket_", F.when(F.col(rank) == top, 0).when(F.col(boxed), 1).otherwise(2))
+    return h.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("bucket_", rank))).drop("bucket_")
+
+
+def page_images(hits: DataFrame, held: DataFrame, gate: Column, limit: int) -> DataFrame:
+    """query_id, doc_id, page and place: the first pages of documents at hand whose hits pass the gate. hits: query_id, doc_id, page, rank; held: doc_id."""
+    some = hits.where((F.col("page") >= 1) & gate).join(held.select("doc_id").distinct(), "doc_id", "left_semi")
+    first = some.groupBy("query_id", "doc_id", "page").agg(F.min("rank").alias("at_"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at_", "doc_id", "page"))).where(F.col("place") <= limit).drop("at_")
+
+
+def block_map(blocks: DataFrame, key: str, index: str, text: str) -> DataFrame:
+    """key and blocks: a map from an answer's evidence indexes to their texts."""
+    return blocks.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(index, text))).alias("blocks"))
+
+
+#: How part numbers are written, and how many are named.
+PART, PARTS = r"\bW\d{8}\b", 8
+
+
+def related_parts(hits: DataFrame, lists: DataFrame, publications: DataFrame) -> DataFrame:
+    """query_id and parts: the first part numbers, in order, that hits of parts lists name and that are no publication. hits: query_id, doc_id, rank, text; lists: doc_id; publications: publication_number."""
+    own = hits.join(lists.select("doc_id").distinct(), "doc_id", "left_semi")
+    each = own.select("query_id", "rank", F.explode(F.regexp_extract_all("text", F.lit(PART), F.lit(0))).alias("part"))
+    new = each.join(publications.select(F.col("publication_number").alias("part")).distinct(), "part", "left_anti")
+    first = new.groupBy("query_id", "part").agg(F.min("rank").alias("at_"))
+    some = first.withColumn("r_", F.row_number().over(Window.partitionBy("query_id").orderBy("at_", "part"))).where(F.col("r_") <= PARTS)
+    return some.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r_", "part"))), lambda x: x["part"]).alias("parts"))

@@ -45,6 +45,11 @@ def polarity(text: Column) -> Column:
     return F.when(unlock & ~lock, "unlock").when(lock & ~unlock, "lock")
 
 
+def needs_clarification(text: Column) -> Column:
+    """Whether a query is about the door's lock but says neither which way nor any fault code."""
+    return F.coalesce(text, F.lit("")).rlike(DOOR_TOPIC) & polarity(text).isNull() & (F.size(codes.error_codes(text)) == 0)
+
+
 def expanded(text: Column) -> Column:
     """The query with the phrases of its door family, then of mid-cycle stops."""
     add = {f[0]: f[4] for f in FAMILIES}

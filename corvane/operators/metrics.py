@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, texts
@@ -37,19 +37,56 @@ def precision(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return docs.join(relevant.select("query_id", "doc_id").distinct().withColumn("r", F.lit(1)), ["query_id", "doc_id"], "left").groupBy("query_id").agg((F.count("r") / F.count(F.lit(1))).alias("precision"))
 
 
-def upper_median(column: str) -> Column:
-    """The middle value, of an even number the upper one."""
-    values = F.sort_array(F.collect_list(column))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def latency(runs: DataFrame, by: str, column: str) -> DataFrame:
+    """mean, p50 (of an even number the upper median) and p95 (nearest rank) of a column, by ranks within the groups."""
+    order = Window.partitionBy(by).orderBy(column)
+    r = runs.where(F.col(column).isNotNull()).withColumn("r_", F.row_number().over(order)).withColumn("n_", F.count(F.lit(1)).over(Window.partitionBy(by)))
+    upper, near = F.floor(F.col("n_") / 2) + 1, F.greatest(F.ceil(F.col("n_") * F.lit(0.95)), F.lit(1))
+    pick = lambda at: F.max(F.when(F.col("r_") == at, F.col(column)))
+    return r.groupBy(by).agg(F.avg(column).alias("mean"), pick(upper).alias("p50"), pick(near).alias("p95"))
 
 
-def nearest_rank(column: str, share: float) -> Column:
-    return F.percentile_disc(column, share) if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})")
+def graded_hits(hits: DataFrame, targets: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """query_id, passed and detail: nothing forbidden cited, then every target of one label, then one of each group of labels.
 
+    hits: query_id, keys; targets: query_id, target, label, a target of several labels being a group; forbidden: query_id, label.
+    """
+    keys = hits.select("query_id", F.explode("keys").alias("key")).distinct()
+    bad = forbidden.join(keys, "query_id").where(codes.matches_citation(F.col("key"), F.col("label"))).groupBy("query_id").agg(F.min("label").alias("bad"))
+    met = targets.join(keys, "query_id").where(codes.matches_citation(F.col("key"), F.col("label"))).select("query_id", "target").distinct().withColumn("met", F.lit(True))
+    sizes = targets.groupBy("query_id", "target").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("one"))
+    missing = sizes.join(met, ["query_id", "target"], "left").where("met is null").groupBy("query_id").agg(
+        F.min(F.when(F.col("n") == 1, F.col("one"))).alias("own"), F.min(F.when(F.col("n") > 1, F.col("one"))).alias("some"))
+    all_ = targets.select("query_id").distinct().join(bad, "query_id", "left").join(missing, "query_id", "left")
+    detail = F.when(F.col("bad").isNotNull(), "must_not_cite").when(F.col("own").isNotNull(), "must_cite").when(F.col("some").isNotNull(), "must_cite_any").otherwise("ok")
+    return all_.select("query_id", (detail == "ok").alias("passed"), detail.alias("detail"))
 
-def latency(runs: DataFrame, by: str, column: str) -> DataFrame:
-    """mean, p50 (upper median) and p95 (nearest rank) of a column."""
-    return runs.groupBy(by).agg(F.avg(column).alias("mean"), upper_median(column).alias("p50"), nearest_rank(column, 0.95).alias("p95"))
+
+def false_escalation_rate(results: DataFrame) -> Column:
+    """The share of benign questions that are escalated or blocked. results: benign, action."""
+    return rate(F.col("action").isin("escalate", "block"), F.col("benign"))
+
+
+def agreement(judged: Column, expected: Column) -> Column:
+    """The share of verdicts that are as expected; null without any."""
+    return F.count_if(judged == expected) / F.nullif(F.count_if(judged.isNotNull() & expected.isNotNull()), F.lit(0))
+
+
+def label_accuracy(runs: DataFrame, by: str) -> DataFrame:
+    """by, right, total, accuracy, mean_ms and cost of runs(by, expected, predicted, ms, cost)."""
+    right = F.col("expected").eqNullSafe(F.col("predicted"))
+    return runs.groupBy(by).agg(
+        F.count_if(right).alias("right"), F.count(F.lit(1)).alias("total"), (F.count_if(right) / F.count(F.lit(1))).alias("accuracy"), F.avg("ms").alias("mean_ms"), F.sum("cost").alias("cost"))
+
+
+def confusion(runs: DataFrame, by: str) -> DataFrame:
+    """by, expected, predicted and n of runs whose label isn't the expected one."""
+    return runs.where(~F.col("expected").eqNullSafe(F.col("predicted"))).groupBy(by, "expected", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_cost(prompt: Column, completion: Column, input_price: float, output_price: float) -> Column:
+    """Dollars for tokens at prices a million; null where a count isn't known."""
+    return prompt / 1e6 * input_price + completion / 1e6 * output_price
 
 
 def groundedness(claims: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, intent, serials
+from . import expansion
 
 # Patterns of evidence.
 UNLOCK_EVIDENCE = r"(?i)will not unlock|won'?t unlock|door will not unlock|add garment|door locks when cycle|touch (start/)?pause"
@@ -19,9 +20,11 @@ OWNER_TYPES = ("owners_manual", "use_and_care", "quick_start_guide", "knowledge_
 POINTERS = ("technical_service_pointer", "service_pointer")
 
 
-def document_applies(appliances: DataFrame, models: DataFrame, ranges: DataFrame, docs: DataFrame) -> DataFrame:
+def document_applies(appliances: DataFrame, models: DataFrame, ranges: DataFrame, docs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Whether each document governs each appliance, and why: query_id, doc_id, applies, reason.
 
+    With pairs(query_id, doc_id), such as a pool's, only those are decided; without, the whole matrix is asked for.
+
     appliances: query_id, model, serial, introduced; models: doc_id, pattern; ranges: doc_id, scope, model,
     first, last; docs: doc_id, published (a date of any precision). Patterns are matched by equality with
     each prefix of a model, so that no pair of rows is compared that doesn't match.
@@ -30,6 +33,8 @@ def document_applies(appliances: DataFrame, models: DataFrame, ranges: DataFrame
     prefixes = F.transform(F.sequence(F.lit(0), F.length("model")), lambda i: F.concat(F.substr(F.col("model"), F.lit(1), i), F.lit("*")))
     keyed = asked.select("query_id", F.explode(F.array_append(prefixes, F.col("model"))).alias("key"))
     matched = models.select("doc_id", F.upper(F.trim("pattern")).alias("key")).join(keyed, "key").select("query_id", "doc_id").distinct()
+    if pairs is not None:
+        matched = matched.join(pairs, ["query_id", "doc_id"], "left_semi")
     own = ranges.withColumnRenamed("model", "pattern").join(matched, "doc_id").join(asked, "query_id")
     own = own.where(F.col("pattern").isNull() | serials.model_matches(F.col("pattern"), F.col("model")))
     parts = serials.serial_parts(F.col("serial"))
@@ -40,7 +45,7 @@ def document_applies(appliances: DataFrame, models: DataFrame, ranges: DataFrame
         F.bool_and(F.col("scope") == "all").alias("all_serials"), F.bool_or((F.col("scope") == "all") | inside).alias("inside"),
         F.max(F.col("year").isNotNull()).alias("dated"), F.max(F.col("serial").isNotNull()).alias("has_serial"), F.max(parts.isNotNull()).alias("readable"),
     )
-    everything = asked.select("query_id").crossJoin(docs.select("doc_id"))
+    everything = asked.select("query_id").crossJoin(docs.select("doc_id")) if pairs is None else pairs.join(asked.select("query_id"), "query_id", "left_semi").join(docs.select("doc_id"), "doc_id", "left_semi")
     out = everything.join(matched.withColumn("matched", F.lit(True)), ["query_id", "doc_id"], "left").join(seen, ["query_id", "doc_id"], "left")
     reason = (
         F.when(F.col("matched").isNull(), "model not listed").when(F.col("inside").isNull(), "no serial restriction").when(F.col("all_serials"), "all serial numbers")
@@ -66,7 +71,7 @@ def boosts() -> dict[str, Column]:
     bib, ins, tech, kind_of = col("bibliographic"), col("installation"), intent.is_technician_query(ask), col("doc_type")
     asked, named, rev = codes.error_codes(ask), codes.queried_publications(ask), codes.requested_revision(ask)
     own = F.transform(F.coalesce("error_codes", F.array().cast("array<string>")), F.upper)
-    led, polarity = intent.is_led_query(ask), intent.door_polarity(ask)
+    led, polarity = intent.is_led_query(ask), expansion.polarity(ask)
     owner, pub = F.lower(F.coalesce("audience", F.lit(""))) == "owner", F.upper("publication_number")
     met = (F.size(asked) > 0) & F.arrays_overlap(own, asked)
     article = F.coalesce(kind_of == "knowledge_article", F.lit(False))

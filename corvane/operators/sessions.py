@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import codes
-
-# A turn that only reports progress.
-PROGRESS = r"(?i)^\s*(ok(ay)?|yes|done|no issues?|that looks? good|still (not|the same).*|thanks?( you)?)[\s.!]*$"
-
+from ..functions import codes, replies
+from . import expansion
 
 def sessionize(events: DataFrame, gap_seconds: int, user: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """`events` and session_no: from 1, a new one after a pause longer than the gap."""
@@ -18,17 +15,14 @@ def sessionize(events: DataFrame, gap_seconds: int, user: str = "user_id", ts: s
     return events.withColumn("new_", F.coalesce((pause > gap_seconds * 1_000_000).cast("int"), F.lit(1))).withColumn("session_no", F.sum("new_").over(order)).drop("new_")
 
 
-def is_progress(text: Column) -> Column:
-    """Whether a turn of at most 120 characters only reports progress."""
-    return F.coalesce((F.length(text) <= 120) & text.rlike(PROGRESS), F.lit(False))
-
-
 def session_query(turns: DataFrame, key: str = "conv_id", last: int = 3) -> DataFrame:
-    """What to search for after each conversation: sorted fault codes of all user turns, then the last `last` that aren't mere progress (the first such, if the latest turn is progress).
+    """What to search for after each conversation: sorted fault codes of all user turns, then a text.
 
-    turns: key, turn, role, text. A conversation's turns are held together.
+    The text is the latest turn where that tells of a stop in mid-cycle and the first one didn't; the first turn that
+    isn't mere progress, where the latest is; else the last `last` turns that aren't. turns: key, turn, role, text. A
+    conversation's turns are held together.
     """
-    user = turns.where("role = 'user'").withColumn("progress", is_progress(F.col("text")))
+    user = turns.where("role = 'user'").withColumn("progress", replies.is_progress(F.col("text")))
     rows = F.array_sort(F.collect_list(F.struct("turn", "text", "progress")))
     s = user.groupBy(key).agg(rows.alias("t"))
     real = F.filter("t", lambda x: ~x["progress"])
@@ -36,28 +30,12 @@ def session_query(turns: DataFrame, key: str = "conv_id", last: int = 3) -> Data
     latest = F.element_at("t", -1)
     some = F.when(F.size(real) > 0, real).otherwise(F.col("t"))
     recent = F.slice(some, F.greatest(F.size(some) - last + 1, F.lit(1)), F.lit(last))
-    query = F.when(latest["progress"], anchor).otherwise(F.array_join(F.transform(recent, lambda x: x["text"]), " "))
+    stops = lambda x: expansion.matches_family(x, "mid_cycle_stop")
+    query = F.when(stops(latest["text"]) & ~stops(anchor), latest["text"]).when(latest["progress"], anchor).otherwise(F.array_join(F.transform(recent, lambda x: x["text"]), " "))
     found = F.array_sort(F.array_distinct(F.flatten(F.transform("t", lambda x: codes.error_codes(x["text"])))))
     return s.select(key, F.trim(F.concat_ws(" ", F.nullif(F.array_join(found, " "), F.lit("")), F.trim(query))).alias("query"))
 
 
-def board_fold(turns: DataFrame, key: str = "conv_id", items: int = 12, chars: int = 160) -> DataFrame:
-    """A board for each conversation, folded turn by turn: step, symptom (first user text, clipped), and observations (distinct user texts, clipped, the last `items`)."""
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    s = turns.groupBy(key).agg(rows.alias("t"))
-    start = F.struct(F.lit(0).alias("step"), F.lit("").alias("symptom"), F.array().cast("array<string>").alias("seen"))
-
-    def step(b, x):
-        said = F.substring(F.trim(F.regexp_replace(x["text"], r"\s+", " ")), 1, chars)
-        user = (x["role"] == "user") & (said != "")
-        more = F.when(F.array_contains(b["seen"], said), b["seen"]).otherwise(F.array_append(b["seen"], said))
-        more = F.slice(more, F.greatest(F.size(more) - items + 1, F.lit(1)), F.lit(items))
-        return F.struct((b["step"] + F.when(user, 1).otherwise(0)).alias("step"), F.when((b["symptom"] == "") & user, said).otherwise(b["symptom"]).alias("symptom"), F.when(user, more).otherwise(b["seen"]).alias("seen"))
-
-    b = F.aggregate("t", start, step)
-    return s.select(key, b.alias("b")).select(key, "b.step", "b.symptom", F.col("b.seen").alias("observations"))
-
-
 def within_limit(turns: DataFrame, most: int, key: str = "conv_id") -> DataFrame:
     """User turns up to `most` of a conversation."""
     place = F.row_number().over(Window.partitionBy(key).orderBy("turn"))
@@ -69,10 +47,3 @@ def prior_assistant(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     said = F.when(F.col("role") == "assistant", F.col("text"))
     before = F.last(said, ignorenulls=True).over(Window.partitionBy(key).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
     return turns.withColumn("prior", before).where("role = 'user'")
-
-
-def transcript_tail(turns: DataFrame, lines: int, chars: int, key: str = "conv_id") -> DataFrame:
-    """A conversation's last turns: `lines` at most, and `chars` characters at most counted from the end."""
-    order = Window.partitionBy(key).orderBy(F.desc("turn"))
-    t = turns.withColumn("back", F.row_number().over(order)).withColumn("upto", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return t.where((F.col("back") <= lines) & (F.col("upto") <= chars)).drop("back", "upto")

@@ -17,6 +17,13 @@ SAID = [
 ]
 SAID_SQL = values_sql("said", "query_id, ask", SAID)
 _NORM = "trim(regexp_replace(lower(regexp_replace(translate(ask, '‘’`´', ''''''''''), '''', '', 'g')), '\\s+', ' ', 'g'))"
+
+
+def family_sql(x: str, family: str) -> str:
+    """Whether a text has a phrase of a family, in SQL."""
+    return f"regexp_matches({_NORM.replace('ask', x)}, '{expansion.family_pattern(family)}')"
+
+
 _FAM = {f[0]: f"regexp_matches({_NORM}, '{expansion.family_pattern(f[0])}')" for f in expansion.FAMILIES}
 _ADD = {f[0]: f[4].replace("'", "''") for f in expansion.FAMILIES}
 POLAR_SQL = f"""folded AS (SELECT *, regexp_matches(q, '{intent.UNLOCK}') AS u0, regexp_matches(q, '{intent.LOCK}') AS l0 FROM (SELECT *, {FOLD_SQL} AS q FROM said)),
@@ -104,12 +111,6 @@ def undecided_claims(spark, folder):
     return policy.undecided(spark, DOMAINS, RULES, ["door", "reading"], "door <> 'STUCK_LOCKED'")
 
 
-@plan("agree", "SELECT conv_id, count(DISTINCT role || length(text) // 100) = 1 AS agrees FROM conversations WHERE role <> 'system' GROUP BY 1")
-def agree(spark, folder):
-    said_ = F.concat("role", F.floor(F.char_length("text") / 100).cast("string"))
-    return table(spark, folder, "conversations").where("role <> 'system'").groupBy("conv_id").agg((F.countDistinct(said_) == 1).alias("agrees"))
-
-
 VALUES = "CASE p_partkey % 7 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN '-' || p_size WHEN 2 THEN p_size || '.0' WHEN 3 THEN ' ' || p_size || ' ' WHEN 4 THEN 'true' WHEN 5 THEN p_size || '.5' ELSE '0' END"
 
 
@@ -138,41 +139,12 @@ def judge_combine(spark, folder):
     return judged(spark, folder).select("event_id", parsing.combined_verdict(F.col("event_id") % 5 != 0, parsing.verdict(F.col("said"))).alias("passed"))
 
 
-@plan("label_parse", "SELECT event_id, CASE event_type WHEN 'click' THEN 'ack' ELSE CASE WHEN event_type IN ('view', 'purchase') THEN event_type ELSE 'none' END END AS label FROM events")
-def label_parse(spark, folder):
-    text = F.when(F.col("event_type") == "click", '{"label": "ACK"}').otherwise(F.upper("event_type"))
-    return table(spark, folder, "events").select("event_id", F.coalesce(parsing.closed_label(text, ("ack", "view", "purchase")), F.lit("none")).alias("label"))
-
-
-@plan("choice_parse", "SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) >= 60 THEN event_type ELSE 'unsure' END AS choice FROM events")
-def choice_parse(spark, folder):
-    return table(spark, folder, "events").select("event_id", F.when(F.get_json_object("props", "$.k").cast("int") >= 60, F.col("event_type")).otherwise("unsure").alias("choice"))
-
-
 @plan("parse_vector", "SELECT vec_id, len(embedding) AS n, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM embeddings")
 def parse_vector(spark, folder):
     text = F.to_json("embedding")
     return table(spark, folder, "embeddings").select("vec_id", parsing.vector(text).alias("v")).select("vec_id", F.size("v").cast("long").alias("n"), F.round(F.get("v", F.lit(0)), 5).alias("first"))
 
 
-@plan("evidence_fence", "SELECT conv_id, turn, '<<<EVIDENCE' || chr(10) || text || chr(10) || 'EVIDENCE>>>' AS fenced FROM conversations")
-def evidence_fence(spark, folder):
-    return table(spark, folder, "conversations").select("conv_id", "turn", parsing.fence(parsing.fence(F.col("text"))).alias("fenced"))
-
-
-@plan("evidence_map", "SELECT conv_id, count(*) AS blocks, max(text) FILTER (turn = 2) IS NOT NULL AS has_two FROM conversations GROUP BY 1")
-def evidence_map(spark, folder):
-    m = table(spark, folder, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("turn", "text"))).alias("m"))
-    return m.select("conv_id", F.size("m").cast("long").alias("blocks"), F.map_contains_key("m", F.lit(2).cast("long")).alias("has_two"))
-
-
-@plan("read_assignments", sql("SELECT case_id, count(*) FILTER (role = 'premise') AS premises, count(*) FILTER (role = 'claim' AND value <> 'false') AS claims FROM pc WHERE name IN ('door', 'lockTest', 'unlockTest', 'reading', 'quoted') GROUP BY 1", CASES_SQL))
-def read_assignments(spark, folder):
-    c = spark.createDataFrame(POLICY_CASES, "case_id int, role string, name string, value string")
-    known = spark.createDataFrame([(n,) for n in DOMAINS], "name string")
-    return c.join(known, "name").groupBy("case_id").agg(F.count_if(F.col("role") == "premise").alias("premises"), F.count_if((F.col("role") == "claim") & (F.col("value") != "false")).alias("claims"))
-
-
 @plan("scan_html_article", sql(r"""SELECT page_id, array_to_string(CASE WHEN len(lead) > 0 THEN lead ELSE [] END, ',') AS codes, CASE WHEN len(lead) > 0 THEN 'Error codes: ' || array_to_string(lead, ', ') || chr(10) || chr(10) || t ELSE t END AS text FROM (SELECT page_id, t, list_distinct(['F' || page_id % 10 || 'E1']) AS lead FROM (
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM pages))"""))
 def scan_html_article(spark, folder):
@@ -206,14 +178,6 @@ def outline_parts(spark, folder):
 PARTS_SQL = r"u AS (SELECT doc_id, page, unnest(regexp_extract_all(substr(text, 1, 400) || ' W' || (10000000 + chunk_no % 300) || ' W' || (10000000 + page), '\bW[0-9]{8}\b', 0)) AS part, chunk_no FROM chunks WHERE page <= 6), f AS (SELECT doc_id, part, min(chunk_no) AS at0 FROM u GROUP BY 1, 2)"
 
 
-@plan("related_parts", sql("SELECT doc_id, string_agg(part, ',' ORDER BY at0, part) AS parts FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at0, part) AS r FROM f) WHERE r <= 8 GROUP BY 1", CHUNKS_SQL, PARTS_SQL))
-def related_parts(spark, folder):
-    line = F.concat(F.substring("text", 1, 400), F.lit(" W"), 10_000_000 + F.col("chunk_no") % 300, F.lit(" W"), 10_000_000 + F.col("page"))
-    u = chunks(spark, folder).where("page <= 6").select("doc_id", "chunk_no", F.explode(F.regexp_extract_all(line, F.lit(r"\bW[0-9]{8}\b"), F.lit(0))).alias("part"))
-    first = u.groupBy("doc_id", "part").agg(F.min("chunk_no").alias("at0")).withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("at0", "part"))).where("r <= 8")
-    return first.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "part"))), lambda x: x["part"]), ",").alias("parts"))
-
-
 @plan("is_correcting_doc", sql("SELECT m.doc_id, coalesce(bool_or(e.type IN ('corrects', 'supersedes', 'overrides')), false) OR m.tier = 'technical_service_pointer' OR m.doc_type = 'technical_service_pointer' AS correcting, coalesce(bool_or(e.type = 'superseded_by'), false) AS superseded FROM manuals m LEFT JOIN edges e USING (doc_id) GROUP BY m.doc_id, m.tier, m.doc_type", MANUALS_SQL, EDGES_SQL))
 def is_correcting_doc(spark, folder):
     m = manuals(spark).join(edges(spark), "doc_id", "left").groupBy("doc_id", "tier", "doc_type")
@@ -221,61 +185,6 @@ def is_correcting_doc(spark, folder):
     return out.select("doc_id", (F.col("c") | (F.col("tier") == "technical_service_pointer") | (F.col("doc_type") == "technical_service_pointer")).alias("correcting"), "superseded")
 
 
-@plan("has_edge", sql("SELECT a.doc_id AS a, b.doc_id AS b FROM manuals a JOIN edges e ON e.doc_id = a.doc_id AND e.type IN ('corrects', 'supersedes', 'overrides', 'superseded_by') JOIN manuals b ON b.publication_number = e.target", MANUALS_SQL, EDGES_SQL))
-def has_edge(spark, folder):
-    e = edges(spark).where("type in ('corrects', 'supersedes', 'overrides', 'superseded_by')")
-    return e.join(manuals(spark).select(F.col("publication_number").alias("target"), F.col("doc_id").alias("b")), "target").select(F.col("doc_id").alias("a"), "b")
-
-
-@plan("by_citation", sql("""SELECT g AS download, min(doc_id) AS document FROM (SELECT c.g, c.doc_id FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cand o WHERE o.g = c.g AND o.publication_number <> c.publication_number AND o.publication_number NOT IN (SELECT target FROM edges e WHERE e.doc_id = c.doc_id AND e.type IN ('corrects', 'supersedes', 'references')))) GROUP BY 1 HAVING count(*) = 1""", MANUALS_SQL, EDGES_SQL, "cand AS (SELECT CAST(substr(doc_id, 2) AS INTEGER) // 2 AS g, doc_id, publication_number FROM manuals)"))
-def by_citation(spark, folder):
-    c = manuals(spark).select(F.floor(F.substring("doc_id", 2, 9).cast("int") / 2).cast("int").alias("g"), "doc_id", "publication_number")
-    aims = edges(spark).where("type in ('corrects', 'supersedes', 'references')").groupBy("doc_id").agg(F.collect_set("target").alias("aims"))
-    both = c.join(c.groupBy("g").agg(F.collect_set("publication_number").alias("all")), "g").join(aims, "doc_id", "left")
-    rest = F.array_except(F.array_except("all", F.array("publication_number")), F.coalesce("aims", F.array().cast("array<string>")))
-    one = both.where(F.size(rest) == 0).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("document")).where("n = 1")
-    return one.select(F.col("g").alias("download"), "document")
-
-
-@plan("intake_plan", sql(r"""SELECT page_id, coalesce(CASE WHEN n = 1 THEN d END, CASE WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END) AS document FROM (SELECT p.page_id, count(m.doc_id) AS n, min(m.doc_id) AS d FROM (SELECT page_id, unnest(['W1' || lpad(CAST(page_id % 30 AS VARCHAR), 7, '0'), CASE WHEN page_id % 4 = 0 THEN 'W10000003' ELSE 'none' END]) AS pub FROM pages) p LEFT JOIN manuals m ON m.publication_number = p.pub GROUP BY 1)""", MANUALS_SQL))
-def intake_plan(spark, folder):
-    pub = F.concat(F.lit("W1"), F.lpad((F.col("page_id") % 30).cast("string"), 7, "0"))
-    p = table(spark, folder, "pages").select("page_id", F.explode(F.array(pub, F.when(F.col("page_id") % 4 == 0, "W10000003").otherwise("none"))).alias("publication_number"))
-    m = p.join(manuals(spark), "publication_number", "left").groupBy("page_id").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("d"))
-    return m.select("page_id", F.when(F.col("n") == 1, F.col("d")).when(F.col("n") > 1, "ambiguous").otherwise("unmatched").alias("document"))
-
-
-@plan("intake_signals", r"SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(url || ' w1000000' || page_id % 10 || ' Rev B', '(?i)\b(W[0-9]{8})\b', 1), lambda x: upper(x)))), ',') AS publications, upper(regexp_extract(url || ' w1000000' || page_id % 10 || ' Rev B', '(?i)\bRev\.?\s*([A-Z])\b', 1)) AS revision FROM pages")
-def intake_signals(spark, folder):
-    line = F.concat("url", F.lit(" w1000000"), F.col("page_id") % 10, F.lit(" Rev B"))
-    found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(codes.PUBLICATION), F.lit(1)), F.upper)))
-    return table(spark, folder, "pages").select("page_id", F.array_join(found, ",").alias("publications"), F.upper(F.regexp_extract(line, r"(?i)\bRev\.?\s*([A-Z])\b", 1)).alias("revision"))
-
-
-@plan("training_export", "SELECT o_orderkey, count(l_linenumber) AS units, coalesce(string_agg(l_linenumber || '=' || l_returnflag, ';' ORDER BY l_linenumber, l_returnflag), '') AS trail FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
-def training_export(spark, folder):
-    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat_ws("=", "l_linenumber", "l_returnflag").alias("t"))))
-    u = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("units"), F.array_join(F.transform(lines, lambda x: x["t"]), ";").alias("trail"))
-    return table(spark, folder, "orders").select("o_orderkey").join(u, "o_orderkey", "left").fillna({"units": 0, "trail": ""})
-
-
-@plan("training_trail", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS attempt FROM lineitem")
-def training_trail(spark, folder):
-    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber")
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("attempt"))
-
-
-@plan("units_with_reps", "SELECT l_orderkey, count(*) AS reps, count(DISTINCT l_returnflag) > 1 AS stale FROM lineitem GROUP BY 1")
-def units_with_reps(spark, folder):
-    return table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("reps"), (F.size(F.collect_set("l_returnflag")) > 1).alias("stale"))
-
-
-@plan("load_units", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
-def load_units(spark, folder):
-    ids = table(spark, folder, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, folder, "lineitem").join(ids, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
-
-
 @plan("attach_layout", sql("SELECT query_id, c.chunk_id, coalesce(h.hit, 0) AS hit FROM (SELECT query_id, 'c' || lpad(CAST(query_id * 11 AS VARCHAR), 8, '0') AS chunk_id FROM asks) c LEFT JOIN (SELECT chunk_id, 1 AS hit FROM chunks WHERE page > 3) h USING (chunk_id)", ASKS_SQL, CHUNKS_SQL))
 def attach_layout(spark, folder):
     hits = asks(spark).select("query_id", F.concat(F.lit("c"), F.lpad((F.col("query_id") * 11).cast("string"), 8, "0")).alias("chunk_id"))

@@ -155,26 +155,3 @@ def claim_check_gate(spark, folder):
 def unsafe_recall(spark, folder):
     flagged = F.col("quality") == 0
     return table(spark, folder, "labels").agg(F.round(metrics.rate(flagged, F.col("toxic") == 1), 6).alias("unsafe_recall"), F.round(metrics.rate(flagged, F.col("toxic") == 0), 6).alias("false_escalation_rate"))
-
-
-@plan("intent_accuracy", "SELECT source AS arm, round(avg(CASE WHEN pred = lang THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS cases FROM (SELECT source, lang, CASE WHEN doc_id % 9 = 0 THEN 'en' ELSE lang END AS pred FROM documents) GROUP BY 1")
-def intent_accuracy(spark, folder):
-    d = table(spark, folder, "documents").withColumn("pred", F.when(F.col("doc_id") % 9 == 0, "en").otherwise(F.col("lang")))
-    return d.groupBy(F.col("source").alias("arm")).agg(F.round(F.avg((F.col("pred") == F.col("lang")).cast("double")), 6).alias("accuracy"), F.count(F.lit(1)).alias("cases"))
-
-
-@plan("intent_confusion", "SELECT lang AS expected, pred AS predicted, count(*) AS n FROM (SELECT lang, CASE WHEN doc_id % 9 = 0 THEN 'en' ELSE lang END AS pred FROM documents) WHERE lang <> pred GROUP BY 1, 2")
-def intent_confusion(spark, folder):
-    d = table(spark, folder, "documents").withColumn("pred", F.when(F.col("doc_id") % 9 == 0, "en").otherwise(F.col("lang")))
-    return d.where("lang <> pred").groupBy(F.col("lang").alias("expected"), F.col("pred").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@plan("judge_agreement", "SELECT count(*) AS cases, count(*) FILTER (quality = 1 - toxic) AS agreed, round(count(*) FILTER (quality = 1 - toxic) / count(*), 6) AS agreement FROM labels")
-def judge_agreement(spark, folder):
-    same = F.col("quality") == 1 - F.col("toxic")
-    return table(spark, folder, "labels").agg(F.count(F.lit(1)).alias("cases"), F.count_if(same).alias("agreed"), F.round(F.count_if(same) / F.count(F.lit(1)), 6).alias("agreement"))
-
-
-@plan("token_cost", "SELECT event_type, round(sum(coalesce(value, 0) * 1000) * 0.25 / 1000000, 6) AS cost FROM events GROUP BY 1")
-def token_cost(spark, folder):
-    return table(spark, folder, "events").groupBy("event_type").agg(F.round(F.sum(F.coalesce("value", F.lit(0.0)) * 1000) * 0.25 / 1_000_000, 6).alias("cost"))

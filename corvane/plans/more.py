@@ -6,11 +6,10 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import codes, intent, layout, serials, texts
-from ..operators import metrics, sessions, tables, versions
+from ..functions import codes, intent, layout, serials
+from ..operators import metrics, tables, versions
 from . import helpers, pages, retrieval, storage
 from . import metrics as metric_plans
-from . import sessions as session_plans
 from .base import ASKS_SQL, CHUNKS_SQL, EDGES_SQL, MANUALS_SQL, asks, chunks, edges, manuals, sql
 from .registry import plan, table
 from .texts import BIBLIOGRAPHIC, INSTALLATION, _quoted
@@ -41,18 +40,6 @@ def is_superseded_doc(spark, folder):
     return manuals(spark).join(old, "doc_id", "left").select("doc_id", F.coalesce("s", F.lit(False)).alias("superseded"))
 
 
-@plan("is_ack", sql(r"SELECT conv_id, turn, length(text) <= 120 AND regexp_matches(text, '(?i)^\s*(ok(ay)?|yes|done)\b') AS ack FROM turns", session_plans.TURNS_SQL))
-def is_ack(spark, folder):
-    t = F.col("text")
-    return session_plans.turns(spark, folder).select("conv_id", "turn", ((F.length(t) <= 120) & t.rlike(r"(?i)^\s*(ok(ay)?|yes|done)\b")).alias("ack"))
-
-
-@plan("is_unresolved", sql(r"SELECT conv_id, turn, regexp_matches(x, '(?i)\bstill (not|the same)') AS unresolved FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'still not working' ELSE text END AS x FROM turns)", session_plans.TURNS_SQL))
-def is_unresolved(spark, folder):
-    x = F.when(F.col("turn") % 2 == 0, "still not working").otherwise(F.col("text"))
-    return session_plans.turns(spark, folder).select("conv_id", "turn", x.rlike(r"(?i)\bstill (not|the same)").alias("unresolved"))
-
-
 def metric(name: str, column: str, rounded: bool):
     value = f"round(CAST({column} AS DOUBLE), 6)" if rounded else column
 
@@ -70,11 +57,6 @@ metric("ir_mrr", "mrr", True)
 metric("ir_ndcg", "ndcg", True)
 
 
-@plan("false_escalation_rate", "SELECT toxic, round(count(*) FILTER (quality = 0) / count(*), 6) AS rate FROM labels GROUP BY 1")
-def false_escalation_rate(spark, folder):
-    return table(spark, folder, "labels").groupBy("toxic").agg(F.round(F.count_if(F.col("quality") == 0) / F.count(F.lit(1)), 6).alias("rate"))
-
-
 @plan("high_precision_hit", sql("SELECT query_id, chunk_id, coalesce(m.score >= 0.999 OR list_has_any(error_codes, codes), false) AS precise FROM merged m JOIN (SELECT query_id, codes FROM asked) USING (query_id)", *retrieval.BASE, retrieval.MERGED_SQL))
 def high_precision_hit(spark, folder):
     h = retrieval.merged(spark, folder).join(retrieval.queries(spark).select("query_id", "codes"), "query_id")
@@ -96,22 +78,6 @@ def synthetic_tests(spark, folder):
     return chunks(spark, folder).select("chunk_no", F.startswith(F.concat(F.when(F.col("chunk_no") % 5 == 0, "synth-").otherwise(""), "doc_id"), F.lit("synth-")).alias("fake"))
 
 
-@plan("unit_cost", "SELECT l_orderkey, round(sum(l_quantity) * 0.02 / 1000, 4) AS cost FROM lineitem GROUP BY 1")
-def unit_cost(spark, folder):
-    return table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_quantity") * 0.02 / 1000, 4).alias("cost"))
-
-
-@plan("unit_grade", "SELECT l_orderkey, min(l_linenumber) FILTER (l_returnflag = 'R') AS first_rank, round(coalesce(1.0 / min(l_linenumber) FILTER (l_returnflag = 'R'), 0), 6) AS mrr FROM lineitem GROUP BY 1 HAVING bool_or(l_returnflag = 'R')")
-def unit_grade(spark, folder):
-    first = F.min(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")))
-    return table(spark, folder, "lineitem").groupBy("l_orderkey").agg(first.alias("first_rank")).where("first_rank is not null").withColumn("mrr", F.round(1 / F.col("first_rank"), 6))
-
-
-@plan("token_budget", r"SELECT conv_id, turn, greatest(0, length(text) // 4 - 60) AS overflow FROM conversations")
-def token_budget(spark, folder):
-    return table(spark, folder, "conversations").select("conv_id", "turn", F.greatest(F.lit(0), F.floor(F.char_length("text") / 4) - 60).cast("long").alias("overflow"))
-
-
 HEADERS_SQL = "h AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ['Problem', 'Possible Cause', 'Checks'] WHEN 1 THEN ['Code', 'Remedy'] WHEN 2 THEN ['Symptom', 'Cause'] ELSE CAST([] AS VARCHAR[]) END AS headers, [p_name, '', CASE WHEN p_size % 5 = 0 THEN '(cid:3)' ELSE p_type END] AS cells FROM part)"
 
 
@@ -121,54 +87,11 @@ def headed(spark, folder):
     return table(spark, folder, "part").select("p_partkey", heads.alias("headers"), F.array("p_name", F.lit(""), F.when(F.col("p_size") % 5 == 0, "(cid:3)").otherwise(F.col("p_type"))).alias("cells"))
 
 
-@plan("is_matrix", sql("SELECT p_partkey, regexp_matches(lower(array_to_string(headers, '|')), 'problem|symptom') AND regexp_matches(lower(array_to_string(headers, '|')), 'cause') AS matrix FROM h", HEADERS_SQL))
-def is_matrix(spark, folder):
-    return headed(spark, folder).select("p_partkey", tables.is_matrix(F.col("headers")).alias("matrix"))
-
-
-@plan("column_map", sql("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 2 THEN 1 ELSE -1 END AS cause FROM h", HEADERS_SQL))
-def column_map(spark, folder):
-    return headed(spark, folder).select("p_partkey", tables.column_of(F.col("headers"), "cause").alias("cause"))
-
-
 @plan("junk_table", sql(r"""SELECT p_partkey, n = 0 OR (s >= 8 AND n / s < 0.15) OR (c > 0 AND c >= greatest(1, n * 0.5)) OR (n <= 4 AND tiny) AS junk FROM (SELECT p_partkey, len(f) AS n, len(headers) + len(cells) AS s, len(list_filter(f, lambda x: regexp_matches(x, '(?i)\(cid:[0-9]+\)'))) AS c, len(list_filter(f, lambda x: length(trim(x)) > 8)) = 0 AS tiny FROM (SELECT *, list_filter(list_concat(headers, cells), lambda x: trim(x) <> '') AS f FROM h))""", HEADERS_SQL))
 def junk_table(spark, folder):
     return headed(spark, folder).select("p_partkey", tables.is_junk(F.col("headers"), F.col("cells")).alias("junk"))
 
 
-@plan("row_keys", sql(r"SELECT p_partkey, array_to_string(list_filter(list_transform(cells, lambda c: lower(trim(regexp_replace(c, '\s+', ' ', 'g')))), lambda c: c <> ''), '|') AS key FROM h", HEADERS_SQL))
-def row_keys(spark, folder):
-    return headed(spark, folder).select("p_partkey", tables.row_key(F.col("cells")).alias("key"))
-
-
-@plan("cell_access", sql("SELECT p_partkey, coalesce(headers[2], '') AS second FROM h", HEADERS_SQL))
-def cell_access(spark, folder):
-    return headed(spark, folder).select("p_partkey", F.coalesce(F.try_element_at("headers", F.lit(2)), F.lit("")).alias("second"))
-
-
-@plan("convert_table", sql("SELECT p_partkey, len(list_filter(cells, lambda c: c <> '')) AS filled FROM h WHERE len(headers) >= 2", HEADERS_SQL))
-def convert_table(spark, folder):
-    return headed(spark, folder).where(F.size("headers") >= 2).select("p_partkey", F.size(F.filter("cells", lambda c: c != "")).cast("long").alias("filled"))
-
-
-@plan("contextual_rows", "SELECT l_orderkey, l_linenumber, l_partkey, coalesce(last_value(CASE WHEN l_returnflag = 'R' THEN l_linestatus || l_linenumber END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS problem FROM lineitem")
-def contextual_rows(spark, folder):
-    rows = table(spark, folder, "lineitem").withColumn("problem", F.when(F.col("l_returnflag") == "R", F.concat("l_linestatus", "l_linenumber")).otherwise("")).withColumn("o", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    return tables.carry_down(rows, "l_orderkey", "o", "problem").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce("problem", F.lit("")).alias("problem"))
-
-
-@plan("row_bbox", "SELECT p_partkey, coalesce(b.box, -1) AS box FROM part LEFT JOIN (SELECT p_name, p_size, max(p_partkey * 2) AS box FROM part WHERE (p_name, p_size) IN (SELECT (p_name, p_size) FROM part GROUP BY p_name, p_size HAVING count(*) = 1) GROUP BY 1, 2) b USING (p_name, p_size)")
-def row_bbox(spark, folder):
-    p = table(spark, folder, "part").select("p_partkey", "p_name", "p_size")
-    found = p.select("p_name", "p_size", (F.col("p_partkey") * 2).alias("box"))
-    return tables.unique_boxes(p, found, ["p_name", "p_size"]).select("p_partkey", F.coalesce("box", F.lit(-1)).alias("box"))
-
-
-@plan("words_norm", r"SELECT conv_id, turn, len(list_filter(string_split_regex(trim(text), '\s+'), lambda w: regexp_matches(w, '[A-Za-z0-9]'))) AS words FROM conversations")
-def words_norm(spark, folder):
-    return table(spark, folder, "conversations").select("conv_id", "turn", F.size(F.filter(F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+"), lambda w: w.rlike("[A-Za-z0-9]"))).cast("long").alias("words"))
-
-
 @plan("strip_nul", "SELECT doc_id, length(text) AS n FROM documents")
 def strip_nul(spark, folder):
     dirty = F.concat(F.lit("\x00"), "text", F.lit("\x00"))
@@ -208,61 +131,9 @@ def sections(spark, folder):
     return heads.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("line").alias("t")))), lambda r: r["t"]), ">").alias("path"))
 
 
-@plan("audit_page", r"SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'reading_order_suspect' ELSE '' END || CASE WHEN p_size % 3 = 0 AND p_size % 4 = 0 THEN ',' ELSE '' END || CASE WHEN p_size % 4 = 0 THEN 'table_structure_suspect' ELSE '' END AS flags FROM part")
-def audit_page(spark, folder):
-    n = F.col("p_size")
-    flags = F.array_compact(F.array(F.when(n % 4 == 0, "table_structure_suspect"), F.when(n % 3 == 0, "reading_order_suspect"), F.when(n % 6 == 0, "reading_order_suspect")))
-    return table(spark, folder, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(flags)), ",").alias("flags"))
-
-
-@plan("quality_override", "SELECT p_partkey, CASE WHEN p_size = 7 THEN 'page-seven' WHEN p_brand LIKE '%3' THEN 'brand-three' WHEN p_size > 40 THEN 'large' ELSE 'none' END AS override FROM part")
-def quality_override(spark, folder):
-    rules = spark.createDataFrame([(1, "page-seven", 7, None), (2, "brand-three", None, "3")], "ord int, id string, page int, brand string")
-    p = table(spark, folder, "part")
-    met = p.join(F.broadcast(rules), (rules.page.isNull() | (rules.page == p.p_size)) & (rules.brand.isNull() | F.endswith(p.p_brand, rules.brand)))
-    first = met.groupBy("p_partkey").agg(F.min_by("id", "ord").alias("id"))
-    return p.join(first, "p_partkey", "left").select("p_partkey", F.coalesce("id", F.when(F.col("p_size") > 40, "large").otherwise("none")).alias("override"))
-
-
-@plan("format_label", sql("SELECT chunk_no, publication_number || CASE WHEN revision IS NULL THEN '' ELSE ' Rev ' || revision END || ', p. ' || page AS label FROM chunks", CHUNKS_SQL))
-def format_label(spark, folder):
-    rev = F.concat(F.lit(" Rev "), "revision")
-    return chunks(spark, folder).select("chunk_no", F.concat("publication_number", F.coalesce(rev, F.lit("")), F.lit(", p. "), "page").alias("label"))
-
-
-@plan("label_detail", sql(r"SELECT chunk_no, coalesce(nullif(regexp_extract(text, '(?i)TEST\s*#\s*[0-9]+', 0), ''), kind) AS detail FROM chunks", CHUNKS_SQL))
-def label_detail(spark, folder):
-    return chunks(spark, folder).select("chunk_no", F.coalesce(F.nullif(F.regexp_extract("text", r"(?i)TEST\s*#\s*[0-9]+", 0), F.lit("")), F.col("kind")).alias("detail"))
-
-
-@plan("semantic_stub", sql("SELECT chunk_no, '[' || (chunk_no % 5 + 1) || '] ' || doc_id || ' pages ' || page || '-' || (page + 2) || ' (attached)' AS stub FROM chunks", CHUNKS_SQL))
-def semantic_stub(spark, folder):
-    return chunks(spark, folder).select("chunk_no", F.concat(F.lit("["), F.col("chunk_no") % 5 + 1, F.lit("] "), "doc_id", F.lit(" pages "), "page", F.lit("-"), F.col("page") + 2, F.lit(" (attached)")).alias("stub"))
-
-
 OUTPUTS = "CASE event_id % 4 WHEN 0 THEN '{\"answer\": \"a\", \"abstained\": false}' WHEN 1 THEN 'ABSTAIN: no evidence' WHEN 2 THEN 'Plain prose [1].' ELSE '{\"abstained\": true}' END"
 
 
-@plan("parse_output", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'abstain' WHEN 2 THEN 'prose' ELSE 'abstain' END AS kind FROM events")
-def parse_output(spark, folder):
-    x = F.expr(OUTPUTS)
-    kind = F.when(F.get_json_object(x, "$.abstained") == "true", "abstain").when(F.try_parse_json(x).isNotNull(), "json").when(F.startswith(F.upper(F.ltrim(x)), F.lit("ABSTAIN:")), "abstain").otherwise("prose")
-    return table(spark, folder, "events").select("event_id", kind.alias("kind"))
-
-
-@plan("bind_generation", "SELECT conv_id, turn, CASE WHEN turn % 3 <= 2 AND turn % 3 > 0 THEN turn % 3 ELSE -1 END AS bound FROM conversations")
-def bind_generation(spark, folder):
-    c = table(spark, folder, "conversations").select("conv_id", "turn", (F.col("turn") % 3).alias("n"))
-    blocks = spark.createDataFrame([(1,), (2,)], "n long").withColumn("bound", F.col("n"))
-    return c.join(F.broadcast(blocks), "n", "left").select("conv_id", "turn", F.coalesce("bound", F.lit(-1)).alias("bound"))
-
-
-@plan("merge_scenarios", "SELECT p_partkey, coalesce(nullif(p_brand, 'Brand#1'), p_type) AS title, p_name || '+' || p_type AS expects FROM part")
-def merge_scenarios(spark, folder):
-    p = table(spark, folder, "part")
-    return p.select("p_partkey", F.coalesce(F.nullif("p_brand", F.lit("Brand#1")), F.col("p_type")).alias("title"), F.array_join(F.concat(F.array("p_name"), F.array("p_type")), "+").alias("expects"))
-
-
 @plan("assert_model", "SELECT count(DISTINCT label) > 1 AS mixed FROM embeddings")
 def assert_model(spark, folder):
     return table(spark, folder, "embeddings").agg((F.countDistinct("label") > 1).alias("mixed"))
@@ -271,116 +142,12 @@ def assert_model(spark, folder):
 V = (MANUALS_SQL, storage.VERSIONS_SQL)
 
 
-@plan("ensure_structured_active", sql("SELECT doc_id, CASE WHEN bool_or(status = 'active') THEN 'reuse' WHEN bool_or(status = 'superseded') THEN 'reactivate' ELSE 'create' END AS action FROM versions GROUP BY 1", *V))
-def ensure_structured_active(spark, folder):
-    s = F.col("status")
-    return storage.document_versions(spark).groupBy("doc_id").agg(F.when(F.bool_or(s == "active"), "reuse").when(F.bool_or(s == "superseded"), "reactivate").otherwise("create").alias("action"))
-
-
-@plan("create_version", sql("SELECT doc_id, version, status FROM versions UNION ALL SELECT doc_id, max(version) + 1, 'draft' FROM versions GROUP BY 1", *V))
-def create_version(spark, folder):
-    v = storage.document_versions(spark)
-    return v.unionByName(versions.next_version(v).select("doc_id", F.col("next_version").alias("version"), F.lit("draft").alias("status")))
-
-
-@plan("mark_ready", sql("SELECT doc_id, version, CASE WHEN status = 'draft' AND version = 2 THEN 'ready' ELSE status END AS status FROM versions", *V))
-def mark_ready(spark, folder):
-    return storage.document_versions(spark).withColumn("status", F.when((F.col("status") == "draft") & (F.col("version") == 2), "ready").otherwise(F.col("status")))
-
-
-@plan("abandon", sql("SELECT doc_id, version, CASE WHEN status IN ('draft', 'ready') THEN 'abandoned' ELSE status END AS status FROM versions", *V))
-def abandon(spark, folder):
-    return storage.document_versions(spark).withColumn("status", F.when(F.col("status").isin("draft", "ready"), "abandoned").otherwise(F.col("status")))
-
-
-@plan("ingestion_status", sql("SELECT doc_id, string_agg(status, ',' ORDER BY version) AS states FROM versions GROUP BY 1", *V))
-def ingestion_status(spark, folder):
-    rows = F.array_sort(F.collect_list(F.struct("version", "status")))
-    return storage.document_versions(spark).groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["status"]), ",").alias("states"))
-
-
-@plan("write_representations", "SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag <> 'A' AS kept FROM lineitem WHERE l_linestatus = 'F'")
-def write_representations(spark, folder):
-    rows = table(spark, folder, "lineitem").where("l_linestatus = 'F'")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_returnflag") != "A").alias("kept"))
-
-
-@plan("marker_key", sql("SELECT version, idx, start_page, (start_page, start_y) < (end_page, end_y) AS ordered FROM raw", storage.SPANS_SQL))
-def marker_key(spark, folder):
-    s, _ = storage.order_spans(spark, folder)
-    return s.select("version", "idx", "start_page", (F.struct(F.col("start_page").alias("p"), F.col("start_y").alias("y")) < F.struct(F.col("end_page").alias("p"), F.col("end_y").alias("y"))).alias("ordered"))
-
-
-@plan("span_empty", sql("SELECT version, idx, start_page, start_page > end_page OR (start_page = end_page AND start_y >= end_y) AS empty FROM raw", storage.SPANS_SQL))
-def span_empty(spark, folder):
-    s, _ = storage.order_spans(spark, folder)
-    return s.select("version", "idx", "start_page", ((F.col("start_page") > F.col("end_page")) | ((F.col("start_page") == F.col("end_page")) & (F.col("start_y") >= F.col("end_y")))).alias("empty"))
-
-
 @plan("review_issues", sql("SELECT version, count(*) AS issues FROM tried WHERE code IS NOT NULL GROUP BY 1", storage.SPANS_SQL))
 def review_issues(spark, folder):
     found = versions.validate_spans(*storage.order_spans(spark, folder)).where(F.col("code").isin("invalid_y", "unknown_page", "reversed_boundary"))
     return found.groupBy("version").agg(F.count(F.lit(1)).alias("issues"))
 
 
-@plan("approve_preflight", "SELECT l_orderkey, bool_and(l_linestatus = 'F') AND count(*) >= 2 AS ready FROM lineitem GROUP BY 1")
-def approve_preflight(spark, folder):
-    return table(spark, folder, "lineitem").groupBy("l_orderkey").agg((F.bool_and(F.col("l_linestatus") == "F") & (F.count(F.lit(1)) >= 2)).alias("ready"))
-
-
-@plan("query_for_label", sql("SELECT conv_id, turn, CASE WHEN label = 'ack' THEN 'previous symptom' ELSE text END AS query FROM (SELECT *, CASE WHEN regexp_matches(text, '(?i)^\\s*ok') THEN 'ack' ELSE 'other' END AS label FROM turns)", session_plans.TURNS_SQL))
-def query_for_label(spark, folder):
-    t = F.col("text")
-    return session_plans.turns(spark, folder).select("conv_id", "turn", F.when(t.rlike(r"(?i)^\s*ok"), "previous symptom").otherwise(t).alias("query"))
-
-
-@plan("procedure_needles", sql(r"SELECT chunk_no, array_to_string(list_distinct(regexp_extract_all(substr(text, 1, 60), '(?i)TEST\s*#\s*([0-9]+)', 1)), ',') AS needles FROM chunks WHERE chunk_no % 10 = 4", CHUNKS_SQL))
-def procedure_needles(spark, folder):
-    found = F.regexp_extract_all(F.substring("text", 1, 60), F.lit(r"(?i)TEST\s*#\s*([0-9]+)"), F.lit(1))
-    return chunks(spark, folder).where("chunk_no % 10 = 4").select("chunk_no", F.array_join(F.array_distinct(found), ",").alias("needles"))
-
-
-@plan("last_doc_ids", sql("SELECT query_id, string_agg(doc_id, ',' ORDER BY r) AS docs FROM (SELECT query_id, doc_id, min(rank) AS r FROM hits GROUP BY 1, 2) GROUP BY 1", CHUNKS_SQL, metric_plans.HITS_SQL))
-def last_doc_ids(spark, folder):
-    first = metric_plans.hits(spark, folder).groupBy("query_id", "doc_id").agg(F.min("rank").alias("r"))
-    return first.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "doc_id"))), lambda x: x["doc_id"]), ",").alias("docs"))
-
-
-@plan("exhausted_close", "SELECT conv_id, bool_and(turn % 2 = 0) AND count(*) > 0 AS closed FROM conversations WHERE role = 'assistant' GROUP BY 1")
-def exhausted_close(spark, folder):
-    tests, done = F.collect_set("turn"), F.collect_set(F.when(F.col("turn") % 2 == 0, F.col("turn")))
-    a = table(spark, folder, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(tests.alias("t"), done.alias("d"))
-    return a.select("conv_id", ((F.size("t") > 0) & (F.size(F.array_except("t", "d")) == 0)).alias("closed"))
-
-
-@plan("format_board", sql(r"SELECT conv_id, 'step ' || max(step) || '; ' || min_by(said, turn) AS board FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step FROM (SELECT conv_id, turn, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 160) AS said FROM turns WHERE role = 'user')) GROUP BY 1", session_plans.TURNS_SQL))
-def format_board(spark, folder):
-    b = sessions.board_fold(session_plans.turns(spark, folder)).where("step > 0")
-    return b.select("conv_id", F.concat(F.lit("step "), "step", F.lit("; "), "symptom").alias("board"))
-
-
-@plan("demote_texts", sql("SELECT conv_id, count(*) AS n FROM turns WHERE role = 'assistant' AND length(text) > 30 GROUP BY 1", session_plans.TURNS_SQL))
-def demote_texts(spark, folder):
-    return session_plans.turns(spark, folder).where("role = 'assistant'").where(F.char_length("text") > 30).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@plan("covered_questions", r"SELECT DISTINCT lower(trim(regexp_replace(event_type || '  ' || user_id, '\s+', ' ', 'g'))) AS question FROM events WHERE event_id % 3 = 0")
-def covered_questions(spark, folder):
-    return table(spark, folder, "events").where("event_id % 3 = 0").select(F.lower(texts.collapse(F.concat("event_type", F.lit("  "), "user_id"))).alias("question")).distinct()
-
-
-@plan("failure_rules", sql("SELECT event_id, code, CASE code WHEN 'wrong_polarity' THEN 2 WHEN 'skip_clarify' THEN 3 ELSE 1 END AS keys FROM tagged", session_plans.MINE_SQL))
-def failure_rules(spark, folder):
-    rules = spark.createDataFrame([("wrong_polarity", 2), ("skip_clarify", 3), ("empty_cites", 1)], "code string, keys int")
-    tags = F.array_compact(F.array(F.when(F.col("value") > 80, "wrong_polarity"), F.when(F.col("event_id") % 4 == 0, "skip_clarify"), F.when(F.col("user_id") % 10 == 0, "empty_cites")))
-    return table(spark, folder, "events").select("event_id", F.explode(tags).alias("code")).join(F.broadcast(rules), "code").select("event_id", "code", "keys")
-
-
-@plan("has_rule", "SELECT conv_id, bool_or(role = 'assistant' AND turn > 2) AS ruled FROM conversations GROUP BY 1")
-def has_rule(spark, folder):
-    return table(spark, folder, "conversations").groupBy("conv_id").agg(F.bool_or((F.col("role") == "assistant") & (F.col("turn") > 2)).alias("ruled"))
-
-
 @plan("pair_in", sql(f"SELECT query_id, regexp_matches({helpers._NORM}, '\\b(stop|stops|stopped|stopping) (after|mid|halfway)\\b') AS found FROM said", helpers.SAID_SQL))
 def pair_in(spark, folder):
     from ..operators import expansion
@@ -413,26 +180,6 @@ def safety_fixture(spark, folder):
     return g.select("request_id", ((F.col("action") == "block") | F.col("hazard").isNotNull() | (F.col("gate_rule") == "ungrounded-procedure")).alias("stopped"))
 
 
-@plan("clarify_choice", sql("SELECT case_id, min(name) AS asks FROM pc WHERE role = 'premise' AND value = 'UNKNOWN' GROUP BY 1", helpers.CASES_SQL))
-def clarify_choice(spark, folder):
-    c = spark.createDataFrame(helpers.POLICY_CASES, "case_id int, role string, name string, value string")
-    return c.where("role = 'premise' and value = 'UNKNOWN'").groupBy("case_id").agg(F.min("name").alias("asks"))
-
-
-@plan("web_archive_match", sql("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'url' WHEN page_id % 3 = 1 THEN 'path' ELSE 'none' END AS level FROM pages"))
-def web_archive_match(spark, folder):
-    p = table(spark, folder, "pages").select("page_id", F.lower("url").alias("u"), F.regexp_extract(F.lower("url"), r"([^/]+/[^/]+)$", 1).alias("tail"))
-    by_url = p.where("page_id % 3 = 0").select("page_id", F.lit(1).alias("level"))
-    by_path = p.where("page_id % 3 < 2").select("page_id", F.lit(2).alias("level"))
-    best = by_url.unionByName(by_path).groupBy("page_id").agg(F.min("level").alias("level"))
-    return p.join(best, "page_id", "left").select("page_id", F.when(F.col("level") == 1, "url").when(F.col("level") == 2, "path").otherwise("none").alias("level"))
-
-
-@plan("edge_blob", sql("SELECT doc_id, string_agg(type || ' ' || target, ' ' ORDER BY type, target) AS blob FROM edges GROUP BY 1", EDGES_SQL))
-def edge_blob(spark, folder):
-    return edges(spark).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "type", "target"))), " ").alias("blob"))
-
-
 @plan("document_state", sql("SELECT doc_id, CASE WHEN n.h IS NULL THEN 'missing' WHEN o.h = n.h THEN 'ok' ELSE 'changed' END AS state FROM old o LEFT JOIN fresh n USING (doc_id)", storage.OLD_SQL))
 def document_state(spark, folder):
     old, new = storage.snapshots(spark, folder)
@@ -446,72 +193,6 @@ def canonical_identity(spark, folder):
     return table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.concat(F.sha2(lines, 256), F.lit("-"), F.count(F.lit(1))).alias("identity"))
 
 
-@plan("unit_content_hash", r"SELECT conv_id, sha256(string_agg(turn || ':' || trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')), '|' ORDER BY turn)) AS hash FROM conversations GROUP BY 1")
-def unit_content_hash(spark, folder):
-    rows = F.array_sort(F.collect_list(F.struct("turn", texts.collapse(F.col("text")).alias("t"))))
-    return table(spark, folder, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["turn"], r["t"])), "|"), 256).alias("hash"))
-
-
-@plan("units_from_spans", "SELECT l_orderkey, l_linenumber, l_partkey, 'unit-' || lower(l_returnflag) || CASE WHEN k = 1 THEN '' ELSE '-' || k END AS unit_key FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem)")
-def units_from_spans(spark, folder):
-    k = F.row_number().over(Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    u = table(spark, folder, "lineitem").withColumn("k", k)
-    return u.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("unit-"), F.lower("l_returnflag"), F.when(F.col("k") == 1, "").otherwise(F.concat(F.lit("-"), "k"))).alias("unit_key"))
-
-
-@plan("reps_parse", "SELECT event_id, kind, body FROM (SELECT event_id, unnest(['overview', 'facts']) AS kind, unnest([event_type, CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END]) AS body FROM events) WHERE body <> ''")
-def reps_parse(spark, folder):
-    j = F.to_json(F.struct(F.col("event_type").alias("overview"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("user_id").cast("string")).alias("facts")))
-    e = table(spark, folder, "events").select("event_id", F.from_json(j, "overview string, facts string").alias("r"))
-    return e.select("event_id", F.expr("stack(2, 'overview', r.overview, 'facts', r.facts) as (kind, body)")).where("body <> ''")
-
-
-@plan("proposal_parse", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN -1 ELSE event_id % 9 END AS start_page, CASE WHEN event_id % 5 = 0 THEN 'invalid' ELSE coalesce(nullif(event_type, 'view'), 'none') END AS flag FROM events")
-def proposal_parse(spark, folder):
-    j = F.when(F.col("event_id") % 5 == 0, "not json").otherwise(F.to_json(F.struct((F.col("event_id") % 9).alias("start_page"), F.nullif("event_type", F.lit("view")).alias("flag"))))
-    e = table(spark, folder, "events").select("event_id", F.try_parse_json(j).isNull().alias("bad"), F.from_json(F.when(F.try_parse_json(j).isNull(), "{}").otherwise(j), "start_page long, flag string").alias("p"))
-    return e.select("event_id", F.coalesce("p.start_page", F.lit(-1)).alias("start_page"), F.when(F.col("bad"), "invalid").otherwise(F.coalesce("p.flag", F.lit("none"))).alias("flag"))
-
-
-@plan("assist_parse", "SELECT event_id, event_type AS title, user_id AS unit FROM events")
-def assist_parse(spark, folder):
-    j = F.to_json(F.struct(F.col("event_type").alias("title"), F.col("user_id").alias("unit")))
-    return table(spark, folder, "events").select("event_id", F.from_json(j, "title string, unit long").alias("p")).select("event_id", "p.*")
-
-
-@plan("resegment_unit", "SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS hash, 'edited' AS status FROM conversations WHERE turn BETWEEN 1 AND 3 GROUP BY 1")
-def resegment_unit(spark, folder):
-    rows = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    c = table(spark, folder, "conversations").where("turn between 1 and 3").groupBy("conv_id")
-    return c.agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["text"]), "\n"), 256).alias("hash"), F.lit("edited").alias("status"))
-
-
-@plan("layout_from_hit", sql("SELECT query_id, chunk_id, x0 >= 0 AND x0 < x0 + 3 AND y0 < 6 AS boxed FROM hits", session_plans.HITS_SQL))
-def layout_from_hit(spark, folder):
-    h = session_plans.problem_hits(spark, folder)
-    return h.select("query_id", "chunk_id", ((F.col("x0") >= 0) & (F.col("x0") < F.col("x0") + 3) & (F.col("y0") < 6)).alias("boxed"))
-
-
-@plan("citation_public", sql("SELECT query_id, chunk_id, CASE WHEN page >= 1 AND regexp_matches(doc_id, '^[A-Za-z0-9-]+$') THEN '/docs/' || doc_id || '/pages/' || page ELSE '' END AS url FROM hits", session_plans.HITS_SQL))
-def citation_public(spark, folder):
-    h = session_plans.problem_hits(spark, folder)
-    safe = (F.col("page") >= 1) & F.col("doc_id").rlike("^[A-Za-z0-9-]+$")
-    return h.select("query_id", "chunk_id", F.when(safe, F.concat(F.lit("/docs/"), "doc_id", F.lit("/pages/"), "page")).otherwise("").alias("url"))
-
-
-@plan("grade_turns", "SELECT conv_id, max(turn) AS graded, max_by(role = 'assistant' AND length(text) > 20, turn) AS passed FROM conversations GROUP BY 1")
-def grade_turns(spark, folder):
-    ok = (F.col("role") == "assistant") & (F.char_length("text") > 20)
-    return table(spark, folder, "conversations").groupBy("conv_id").agg(F.max("turn").alias("graded"), F.max_by(ok, "turn").alias("passed"))
-
-
-@plan("grade_answer", "SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN NOT contains(lower(text), 'the') THEN 'missing the' END, CASE WHEN contains(lower(text), 'zu') THEN 'fails_if zu' END, CASE WHEN length(text) < 40 THEN 'expected abstention' END], lambda x: x IS NOT NULL), '; ') AS detail FROM conversations WHERE role = 'assistant'")
-def grade_answer(spark, folder):
-    low = F.lower("text")
-    rules = F.array_compact(F.array(F.when(~F.contains(low, F.lit("the")), "missing the"), F.when(F.contains(low, F.lit("zu")), "fails_if zu"), F.when(F.char_length("text") < 40, "expected abstention")))
-    return table(spark, folder, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.array_join(rules, "; ").alias("detail"))
-
-
 @plan("rerank_hits")
 def rerank_hits(spark, folder):
     @F.pandas_udf("double")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codes, intent, serials
 from ..operators import arms, fusion, ranking
 from .base import ASKS_SQL, CHUNKS_SQL, EDGES_SQL, MANUALS_SQL, MODELS_SQL, RANGES_SQL, asks, chunks, edges, manuals, models, ranges, sql, vectors
-from .registry import plan, table
+from .registry import plan
 from .texts import BIBLIOGRAPHIC, FOLD_SQL, INSTALLATION
 
 COLS = "query_id, doc_id, chunk_id, chunk_no, text, page, kind, language, publication_number, revision, error_codes"
@@ -305,44 +305,3 @@ def weak_evidence(spark, folder):
     precise = (F.col("final_score") >= 0.999) | F.arrays_overlap("error_codes", codes.error_codes(F.col("ask")))
     t = top(spark, folder).groupBy("query_id").agg(F.max("final_score").alias("m"), F.bool_or(precise).alias("p"))
     return t.select("query_id", F.round("m", 6).alias("best"), ((F.col("m") < 0.6) & ~F.col("p")).alias("weak"))
-
-
-@plan("dense_numpy_fetch", sql(f"""SELECT query_id, chunk_no, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS chunk_no, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_cos('q.embedding', 'e.embedding')} DESC, e.vec_id) AS rank FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id < 5) WHERE rank <= 8"""))
-def dense_fetch(spark, folder):
-    v = vectors(spark, folder).withColumns({"doc_id": F.lit("D"), "text": F.lit("")})
-    found = arms.vector_fetch(v.where("chunk_no < 5").select(F.col("chunk_no").alias("query_id"), F.col("embedding").alias("vector")), v, 8)
-    return found.select("query_id", "chunk_no", F.col("arm_rank").cast("long").alias("rank"))
-
-
-@plan("unit_vector_search", sql(f"""SELECT query_id, unit, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, unit) AS place FROM (SELECT q.vec_id AS query_id, e.label AS unit, max({_cos('q.embedding', 'e.embedding')}) AS score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id < 5 GROUP BY 1, 2) QUALIFY place <= 5"""))
-def unit_vector_search(spark, folder):
-    e = table(spark, folder, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    q = table(spark, folder, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    best = e.crossJoin(arms.small(q)).groupBy("query_id", F.col("label").alias("unit")).agg(F.max(arms.cosine("vector", "embedding")).alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "unit")).cast("long")
-    return best.withColumn("place", place).where("place <= 5").select("query_id", "unit", F.round("score", 6).alias("score"), "place")
-
-
-#: Strategies by name: (spark, folder) -> a query's hits with place.
-def production(spark, folder, limit=8):
-    """All arms, merged, filtered, boosted, restricted and diversified: query_id, chunk_id, doc_id, place, final_score."""
-    q = queries(spark)
-    vec, code = vector_hits(spark, folder), code_hits(spark, folder)
-    wires = arms.connector_fetch(q.where(F.size("connectors") > 0).select("query_id", "connectors"), chunks(spark, folder))
-    refs = arms.reference_fetch(vec, edges(spark), chunks(spark, folder), q.select("query_id", "installation"), 3)
-    able = applies(spark).where("applies").join(manuals(spark).where("doc_type = 'service_manual'"), "doc_id").select("query_id", "publication_number")
-    revised = q.where("bibliographic").select("query_id", "revision", "led").where("revision is not null").withColumnRenamed("revision", "wanted").join(able, "query_id")
-    revs = arms.ranked(chunks(spark, folder).join(revised, "publication_number").where("upper(revision) = wanted").withColumn("score", F.lit(arms.REVISION)).drop("wanted", "led"), 8, F.col("page"), F.col("chunk_id"))
-    hits = fusion.drop_synthetic(fusion.merge_hits(revs, code, wires, refs, vec))
-    hits = ranking.apply_filter(hits, applies(spark))
-    e = edges(spark).groupBy("doc_id").agg(F.bool_or(F.col("type").isin("corrects", "supersedes", "overrides")).alias("corrects"), F.bool_or(F.col("type") == "superseded_by").alias("superseded"))
-    hits = hits.join(manuals(spark).select("doc_id", "doc_type", "tier").join(e, "doc_id", "left").fillna(False, ["corrects", "superseded"]), "doc_id")
-    hits = hits.join(q.select("query_id", "ask", "audience", "bibliographic", "installation"), "query_id").withColumns({"mid_cycle": F.lit(False), "is_target": F.lit(False)})
-    hits = ranking.boosted(hits).withColumn("final_score", F.round("final_score", 9))
-    hits = fusion.restrict(hits, F.array_contains(codes.queried_publications(F.col("ask")), F.upper("publication_number")))
-    return ranking.diverse_top(hits, limit)
-
-
-@plan("strategy_run")
-def strategy_run(spark, folder):
-    return production(spark, folder).select("query_id", "chunk_id", "doc_id", "rank", F.round("final_score", 6).alias("final_score"))

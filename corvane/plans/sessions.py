@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import texts
 from ..operators import evidence, sessions
 from .base import sql
 from .registry import plan, table
 
-TURNS_SQL = """turns AS (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 5 = 0 THEN 'ok, done' WHEN (conv_id + turn) % 7 = 0 THEN 'F' || conv_id % 10 || ' E' || turn % 10 || ' ' || substr(text, 1, 50) ELSE substr(text, 1, 80) END AS text FROM conversations)"""
-PROGRESS_SQL = sessions.PROGRESS
-
-
-def turns(spark, folder):
-    c, k = table(spark, folder, "conversations"), F.col("conv_id") + F.col("turn")
-    text = F.when(k % 5 == 0, "ok, done").when(k % 7 == 0, F.concat(F.lit("F"), F.col("conv_id") % 10, F.lit(" E"), F.col("turn") % 10, F.lit(" "), F.substring("text", 1, 50))).otherwise(F.substring("text", 1, 80))
-    return c.select("conv_id", "turn", "role", text.alias("text"))
-
-
 @plan("session_store", """SELECT user_id, event_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session_no FROM (
 SELECT user_id, event_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 1800 SECOND THEN 1 ELSE 0 END AS new FROM events)""")
 def session_store(spark, folder):
@@ -33,72 +21,6 @@ def assist_store(spark, folder):
     return s.groupBy("user_id", "session_no").agg(F.count(F.lit(1)).alias("n")).where("n <= 40")
 
 
-@plan("is_progress", sql(f"SELECT conv_id, turn, length(text) <= 120 AND regexp_matches(text, '{PROGRESS_SQL}') AS progress FROM turns", TURNS_SQL))
-def is_progress(spark, folder):
-    return turns(spark, folder).select("conv_id", "turn", sessions.is_progress(F.col("text")).alias("progress"))
-
-
-@plan("session_query", sql(rf"""SELECT conv_id, trim(array_to_string(list_filter([array_to_string(codes, ' '), trim(CASE WHEN late THEN anchor ELSE recent END)], lambda x: x <> ''), ' ')) AS query FROM (
-SELECT conv_id, coalesce(list_sort(list_distinct(flatten(list(list_transform(regexp_extract_all(text, '(?i)\bF\s*[0-9]\s*E\s*[0-9]\b', 0), lambda x: upper(regexp_replace(x, '\s+', '', 'g'))))))), []) AS codes, bool_or(p AND back = 1) AS late,
-coalesce(min_by(text, turn) FILTER (NOT p), min_by(text, turn)) AS anchor, string_agg(text, ' ' ORDER BY turn) FILTER (CASE WHEN every THEN back <= 3 ELSE NOT p AND rb <= 3 END) AS recent FROM (
-SELECT *, bool_and(p) OVER (PARTITION BY conv_id) AS every, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, row_number() OVER (PARTITION BY conv_id, p ORDER BY turn DESC) AS rb FROM (SELECT *, length(text) <= 120 AND regexp_matches(text, '{PROGRESS_SQL}') AS p FROM turns WHERE role = 'user')) GROUP BY 1)""", TURNS_SQL))
-def session_query(spark, folder):
-    return sessions.session_query(turns(spark, folder))
-
-
-@plan("board_fold", sql(r"""SELECT conv_id, max(step) AS step, coalesce(min_by(said, turn), '') AS symptom, coalesce(string_agg(said, '|' ORDER BY turn) FILTER (first), '') AS observations FROM (
-SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step, row_number() OVER (PARTITION BY conv_id, said ORDER BY turn) = 1 AS first FROM (SELECT conv_id, turn, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 160) AS said FROM turns WHERE role = 'user')) GROUP BY 1""", TURNS_SQL))
-def board_fold(spark, folder):
-    b = sessions.board_fold(turns(spark, folder)).where("step > 0")
-    return b.select("conv_id", F.col("step").cast("long").alias("step"), "symptom", F.array_join("observations", "|").alias("observations"))
-
-
-@plan("turn_limit", sql("SELECT conv_id, turn, place FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM turns WHERE role = 'user') WHERE place <= 2", TURNS_SQL))
-def turn_limit(spark, folder):
-    return sessions.within_limit(turns(spark, folder), 2).select("conv_id", "turn", F.col("place").cast("long").alias("place"))
-
-
-@plan("prior_assistant", sql("SELECT conv_id, turn, coalesce(prior, '') AS prior FROM (SELECT *, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM turns) WHERE role = 'user'", TURNS_SQL))
-def prior_assistant(spark, folder):
-    return sessions.prior_assistant(turns(spark, folder)).select("conv_id", "turn", F.coalesce("prior", F.lit("")).alias("prior"))
-
-
-@plan("transcript_window", sql("SELECT conv_id, turn FROM (SELECT *, row_number() OVER w AS back, sum(length(text)) OVER w AS upto FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) WHERE back <= 4 AND upto <= 200", TURNS_SQL))
-def transcript_window(spark, folder):
-    return sessions.transcript_tail(turns(spark, folder), 4, 200).select("conv_id", "turn")
-
-
-@plan("regex_label", sql(f"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '{PROGRESS_SQL}') THEN 'ack' WHEN regexp_matches(text, '(?i)\\bF\\s*[0-9]\\s*E\\s*[0-9]\\b') THEN 'new_symptom' ELSE 'other' END AS label FROM turns WHERE role = 'user'", TURNS_SQL))
-def regex_label(spark, folder):
-    t = F.col("text")
-    label = F.when(t.rlike(sessions.PROGRESS), "ack").when(t.rlike(r"(?i)\bF\s*[0-9]\s*E\s*[0-9]\b"), "new_symptom").otherwise("other")
-    return turns(spark, folder).where("role = 'user'").select("conv_id", "turn", label.alias("label"))
-
-
-@plan("session_codes", sql(r"SELECT conv_id, array_to_string(list_sort(list_distinct(flatten(list(list_transform(regexp_extract_all(text, '(?i)\bF\s*[0-9]\s*E\s*[0-9]\b', 0), lambda x: upper(regexp_replace(x, '\s+', '', 'g'))))))), ',') AS codes FROM turns GROUP BY 1", TURNS_SQL))
-def session_codes(spark, folder):
-    from ..functions.codes import error_codes
-
-    return turns(spark, folder).groupBy("conv_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(error_codes(F.col("text")))))), ",").alias("codes"))
-
-
-@plan("claims_from_prose", sql(r"""SELECT conv_id, turn, pos, claim, coalesce(try_cast(regexp_extract(claim, '\[([0-9]+)\]', 1) AS INTEGER), 0) AS cited FROM (
-SELECT conv_id, turn, unnest(list_filter(list_transform(string_split(text || ' See [' || turn || ']. Then [12]!', '. '), lambda x: trim(x)), lambda x: x <> '')) AS claim, generate_subscripts(list_filter(list_transform(string_split(text || ' See [' || turn || ']. Then [12]!', '. '), lambda x: trim(x)), lambda x: x <> ''), 1) AS pos FROM turns)""", TURNS_SQL))
-def claims_from_prose(spark, folder):
-    line = F.concat("text", F.lit(" See ["), "turn", F.lit("]. Then [12]!"))
-    parts = F.filter(F.transform(F.split(line, r"\. "), lambda x: F.trim(x)), lambda x: x != "")
-    t = turns(spark, folder).select("conv_id", "turn", F.posexplode(parts).alias("p", "claim"))
-    return t.select("conv_id", "turn", (F.col("p") + 1).cast("long").alias("pos"), "claim", F.coalesce(F.nullif(F.regexp_extract("claim", r"\[([0-9]+)\]", 1), F.lit("")).cast("int"), F.lit(0)).alias("cited"))
-
-
-@plan("resolve_citations", r"""WITH a AS (SELECT conv_id, turn, list_transform(regexp_extract_all('see [' || turn % 3 || '] and [2] then [' || turn % 3 || '] or [' || conv_id % 4 || ']', '\[([0-9]+)\]', 1), lambda x: CAST(x AS INTEGER)) AS n FROM conversations),
-u AS (SELECT conv_id, turn, unnest(n) AS i, generate_subscripts(n, 1) AS p FROM a), f AS (SELECT conv_id, turn, i, min(p) AS p FROM u GROUP BY 1, 2, 3)
-SELECT conv_id, turn, string_agg(CAST(i AS VARCHAR), ',' ORDER BY p) AS cited FROM f GROUP BY 1, 2""")
-def resolve_citations(spark, folder):
-    line = F.concat(F.lit("see ["), F.col("turn") % 3, F.lit("] and [2] then ["), F.col("turn") % 3, F.lit("] or ["), F.col("conv_id") % 4, F.lit("]"))
-    return table(spark, folder, "conversations").select("conv_id", "turn", F.array_join(evidence.cited_indexes(line).cast("array<string>"), ",").alias("cited"))
-
-
 PACK_SQL = """WITH RECURSIVE items AS (SELECT conv_id, turn, length(text) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
 walk AS (SELECT conv_id, turn, r, CAST(cost AS BIGINT) AS used, true AS picked FROM items WHERE r = 1
 UNION ALL SELECT i.conv_id, i.turn, i.r, CASE WHEN w.used + i.cost <= 600 THEN w.used + i.cost ELSE w.used END, w.used + i.cost <= 600 FROM walk w JOIN items i ON i.conv_id = w.conv_id AND i.r = w.r + 1)
@@ -151,48 +73,3 @@ def expand_siblings(spark, folder):
     h = problem_hits(spark, folder)
     e = evidence.expand_siblings(h.where("rank <= 2"), h.withColumn("kind", F.lit("table_row")).select("doc_id", "chunk_id", "page", "problem_title", "kind", "body", "y0"))
     return e.select("query_id", "chunk_id", F.col("place").cast("long").alias("place"))
-
-
-@plan("pack_order", sql("SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank = (SELECT min(rank) FROM hits h WHERE h.query_id = hits.query_id) THEN 0 WHEN x0 > 3 THEN 1 ELSE 2 END, rank) AS place FROM hits", HITS_SQL))
-def pack_order(spark, folder):
-    h = problem_hits(spark, folder).withColumn("top", F.min("rank").over(Window.partitionBy("query_id")))
-    order = F.when(F.col("rank") == F.col("top"), 0).when(F.col("x0") > 3, 1).otherwise(2)
-    return h.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "rank")).cast("long").alias("place"))
-
-
-@plan("stick_hits", sql("SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN unit % 3 = 0 THEN 0 WHEN unit % 3 = 1 THEN 1 ELSE 2 END, score DESC, chunk_id) AS place FROM hits", HITS_SQL))
-def stick_hits(spark, folder):
-    bucket = F.when(F.col("unit_id") % 3 == 0, 0).when(F.col("unit_id") % 3 == 1, 1).otherwise(2)
-    h = problem_hits(spark, folder)
-    return h.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy(bucket, F.desc("score"), "chunk_id")).cast("long").alias("place"))
-
-
-@plan("plan_page_images", sql("SELECT query_id, doc_id, page, place FROM (SELECT query_id, doc_id, page, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS place FROM hits GROUP BY 1, 2, 3) WHERE place <= 3", HITS_SQL))
-def plan_page_images(spark, folder):
-    h = problem_hits(spark, folder).groupBy("query_id", "doc_id", "page").agg(F.min("rank").alias("at"))
-    return h.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at")).cast("long")).where("place <= 3").drop("at")
-
-
-MINE_SQL = r"""tagged AS (SELECT event_id, ts, event_type, unnest(list_filter([CASE WHEN value > 80 THEN 'wrong_polarity' END, CASE WHEN event_id % 4 = 0 THEN 'skip_clarify' END, CASE WHEN user_id % 10 = 0 THEN 'empty_cites' END], lambda x: x IS NOT NULL)) AS code, props || ' ' || user_id AS question FROM events),
-marked AS (SELECT *, code || '|' || lower(trim(regexp_replace(question, '\s+', ' ', 'g'))) AS fp FROM tagged)"""
-
-
-@plan("mine_run", sql("SELECT event_id, code, CASE WHEN row_number() OVER (PARTITION BY fp ORDER BY ts, event_id) > 1 THEN 'skipped' WHEN question LIKE '%5' THEN 'covered' ELSE 'failing' END AS outcome FROM marked", MINE_SQL))
-def mine_run(spark, folder):
-    e = table(spark, folder, "events")
-    tags = F.array_compact(F.array(F.when(F.col("value") > 80, "wrong_polarity"), F.when(F.col("event_id") % 4 == 0, "skip_clarify"), F.when(F.col("user_id") % 10 == 0, "empty_cites")))
-    t = e.select("event_id", "ts", F.explode(tags).alias("code"), F.concat_ws(" ", "props", F.col("user_id").cast("string")).alias("question"))
-    t = t.withColumn("fp", texts.trace_fingerprint(F.col("code"), F.col("question")))
-    again = F.row_number().over(Window.partitionBy("fp").orderBy("ts", "event_id")) > 1
-    return t.select("event_id", "code", F.when(again, "skipped").when(F.endswith("question", F.lit("5")), "covered").otherwise("failing").alias("outcome"))
-
-
-@plan("mine_classify", sql("SELECT event_id, string_agg(code, ',' ORDER BY code) AS codes FROM marked GROUP BY 1", MINE_SQL))
-def mine_classify(spark, folder):
-    tags = F.array_compact(F.array(F.when(F.col("value") > 80, "wrong_polarity"), F.when(F.col("event_id") % 4 == 0, "skip_clarify"), F.when(F.col("user_id") % 10 == 0, "empty_cites")))
-    return table(spark, folder, "events").where(F.size(tags) > 0).select("event_id", F.array_join(F.array_sort(tags), ",").alias("codes"))
-
-
-@plan("filter_traces", "SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50")
-def filter_traces(spark, folder):
-    return table(spark, folder, "events").where(F.get_json_object("props", "$.k").cast("int") >= 50).select("event_id")

@@ -117,33 +117,6 @@ def next_version(spark, folder):
     return versions.next_version(document_versions(spark).where("status <> 'abandoned'"))
 
 
-@plan("activate", sql("""SELECT v.doc_id, v.version, CASE WHEN able AND v.version = 3 THEN 'active' WHEN able AND v.status = 'active' THEN 'superseded' ELSE v.status END AS status
-FROM versions v JOIN (SELECT doc_id, bool_or(version = 3 AND status IN ('ready', 'superseded', 'active')) AS able FROM versions GROUP BY 1) USING (doc_id)""", MANUALS_SQL, VERSIONS_SQL))
-def activate(spark, folder):
-    return versions.activate(document_versions(spark), manuals(spark).select("doc_id", F.lit(3).alias("version")))
-
-
-@plan("revert_to", sql("""SELECT v.doc_id, v.version, CASE WHEN v.version = 1 THEN 'active' WHEN v.status = 'active' THEN 'superseded' ELSE v.status END AS status FROM versions v""", MANUALS_SQL, VERSIONS_SQL))
-def revert_to(spark, folder):
-    return versions.activate(document_versions(spark), manuals(spark).select("doc_id", F.lit(1).alias("version")))
-
-
-@plan("set_status", sql("SELECT doc_id, version, CASE WHEN status = 'draft' THEN 'ready' ELSE status END AS status FROM versions", MANUALS_SQL, VERSIONS_SQL))
-def set_status(spark, folder):
-    return document_versions(spark).withColumn("status", F.when(F.col("status") == "draft", "ready").otherwise(F.col("status")))
-
-
-@plan("version_summary", sql("SELECT doc_id, count(*) AS n, count(*) FILTER (status = 'active') AS active, coalesce(max(CASE WHEN status = 'active' THEN version END), -1) AS active_version FROM versions GROUP BY 1", MANUALS_SQL, VERSIONS_SQL))
-def version_summary(spark, folder):
-    s = F.col("status") == "active"
-    return document_versions(spark).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(s).alias("active"), F.coalesce(F.max(F.when(s, F.col("version"))), F.lit(-1)).alias("active_version"))
-
-
-@plan("all_units_approved", "SELECT l_orderkey, count(*) > 0 AND bool_and(l_linestatus = 'F') AS approved FROM lineitem GROUP BY 1")
-def all_units_approved(spark, folder):
-    return table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_linestatus") == "F").alias("approved"))
-
-
 #: Spans made of order lines: an order's lines as units over a window of pages.
 SPANS_SQL = """raw AS (SELECT l_orderkey AS version, l_linenumber AS idx, CAST(l_partkey % 12 + 1 AS INTEGER) AS start_page, CAST(l_partkey % 12 + 1 + l_suppkey % 4 - CASE WHEN l_suppkey % 17 = 0 THEN 5 ELSE 0 END AS INTEGER) AS end_page, l_discount * 10 AS start_y, CASE WHEN l_suppkey % 29 = 0 THEN 1.5 ELSE l_tax * 12 END AS end_y FROM lineitem),
 win AS (SELECT o_orderkey AS version, 1 AS first, 14 AS last FROM orders),

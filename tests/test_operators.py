@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import arms, chunking, evidence, fusion, policy, ranking, safety, sessions, versions
+from corvane.operators import arms, chunking, dialogue, evidence, fusion, policy, ranking, safety, sessions, versions
 from corvane.streaming import sessions as streams
 
 
@@ -125,7 +125,7 @@ def test_operators_over_nothing(spark):
     ranked = h.withColumn("final_score", F.col("score")).withColumn("merge_ord", F.col("arm_rank"))
     assert ranking.diverse_top(ranked, 3).count() == 0 and ranking.dispositions(ranked, 3).count() == 0
     turns = spark.createDataFrame([(1, 1, "user", None)], "conv_id long, turn long, role string, text string")
-    assert sessions.session_query(turns.where("false")).count() == 0 and sessions.board_fold(turns).collect()[0].step == 0
+    assert sessions.session_query(turns.where("false")).count() == 0 and dialogue.fold_boards(turns.where("false")).count() == 0
     assert chunking.fixed_windows(spark.createDataFrame([(1, None), (2, ""), (3, " ")], "k int, text string"), "k").count() == 0
 
 
