@@ -202,28 +202,49 @@ def read_report(text: str | None) -> dict | None:
         return None
 
 
+@dataclass
+class Fold:
+    """A conversation's board so far, with what the next turn needs. A step is a user turn; the symptom is the first one that isn't mere progress."""
+
+    board: Board = field(default_factory=Board)
+    step: int = 0
+    before: str = ""
+    first: str = ""
+    symptom: str = ""
+
+    @staticmethod
+    def read(text: str | None) -> Fold:
+        data = json.loads(text) if text else {}
+        return Fold(**data | {"board": Board.read(data.get("board"))})
+
+    def take(self, turn: dict) -> None:
+        said = turn["text"] or ""
+        if turn["role"] == "assistant":
+            self.before = said or self.before
+        elif turn["role"] == "user":
+            self.step += 1
+            self.first = self.first or said
+            if not self.symptom and said.strip() and not says_progress(said):
+                self.symptom = said
+            self.board = self.board.advance(self.step, self.symptom or self.first, said, read_report(turn.get("diagnostic")), self.before, turn.get("label"))
+
+
 def fold_boards(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """The board after each conversation's last user turn: key and the board's fields.
 
     turns: key, turn, role, text, and optionally label (else progress is read from the words) and diagnostic (a model's
-    report as JSON). A step is a user turn; the symptom is the first one that isn't mere progress.
+    report as JSON).
     """
     more = [c for c in ("label", "diagnostic") if c in turns.columns]
 
-    def fold(row: dict) -> list[dict]:
-        said = [t["text"] or "" for t in row["rows"] if t["role"] == "user"]
-        anchor = next((x for x in said if x.strip() and not says_progress(x)), said[0] if said else "")
-        board, before, step = Board(), "", 0
+    def run(row: dict) -> list[dict]:
+        fold = Fold()
         for t in row["rows"]:
-            if t["role"] == "assistant":
-                before = t["text"] or before
-            elif t["role"] == "user":
-                step += 1
-                board = board.advance(step, anchor, t["text"] or "", read_report(t.get("diagnostic")), before, t.get("label"))
-        return [asdict(board) | {key: row[key]}] if step else []
+            fold.take(t)
+        return [asdict(fold.board) | {key: row[key]}] if fold.step else []
 
     dtype = turns.schema[key].dataType.simpleString()
-    return map_rows(gathered(turns, [key], ["turn"], ["role", "text", *more]), fold, f"{key} {dtype}, {BOARD}")
+    return map_rows(gathered(turns, [key], ["turn"], ["role", "text", *more]), run, f"{key} {dtype}, {BOARD}")
 
 
 def check_label(text) -> str:

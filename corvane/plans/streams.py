@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +19,19 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def drained(df: DataFrame, mode: str) -> DataFrame:
-    """All that a stream puts out until its input ends."""
-    name = "t" + uuid.uuid4().hex
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a stream puts out until its input ends: each batch is a folder's part, in complete mode the only one. Batches that are run again replace their part."""
+    spark, path = df.sparkSession, f"{writers.shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={0 if mode == 'complete' else n}")
+
+    spark.createDataFrame([], df.schema).write.parquet(f"{path}/out/batch=-1")
+    query = df.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
 @plan("stream_session_windows", """SELECT user_id, count(*) AS n, min(ts) AS first_ts FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
@@ -48,10 +52,11 @@ def stream_trace_mining(spark, folder):
     return drained(sessions.new_traces(stream(spark, folder, "events"), ["event_type", "user_id"], "365 days"), "append").select("event_type", "user_id")
 
 
-@plan("stream_board_fold", r"""SELECT conv_id, max(step) AS step, min_by(said, turn) AS symptom FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step, substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 160) AS said FROM conversations WHERE role = 'user' AND trim(text) <> '') GROUP BY 1""")
+@plan("stream_board_fold", r"""SELECT conv_id, count(*) AS step, coalesce(min_by(said, turn), '') AS symptom FROM (SELECT conv_id, turn, trim(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 160)) AS said FROM conversations WHERE role = 'user') GROUP BY 1""")
 def stream_board_fold(spark, folder):
+    """Turns come in one batch, so each conversation's last board is its only one."""
     b = drained(sessions.fold_boards(stream(spark, folder, "conversations"), ttl_ms=None), "update").where("step > 0")
-    return b.select("conv_id", F.col("step").cast("long").alias("step"), "symptom")
+    return b.groupBy("conv_id").agg(F.max(F.struct(F.col("step").cast("long").alias("step"), F.col("symptom_anchor").alias("symptom"))).alias("b")).select("conv_id", "b.*")
 
 
 @plan("file_identity")
@@ -59,21 +64,15 @@ def file_identity(spark, folder):
     return readers.file_identities(spark, folder, "region*.parquet")
 
 
-@plan("scan_parsed", """SELECT 'D' || source AS doc_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE doc_id < 200 GROUP BY 1""")
+@plan("scan_parsed", """SELECT 'D' || source AS doc_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1""")
 def scan_parsed(spark, folder):
-    out = f"{_scratch(spark)}/parsed-{uuid.uuid4().hex}"
-    d = table(spark, folder, "documents").where("doc_id < 200").select(F.concat(F.lit("D"), "source").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    out = f"{writers.shared_folder(spark)}/parsed-{uuid.uuid4().hex}"
+    d = table(spark, folder, "documents").select(F.concat(F.lit("D"), "source").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text")
     writers.parsed(d, out)
     back = spark.read.schema("chunk_id string, text string, doc_id string").json(out)
     return back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The shared folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (base or tempfile.mkdtemp(prefix="corvane-")).rstrip("/")
-
-
 @plan("export_jsonld")
 def export_jsonld(spark, folder):
     return writers.dataset_description(manuals(spark), "manuals")

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _own_folder() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="corvane-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: this application's part of the folder that spark.checkpoint.dir names. Without one a local session has a folder that goes when the process ends; a cluster has none, which is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/corvane-{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder().name
+
+
 def parsed(chunks: DataFrame, path: str) -> None:
     """Chunks as JSON lines, one folder a document."""
     chunks.write.partitionBy("doc_id").mode("overwrite").json(path)

@@ -5,13 +5,16 @@ State is kept per key and dropped by time; nothing here depends on how many keys
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import dialogue
 from ..operators.safety import FORBIDDEN_OUTPUT, HOLD_BACK
 
 
@@ -38,37 +41,28 @@ def _timeout(ttl_ms: int | None) -> str:
     return GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
 
 
-BOARD = "conv_id long, step int, symptom string, observations string"
+def fold_boards(turns: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
+    """Each conversation's board (as `operators.dialogue` folds it) after every batch in which it had turns; forgotten `ttl_ms` of processing time after the last one.
 
-
-def fold_boards(turns: DataFrame, items: int = 12, chars: int = 160, ttl_ms: int | None = 3_600_000) -> DataFrame:
-    """Each conversation's board after every batch in which it had turns; forgotten `ttl_ms` of processing time after the last one.
-
-    Without a `ttl_ms` boards are never forgotten; a stream that is to end by itself needs that, since timers keep one running.
-    A batch's turns of a conversation are folded in order of turn.
+    turns: conv_id, turn, role, text. Without a `ttl_ms` boards are never forgotten; a stream that is to end by itself
+    needs that, since timers keep one running. A batch's turns of a conversation are folded in order of turn.
     """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        step, symptom, seen = state.get if state.exists else (0, "", "")
-        held = seen.split("\x1f") if seen else []
-        turns_ = pd.concat(list(batches))
-        for _, row in turns_.sort_values("turn").iterrows():
-            said = " ".join((row["text"] or "").split())[:chars]
-            if row["role"] != "user" or not said:
-                continue
-            step, symptom = step + 1, symptom or said
-            if said not in held:
-                held = [*held, said][-items:]
-        state.update((int(step), symptom, "\x1f".join(held)))
+        fold = dialogue.Fold.read(state.get[0] if state.exists else None)
+        for turn in pd.concat(list(batches)).sort_values("turn").to_dict("records"):
+            fold.take(turn)
+        state.update((json.dumps(asdict(fold)),))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"conv_id": [key[0]], "step": [int(step)], "symptom": [symptom], "observations": ["|".join(held)]})
+        yield pd.DataFrame({"conv_id": [key[0]], "board": [json.dumps(asdict(fold.board))]})
 
     rows = turns.select("conv_id", "turn", "role", "text")
-    return rows.groupBy("conv_id").applyInPandasWithState(fold, BOARD, "step int, symptom string, seen string", "update", _timeout(ttl_ms))
+    folded = rows.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, board string", "fold string", "update", _timeout(ttl_ms))
+    return folded.select("conv_id", F.from_json("board", dialogue.BOARD).alias("b")).select("conv_id", "b.*")
 
 
 def gate_stream(deltas: DataFrame, hold_back: int = HOLD_BACK, ttl_ms: int | None = 600_000) -> DataFrame:
