@@ -35,9 +35,10 @@ KINDS = ("assign", "access", "hex", "jwt", "der_key", "ssh_key")
 KEYWORDS = ("passw", "secret", "token", "api")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]{8,}\.ey[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-#: The first line of a key in base64 or base64url, also after an escaped line break; and what continues it: line breaks
-#: (plain, escaped as in JSON, or after a backslash), indented or not.
-BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?:M|b3Bl|AAAA)[A-Za-z0-9+/_-]{30,}")
+#: How a key in base64 or base64url starts, also after a slash or an escaped line break; its first line; and what
+#: continues it: line breaks (plain, escaped as in JSON, or after a backslash), indented or not.
+BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+])|(?<=\\[nrt]))(?:M|b3Bl|AAAA)[A-Za-z0-9+/_-]{30}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 NEXT_LINE = re.compile(r"[\x20\t]*(?:(?:\\+r)?\\+n|\\?\r?\n)[\x20\t]*([A-Za-z0-9+/_-]+)")
 PADDING = re.compile(r"={0,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}")
@@ -128,23 +129,33 @@ class Folded:
     """The bytes of a base64 candidate, read line by line as far as they are asked for."""
 
     def __init__(self, text: str, start: int, end: int):
-        self.text, self.lines, self.chars = text, [(start, end)], text[start:end]
+        self.text, self.lines, self.size = text, [(start, end)], end - start
 
     def more(self) -> bool:
         m = NEXT_LINE.match(self.text, self.lines[-1][1])
         if m is None:
             return False
         self.lines.append(m.span(1))
-        self.chars += m[1]
+        self.size += len(m[1])
         return True
 
+    def chars(self, n: int) -> str:
+        """The first n characters of the lines read so far."""
+        out = []
+        for start, end in self.lines:
+            if n <= 0:
+                break
+            out.append(self.text[start : min(end, start + n)])
+            n -= end - start
+        return "".join(out)
+
     def first(self, n: int) -> bytes | None:
         """The first n bytes, None if there are fewer."""
         need = (4 * n + 2) // 3
-        while len(self.chars) < need:
+        while self.size < need:
             if not self.more():
                 return None
-        return decoded64(self.chars[:need])[:n]
+        return decoded64(self.chars(need))[:n]
 
     def end(self, n: int) -> int | None:
         """Where the text of the first n bytes ends, padding included; None if base64 goes on in that line."""
@@ -190,7 +201,7 @@ def ssh_end(key: Folded) -> int | None:
         while key.more():
             pass
         # cut off: all of its lines
-        return PADDING.match(key.text, key.lines[-1][1]).end() if is_ssh_key(decoded64(key.chars[: len(key.chars) // 4 * 4])) else None
+        return PADDING.match(key.text, key.lines[-1][1]).end() if is_ssh_key(decoded64(key.chars(key.size // 4 * 4))) else None
     name = key.first(8)
     if name is None or name[4:8] not in (b"ssh-", b"ecds") or (at := field(0)) is None:
         return None
@@ -240,19 +251,21 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             found = json_object(head)
             if found is not None and isinstance(found.get("alg"), str) and json_object(body) is not None:
                 out.append((m.start(), m.end(), "jwt"))
-    m = BASE64.search(text)
+    m, line_end = BASE64.search(text), 0
     while m:
-        key, stop = Folded(text, *m.span()), None
+        if m.start() >= line_end:
+            line_end = LINE.match(text, m.start()).end()
+        key, stop = Folded(text, m.start(), line_end), None
         for kind, ending in (("der_key", der_end), ("ssh_key", ssh_end)):
             if (stop := ending(key)) is not None:
                 out.append((m.start(), stop, kind))
                 break
-        # lines after one that isn't a key may hold one of their own
-        m = BASE64.search(text, m.end() if stop is None else stop)
+        # what follows a slash, and lines after one that isn't a key, may hold one of their own
+        m = BASE64.search(text, m.start() + 1 if stop is None else stop)
     for m in HEX_DER.finditer(text):
-        x = m[0][: len(m[0]) // 2 * 2]
-        if is_der_key(bytes.fromhex(x)):
-            out.append((m.start(), m.start() + len(x), "der_key"))
+        data = bytes.fromhex(m[0][: len(m[0]) // 2 * 2])
+        if (top := der_item(data, 0, len(data))) and is_der_key(data[: top[2]]):
+            out.append((m.start(), m.start() + 2 * top[2], "der_key"))
     return out
 
 

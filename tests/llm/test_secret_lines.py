@@ -1,7 +1,9 @@
 """Keys before other lines, in base64url, indented and escaped."""
 
+import base64
 import os
 import struct
+import time
 
 import pytest
 from test_secret_structures import B64, EC, PKCS8, RSA, SSH, der, integer
@@ -57,3 +59,18 @@ def test_a_key_cut_off_and_look_alikes():
     assert found(B64(SSH)) == [(B64(SSH), "ssh_key")]
     for x in (ED[:-1], RSA[:-1], ED[:20] + b"x" * 40, b"0" * 60):
         assert found(f"text {B64(x)}\nword") == []
+
+
+def test_what_stands_around_a_key():
+    key = base64.b64encode(bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32))).decode()
+    assert secrets.confirmed_spans("path/" + key + "\nnext line") == [(5, 5 + len(key), "der_key")]
+    assert secrets.confirmed_spans("M" + "a" * 40 + "/" + key) == [(42, 42 + len(key), "der_key")]
+    raw = base64.b64decode(key).hex()
+    assert secrets.confirmed_spans(raw + "00ff") == [(0, len(raw), "der_key")] and secrets.confirmed_spans(raw[:-2]) == []
+
+
+def test_long_runs_take_time_in_proportion():
+    for text in ("M/" * 200_000, "M" * 400_000, "MIICAgI/" * 50_000):
+        began = time.perf_counter()
+        assert secrets.confirmed_spans(text) == []
+        assert time.perf_counter() - began < 5
