@@ -32,7 +32,8 @@ def ranked(hits: DataFrame, limit: int, *order: Column, by: str = "query_id") ->
 
 def small(queries: DataFrame, bound: int = BROADCAST_QUERIES) -> DataFrame:
     """Queries, marked for broadcast where there are few; a table made of rows of the driver is one."""
-    local = "LocalRelation" in queries._jdf.queryExecution().optimizedPlan().toString()
+    leaves = queries._jdf.queryExecution().optimizedPlan().collectLeaves()
+    local = all(leaves.apply(i).nodeName() == "LocalRelation" for i in range(leaves.size()))
     return F.broadcast(queries) if local or queries.limit(bound + 1).count() <= bound else queries
 
 

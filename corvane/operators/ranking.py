@@ -20,10 +20,11 @@ OWNER_TYPES = ("owners_manual", "use_and_care", "quick_start_guide", "knowledge_
 POINTERS = ("technical_service_pointer", "service_pointer")
 
 
-def document_applies(appliances: DataFrame, models: DataFrame, ranges: DataFrame, docs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def document_applies(appliances: DataFrame, models: DataFrame, ranges: DataFrame, docs: DataFrame, pairs: DataFrame | None = None, every: bool = True) -> DataFrame:
     """Whether each document governs each appliance, and why: query_id, doc_id, applies, reason.
 
-    With pairs(query_id, doc_id), such as a pool's, only those are decided; without, the whole matrix is asked for.
+    With pairs(query_id, doc_id), such as a pool's, only those are decided; without, the whole matrix is asked for, or
+    without `every` the part of it where the model is listed.
 
     appliances: query_id, model, serial, introduced; models: doc_id, pattern; ranges: doc_id, scope, model,
     first, last; docs: doc_id, published (a date of any precision). Patterns are matched by equality with
@@ -45,7 +46,10 @@ def document_applies(appliances: DataFrame, models: DataFrame, ranges: DataFrame
         F.bool_and(F.col("scope") == "all").alias("all_serials"), F.bool_or((F.col("scope") == "all") | inside).alias("inside"),
         F.max(F.col("year").isNotNull()).alias("dated"), F.max(F.col("serial").isNotNull()).alias("has_serial"), F.max(parts.isNotNull()).alias("readable"),
     )
-    everything = asked.select("query_id").crossJoin(docs.select("doc_id")) if pairs is None else pairs.join(asked.select("query_id"), "query_id", "left_semi").join(docs.select("doc_id"), "doc_id", "left_semi")
+    if pairs is not None:
+        everything = pairs.join(asked.select("query_id"), "query_id", "left_semi").join(docs.select("doc_id"), "doc_id", "left_semi")
+    else:
+        everything = asked.select("query_id").crossJoin(docs.select("doc_id")) if every else matched.join(docs.select("doc_id"), "doc_id", "left_semi")
     out = everything.join(matched.withColumn("matched", F.lit(True)), ["query_id", "doc_id"], "left").join(seen, ["query_id", "doc_id"], "left")
     reason = (
         F.when(F.col("matched").isNull(), "model not listed").when(F.col("inside").isNull(), "no serial restriction").when(F.col("all_serials"), "all serial numbers")

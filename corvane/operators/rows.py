@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.writers import shared_folder
+
 #: Rows of a batch, so that long texts don't add up.
 BATCH_ROWS = 2_000
 
@@ -42,3 +45,10 @@ def gathered(df: DataFrame, keys: list[str], order: list[str], columns: list[str
     """One row for each value of `keys`, with an array of structs of the other columns, in order. A key's rows are held together, so keys are of things of bounded size: a conversation, a page, a document's units."""
     struct = F.struct(*order, *[c for c in columns if c not in order])
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(struct)).alias(name))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, from a table in the shared folder: what is built on them doesn't repeat how they were made, and a lost executor's part isn't made again."""
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

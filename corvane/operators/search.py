@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, intent
 from . import arms, expansion, fusion, ranking
+from .rows import settled
 
 #: Documents' kinds of edges that make them prevail.
 PREVAILS = ("corrects", "supersedes", "overrides")
@@ -55,7 +56,7 @@ def code_arm(q: DataFrame, c: Corpus) -> DataFrame:
 def revision_arm(q: DataFrame, c: Corpus) -> DataFrame:
     """Chunks of applicable service manuals at the revision that a bibliographic query names: 8 for queries about LEDs, else 12."""
     asked = q.where("bibliographic and wanted is not null")
-    able = ranking.document_applies(asked.select("query_id", "model", "serial", "introduced"), c.models, c.ranges, c.docs.where(F.col("doc_type") == SERVICE_MANUAL)).where("applies")
+    able = ranking.document_applies(asked.select("query_id", "model", "serial", "introduced"), c.models, c.ranges, c.docs.where(F.col("doc_type") == SERVICE_MANUAL), every=False).where("applies")
     pubs = able.join(c.docs.select("doc_id", "publication_number"), "doc_id").select("query_id", "publication_number")
     found = arms.manual_revision_fetch(asked.select("query_id", F.col("wanted").alias("revision"), "led"), pubs, c.chunks, 12)
     return found.join(asked.select("query_id", "led"), "query_id").where(~F.col("led") | (F.col("arm_rank") <= 8)).drop("led")
@@ -73,9 +74,9 @@ def annotated(pool: DataFrame, q: DataFrame, c: Corpus) -> DataFrame:
     return hits.join(cited, ["query_id", "publication_number"], "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
 
 
-def applicable(pool: DataFrame, q: DataFrame, c: Corpus) -> DataFrame:
-    """A pool's hits of documents that apply to the query's appliance; queries without a model keep all."""
-    pairs = pool.select("query_id", "doc_id").distinct()
+def applicable(pool: DataFrame, q: DataFrame, c: Corpus, plain: DataFrame | None = None) -> DataFrame:
+    """A pool's hits of documents that apply to the query's appliance; queries without a model keep all. plain: the pool before columns were added."""
+    pairs = (pool if plain is None else plain).select("query_id", "doc_id").distinct()
     ok = ranking.document_applies(q.where("model is not null").select("query_id", "model", "serial", "introduced"), c.models, c.ranges, c.docs, pairs).where("applies").select("query_id", "doc_id", F.lit(True).alias("ok_"))
     named = q.select("query_id", F.col("model").isNull().alias("any_"))
     return pool.join(named, "query_id").join(ok, ["query_id", "doc_id"], "left").where("any_ or ok_").drop("any_", "ok_")
@@ -90,8 +91,8 @@ def filtered_and_ranked(pool: DataFrame, q: DataFrame, c: Corpus, limit: int) ->
 
     As many as a pool has are diversified before the first `limit` are taken.
     """
-    pool = pool.persist()
-    hits = ranking.boosted(applicable(annotated(pool, q, c), q, c)).withColumn("final_score", F.round("final_score", 9))
+    pool = settled(pool)
+    hits = ranking.boosted(applicable(annotated(pool, q, c), q, c, pool)).withColumn("final_score", F.round("final_score", 9))
     hits = fusion.restrict(hits, F.array_contains(codes.queried_publications(F.col("ask")), F.upper("publication_number")))
     hits = ranking.diverse_top(hits, 1_000_000).drop("rank")
     owners = (F.lower(F.coalesce("audience", F.lit(""))) == "owner") & ~intent.needs_service_literature(F.col("ask"), F.col("bibliographic"))
@@ -100,10 +101,11 @@ def filtered_and_ranked(pool: DataFrame, q: DataFrame, c: Corpus, limit: int) ->
 
 def production(q: DataFrame, c: Corpus, limit: int, overfetch: int, synthetic: bool = False) -> DataFrame:
     """All arms. References are followed from the code arm's hits. A query about an LED at a named revision that finds that revision skips the other arms."""
-    revised = revision_arm(q, c).persist()
+    revised = settled(revision_arm(q, c))
     found = revised.select("query_id").distinct().withColumn("found_", F.lit(True))
     rest = q.join(found, "query_id", "left").where(~(F.col("bibliographic") & F.col("wanted").isNotNull() & F.col("led") & F.coalesce("found_", F.lit(False)))).drop("found_")
-    coded = code_arm(rest, c)
+    rest = settled(rest)
+    coded = settled(code_arm(rest, c))
     wires = arms.connector_fetch(rest.where(F.size("connectors") > 0).select("query_id", "connectors"), c.chunks)
     refs = arms.reference_fetch(coded, c.edges, c.chunks, rest.select("query_id", "installation"), 3)
     pool = fusion.merge_hits(revised, coded, wires, refs, vector_arm(rest, c, max(overfetch, limit), synthetic))
@@ -129,7 +131,7 @@ def _scored(scores: DataFrame, c: Corpus) -> DataFrame:
 
 
 def applied(q: DataFrame, c: Corpus, limit: int, overfetch: int) -> DataFrame:
-    pool = applicable(coded_pool(q, c, vector_arm(q, c, overfetch, True)), q, c)
+    pool = applicable(settled(coded_pool(q, c, vector_arm(q, c, overfetch, True))), q, c)
     return by_score(pool.withColumn("final_score", F.col("score")), limit)
 
 
