@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "retrieval", "metrics", "storage", "sessions", "pages", "helpers", "streams", "more", "dialogue", "answers", "tables", "curation", "bench")
+MODULES = ("texts", "retrieval", "metrics", "storage", "sessions", "pages", "helpers", "streams", "more", "dialogue", "answers", "tables", "curation", "bench", "corpus")
 
 
 def load() -> None:

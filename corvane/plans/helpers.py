@@ -199,14 +199,3 @@ def sibling_fetch(spark, folder):
     c = chunks(spark, folder).withColumn("problem_title", F.lit("p"))
     hits = c.where("kind = 'article' and chunk_no < 60").select(F.col("chunk_no").alias("query_id"), "doc_id", "page", "problem_title")
     return arms.sibling_fetch(hits, c).select(F.col("query_id").alias("chunk_no"), F.col("chunk_no").alias("sibling"))
-
-
-@plan("support_messages", sql("SELECT query_id, CASE WHEN model = '' THEN 'no model' ELSE 'No document covers ' || model END AS message FROM asks", ASKS_SQL))
-def support_messages(spark, folder):
-    return asks(spark).select("query_id", F.when(F.col("model") == "", "no model").otherwise(F.format_string("No document covers %s", "model")).alias("message"))
-
-
-@plan("repro_stamp", "SELECT source, substr(sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)), 1, 12) AS stamp FROM documents GROUP BY 1")
-def repro_stamp(spark, folder):
-    ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return table(spark, folder, "documents").groupBy("source").agg(F.substring(F.sha2(F.array_join(ids, ","), 256), 1, 12).alias("stamp"))

@@ -134,11 +134,6 @@ def sections(spark, folder):
 OUTPUTS = "CASE event_id % 4 WHEN 0 THEN '{\"answer\": \"a\", \"abstained\": false}' WHEN 1 THEN 'ABSTAIN: no evidence' WHEN 2 THEN 'Plain prose [1].' ELSE '{\"abstained\": true}' END"
 
 
-@plan("assert_model", "SELECT count(DISTINCT label) > 1 AS mixed FROM embeddings")
-def assert_model(spark, folder):
-    return table(spark, folder, "embeddings").agg((F.countDistinct("label") > 1).alias("mixed"))
-
-
 V = (MANUALS_SQL, storage.VERSIONS_SQL)
 
 
@@ -180,19 +175,6 @@ def safety_fixture(spark, folder):
     return g.select("request_id", ((F.col("action") == "block") | F.col("hazard").isNotNull() | (F.col("gate_rule") == "ungrounded-procedure")).alias("stopped"))
 
 
-@plan("document_state", sql("SELECT doc_id, CASE WHEN n.h IS NULL THEN 'missing' WHEN o.h = n.h THEN 'ok' ELSE 'changed' END AS state FROM old o LEFT JOIN fresh n USING (doc_id)", storage.OLD_SQL))
-def document_state(spark, folder):
-    old, new = storage.snapshots(spark, folder)
-    return old.withColumnRenamed("h", "o").join(new, "doc_id", "left").select("doc_id", F.when(F.col("h").isNull(), "missing").when(F.col("o") == F.col("h"), "ok").otherwise("changed").alias("state"))
-
-
-@plan("canonical_identity", "SELECT l_orderkey, sha256(string_agg(l_partkey || ':' || l_suppkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey)) || '-' || count(*) AS identity FROM lineitem GROUP BY 1")
-def canonical_identity(spark, folder):
-    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
-    lines = F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["l_partkey"], r["l_suppkey"])), ",")
-    return table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.concat(F.sha2(lines, 256), F.lit("-"), F.count(F.lit(1))).alias("identity"))
-
-
 @plan("rerank_hits")
 def rerank_hits(spark, folder):
     @F.pandas_udf("double")

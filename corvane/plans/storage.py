@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import texts
@@ -38,13 +37,6 @@ def chunkset_fingerprint(spark, folder):
     return chunks(spark, folder).groupBy("doc_id", "page").agg(F.array_join(F.array_sort(F.collect_list(line)), "|").alias("fingerprint"))
 
 
-@plan("corpus_fingerprint", sql("SELECT substr(sha256(string_agg(doc_id || ':' || chunk_id || ':' || sha256(text), chr(10) ORDER BY doc_id, chunk_id)), 1, 16) AS fingerprint FROM chunks", CHUNKS_SQL))
-def corpus_fingerprint(spark, folder):
-    line = F.concat_ws(":", "doc_id", "chunk_id", F.sha2("text", 256))
-    rows = F.array_sort(F.collect_list(F.struct("doc_id", "chunk_id", line.alias("line"))))
-    return chunks(spark, folder).agg(F.substring(F.sha2(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), 256), 1, 16).alias("fingerprint"))
-
-
 @plan("rows_missing_vector", sql("SELECT chunk_no FROM chunks LEFT JOIN embeddings ON vec_id = chunk_no WHERE embedding IS NULL AND (language IS NULL OR starts_with(language, 'en'))", CHUNKS_SQL))
 def rows_missing_vector(spark, folder):
     e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_no"))
@@ -61,16 +53,6 @@ def distinct_models(spark, folder):
     return table(spark, folder, "embeddings").select(F.concat(F.lit("model-"), "label").alias("model")).distinct()
 
 
-@plan("count_other_models", "SELECT count(*) AS n FROM embeddings WHERE nullif(label, 3) IS DISTINCT FROM 4")
-def count_other_models(spark, folder):
-    return table(spark, folder, "embeddings").where(~F.nullif("label", F.lit(3)).eqNullSafe(F.lit(4))).agg(F.count(F.lit(1)).alias("n"))
-
-
-@plan("clear_other_models", "SELECT vec_id, CASE WHEN label = 4 THEN label END IS NULL AS cleared FROM embeddings")
-def clear_other_models(spark, folder):
-    return table(spark, folder, "embeddings").select("vec_id", F.when(F.col("label") == 4, F.col("label")).isNull().alias("cleared"))
-
-
 OLD_SQL = """old AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id + 1000000, sha256(text) FROM documents WHERE doc_id % 50 = 0),
 fresh AS (SELECT doc_id, sha256(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS h FROM documents)"""
 
@@ -100,18 +82,6 @@ def sink_documents(spark, folder):
     return versions.upsert(old, new.where("doc_id % 3 = 0"), "doc_id")
 
 
-@plan("sink_embeddings", "SELECT d.doc_id, coalesce(e.label, -1) AS label FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id AND len(e.embedding) > 0")
-def sink_embeddings(spark, folder):
-    e = table(spark, folder, "embeddings").where(F.size("embedding") > 0).select(F.col("vec_id").alias("doc_id"), "label")
-    return table(spark, folder, "documents").select("doc_id").join(e, "doc_id", "left").select("doc_id", F.coalesce("label", F.lit(-1)).alias("label"))
-
-
-@plan("update_metadata", sql("SELECT doc_id, o.h = n.h AND doc_id % 4 = 0 AS refreshed FROM old o JOIN fresh n USING (doc_id)", OLD_SQL))
-def update_metadata(spark, folder):
-    old, new = snapshots(spark, folder)
-    return old.withColumnRenamed("h", "o").join(new, "doc_id").select("doc_id", ((F.col("o") == F.col("h")) & (F.col("doc_id") % 4 == 0)).alias("refreshed"))
-
-
 @plan("next_version", sql("SELECT doc_id, max(version) + 1 AS next_version FROM versions WHERE status <> 'abandoned' GROUP BY 1", MANUALS_SQL, VERSIONS_SQL))
 def next_version(spark, folder):
     return versions.next_version(document_versions(spark).where("status <> 'abandoned'"))
@@ -178,48 +148,14 @@ def newer_revision_note(spark, folder):
     return e.where("doc_id like '%7'").join(versions.newest_editions(e), "publication_number").where("doc_id <> newest").select("doc_id", "publication_number", "newest")
 
 
-@plan("precedence_drift", sql("SELECT publication_number, count(*) AS editions FROM editions WHERE publication_number NOT IN (SELECT publication_number FROM editions WHERE doc_id LIKE '%11') GROUP BY 1 HAVING count(*) > 1", EDITIONS_SQL))
-def precedence_drift(spark, folder):
-    e = editions(spark, folder)
-    linked = e.where("doc_id like '%11'").select("publication_number").distinct()
-    return e.groupBy("publication_number").agg(F.count(F.lit(1)).alias("editions")).where("editions > 1").join(linked, "publication_number", "left_anti")
-
-
 @plan("prune_run_logs", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) > 100 OR ts < TIMESTAMP '2024-01-08' AS dropped FROM events")
 def prune_run_logs(spark, folder):
     logs = table(spark, folder, "events").select(F.col("event_id").alias("log_id"), F.col("event_type").alias("prefix"), F.col("ts").alias("at"))
     return versions.prune(logs, 100, F.lit("2024-01-08").cast("timestamp_ntz")).select(F.col("log_id").alias("event_id"), F.col("drop").alias("dropped"))
 
 
-@plan("parse_since", "SELECT event_id, ts >= TIMESTAMP '2024-01-31' - CASE event_id % 3 WHEN 0 THEN INTERVAL 7 DAY WHEN 1 THEN INTERVAL 24 HOUR ELSE INTERVAL 30 MINUTE END AS recent FROM events")
-def parse_since(spark, folder):
-    spec = F.element_at(F.array(F.lit("7d"), F.lit("24h"), F.lit("30m")), (F.col("event_id") % 3 + 1).cast("int"))
-    return table(spark, folder, "events").select("event_id", (F.col("ts") >= since(spec, F.lit("2024-01-31").cast("timestamp_ntz"))).alias("recent"))
-
-
 def since(spec, now):
     """The moment that 7d, 24h or 30m before now is; null for other forms."""
     n = F.nullif(F.regexp_extract(F.lower(F.trim(spec)), r"^([0-9]+)\s*[dhm]$", 1), F.lit("")).cast("int")
     unit = F.right(F.trim(spec), F.lit(1))
     return now - F.make_dt_interval(F.when(unit == "d", n).otherwise(0), F.when(unit == "h", n).otherwise(0), F.when(unit == "m", n).otherwise(0))
-
-
-@plan("validate_manifest", sql("SELECT doc_id, 'duplicate edition' AS problem FROM (SELECT *, count(*) OVER (PARTITION BY publication_number, coalesce(revision, '')) AS n FROM editions) WHERE n > 1 UNION ALL SELECT doc_id, 'dangling target' FROM editions WHERE 'P' || (CAST(substr(doc_id, 2) AS BIGINT) % 101) NOT IN (SELECT publication_number FROM editions)", EDITIONS_SQL))
-def validate_manifest(spark, folder):
-    e = editions(spark, folder)
-    many = F.count(F.lit(1)).over(Window.partitionBy("publication_number", F.coalesce("revision", F.lit(""))))
-    twice = e.withColumn("n", many).where("n > 1").select("doc_id", F.lit("duplicate edition").alias("problem"))
-    aims = e.select("doc_id", F.concat(F.lit("P"), F.substring("doc_id", 2, 20).cast("long") % 101).alias("publication_number"))
-    return twice.unionByName(aims.join(e.select("publication_number").distinct(), "publication_number", "left_anti").select("doc_id", F.lit("dangling target").alias("problem")))
-
-
-@plan("find_docs", sql("SELECT doc_id FROM editions WHERE contains(lower(doc_id), 'e12') OR publication_number = 'P12'", EDITIONS_SQL))
-def find_docs(spark, folder):
-    return editions(spark, folder).where(F.contains(F.lower("doc_id"), F.lit("e12")) | (F.col("publication_number") == "P12")).select("doc_id")
-
-
-@plan("corpus_verify", sql("SELECT doc_id, CASE WHEN o.h IS NULL THEN 'unexpected' WHEN n.h IS NULL THEN 'missing' WHEN o.h = n.h THEN 'ok' WHEN doc_id % 4 = 0 THEN 'drift' ELSE 'mismatch' END AS state FROM old o FULL JOIN fresh n USING (doc_id)", OLD_SQL))
-def corpus_verify(spark, folder):
-    changes = versions.classify_changes(*snapshots(spark, folder), "doc_id", "h")
-    s = F.col("state")
-    return changes.select("doc_id", F.when(s == "new", "unexpected").when(s == "gone", "missing").when(s == "unchanged", "ok").when(F.col("doc_id") % 4 == 0, "drift").otherwise("mismatch").alias("state"))

@@ -88,7 +88,7 @@ plan("prose_guide1")(_rows("guide1"))
 plan("prose_symptom")(_rows("symptom"))
 
 
-@plan("is_matrix_prose", "SELECT doc_id, doc_id % 7 % 5 IN (0, 1, 4) AS matrix FROM documents")
+@plan("is_matrix_prose", f"SELECT doc_id, doc_id % 7 % 5 IN (1, 4) OR (doc_id % 7 % 5 = 0 AND length(text) >= {79 - len(GUIDES[0])}) AS matrix FROM documents")
 def is_matrix_prose(spark, folder):
     return matrix.prose_facts(_prose(spark, folder), ["doc_id"]).select("doc_id", F.col("is_matrix").alias("matrix"))
 

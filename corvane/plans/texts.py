@@ -186,11 +186,3 @@ def redact(spark, folder):
 @plan("trace_fingerprint", r"SELECT event_id, event_type || '|' || lower(trim(regexp_replace('Why  ' || props || '  ' || event_type, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS fingerprint FROM events")
 def trace_fingerprint(spark, folder):
     return table(spark, folder, "events").select("event_id", texts.trace_fingerprint(F.col("event_type"), F.concat(F.lit("Why  "), "props", F.lit("  "), "event_type")).alias("fingerprint"))
-
-
-@plan("estimate_tokens", r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\s]', 0) AS w FROM conversations)
-SELECT conv_id, turn, CAST(2 + coalesce(list_sum(list_transform(w, lambda x: CASE WHEN length(x) <= 4 THEN 1 WHEN regexp_matches(x, '[0-9]') THEN greatest(2, (length(x) + 2) // 3) ELSE greatest(1, (length(x) + 3) // 4) END)), 0) AS BIGINT) AS tokens FROM t""")
-def estimate_tokens(spark, folder):
-    w = F.regexp_extract_all(F.col("text"), F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"), F.lit(0))
-    cost = F.transform(w, lambda x: F.when(F.length(x) <= 4, 1).when(x.rlike("[0-9]"), F.greatest(F.lit(2), F.floor((F.length(x) + 2) / 3).cast("int"))).otherwise(F.greatest(F.lit(1), F.floor((F.length(x) + 3) / 4).cast("int"))))
-    return table(spark, folder, "conversations").select("conv_id", "turn", (2 + F.aggregate(cost, F.lit(0), lambda a, b: a + b)).cast("long").alias("tokens"))
