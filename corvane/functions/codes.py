@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The identifiers' patterns.
-FAULT_CODE = r"(?i)\bF\s*([0-9])\s*E\s*([0-9])\b"
-CONNECTOR = r"(?i)\bJ([0-9]{1,3})\b"
-PUBLICATION = r"(?i)\b(W[0-9]{8})\b"
+FAULT_CODE = r"(?i)\bF\s*(\d)\s*E\s*(\d)\b"
+CONNECTOR = r"(?i)\bJ(\d{1,3})\b"
+PUBLICATION = r"(?i)\b(W\d{8})\b"
 PART_NUMBER = r"(?i)\bpart\s*(number|#|no\.?)\b"
 REVISION = r"(?i)\brevision\s+([A-Z])\b"
 
@@ -52,8 +52,8 @@ def requested_revision(text: Column) -> Column:
 def citation_publication(ref: Column) -> Column:
     """The publication that a citation names, also with its revision letter glued on."""
     x = F.trim(ref)
-    glued = F.regexp_extract(x, r"\b(W[0-9]{8})[A-Z]\b", 1)
-    plain = F.upper(F.regexp_extract(x, r"(?i)\b(W[0-9]{8}|SYNTH-[A-Z0-9-]+)\b", 1))
+    glued = F.regexp_extract(x, r"\b(W\d{8})[A-Z]\b", 1)
+    plain = F.upper(F.regexp_extract(x, r"(?i)\b(W\d{8}|SYNTH-[A-Z0-9-]+)\b", 1))
     named = x.rlike(r"(?i)\bRev\.?\s*[A-Z]\b") | x.rlike(r"(?i)-rev[a-z]\b")
     return F.nullif(F.when(~named & (glued != ""), glued).otherwise(plain), F.lit(""))
 
@@ -62,7 +62,7 @@ def citation_revision(ref: Column) -> Column:
     x = F.trim(ref)
     a = F.upper(F.regexp_extract(x, r"(?i)\bRev\.?\s*([A-Z])\b", 1))
     b = F.upper(F.regexp_extract(x, r"(?i)-rev([a-z])\b", 1))
-    c = F.regexp_extract(x, r"\bW[0-9]{8}([A-Z])\b", 1)
+    c = F.regexp_extract(x, r"\bW\d{8}([A-Z])\b", 1)
     return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")), F.nullif(c, F.lit("")))
 
 

@@ -18,8 +18,8 @@ OPENING = "(open|opening|unlock|unlocking)"
 UNLOCK = rf"\b{NEGATED}.{{0,28}}\b{OPENING}\b|\b(failed|unable) to {OPENING}\b"
 LOCK = r"\b(will|would|does|do|did|can|could) not (lock|latch)\b|\bcannot (lock|latch)\b|\bnot locking\b|\b(failed|unable) to (lock|latch)\b"
 LED = r"(?i)\bacu\b.*\bled\b|\bled\b.*\bacu\b"
-TECHNICIAN = r"(?i)\b(what should i check|how (do|should) i (test|diagnose|check)|test\s*#\s*[0-9]|service (mode|procedure)|technician|door will not lock|won'?t lock|will not lock)\b"
-PART_OR_TEST = r"(?i)\bpart\s*(number|#|no\.?)\b|\bW[0-9]{8}\b|\bTEST\s*#"
+TECHNICIAN = r"(?i)\b(what should i check|how (?:do|should) i (?:test|diagnose|check)|test\s*#\s*\d|service (?:mode|procedure)|technician|door will not lock|won'?t lock|will not lock)\b"
+PART_OR_TEST = r"(?i)\bpart\s*(?:number|#|no\.?)\b|\bW\d{8}\b|\bTEST\s*#"
 
 
 def fold_query(text: Column) -> Column:

@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns of page kinds.
-GUIDE = r"(?i)TROUBLESHOOTING\s+GUIDE\s*#\s*[0-9]+"
+GUIDE = r"(?i)TROUBLESHOOTING\s+GUIDE\s*#\s*\d+"
 CAUSE = r"(?i)\bPOSSIBLE\s+CAUSE\b"
-PROCEDURE = r"(?i)TEST\s+PROCEDURES|TEST\s*#\s*[0-9]+"
+PROCEDURE = r"(?i)TEST\s+PROCEDURES|TEST\s*#\s*\d+"
 FIGURE_TITLE = r"(?i)\b(wiring\s+diagram|strip\s+circuit|exploded\s+view|pictorial|control\s+panel\s+artwork)\b"
-FIGURE_REFERENCE = r"(?i)\b(fig(ure)?\.?\s*[0-9]+|wiring\s+diagram|see\s+(the\s+)?diagram|shown\s+in\s+(the\s+)?(figure|diagram))\b"
+FIGURE_REFERENCE = r"(?i)\b(?:fig(?:ure)?\.?\s*\d+|wiring\s+diagram|see\s+(?:the\s+)?diagram|shown\s+in\s+(?:the\s+)?(?:figure|diagram))\b"
 SCHEMATIC = r"(?i)\b(wiring\s+diagram|acu\s+connectors|pinouts?|strip\s+circuit)\b"
 PHOTO = r"(?i)COMPONENT ACCESS|Removing the .+\(on some models\)"
 # Words that mark a language.
@@ -26,8 +26,8 @@ def is_matrix(text: Column) -> Column:
 
 
 def is_contents(text: Column) -> Column:
-    tests = (count(text, r"(?i)TEST\s*#\s*[0-9]+") >= 8) & text.rlike(r"(?i)Section\s+[0-9]+\s*:") & ~text.rlike(r"(?m)^\s*1\.\s")
-    return (F.length(F.trim(text)) >= 40) & ~is_matrix(text) & ((count(text, r"\.{4,}\s*[0-9]+(-[0-9]+)?") >= 4) | text.rlike("(?i)TABLE OF CONTENTS") | tests)
+    tests = (count(text, r"(?i)TEST\s*#\s*\d+") >= 8) & text.rlike(r"(?i)Section\s+\d+\s*:") & ~text.rlike(r"(?m)^\s*1\.\s")
+    return (F.length(F.trim(text)) >= 40) & ~is_matrix(text) & ((count(text, r"\.{4,}\s*\d+(?:-\d+)?") >= 4) | text.rlike("(?i)TABLE OF CONTENTS") | tests)
 
 
 def is_schematic(text: Column) -> Column:
@@ -39,14 +39,14 @@ def is_figure(text: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))
     words = F.size(F.filter(tokens, lambda t: F.length(t) >= 3))
     share = F.size(F.filter(tokens, lambda t: t.rlike("^[A-Za-z]$"))) / F.greatest(F.size(tokens), F.lit(1))
-    titled, spaced = text.rlike(FIGURE_TITLE), text.rlike(r"(^|\s)[A-Za-z](\s+[A-Za-z]){3,}")
+    titled, spaced = text.rlike(FIGURE_TITLE), text.rlike(r"(?:^|[\s])[A-Za-z](?:\s+[A-Za-z]){3,}")
     drawn = (titled & ((words < 80) | (share >= 0.25))) | (spaced & (share >= 0.35) & (words < 40)) | ((share >= 0.55) & (words < 20) & (F.length(text) < 400))
     procedure = text.rlike(PROCEDURE) & (F.length(text) > 400)
     return (F.length(F.trim(text)) >= 12) & ~is_matrix(text) & ~is_contents(text) & ~procedure & (is_schematic(text) | drawn)
 
 
 def is_photo_access(text: Column) -> Column:
-    return ~is_contents(text) & ~is_schematic(text) & ~is_matrix(text) & text.rlike(PHOTO) & text.rlike(r"(?i)Figure\s+[0-9]+")
+    return ~is_contents(text) & ~is_schematic(text) & ~is_matrix(text) & text.rlike(PHOTO) & text.rlike(r"(?i)Figure\s+\d+")
 
 
 def page_layout(text: Column, cells: Column, tables: Column) -> Column:
@@ -83,7 +83,7 @@ def needs_image(text: Column) -> Column:
 
 def missing_steps(text: Column, least: int = 5) -> Column:
     """Step numbers that a procedure's numbered lines leave out between their first and last; null for what is no procedure."""
-    found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^([0-9]{1,4})\.\s"), F.lit(1)), lambda x: x.cast("int"))))
+    found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^(\d{1,4})\.\s"), F.lit(1)), lambda x: x.cast("int"))))
     low, high = F.array_min(found), F.array_max(found)
     return F.when((F.size(found) >= least) & (low <= 3) & (high - low + 1 >= least), F.array_except(F.sequence(low, high), found))
 
@@ -92,5 +92,5 @@ def map_private(text: Column) -> Column:
     """List marks of the private use area as bullets, other such characters and NUL dropped, overdrawn connector labels mended."""
     x = F.translate(text, "\uf0d8\uf06e", "••")
     x = F.regexp_replace(x, "[\ue000-\uf8ff\u0000]", "")
-    x = F.regexp_replace(x, r"J{2}([0-9])([0-9])\2", "J$1$2")
-    return F.regexp_replace(x, r"-{2}([0-9])\1\b", "-$1")
+    x = F.regexp_replace(x, r"J{2}(\d)(\d)\2", "J$1$2")
+    return F.regexp_replace(x, r"-{2}(\d)\1\b", "-$1")

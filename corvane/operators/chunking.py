@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What starts a heading, and what a heading can't be.
-HEADING = r"(?i)^(TABLE OF CONTENTS|SECTION\s+[0-9]+\b|FOR SERVICE TECHNICIAN|DIAGNOSTIC|TEST #[0-9]|ERROR CODE|IMPORTANT|WARNING|ABBREVIATIONS|TECHNICAL SERVICE POINTER|FAULT/?\s*ERROR CODES?|MANUALLY UNLOCKING|MEASURED VALUES|COMPONENT (LOCATION|TESTING)|WIRE HARNESS|SENSOR|THERMISTOR|RESISTANCE)"
-BANNER = r"(?i)^(TABLE OF CONTENTS|SECTION\s+[0-9]+|TEST #[0-9]|DIAGNOSTICS\b|DIAGNOSTIC MODE|ACTIVATING SERVICE DIAGNOSTIC|COMPONENT (LOCATION|TESTING)|FAULT)"
-CONTENTS_ROW = r"\.{4,}\s*[0-9]+(-[0-9]+)?\s*$"
+HEADING = r"(?i)^(TABLE OF CONTENTS|SECTION\s+\d+\b|FOR SERVICE TECHNICIAN|DIAGNOSTIC|TEST #\d|ERROR CODE|IMPORTANT|WARNING|ABBREVIATIONS|TECHNICAL SERVICE POINTER|FAULT/?\s*ERROR CODES?|MANUALLY UNLOCKING|MEASURED VALUES|COMPONENT (?:LOCATION|TESTING)|WIRE HARNESS|SENSOR|THERMISTOR|RESISTANCE)"
+BANNER = r"(?i)^(TABLE OF CONTENTS|SECTION\s+\d+|TEST #\d|DIAGNOSTICS\b|DIAGNOSTIC MODE|ACTIVATING SERVICE DIAGNOSTIC|COMPONENT (?:LOCATION|TESTING)|FAULT)"
+CONTENTS_ROW = r"\.{4,}\s*\d+(?:-\d+)?\s*$"
 NOT_HEADING = r"(?i)^FOR SERVICE TECHNICIAN|^(WARNING|DANGER|IMPORTANT):?$|^diagnostic voltage\b"
 NOTE = r"(?i)\b(will|should|must|may|turn off|disconnect|prior to|otherwise|the appliance|continue to step)\b"
-RUNNING = r"(?i)^(TABLE OF CONTENTS|DIAGNOSTICS\s*&\s*TROUBLESHOOTING|COMPONENT TESTING|COMPONENT ACCESS|CONNECTIVITY|GENERAL INFORMATION|SECTION\s+[0-9]+)\b"
+RUNNING = r"(?i)^(TABLE OF CONTENTS|DIAGNOSTICS\s*&\s*TROUBLESHOOTING|COMPONENT TESTING|COMPONENT ACCESS|CONNECTIVITY|GENERAL INFORMATION|SECTION\s+\d+)\b"
 
 
 def is_heading(line: Column) -> Column:

@@ -9,12 +9,12 @@ from ..functions import codes, intent, serials
 from . import expansion
 
 # Patterns of evidence.
-UNLOCK_EVIDENCE = r"(?i)will not unlock|won'?t unlock|door will not unlock|add garment|door locks when cycle|touch (start/)?pause"
+UNLOCK_EVIDENCE = r"(?i)will not unlock|won'?t unlock|door will not unlock|add garment|door locks when cycle|touch (?:start/)?pause"
 WRONG_EVIDENCE = r"(?i)door won'?t lock|door will not lock|ensure that door is completely closed|door not closed"
 LED_EVIDENCE = r"(?i)(status led|diagnostic led|step 10|0\.5.*0\.5|blinks? (rapidly|slowly))"
 POWER_EVIDENCE = r"(?i)TEST #1.*ACU Power Check"
 ENTRY_EVIDENCE = r"(?i)Activating Service Diagnostic Mode|Select any three \(3\) buttons|wait 30 seconds before\s+activating Service Diagnostic"
-PAUSE_EVIDENCE = r"(?is)Enumeration:\s*[0-9]+.{0,80}Pauses the machine"
+PAUSE_EVIDENCE = r"(?is)Enumeration:\s*\d+.{0,80}Pauses the machine"
 # Kinds of documents for owners.
 OWNER_TYPES = ("owners_manual", "use_and_care", "quick_start_guide", "knowledge_article", "warranty", "cycle_guide", "installation_instructions", "dimension_guide")
 POINTERS = ("technical_service_pointer", "service_pointer")
@@ -86,6 +86,7 @@ def boosts() -> dict[str, Column]:
     entry = text.rlike(ENTRY_EVIDENCE)
     target = col("is_target")
     correcting = col("corrects") | col("tier").isin("service_pointer", "technical_service_pointer") | kind_of.isin(*POINTERS)
+    # The weights.
     table = {
         "correcting": (~bib & correcting, 0.05), "corrects_edge": (~bib & col("corrects"), 0.08), "superseded": (~bib & col("superseded"), -0.25),
         "manual": (bib & (kind_of == "service_manual"), 0.15), "manual_revision": (bib & (kind_of == "service_manual") & (F.upper("revision") == rev), 0.25),

@@ -13,13 +13,13 @@ REQUEST_PATTERNS = {
     "live-voltage": r"(?i)\b(measure|check|test)\b.{0,30}\b(voltage|120\s*v|240\s*v|vac|live)\b|\b(voltage|120\s*v|240\s*v|vac)\b.{0,30}\b(measure|measurement|check|test)\b|\blive\s+voltage\b|\bwith\s+power\s+on\b|\benergized\b",
     "control-board-service": r"(?i)\b(replace|remove|install|swap)\b.{0,30}\b(acu|control\s+board|main\s+control|ccu)\b|\bdisassemble\b",
     "panel-access": r"(?i)\b(remove|take\s+off)\b.{0,20}\b(rear|front|top|bottom|service)\s+panel\b",
-    "service-test-procedure": r"(?i)\bTEST\s*#\s*[0-9]+\b.{0,60}\b(step|steps|perform|run|do|how|procedure)\b|\b(how|steps?|perform|run)\b.{0,60}\bTEST\s*#\s*[0-9]+\b",
+    "service-test-procedure": r"(?i)\bTEST\s*#\s*\d+\b.{0,60}\b(step|steps|perform|run|do|how|procedure)\b|\b(how|steps?|perform|run)\b.{0,60}\bTEST\s*#\s*\d+\b",
     "stored-energy": r"(?i)\b(discharge|bleed)\b.{0,30}\bcapacitor\b|\bcapacitor\b.{0,40}\b(discharge|shock|stored\s+energy)\b",
     "tip-over-service": r"(?i)\b(tip|lay|turn|place)\b.{0,25}\b(washer|dryer|machine|appliance)\b.{0,40}\b(on\s+(its\s+)?(side|back)|upside\s*down)\b",
     "water-line-mod": r"(?i)\b(cut|drill|splice|modify)\b.{0,30}\b(drain\s+hose|inlet\s+hose|water\s+line)\b|\b(drain\s+hose|inlet\s+hose)\b.{0,30}\b(cut|drill|splice|modify)\b",
     "reset-and-power": r"(?i)\b(unplug|disconnect\s+power|cycle\s+power|hard\s+reset)\b",
 }
-#: (audience, rule, action) in order.
+# Fixed values: (audience, rule, action) in order.
 REQUEST_RULES = [
     *((a, r, "block") for a in ("owner", "technician") for r in ("bypass-interlock", "defeat-safety-device")),
     *(("owner", r, "escalate") for r in ("live-voltage", "control-board-service", "panel-access", "service-test-procedure", "stored-energy", "tip-over-service", "water-line-mod")),
@@ -27,10 +27,10 @@ REQUEST_RULES = [
 ]
 # Patterns of answers and evidence.
 FORBIDDEN_OUTPUT = r"(?i)\b(bypass|jumper|jump\s+the|defeat\s+the)\b.{0,40}\b(door|lock|interlock)\b"
-OWNER_PROCEDURE = r"(?is)\bTEST\s*#\s*[0-9]+\b.{0,240}\b([0-9]+\.\s|step\s+[0-9]+|measure|multimeter|VAC|120\s*v)\b|\b(measure|multimeter)\b.{0,60}\b(VAC|voltage|120\s*v|240\s*v)\b"
-UNSAFE_PROCEDURE = r"(?is)(\bstep\s+[0-9]+\b|\b[0-9]+\.\s|\bthen\s+(measure|remove|replace|disconnect|test)\b).{0,120}\b(voltage|120\s*v|panel|acu|control\s+board|multimeter|disassemble)\b"
-SERVICE_EVIDENCE = r"(?i)FOR\s+SERVICE\s+TECHNICIAN|\bTEST\s*#\s*[0-9]+\b|\blive\s+voltage\b|\btech[\s_-]?sheet\b|\bservice\s+manual\b"
-PROCEDURE = r"(?i)(^|\n)\s*[0-9]+\.\s+\S.{8,}|\bstep\s+[0-9]+\b|\b(measure|multimeter|remove the|replace the|disconnect the)\b"
+OWNER_PROCEDURE = r"(?is)\bTEST\s*#\s*\d+\b.{0,240}\b(\d+\.\s|step\s+\d+|measure|multimeter|VAC|120\s*v)\b|\b(measure|multimeter)\b.{0,60}\b(VAC|voltage|120\s*v|240\s*v)\b"
+UNSAFE_PROCEDURE = r"(?is)(\bstep\s+\d+\b|\b\d+\.\s|\bthen\s+(measure|remove|replace|disconnect|test)\b).{0,120}\b(voltage|120\s*v|panel|acu|control\s+board|multimeter|disassemble)\b"
+SERVICE_EVIDENCE = r"(?i)FOR\s+SERVICE\s+TECHNICIAN|\bTEST\s*#\s*\d+\b|\blive\s+voltage\b|\btech[\s_-]?sheet\b|\bservice\s+manual\b"
+PROCEDURE = r"(?i)(?:^|\n)\s*\d+\.\s+\S.{8,}|\bstep\s+\d+\b|\b(measure|multimeter|remove the|replace the|disconnect the)\b"
 #: A streamed answer holds back as much as a hazard may span.
 HOLD_BACK = 320
 
@@ -70,7 +70,7 @@ def output_hazard(audience: Column, action: Column, rule: Column, answer: Column
 def needs_citation(answer: Column) -> Column:
     """Whether an answer describes a procedure without citing anything."""
     text = F.trim(F.coalesce(answer, F.lit("")))
-    return ~F.upper(text).rlike("^(ABSTAIN:|BLOCK:|ESCALATE:)") & ~text.rlike(r"\[[0-9]+\]") & text.rlike(PROCEDURE)
+    return ~F.upper(text).rlike("^(ABSTAIN:|BLOCK:|ESCALATE:)") & ~text.rlike(r"\[\d+\]") & text.rlike(PROCEDURE)
 
 
 def gate(answers: DataFrame) -> DataFrame:
