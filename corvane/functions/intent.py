@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,11 +35,19 @@ def fold_query(text: Column) -> Column:
     return F.trim(F.regexp_replace(q, r"\s+", " "))
 
 
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """`fn` of a value that is worked out once, however often `fn` refers to it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def door_polarity(text: Column) -> Column:
     """unlock, lock, or null when a query has neither or both."""
-    q = fold_query(text)
-    unlock, lock = q.rlike(UNLOCK), q.rlike(LOCK)
-    return F.when(unlock & ~lock, "unlock").when(lock & ~unlock, "lock")
+
+    def read(q: Column) -> Column:
+        unlock, lock = q.rlike(UNLOCK), q.rlike(LOCK)
+        return F.when(unlock & ~lock, "unlock").when(lock & ~unlock, "lock")
+
+    return once(fold_query(text), read)
 
 
 def is_led_query(text: Column) -> Column:

@@ -39,15 +39,22 @@ def matches_family(text: Column, family: str) -> Column:
 
 def polarity(text: Column) -> Column:
     """unlock or lock by negations or families; null when neither or both."""
-    composed = F.coalesce(intent.door_polarity(text), F.lit(""))
-    unlock = (composed == "unlock") | matches_family(text, "door_unlock")
-    lock = (composed == "lock") | matches_family(text, "door_lock")
-    return F.when(unlock & ~lock, "unlock").when(lock & ~unlock, "lock")
+
+    def read(said: Column) -> Column:
+        unlock = (said["composed"] == "unlock") | said["plain"].rlike(family_pattern("door_unlock"))
+        lock = (said["composed"] == "lock") | said["plain"].rlike(family_pattern("door_lock"))
+        return F.when(unlock & ~lock, "unlock").when(lock & ~unlock, "lock")
+
+    return intent.once(F.struct(F.coalesce(intent.door_polarity(text), F.lit("")).alias("composed"), normalised(text).alias("plain")), read)
 
 
 def needs_clarification(text: Column) -> Column:
     """Whether a query is about the door's lock but says neither which way nor any fault code."""
-    return F.coalesce(text, F.lit("")).rlike(DOOR_TOPIC) & polarity(text).isNull() & (F.size(codes.error_codes(text)) == 0)
+    return unclear(text, polarity(text))
+
+
+def unclear(text: Column, polarity: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(DOOR_TOPIC) & polarity.isNull() & (F.size(codes.error_codes(text)) == 0)
 
 
 def expanded(text: Column) -> Column:

@@ -69,13 +69,13 @@ def boosts() -> dict[str, Column]:
 
     A hit: text, kind, error_codes, publication_number, revision; its document: doc_type, tier, corrects
     (has such an edge), superseded; its query: ask, audience, bibliographic, installation, mid_cycle, and
-    is_target (the publication is one that an article among the hits refers to).
+    is_target (the publication is one that an article among the hits refers to); and what `understood` reads in it.
     """
     col, text, ask = F.col, F.coalesce("text", F.lit("")), F.col("ask")
     bib, ins, tech, kind_of = col("bibliographic"), col("installation"), intent.is_technician_query(ask), col("doc_type")
-    asked, named, rev = codes.error_codes(ask), codes.queried_publications(ask), codes.requested_revision(ask)
+    asked, named, rev = col("asked_"), col("named_"), col("wanted_")
     own = F.transform(F.coalesce("error_codes", F.array().cast("array<string>")), F.upper)
-    led, polarity = intent.is_led_query(ask), expansion.polarity(ask)
+    led, polarity = intent.is_led_query(ask), col("polarity_")
     owner, pub = F.lower(F.coalesce("audience", F.lit(""))) == "owner", F.upper("publication_number")
     met = (F.size(asked) > 0) & F.arrays_overlap(own, asked)
     article = F.coalesce(kind_of == "knowledge_article", F.lit(False))
@@ -105,14 +105,21 @@ def boosts() -> dict[str, Column]:
     return {k: F.when(F.coalesce(c, F.lit(False)), F.lit(v)).otherwise(F.lit(0.0)) for k, (c, v) in table.items()}
 
 
+def understood(hits: DataFrame) -> DataFrame:
+    """Hits with what their query asks for, read once a hit: asked_ (codes), named_ (publications), wanted_ (revision), polarity_."""
+    ask = F.col("ask")
+    return hits.withColumns({"asked_": codes.error_codes(ask), "named_": codes.queried_publications(ask), "wanted_": codes.requested_revision(ask), "polarity_": expansion.polarity(ask)})
+
+
 def boosted(hits: DataFrame, keep: bool = False) -> DataFrame:
     """Hits with `boost` and `final_score`, and with `keep` each boost as a column of its own (boost_<name>)."""
     made = boosts()
     total = None
     for c in made.values():
         total = c if total is None else total + c
-    out = hits.withColumn("boost", total).withColumn("final_score", F.col("score") + F.col("boost"))
-    return out.withColumns({f"boost_{k}": c for k, c in made.items()}) if keep else out
+    out = understood(hits).withColumn("boost", total).withColumn("final_score", F.col("score") + F.col("boost"))
+    out = out.withColumns({f"boost_{k}": c for k, c in made.items()}) if keep else out
+    return out.drop("asked_", "named_", "wanted_", "polarity_")
 
 
 def diverse_top(hits: DataFrame, limit: int, per_doc: int = 2, score: str = "final_score", order: str = "merge_ord") -> DataFrame:

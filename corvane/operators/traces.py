@@ -11,9 +11,9 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import texts
+from ..functions import intent, texts
 from . import expansion
-from .rows import map_rows
+from .rows import map_rows, settled
 
 # What gives a failure away.
 INVENTED_KNOB = r"(?i)cycle selector|turn the cycle|to the \"Off\"|to \"Normal\"|Start/Pause.{0,40}3 seconds"
@@ -134,16 +134,20 @@ def failure_codes(question: Column, answer: Column, citations: Column, abstained
     q, a = F.coalesce(question, F.lit("")), F.coalesce(answer, F.lit(""))
     low, up = F.lower(a), F.upper(q)
     refuses = F.startswith(F.upper(F.ltrim(a)), F.lit("ABSTAIN:"))
-    unclear, polarity = expansion.needs_clarification(q), expansion.polarity(q)
-    tests = {
-        "invented_diag_entry": a.rlike(INVENTED_KNOB) & a.rlike(DIAGNOSTIC),
-        "clarify_as_abstain": refuses & (unclear | F.contains(low, F.lit("error code")) | F.contains(low, F.lit("door lock"))),
-        "wrong_polarity": F.coalesce(polarity == "unlock", F.lit(False)) & a.rlike(WRONG_POLARITY),
-        "skip_clarify": unclear & ~refuses & a.rlike(SKIPS_CLARIFYING),
-        "empty_cites_procedure": a.rlike(PROCEDURAL) & (F.size(F.coalesce(citations, F.array().cast("array<string>"))) == 0) & ~F.coalesce(abstained, F.lit(False)),
-        "plan_code_as_fact": a.rlike(ASSERTED) & ~F.contains(up, F.lit("F5E2")) & ~F.contains(up, F.lit("F5 E2")) & ~F.contains(F.substring(low, 1, 80), F.lit("if ")),
-    }
-    return F.array_compact(F.array(*[F.when(tests[c], F.lit(c)) for c in CODES]))
+    uncited = F.size(F.coalesce(citations, F.array().cast("array<string>"))) == 0
+    named = F.contains(up, F.lit("F5E2")) | F.contains(up, F.lit("F5 E2")) | F.contains(F.substring(low, 1, 80), F.lit("if "))
+
+    def read(polarity: Column) -> Column:
+        unclear = expansion.unclear(q, polarity)
+        tests = {
+            "invented_diag_entry": a.rlike(INVENTED_KNOB) & a.rlike(DIAGNOSTIC),
+            "clarify_as_abstain": refuses & (unclear | F.contains(low, F.lit("error code")) | F.contains(low, F.lit("door lock"))),
+            "wrong_polarity": F.coalesce(polarity == "unlock", F.lit(False)) & a.rlike(WRONG_POLARITY), "skip_clarify": unclear & ~refuses & a.rlike(SKIPS_CLARIFYING),
+            "empty_cites_procedure": a.rlike(PROCEDURAL) & uncited & ~F.coalesce(abstained, F.lit(False)), "plan_code_as_fact": a.rlike(ASSERTED) & ~named,
+        }
+        return F.array_compact(F.array(*[F.when(tests[c], F.lit(c)) for c in CODES]))
+
+    return intent.once(expansion.polarity(q), read)
 
 
 def rules_for(code: Column, question: Column) -> Column:
@@ -175,17 +179,20 @@ def mined(traces: DataFrame, covered: DataFrame, replayed: DataFrame | None = No
     traces: with ord (their order). covered: question. replayed (trace_id, code, passed, detail): what running the
     question again gave; without it a failure counts as still there.
     """
-    t = traces.select("trace_id", "ord", "question", failure_codes(F.col("question"), F.col("answer"), F.col("citations"), F.col("abstained")).alias("codes"))
+    t = settled(traces.select("trace_id", "ord", "question", failure_codes(F.col("question"), F.col("answer"), F.col("citations"), F.col("abstained")).alias("codes")))
     none = t.where(F.size("codes") == 0).select("trace_id", "ord", F.lit(None).cast("string").alias("code"), F.lit("").alias("fingerprint"), "question", F.lit("skipped").alias("outcome"), F.lit("no failure rules").alias("detail"))
     each = t.select("trace_id", "ord", "question", F.posexplode("codes").alias("at", "code")).withColumn("fingerprint", texts.trace_fingerprint(F.col("code"), F.col("question")))
-    each = each.withColumn("r", F.row_number().over(Window.partitionBy("fingerprint").orderBy("ord", "trace_id", "at")))
+    # the first of a fingerprint by an aggregation, since one may be that of most traces
+    at = F.struct("ord", "trace_id", "at")
+    first = each.groupBy("fingerprint").agg(F.min(at).alias("first"))
+    each = each.join(first, "fingerprint").withColumn("again", at != F.col("first"))
     each = each.join(covered.select("question", F.lit(True).alias("held")).withColumnRenamed("question", "key"), question_key(F.col("question")) == F.col("key"), "left")
     if replayed is None:
         each = each.withColumn("passed", F.lit(False)).withColumn("said", F.lit("replay skipped"))
     else:
         each = each.join(replayed.select("trace_id", "code", "passed", F.col("detail").alias("said")), ["trace_id", "code"], "left")
-    outcome = F.when(F.col("r") > 1, "skipped").when(F.col("held"), "covered").when(F.col("passed"), "resolved_stale").otherwise("actionable")
-    detail = F.when(F.col("r") > 1, "fingerprint already noted in this run").when(F.col("held"), "ready fixture already covers question").otherwise(F.col("said"))
+    outcome = F.when(F.col("again"), "skipped").when(F.col("held"), "covered").when(F.col("passed"), "resolved_stale").otherwise("actionable")
+    detail = F.when(F.col("again"), "fingerprint already noted in this run").when(F.col("held"), "ready fixture already covers question").otherwise(F.col("said"))
     return each.select("trace_id", "ord", "code", "fingerprint", "question", outcome.alias("outcome"), detail.alias("detail")).unionByName(none)
 
 
