@@ -94,3 +94,17 @@ def map_private(text: Column) -> Column:
     x = F.regexp_replace(x, "[\ue000-\uf8ff\u0000]", "")
     x = F.regexp_replace(x, r"J{2}(\d)(\d)\2", "J$1$2")
     return F.regexp_replace(x, r"-{2}(\d)\1\b", "-$1")
+
+
+def is_index_language(language: Column) -> Column:
+    """Whether text of a language is indexed: English of any region, or none known."""
+    return F.coalesce(F.startswith(F.replace(F.lower(language), F.lit("_"), F.lit("-")), F.lit("en")), F.lit(True))
+
+
+def strip_nul(text: Column) -> Column:
+    return F.replace(text, F.lit("\x00"), F.lit(""))
+
+
+def count_private(text: Column, marks: str = "\uf0d8\uf06e") -> Column:
+    """How many private-use list marks a text has."""
+    return F.char_length(text) - F.char_length(F.translate(text, marks, ""))

@@ -83,14 +83,13 @@ def audit(chunks: DataFrame) -> DataFrame:
     row = col("kind") == "table_row"
     filled = F.filter("headers", lambda h: F.trim(h) != "")
     garbage = (F.size("headers") == 0) | F.forall("headers", lambda h: F.trim(h).rlike(r"(?i)^(|col(umn)?\s*[0-9]*|[0-9]+|-+)$"))
-    opaque = lambda x: x.rlike("[0-9]") & (F.length(F.regexp_replace(x, "[^A-Za-z]", "")) < 8)
     unlabelled = (F.size(filled) > 0) & F.exists(filled, lambda h: ~F.contains(text, h))
     rows = F.flatten(F.collect_set(F.when(row, col("error_codes")).otherwise(F.array().cast("array<string>"))).over(Window.partitionBy("doc_id")))
     cells = F.filter(F.transform(F.split(body, r"\|"), lambda x: F.trim(x)), lambda p: p != "")
     has = F.size("error_codes") > 0
     rules = [
         ("empty_or_garbage_headers", row & garbage, "warning", False), ("headers_in_meta_not_text", row & ~garbage & unlabelled, "warning", True),
-        ("opaque_numeric_row", row & opaque(text), "warning", ~garbage), ("error_code_unbound", row & has & ((F.size(cells) < 2) | F.array_contains("error_codes", F.trim(body))), "critical", False),
+        ("opaque_numeric_row", row & is_opaque(text), "warning", ~garbage), ("error_code_unbound", row & has & ((F.size(cells) < 2) | F.array_contains("error_codes", F.trim(body))), "critical", False),
         ("missing_section_path", col("kind").isin("prose", "procedure", "table_row") & col("section").isNull() & col("proposal").isNotNull(), "warning", True),
         ("missing_doc_context", (col("kind") != "article") & col("label").isNotNull() & ~F.contains(text, col("label")), "info", True),
         ("duplicate_table_as_prose", ~row & has & (F.size(F.array_except("error_codes", "rows_")) == 0) & (F.char_length(body) < 120), "warning", True),
@@ -120,3 +119,13 @@ def audit_and_improve(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     docs = chunks.select("doc_id").distinct().join(counts, "doc_id", "left").join(still, "doc_id", "left")
     reason = F.when(F.col("n").isNull(), "clean").when(F.col("r") == 0, "no_repairable").when(F.col("still") > 0, "repair_ineffective").otherwise("after_one_repair")
     return after, left, docs.select("doc_id", reason.alias("stop_reason"))
+
+
+def row_line(cells: Column) -> Column:
+    """A row's cells that aren't blank, joined by bars."""
+    return F.array_join(F.filter(cells, lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""), " | ")
+
+
+def is_opaque(body: Column) -> Column:
+    """Whether a row has numbers and next to no letters."""
+    return body.rlike("[0-9]") & (F.length(F.regexp_replace(body, "[^A-Za-z]", "")) < 8)

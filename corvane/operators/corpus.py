@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import layout
+
 # Edges that say which document prevails, and licences that may be filed.
 PRECEDENCE = ("corrects", "supersedes", "superseded_by", "overrides", "corrected_by")
 SYNTHETIC_DOC, SYNTHETIC_PUBLICATION = "synth-", "SYNTH-"
@@ -161,3 +163,40 @@ def support_message(kind: Column, model: Column, serial: Column, maker: str = "t
 def stamp(content: Column, name: str) -> Column:
     """A short stamp of a file's content, by name; none where there is no file."""
     return F.when(content.isNull(), "none").otherwise(F.concat(F.lit(f"{name}@"), F.substring(F.sha2(content, 256), 1, 12)))
+
+
+def active_rows(rows: DataFrame, versions: DataFrame) -> DataFrame:
+    """Rows(doc_id, version, ...) of documents' active versions."""
+    return rows.join(versions.where("status = 'active'").select("doc_id", "version"), ["doc_id", "version"], "left_semi")
+
+
+def kinds(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, correcting (by an edge, or as a service pointer) and superseded of docs(doc_id, tier, doc_type)."""
+    t, pointer = F.col("type"), "technical_service_pointer"
+    by = edges.groupBy("doc_id").agg(F.bool_or(t.isin("corrects", "supersedes", "overrides")).alias("c"), F.bool_or(t == "superseded_by").alias("s"))
+    correcting = F.coalesce("c", F.lit(False)) | (F.col("tier") == pointer) | (F.col("doc_type") == pointer)
+    return docs.join(by, "doc_id", "left").select("doc_id", correcting.alias("correcting"), F.coalesce("s", F.lit(False)).alias("superseded"))
+
+
+def rows_without_vector(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Rows in the index's language that have no vector."""
+    return rows.where(layout.is_index_language(F.col("language"))).join(vectors.select(key), key, "left_anti")
+
+
+def models(rows: DataFrame) -> DataFrame:
+    """The models that rows' vectors are of."""
+    return rows.where("embedding is not null and embedding_model is not null").select("embedding_model").distinct()
+
+
+def page_range_text(pages: DataFrame, key: str, page: str, text: str, first: int, last: int) -> DataFrame:
+    """key and the text of its pages from first to last, a line each."""
+    some = pages.where(F.col(page).between(first, last))
+    held = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(F.col(text), F.lit("")).alias("t"))))
+    return some.groupBy(key).agg(F.array_join(F.transform(held, lambda r: r["t"]), "\n").alias("text"))
+
+
+def parts(pages: Column, size: int) -> Column:
+    """A document of so many pages in parts of `size` at most: an array of structs part, first, last."""
+    numbers = F.sequence(F.lit(0).cast("long"), F.floor((pages - 1) / size))
+    made = lambda i: F.struct(i.alias("part"), (i * size + 1).alias("first"), F.least((i + 1) * size, pages).alias("last"))
+    return F.when(pages > 0, F.transform(numbers, made)).otherwise(F.filter(F.transform(F.array(F.lit(0).cast("long")), made), lambda x: F.lit(False)))

@@ -120,3 +120,8 @@ def related_parts(hits: DataFrame, lists: DataFrame, publications: DataFrame) ->
     first = new.groupBy("query_id", "part").agg(F.min("rank").alias("at_"))
     some = first.withColumn("r_", F.row_number().over(Window.partitionBy("query_id").orderBy("at_", "part"))).where(F.col("r_") <= PARTS)
     return some.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r_", "part"))), lambda x: x["part"]).alias("parts"))
+
+
+def with_layout(hits: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Hits with what is known of their chunk's place on the page; null where nothing is. layouts: chunk_id and others."""
+    return hits.join(layouts, "chunk_id", "left")

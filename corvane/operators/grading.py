@@ -169,3 +169,14 @@ def promote_failures(results: DataFrame, grading: DataFrame, force: bool = False
     draft = made.select("scenario_id", F.to_json(F.struct(*[c for c in made.columns if c != "scenario_id"])).alias("new_"))
     both = grading.join(draft, "scenario_id", "full")
     return both.select("scenario_id", "live", (F.coalesce("new_", "draft") if force else F.coalesce("draft", "new_")).alias("draft"))
+
+
+def relevant_labels(explicit: Column, must_cite: Column, must_cite_any: Column) -> Column:
+    """The labels that count as relevant: those listed, or else all that must or may be cited."""
+    none = F.array().cast("array<string>")
+    listed = F.coalesce(explicit, none)
+    return F.array_sort(F.when(F.size(listed) > 0, F.array_distinct(listed)).otherwise(F.array_union(F.coalesce(must_cite, none), F.coalesce(must_cite_any, none))))
+
+
+def forbidden_labels(explicit: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.coalesce(explicit, F.array().cast("array<string>"))))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, intent, parsing, texts
-from ..operators import expansion, policy, ranking
+from ..operators import corpus, evidence, expansion, policy, ranking
 from .base import ASKS_SQL, CHUNKS_SQL, EDGES_SQL, MANUALS_SQL, asks, chunks, edges, manuals, sql, values_sql
 from .registry import plan, table
 from .texts import FOLD_SQL
@@ -161,18 +161,15 @@ def article(pages, key: str, slug: str, text: str):
     return p.select(key, "codes", F.when(F.size("codes") > 0, F.concat(F.lit("Error codes: "), F.array_join("codes", ", "), F.lit("\n\n"), "body")).otherwise(F.col("body")).alias("text"))
 
 
-@plan("page_range_text", "SELECT o_custkey % 50 AS bucket, string_agg(o_orderkey || ':' || o_orderstatus, chr(10) ORDER BY o_orderkey) AS text FROM orders WHERE o_orderkey BETWEEN 100 AND 900 GROUP BY 1")
+@plan("page_range_text", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE turn BETWEEN 1 AND 3 GROUP BY 1")
 def page_range_text(spark, folder):
-    o = table(spark, folder, "orders").where("o_orderkey between 100 and 900")
-    rows = F.array_sort(F.collect_list(F.struct("o_orderkey", F.concat_ws(":", "o_orderkey", "o_orderstatus").alias("line"))))
-    return o.groupBy((F.col("o_custkey") % 50).alias("bucket")).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+    """Turns 1 to 3 of every conversation, as pages of a document."""
+    return corpus.page_range_text(table(spark, folder, "conversations"), "conv_id", "turn", "text", 1, 3)
 
 
 @plan("outline_parts", "SELECT c_custkey, part, part * 20 + 1 AS first, least((part + 1) * 20, 30 + c_custkey % 70) AS last FROM (SELECT c_custkey, unnest(generate_series(0, (30 + c_custkey % 70 - 1) // 20)) AS part FROM customer)")
 def outline_parts(spark, folder):
-    pages = 30 + F.col("c_custkey") % 70
-    c = table(spark, folder, "customer").select("c_custkey", pages.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((pages - 1) / 20))).alias("part"))
-    return c.select("c_custkey", "part", (F.col("part") * 20 + 1).alias("first"), F.least((F.col("part") + 1) * 20, F.col("n")).alias("last"))
+    return table(spark, folder, "customer").select("c_custkey", F.inline(corpus.parts(30 + F.col("c_custkey") % 70, 20)))
 
 
 PARTS_SQL = r"u AS (SELECT doc_id, page, unnest(regexp_extract_all(substr(text, 1, 400) || ' W' || (10000000 + chunk_no % 300) || ' W' || (10000000 + page), '\bW[0-9]{8}\b', 0)) AS part, chunk_no FROM chunks WHERE page <= 6), f AS (SELECT doc_id, part, min(chunk_no) AS at0 FROM u GROUP BY 1, 2)"
@@ -180,22 +177,20 @@ PARTS_SQL = r"u AS (SELECT doc_id, page, unnest(regexp_extract_all(substr(text,
 
 @plan("is_correcting_doc", sql("SELECT m.doc_id, coalesce(bool_or(e.type IN ('corrects', 'supersedes', 'overrides')), false) OR m.tier = 'technical_service_pointer' OR m.doc_type = 'technical_service_pointer' AS correcting, coalesce(bool_or(e.type = 'superseded_by'), false) AS superseded FROM manuals m LEFT JOIN edges e USING (doc_id) GROUP BY m.doc_id, m.tier, m.doc_type", MANUALS_SQL, EDGES_SQL))
 def is_correcting_doc(spark, folder):
-    m = manuals(spark).join(edges(spark), "doc_id", "left").groupBy("doc_id", "tier", "doc_type")
-    out = m.agg(F.coalesce(F.bool_or(F.col("type").isin("corrects", "supersedes", "overrides")), F.lit(False)).alias("c"), F.coalesce(F.bool_or(F.col("type") == "superseded_by"), F.lit(False)).alias("superseded"))
-    return out.select("doc_id", (F.col("c") | (F.col("tier") == "technical_service_pointer") | (F.col("doc_type") == "technical_service_pointer")).alias("correcting"), "superseded")
+    return corpus.kinds(manuals(spark), edges(spark))
 
 
 @plan("attach_layout", sql("SELECT query_id, c.chunk_id, coalesce(h.hit, 0) AS hit FROM (SELECT query_id, 'c' || lpad(CAST(query_id * 11 AS VARCHAR), 8, '0') AS chunk_id FROM asks) c LEFT JOIN (SELECT chunk_id, 1 AS hit FROM chunks WHERE page > 3) h USING (chunk_id)", ASKS_SQL, CHUNKS_SQL))
 def attach_layout(spark, folder):
     hits = asks(spark).select("query_id", F.concat(F.lit("c"), F.lpad((F.col("query_id") * 11).cast("string"), 8, "0")).alias("chunk_id"))
-    have = chunks(spark, folder).where("page > 3").select("chunk_id", F.lit(1).alias("hit"))
-    return hits.join(have, "chunk_id", "left").select("query_id", "chunk_id", F.coalesce("hit", F.lit(0)).alias("hit"))
+    layouts = chunks(spark, folder).where("page > 3").select("chunk_id", F.lit(1).alias("hit"))
+    return evidence.with_layout(hits, layouts).select("query_id", "chunk_id", F.coalesce("hit", F.lit(0)).alias("hit"))
 
 
-@plan("sibling_fetch", sql("SELECT a.chunk_no, b.chunk_no AS sibling FROM chunks a JOIN chunks b USING (doc_id, page) WHERE a.kind = 'article' AND b.kind = 'table_row' AND a.chunk_no < 60", CHUNKS_SQL))
+@plan("sibling_fetch", sql("SELECT a.chunk_no, b.chunk_no AS sibling FROM chunks a JOIN chunks b ON a.doc_id = b.doc_id AND a.chunk_no // 100 = b.chunk_no // 100 WHERE a.kind = 'table_row' AND b.kind = 'table_row'", CHUNKS_SQL))
 def sibling_fetch(spark, folder):
     from ..operators import arms
 
-    c = chunks(spark, folder).withColumn("problem_title", F.lit("p"))
-    hits = c.where("kind = 'article' and chunk_no < 60").select(F.col("chunk_no").alias("query_id"), "doc_id", "page", "problem_title")
+    c = chunks(spark, folder).withColumn("problem_title", F.lit("p")).withColumn("page", F.floor(F.col("chunk_no") / 100))
+    hits = c.where("kind = 'table_row'").select(F.col("chunk_no").alias("query_id"), "doc_id", "page", "problem_title")
     return arms.sibling_fetch(hits, c).select(F.col("query_id").alias("chunk_no"), F.col("chunk_no").alias("sibling"))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codes, texts
-from ..operators import metrics
-from .base import CHUNKS_SQL, chunks, sql
+from ..operators import arms, metrics
+from .base import CHUNKS_SQL, chunks, sql, vectors
 from .registry import plan, table
+from .retrieval import _cos
 
 K = 8
-#: Ranked hits: the nearest of the first ten vectors; relevant are chunks of good quality.
-HITS_SQL = """hits AS (SELECT query_id, chunk_no, doc_id, publication_number, revision, rank FROM (
-  SELECT q.vec_id AS query_id, c.chunk_no, c.doc_id, c.publication_number, c.revision, row_number() OVER (PARTITION BY q.vec_id ORDER BY (c.chunk_no * 7919 + q.vec_id * 104729) % 1009, c.chunk_no) AS rank FROM embeddings q CROSS JOIN chunks c WHERE q.vec_id < 50 AND c.chunk_no < 400) WHERE rank <= 12)"""
+#: Ranked hits: the nearest chunks of every vector whose id is divisible by 20.
+HITS_SQL = f"""hits AS (SELECT query_id, chunk_no, doc_id, publication_number, revision, rank FROM (
+  SELECT q.vec_id AS query_id, c.chunk_no, c.doc_id, c.publication_number, c.revision, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_cos('q.embedding', 'e.embedding')} DESC, c.chunk_no) AS rank FROM embeddings q CROSS JOIN chunks c JOIN embeddings e ON e.vec_id = c.chunk_no WHERE q.vec_id % 20 = 0) WHERE rank <= 12)"""
 #: Each query's targets: one label of its own, and a group of two.
-TARGETS_SQL = """targets AS (SELECT vec_id AS query_id, 'own' AS target, 'W1' || lpad(CAST(vec_id % 20 AS VARCHAR), 7, '0') || CASE WHEN vec_id % 3 = 0 THEN ' Rev ' || chr(CAST(65 + vec_id % 2 AS INTEGER)) ELSE '' END AS label FROM embeddings WHERE vec_id < 50
-  UNION ALL SELECT vec_id, 'any', 'D' || lpad(CAST((vec_id + 3) % 20 AS VARCHAR), 4, '0') FROM embeddings WHERE vec_id < 50 UNION ALL SELECT vec_id, 'any', 'W1' || lpad(CAST((vec_id + 5) % 20 AS VARCHAR), 7, '0') || 'A' FROM embeddings WHERE vec_id < 50)"""
+TARGETS_SQL = """targets AS (SELECT vec_id AS query_id, 'own' AS target, 'W1' || lpad(CAST(vec_id % 20 AS VARCHAR), 7, '0') || CASE WHEN vec_id % 3 = 0 THEN ' Rev ' || chr(CAST(65 + vec_id % 2 AS INTEGER)) ELSE '' END AS label FROM embeddings WHERE vec_id % 20 = 0
+  UNION ALL SELECT vec_id, 'any', 'D' || lpad(CAST((vec_id + 3) % 20 AS VARCHAR), 4, '0') FROM embeddings WHERE vec_id % 20 = 0 UNION ALL SELECT vec_id, 'any', 'W1' || lpad(CAST((vec_id + 5) % 20 AS VARCHAR), 7, '0') || 'A' FROM embeddings WHERE vec_id % 20 = 0)"""
 PUB = r"""CASE WHEN NOT (regexp_matches(trim({x}), '(?i)\bRev\.?\s*[A-Z]\b') OR regexp_matches(trim({x}), '(?i)-rev[a-z]\b')) AND regexp_matches(trim({x}), '\bW[0-9]{8}[A-Z]\b') THEN regexp_extract(trim({x}), '\b(W[0-9]{8})[A-Z]\b', 1) ELSE nullif(upper(regexp_extract(trim({x}), '(?i)\b(W[0-9]{8}|SYNTH-[A-Z0-9-]+)\b', 1)), '') END"""
 REV = r"""coalesce(nullif(upper(regexp_extract(trim({x}), '(?i)\bRev\.?\s*([A-Z])\b', 1)), ''), nullif(upper(regexp_extract(trim({x}), '(?i)-rev([a-z])\b', 1)), ''), nullif(regexp_extract(trim({x}), '\bW[0-9]{8}([A-Z])\b', 1), ''))"""
 KEYS_SQL = "keyed AS (SELECT *, unnest(list_filter([doc_id, publication_number, publication_number || ' Rev ' || revision], lambda x: x IS NOT NULL)) AS key FROM hits)"
@@ -32,18 +33,15 @@ RANKED = (CHUNKS_SQL, HITS_SQL, TARGETS_SQL, KEYS_SQL, RANKS_SQL)
 
 
 def hits(spark, folder):
-    from pyspark.sql import Window
-
-    q = table(spark, folder, "embeddings").where("vec_id < 50").select(F.col("vec_id").alias("query_id"))
-    pairs = chunks(spark, folder).where("chunk_no < 400").crossJoin(F.broadcast(q))
-    order = Window.partitionBy("query_id").orderBy((F.col("chunk_no") * 7919 + F.col("query_id") * 104729) % 1009, "chunk_no")
-    h = pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 12")
+    v = vectors(spark, folder)
+    q = v.where("chunk_no % 20 = 0").select(F.col("chunk_no").alias("query_id"), F.col("embedding").alias("vector"))
+    h = arms.vector_fetch(q, chunks(spark, folder).join(v, "chunk_no"), 12).withColumnRenamed("arm_rank", "rank")
     return h.withColumn("keys", codes.cite_keys(F.col("doc_id"), F.col("publication_number"), F.col("revision")))
 
 
 def targets(spark, folder):
     n = F.col("vec_id")
-    v = table(spark, folder, "embeddings").where("vec_id < 50")
+    v = table(spark, folder, "embeddings").where("vec_id % 20 = 0")
     pub = lambda i: F.concat(F.lit("W1"), F.lpad((i % 20).cast("string"), 7, "0"))
     own = v.select(n.alias("query_id"), F.lit("own").alias("target"), F.concat(pub(n), F.when(n % 3 == 0, F.concat(F.lit(" Rev "), F.char((65 + n % 2).cast("int")))).otherwise("")).alias("label"))
     doc = v.select(n.alias("query_id"), F.lit("any").alias("target"), F.concat(F.lit("D"), F.lpad(((n + 3) % 20).cast("string"), 4, "0")).alias("label"))

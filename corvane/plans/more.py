@@ -7,7 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, intent, layout, serials
-from ..operators import metrics, tables, versions
+from ..operators import chunking, corpus, golden, grading, metrics, tables, versions
+from ..streaming import sessions as streaming
 from . import helpers, pages, retrieval, storage
 from . import metrics as metric_plans
 from .base import ASKS_SQL, CHUNKS_SQL, EDGES_SQL, MANUALS_SQL, asks, chunks, edges, manuals, sql
@@ -36,8 +37,7 @@ def engineering_digit(spark, folder):
 
 @plan("is_superseded_doc", sql("SELECT doc_id, doc_id IN (SELECT doc_id FROM edges WHERE type = 'superseded_by') AS superseded FROM manuals", MANUALS_SQL, EDGES_SQL))
 def is_superseded_doc(spark, folder):
-    old = edges(spark).where("type = 'superseded_by'").select("doc_id", F.lit(True).alias("s")).distinct()
-    return manuals(spark).join(old, "doc_id", "left").select("doc_id", F.coalesce("s", F.lit(False)).alias("superseded"))
+    return corpus.kinds(manuals(spark), edges(spark)).select("doc_id", "superseded")
 
 
 def metric(name: str, column: str, rounded: bool):
@@ -65,17 +65,23 @@ def high_precision_hit(spark, folder):
 
 @plan("relevant_labels", sql("SELECT query_id, string_agg(DISTINCT label, ';' ORDER BY label) AS labels FROM targets GROUP BY 1", metric_plans.TARGETS_SQL))
 def relevant_labels(spark, folder):
-    return metric_plans.targets(spark, folder).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("label")), ";").alias("labels"))
+    """Queries without an explicit list: what must be cited, and what may."""
+    t = metric_plans.targets(spark, folder)
+    own = lambda name: F.collect_set(F.when(F.col("target") == name, F.col("label")))
+    g = t.groupBy("query_id").agg(own("own").alias("must"), own("any").alias("some"))
+    return g.select("query_id", F.array_join(grading.relevant_labels(F.lit(None).cast("array<string>"), F.col("must"), F.col("some")), ";").alias("labels"))
 
 
-@plan("forbidden_labels", sql("SELECT query_id, count(*) AS forbidden FROM targets WHERE label LIKE '%Rev B' OR label LIKE 'D%' GROUP BY 1", metric_plans.TARGETS_SQL))
+@plan("forbidden_labels", sql("SELECT query_id, string_agg(DISTINCT label, ';' ORDER BY label) AS labels FROM targets WHERE label LIKE '%Rev B' OR label LIKE 'D%' GROUP BY 1", metric_plans.TARGETS_SQL))
 def forbidden_labels(spark, folder):
-    return metric_plans.targets(spark, folder).where("label like '%Rev B' or label like 'D%'").groupBy("query_id").agg(F.count(F.lit(1)).alias("forbidden"))
+    g = metric_plans.targets(spark, folder).where("label like '%Rev B' or label like 'D%'").groupBy("query_id").agg(F.collect_list("label").alias("listed"))
+    return g.select("query_id", F.array_join(grading.forbidden_labels(F.col("listed")), ";").alias("labels"))
 
 
 @plan("synthetic_tests", sql("SELECT chunk_no, starts_with(CASE WHEN chunk_no % 5 = 0 THEN 'synth-' ELSE '' END || doc_id, 'synth-') AS fake FROM chunks", CHUNKS_SQL))
 def synthetic_tests(spark, folder):
-    return chunks(spark, folder).select("chunk_no", F.startswith(F.concat(F.when(F.col("chunk_no") % 5 == 0, "synth-").otherwise(""), "doc_id"), F.lit("synth-")).alias("fake"))
+    named = F.concat(F.when(F.col("chunk_no") % 5 == 0, "synth-").otherwise(""), "doc_id")
+    return chunks(spark, folder).select("chunk_no", corpus.is_synthetic(named, F.col("publication_number")).alias("fake"))
 
 
 HEADERS_SQL = "h AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ['Problem', 'Possible Cause', 'Checks'] WHEN 1 THEN ['Code', 'Remedy'] WHEN 2 THEN ['Symptom', 'Cause'] ELSE CAST([] AS VARCHAR[]) END AS headers, [p_name, '', CASE WHEN p_size % 5 = 0 THEN '(cid:3)' ELSE p_type END] AS cells FROM part)"
@@ -95,13 +101,13 @@ def junk_table(spark, folder):
 @plan("strip_nul", "SELECT doc_id, length(text) AS n FROM documents")
 def strip_nul(spark, folder):
     dirty = F.concat(F.lit("\x00"), "text", F.lit("\x00"))
-    return table(spark, folder, "documents").select("doc_id", F.char_length(F.replace(dirty, F.lit("\x00"), F.lit(""))).cast("long").alias("n"))
+    return table(spark, folder, "documents").select("doc_id", F.char_length(layout.strip_nul(dirty)).cast("long").alias("n"))
 
 
 @plan("count_pua", "SELECT doc_id, doc_id % 3 AS marks FROM documents")
 def count_pua(spark, folder):
     x = F.concat("text", F.repeat(F.lit("\uf0d8"), (F.col("doc_id") % 3).cast("int")))
-    return table(spark, folder, "documents").select("doc_id", (F.char_length(x) - F.char_length(F.translate(x, "\uf0d8\uf06e", ""))).cast("long").alias("marks"))
+    return table(spark, folder, "documents").select("doc_id", layout.count_private(x).cast("long").alias("marks"))
 
 
 @plan("split_list", "SELECT p_partkey, p_name || ';' || p_brand AS items FROM part")
@@ -114,13 +120,13 @@ def split_list(spark, folder):
 @plan("quality_predicates", sql("SELECT chunk_no, regexp_matches(body, '[0-9]') AND length(regexp_replace(body, '[^A-Za-z]', '', 'g')) < 8 AS opaque FROM short", CHUNKS_SQL, pages.SHORT_SQL))
 def quality_predicates(spark, folder):
     body = F.substring("text", F.lit(1), (60 + F.col("chunk_no") % 120).cast("int"))
-    return chunks(spark, folder).select("chunk_no", (body.rlike("[0-9]") & (F.length(F.regexp_replace(body, "[^A-Za-z]", "")) < 8)).alias("opaque"))
+    return chunks(spark, folder).select("chunk_no", chunking.is_opaque(body).alias("opaque"))
 
 
-@plan("page_blob", sql("SELECT doc_id, page, length(string_agg(text, chr(10) ORDER BY chunk_no)) AS chars FROM chunks GROUP BY 1, 2", CHUNKS_SQL))
+@plan("page_blob", sql("SELECT doc_id, page, length(string_agg(text || chr(10), chr(10) ORDER BY chunk_no)) AS chars FROM chunks GROUP BY 1, 2", CHUNKS_SQL))
 def page_blob(spark, folder):
-    rows = F.array_sort(F.collect_list(F.struct("chunk_no", "text")))
-    return chunks(spark, folder).groupBy("doc_id", "page").agg(F.char_length(F.array_join(F.transform(rows, lambda r: r["text"]), "\n")).cast("long").alias("chars"))
+    c = chunks(spark, folder).withColumns({"body": F.lit(None).cast("string"), "section_path": F.array().cast("array<string>")})
+    return golden.page_facts(c, "chunk_no").select("doc_id", "page", F.char_length("blob").cast("long").alias("chars"))
 
 
 @plan("sections", sql(f"SELECT doc_id, string_agg({pages.TRIMMED}, '>' ORDER BY pos) AS path FROM lines WHERE {pages.IS_HEADING} GROUP BY 1", pages.PAGES_SQL))
@@ -188,5 +194,5 @@ def rerank_hits(spark, folder):
 
 @plan("token_stream", r"SELECT conv_id, turn, CAST(ceil(length(text) / 24.0) AS BIGINT) AS pieces FROM conversations WHERE length(text) > 0")
 def token_stream(spark, folder):
-    pieces = F.regexp_extract_all("text", F.lit("(?s).{1,24}"), F.lit(0))
+    pieces = streaming.pieces(F.col("text"))
     return table(spark, folder, "conversations").where(F.char_length("text") > 0).select("conv_id", "turn", F.size(pieces).cast("long").alias("pieces"))

@@ -69,7 +69,7 @@ def contextual_text(spark, folder):
 
 @plan("table_row_chunks", sql("SELECT p_partkey, array_to_string(list_filter(cells, lambda c: c <> ''), ' | ') AS body FROM rows", ROW_SQL))
 def table_row_chunks(spark, folder):
-    return part_rows(spark, folder).select("p_partkey", F.array_join(F.filter("cells", lambda c: c != ""), " | ").alias("body"))
+    return part_rows(spark, folder).select("p_partkey", chunking.row_line(F.col("cells")).alias("body"))
 
 
 @plan("strip_table_cells", sql("SELECT p_partkey, array_to_string(list_filter([cells[1], cells[1] || ' | ' || cells[2], 'See ' || cells[1], cells[2] || ' | other', ' '], lambda x: NOT (trim(x) <> '' AND (list_contains(cells, trim(x)) OR (contains(x, ' | ') AND list_has_all(cells, list_transform(string_split(x, '|'), lambda p: trim(p))))))), '/') AS kept FROM rows", ROW_SQL))

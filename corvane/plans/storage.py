@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import texts
-from ..operators import versions
+from ..functions import layout, texts
+from ..operators import corpus, versions
 from .base import CHUNKS_SQL, MANUALS_SQL, chunks, manuals, sql
+from .inputs import HISTORY_SQL, history
 from .registry import plan, table
 
 HASH = r"sha256(trim(regexp_replace({x}, '[ \t\n\x0B\f\r]+', ' ', 'g')))"
@@ -20,9 +21,10 @@ def document_versions(spark):
     return manuals(spark).select("doc_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("version")).withColumn("status", status)
 
 
-@plan("scan_active", sql("SELECT chunk_no, c.doc_id FROM chunks c JOIN versions v ON v.doc_id = c.doc_id AND v.version = 2 WHERE v.status = 'active'", CHUNKS_SQL, MANUALS_SQL, VERSIONS_SQL))
+@plan("scan_active", sql("SELECT 'S' || l_suppkey AS doc_id, l_linenumber AS version, count(*) AS n FROM lineitem JOIN history h ON h.doc_id = 'S' || l_suppkey AND h.version = l_linenumber WHERE h.status = 'active' GROUP BY 1, 2", HISTORY_SQL))
 def scan_active(spark, folder):
-    return chunks(spark, folder).join(document_versions(spark).where("version = 2 and status = 'active'"), "doc_id").select("chunk_no", "doc_id")
+    rows = table(spark, folder, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("version"))
+    return corpus.active_rows(rows, history(spark, folder)).groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("n"))
 
 
 @plan("doc_fingerprint", sql(f"SELECT doc_id, sha256(string_agg(chunk_id || ':' || {HASH.format(x='text')}, chr(10) ORDER BY chunk_id)) AS fingerprint FROM chunks GROUP BY 1", CHUNKS_SQL))
@@ -40,17 +42,18 @@ def chunkset_fingerprint(spark, folder):
 @plan("rows_missing_vector", sql("SELECT chunk_no FROM chunks LEFT JOIN embeddings ON vec_id = chunk_no WHERE embedding IS NULL AND (language IS NULL OR starts_with(language, 'en'))", CHUNKS_SQL))
 def rows_missing_vector(spark, folder):
     e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_no"))
-    return chunks(spark, folder).where("language is null or startswith(language, 'en')").join(e, "chunk_no", "left_anti").select("chunk_no")
+    return corpus.rows_without_vector(chunks(spark, folder), e, "chunk_no").select("chunk_no")
 
 
 @plan("is_index_language", sql("SELECT chunk_no, coalesce(starts_with(replace(lower(language), '_', '-'), 'en'), true) AS indexed FROM chunks", CHUNKS_SQL))
 def is_index_language(spark, folder):
-    return chunks(spark, folder).select("chunk_no", F.coalesce(F.startswith(F.replace(F.lower("language"), F.lit("_"), F.lit("-")), F.lit("en")), F.lit(True)).alias("indexed"))
+    return chunks(spark, folder).select("chunk_no", layout.is_index_language(F.col("language")).alias("indexed"))
 
 
 @plan("distinct_models", "SELECT DISTINCT 'model-' || label AS model FROM embeddings")
 def distinct_models(spark, folder):
-    return table(spark, folder, "embeddings").select(F.concat(F.lit("model-"), "label").alias("model")).distinct()
+    e = table(spark, folder, "embeddings").select("embedding", F.concat(F.lit("model-"), "label").alias("embedding_model"))
+    return corpus.models(e).select(F.col("embedding_model").alias("model"))
 
 
 OLD_SQL = """old AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id + 1000000, sha256(text) FROM documents WHERE doc_id % 50 = 0),

@@ -27,14 +27,14 @@ def chunk_id(spark, folder):
     return chunks(spark, folder).select("chunk_no", texts.chunk_id(F.col("page"), F.col("kind"), F.col("text")).alias("chunk_id"))
 
 
-@plan("extract_error_codes", sql(r"SELECT chunk_no, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(substr(text, 1, 60), '(?i)\bF\s*[0-9]\s*E\s*[0-9]\b', 0), lambda x: upper(regexp_replace(x, '\s+', '', 'g'))))), ',') AS codes FROM chunks", CHUNKS_SQL))
+@plan("extract_error_codes", sql(r"SELECT chunk_no, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\bF\s*[0-9]\s*E\s*[0-9]\b', 0), lambda x: upper(regexp_replace(x, '\s+', '', 'g'))))), ',') AS codes FROM chunks", CHUNKS_SQL))
 def extract_error_codes(spark, folder):
-    return chunks(spark, folder).select("chunk_no", F.array_join(codes.error_codes(F.substring("text", 1, 60)), ",").alias("codes"))
+    return chunks(spark, folder).select("chunk_no", F.array_join(codes.error_codes(F.col("text")), ",").alias("codes"))
 
 
-@plan("extract_connector_ids", sql(r"SELECT chunk_no, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(substr(text, 1, 60), '(?i)\bJ([0-9]{1,3})\b', 1), lambda x: 'J' || x))), ',') AS connectors FROM chunks", CHUNKS_SQL))
+@plan("extract_connector_ids", sql(r"SELECT chunk_no, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\bJ([0-9]{1,3})\b', 1), lambda x: 'J' || x))), ',') AS connectors FROM chunks", CHUNKS_SQL))
 def extract_connector_ids(spark, folder):
-    return chunks(spark, folder).select("chunk_no", F.array_join(codes.connector_ids(F.substring("text", 1, 60)), ",").alias("connectors"))
+    return chunks(spark, folder).select("chunk_no", F.array_join(codes.connector_ids(F.col("text")), ",").alias("connectors"))
 
 
 @plan("code_spaced_regex", r"""SELECT p_partkey, code, CASE WHEN regexp_full_match(upper(trim(code)), 'F[0-9]E[0-9]') THEN 'F\s*' || substr(upper(trim(code)), 2, 1) || '\s*E\s*' || substr(upper(trim(code)), 4, 1) END AS pattern

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import asdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -102,3 +102,8 @@ def over_capacity(sessions: DataFrame, capacity: int, last: str = "end", key: st
     """Sessions beyond the `capacity` most recently used ones, of a table of sessions."""
     keep = sessions.orderBy(F.desc(last), key).limit(capacity).select(key, last)
     return sessions.join(keep, [key, last], "left_anti")
+
+
+def pieces(text: Column, size: int = 24) -> Column:
+    """A text in pieces of `size` characters, as a stream would deliver it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
