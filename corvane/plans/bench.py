@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import tokens
 from ..operators import arms, corpus, intake, release, search, traces, unitbench
 from ..operators.rows import settled
+from ..sources.writers import shared_folder
 from . import retrieval
-from .base import EDGES_SQL, MANUALS_SQL, chunks, edges, manuals, models, ranges, sql, values_sql, vectors
+from .base import CHUNKS_SQL, EDGES_SQL, MANUALS_SQL, chunks, edges, manuals, models, ranges, sql, values_sql, vectors
 from .curation import outputs
 from .inputs import UNITS_SQL, units
 from .registry import plan, table
@@ -367,3 +368,13 @@ def clarify_choice(spark, folder):
     c = F.col
     return _cases(spark, folder).select("event_id", release.choice(c("premises"), c("model"), c("counterexample"), UNKNOWN, ASKS).alias("said"))
 
+
+@plan("ab_index_build", sql("SELECT chunk_no, length(text) AS size FROM chunks", CHUNKS_SQL))
+def ab_index_build(spark, folder):
+    """Vectors of another embedder, written once under the corpus's fingerprint; the second build finds them."""
+    c = chunks(spark, folder)
+    fingerprint = unitbench.corpus_fingerprint(c).first()[0]
+    where = f"{shared_folder(spark)}/index"
+    unitbench.alternative_index(c, _length_vector, where, fingerprint)
+    index, held = unitbench.alternative_index(c, _length_vector, where, fingerprint)
+    return index.where(F.lit(held)).select("chunk_no", F.col("embedding")[0].cast("long").alias("size"))

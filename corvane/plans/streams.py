@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import readers, writers
 from ..streaming import sessions
-from .base import manuals
+from .base import MANUALS_SQL, manuals, sql
 from .registry import plan, table
 
 
@@ -73,6 +73,22 @@ def scan_parsed(spark, folder):
     return back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
 
 
+@plan("sink_run_log", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def sink_run_log(spark, folder):
+    out = f"{writers.shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    writers.run_log(table(spark, folder, "events").select("event_id", "event_type"), out)
+    back = spark.read.schema("event_id long, event_type string, logged_at timestamp").json(out)
+    return back.where("logged_at is not null").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@plan("scan_manifest", sql("SELECT doc_id, publication_number FROM manuals", MANUALS_SQL))
+def scan_manifest(spark, folder):
+    """Manuals written as one JSON file each, and read as a manifest."""
+    out = f"{writers.shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    manuals(spark).withColumn("d", F.col("doc_id")).write.partitionBy("d").json(out)
+    return readers.manifest(spark, out).select("doc_id", "publication_number")
+
+
 @plan("export_jsonld")
 def export_jsonld(spark, folder):
     return writers.dataset_description(manuals(spark), "manuals")
