@@ -127,8 +127,8 @@ class Automaton:
 
     def _gadget(self, k: int, u: int, v: int, w: int, early: set[int]) -> None:
         """Merge k; tokens that it needs and that aren't made yet go to `early`."""
-        if missing := {u, v} - self.time.keys():
-            early |= missing
+        if u not in self.time or v not in self.time:
+            early |= {x for x in (u, v) if x not in self.time}
             return
         if not self._open(u, v, k):
             return
