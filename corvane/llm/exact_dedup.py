@@ -33,6 +33,9 @@ WHITE = b" \t\n\x0b\x0c\r"
 #: The directory has at most 2 ** MAX_DEPTH slots, and DEEPER bits more than equal buckets would need; buckets that are
 #: still overfull there (many texts with one hash, nearly) are read in order of hash like others.
 MAX_DEPTH, DEEPER = 24, 10
+#: Buckets grow with tables of more than 2 ** MOST_BUCKETS buckets (32 MB each: 4 TB of different texts), so that the
+#: directory, its counts on the driver and its broadcast pages don't; they are read in order of hash, so by streaming.
+MOST_BUCKETS = 17
 #: Bits that a count of entries looks ahead.
 AHEAD = 4
 #: Texts whose best row a map task remembers; when full, it starts afresh, which leaves some more full entries.
@@ -103,28 +106,29 @@ def segments(docs: DataFrame, doc_id: str, text: str, hasher=key_hash) -> tuple[
 
 
 class Directory:
-    """2 ** depth slots by the first bits of a hash, each with the number of its bucket. A bucket is (prefix, local depth)."""
+    """2 ** depth slots by the first bits of a hash, each with its bucket. A bucket is (prefix, local depth).
+
+    All slots of a bucket are one run, so the buckets stand for the slots, of which there may be many more.
+    """
 
     def __init__(self):
-        self.depth, self.slots, self.buckets = 0, np.zeros(1, dtype=np.int64), [(0, 0)]
+        self.depth, self.buckets = 0, [(0, 0)]
 
     def split(self, b: int) -> int:
         """Splits bucket b by one more bit; returns the new one, with the upper half. The directory doubles if b has all its bits."""
         prefix, d = self.buckets[b]
         if d == self.depth:
-            self.slots = np.repeat(self.slots, 2)
             self.depth += 1
-        width = 1 << (self.depth - d - 1)
         self.buckets[b] = (2 * prefix, d + 1)
         self.buckets.append((2 * prefix + 1, d + 1))
-        self.slots[(2 * prefix + 1) * width : (2 * prefix + 2) * width] = len(self.buckets) - 1
         return len(self.buckets) - 1
 
-    def grow(self, todo: list[int], counts: list[tuple[int, int, int]], depth: int, capacity: int) -> dict[int, tuple[int, int]]:
+    def grow(self, todo: list[int], counts: np.ndarray | list[tuple[int, int, int]], depth: int, capacity: int) -> dict[int, tuple[int, int]]:
         """Splits overfull buckets of `todo` as far as counts of (prefix of `depth` bits, bytes, 1 or 2 for several
-        hashes) tell. Returns the bytes and hashes (1 or more) of each bucket that comes of them."""
-        at = np.array([c[0] for c in counts], dtype=np.int64)
-        size, keys = (np.concatenate(([0], np.cumsum([c[k] for c in counts]))).astype(np.int64) for k in (1, 2))
+        hashes), in order, tell. Returns the bytes and hashes (1 or more) of each bucket that comes of them."""
+        counts = np.asarray(counts, dtype=np.int64).reshape(-1, 3)
+        at = counts[:, 0]
+        size, keys = (np.concatenate(([0], np.cumsum(counts[:, k]))) for k in (1, 2))
         todo, held = list(todo), {}
         while todo:
             b = todo.pop()
@@ -135,9 +139,19 @@ class Directory:
                 todo += [b, self.split(b)]
         return held
 
+    def first_slot(self, b: int) -> int:
+        prefix, d = self.buckets[b]
+        return prefix << (self.depth - d)
+
     def in_order(self) -> list[int]:
         """The buckets' numbers in order of hash."""
-        return self.slots[np.concatenate(([True], self.slots[1:] != self.slots[:-1]))].tolist()
+        return sorted(range(len(self.buckets)), key=self.first_slot)
+
+    @property
+    def slots(self) -> np.ndarray:
+        """Each slot's bucket, written out."""
+        order = self.in_order()
+        return np.repeat(np.array(order, dtype=np.int64), [1 << (self.depth - self.buckets[b][1]) for b in order])
 
 
 def directory(counts: list[tuple[int, int, int]], depth: int, capacity: int) -> list[tuple[int, int]]:
@@ -161,12 +175,29 @@ def owners(sizes: list[int], hot: list[int], capacity: int) -> tuple[list[int],
     return out, owner + bool(held)
 
 
+def total_bytes(entries: DataFrame, n: _Names) -> int:
+    return entries.agg(F.sum(F.col(n.size) + 1)).first()[0] or 0
+
+
+def pages(d: Directory, order: list[int], first: list[int], several: list[int]) -> tuple[pa.Table, int]:
+    """The buckets by the first bits of a hash, and the number of these bits: page_, and the first slot, first owner and
+    owners (0: one) of each of its buckets in order. A bucket over many pages is in each; there are at most two pages a bucket."""
+    bits = min(d.depth, len(order).bit_length())
+    starts = np.array([d.first_slot(b) for b in order], dtype=np.int64)
+    edges = np.arange((1 << bits) + 1, dtype=np.int64) << (d.depth - bits)
+    low, high = np.searchsorted(starts, edges[:-1], "right") - 1, np.searchsorted(starts, edges[1:], "left")
+    offsets = np.concatenate(([0], np.cumsum(high - low)))
+    each = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - low, high - low)
+    lists = {c: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.asarray(v)[each], t)) for c, v, t in (("starts_", starts, pa.int64()), ("first_", first, pa.int32()), ("fan_", several, pa.int32()))}
+    return pa.table({"page_": pa.array(np.arange(1 << bits), pa.int64()), **lists}), bits
+
+
 def build_directory(entries: DataFrame, n: _Names, capacity: int) -> tuple[Directory, dict[int, tuple[int, int]]]:
     """A directory of the entries' hashes, and the bytes and hashes (1 or more) of each bucket.
 
-    The driver gets counts by prefix: about `2 ** AHEAD` for each bucket that comes of them.
+    The driver gets counts by prefix, three longs each: about `2 ** AHEAD` for each bucket of a directory of even buckets.
     """
-    spark, total = entries.sparkSession, entries.agg(F.sum(F.col(n.size) + 1)).first()[0] or 0
+    spark, total = entries.sparkSession, total_bytes(entries, n)
     d, held, todo = Directory(), {0: (0, 0)}, [0]
     even = ceil(total / capacity).bit_length()
     depth, deepest = min(MAX_DEPTH, even + AHEAD), min(MAX_DEPTH, even + DEEPER)
@@ -177,7 +208,9 @@ def build_directory(entries: DataFrame, n: _Names, capacity: int) -> tuple[Direc
             width = depth - max(d.buckets[b][1] for b in todo)  # buckets that don't fit have all bits that there were
             rows = rows.join(F.broadcast(some.select(F.shiftrightunsigned("low", width).alias("top"))), F.shiftrightunsigned("slot", width) == F.col("top"), "left_semi")
         sums = rows.groupBy("slot").agg(F.sum(F.col("b") + 1).alias("b"), F.when(F.min("h") == F.max("h"), 1).otherwise(2).alias("k"))
-        held |= d.grow(todo, sorted(tuple(r) for r in sums.collect()), depth, capacity)
+        found = sums.toArrow()
+        counts = np.stack([found.column(c).cast(pa.int64()).to_numpy() for c in ("slot", "b", "k")], axis=1).reshape(-1, 3)
+        held |= d.grow(todo, counts[np.argsort(counts[:, 0])], depth, capacity)
         # overfull buckets of several hashes that have all bits counted
         todo = [b for b, (size, keys) in held.items() if size > capacity and keys > 1 and d.buckets[b][1] == depth < deepest]
         depth = min(deepest, depth + AHEAD)
@@ -187,18 +220,18 @@ def build_directory(entries: DataFrame, n: _Names, capacity: int) -> tuple[Direc
 def index_entries(entries: DataFrame, n: _Names, bucket_bytes: int) -> tuple[DataFrame, bool]:
     """Full entries with their owners, by the directory, in order of hash; and whether some hash has several owners (column hot_)."""
     spark = entries.sparkSession
+    bucket_bytes = max(bucket_bytes, total_bytes(entries, n) >> MOST_BUCKETS)
     d, held = build_directory(entries, n, bucket_bytes)
     order = d.in_order()
     sizes = [held.get(b, (0, 0))[0] for b in order]
     several = [-(-size // bucket_bytes) if size > bucket_bytes and held[b][1] == 1 else 0 for b, size in zip(order, sizes)]
     first, tasks = owners(sizes, several, bucket_bytes)
-    rank = np.empty(len(d.buckets), dtype=np.int64)
-    rank[order] = np.arange(len(order))
-    place = rank[d.slots]
-    # broadcast: 2 ** depth rows of 16 bytes, depth at most MAX_DEPTH
-    slots = pa.table({"slot_": pa.array(np.arange(len(place)), pa.int64()), "first_": pa.array(np.array(first)[place], pa.int32()), "fan_": pa.array(np.array(several)[place], pa.int32())})
+    index, bits = pages(d, order, first, several)  # broadcast: two pages a bucket at most
     slot = F.shiftrightunsigned(F.col(n.h), 64 - d.depth) if d.depth else F.lit(0).cast("long")
-    routed = entries.join(F.broadcast(spark.createDataFrame(slots)), slot == F.col("slot_"))
+    page = F.shiftrightunsigned(F.col(n.h), 64 - bits) if bits else F.lit(0).cast("long")
+    routed = entries.join(F.broadcast(spark.createDataFrame(index)), page == F.col("page_"))
+    place = F.size(F.filter("starts_", lambda x: x <= slot)) - 1
+    routed = routed.select(*[F.col(f"`{c}`") for c in entries.columns], F.get("first_", place).alias("first_"), F.get("fan_", place).alias("fan_"))
     owner = F.col("first_") + F.when(F.col("fan_") > 0, F.pmod(F.xxhash64(n.rid), F.col("fan_"))).otherwise(0).cast("int")
     routed = routed.select(*[F.col(f"`{c}`") for c in entries.columns], (F.col("fan_") > 0).alias("hot_"), owner.alias("owner_"))
     return routed.repartitionById(max(1, tasks), F.col("owner_")).sortWithinPartitions(n.h).drop("owner_"), any(several)
