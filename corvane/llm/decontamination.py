@@ -31,7 +31,7 @@ UNITS = (
 ).split()
 #: Codes of placeholders, and of the separator between the readings.
 SEPARATOR, NAME, NUMBER, UNIT = 0, 1, 2, 3
-#: Words of an item that are aligned at once, one bit of a long each.
+#: Words of an item that a long holds while they are aligned, one bit each.
 BLOCK = 62
 #: Benchmark windows beyond which they are no longer broadcast but joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
@@ -190,17 +190,36 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id:
 
 
 def common_words(masks: Column, region: Column) -> Column:
-    """Words of an item in the longest common subsequence with `region`, by bits: after each word of the region, the zeros of a block's long are the length's steps."""
-    full = F.lit((1 << BLOCK) - 1).cast("long")
+    """Words of an item in the longest common subsequence with `region`, by bits: after each word of the region, the zeros of the longs are the length's steps.
+
+    A long holds BLOCK words; what an addition carries out of one goes into the next, so that the blocks act as one number.
+    """
+    full, none = F.lit((1 << BLOCK) - 1).cast("long"), F.lit(0).cast("long")
+
+    def places(m, w):
+        return F.coalesce(F.try_element_at(m, w), none)
 
     def step(v, m):
         u = v.bitwiseAND(m)
         return (v + u).bitwiseOR(v - u).bitwiseAND(full)
 
-    def block(m):
-        return BLOCK - F.bit_count(F.aggregate(region, full, lambda v, w: step(v, F.coalesce(F.try_element_at(m, w), F.lit(0).cast("long")))))
+    def zeros(v):
+        return BLOCK - F.bit_count(v)
+
+    single = zeros(F.aggregate(region, full, lambda v, w: step(v, places(F.get(masks, F.lit(0)), w))))
+
+    def carried(state, m, v, w):
+        u = v.bitwiseAND(places(m, w))
+        total = v + u + state["carry"]
+        return F.struct(F.concat(state["vs"], F.array(total.bitwiseOR(v - u).bitwiseAND(full))).alias("vs"), F.shiftright(total, BLOCK).alias("carry"))
+
+    def all_steps(vs, w):
+        start = F.struct(F.array().cast("array<bigint>").alias("vs"), none.alias("carry"))
+        both = F.arrays_zip(masks.alias("m"), vs.alias("v"))
+        return F.aggregate(both, start, lambda state, x: carried(state, x["m"], x["v"], w))["vs"]
 
-    return F.aggregate(F.transform(masks, block), F.lit(0), lambda a, x: a + x)
+    several = F.aggregate(F.aggregate(region, F.transform(masks, lambda _: full), all_steps), F.lit(0), lambda a, v: a + zeros(v))
+    return F.when(F.size(masks) == 1, single).otherwise(several)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 5, coverage: float = 0.6) -> DataFrame:
