@@ -6,17 +6,20 @@ candidates are decoded and reported only if their bytes have the structure of a
 * jwt: three base64url parts of which the first decodes to a JSON object with a string `alg`, the second
   to a JSON object;
 * der_key: bytes that are one DER SEQUENCE whose nested lengths fill it exactly, and whose first elements
-  are those of a PKCS#1, PKCS#8 or EC private key, or of a public key; in base64 or base64url (with or
+  are those of a PKCS#1, PKCS#8 (plain or encrypted) or EC private key, or of a public key; in base64 or base64url (with or
   without armour and line breaks, indented or escaped) or hex;
   the length of the SEQUENCE tells where it ends, whatever text follows;
-* ssh_key: the magic of an OpenSSH private key and its length-prefixed fields, or a public key blob whose
-  length-prefixed fields fill it exactly.
+* ssh_key: the magic of an OpenSSH private key and its length-prefixed fields, or a public key or certificate blob of a
+  known type with the fields of that type.
+
+A candidate is decoded once, from front to back, as far as its own lengths say, so a text takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -43,11 +46,23 @@ NEXT_LINE = re.compile(r"[\x20\t]*(?:(?:\\+r)?\\+n|\\?\r?\n)[\x20\t]*([A-Za-z0-9
 PADDING = re.compile(r"={0,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}")
 SSH_MAGIC = b"openssh-key-v1\x00"
-#: Fields of public key blobs, by their first field; of other kinds (certificates) the longest that ends with a line counts.
-SSH_FIELDS = {b"ssh-ed25519": 2, b"ssh-rsa": 3, b"ssh-dss": 5, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
-
-#: Object identifiers of key algorithms: rsaEncryption, ecPublicKey, X25519, Ed25519, dsa.
+#: What follows the type in public key blobs: 0 for a length-prefixed field, else a number of plain bytes.
+_PLAIN = {
+    b"ssh-ed25519": [0], b"ssh-rsa": [0, 0], b"ssh-dss": [0] * 4, b"ecdsa-sha2-nistp256": [0, 0], b"ecdsa-sha2-nistp384": [0, 0], b"ecdsa-sha2-nistp521": [0, 0],
+    b"sk-ssh-ed25519@openssh.com": [0, 0], b"sk-ecdsa-sha2-nistp256@openssh.com": [0, 0, 0],
+}
+#: Certificates: a nonce, the key's own fields, serial number and kind, id, principals, the times from and to which they
+#: hold, options, extensions, a reserved field, the authority's key and its signature.
+_CERTIFIED = {name.split(b"@")[0] + b"-cert-v01@openssh.com": [0, *layout, 8, 4, 0, 0, 8, 8, 0, 0, 0, 0, 0] for name, layout in _PLAIN.items()}
+SSH_LAYOUTS = _PLAIN | _CERTIFIED
+#: Bytes of the largest key, or field of one, and keys in a private key's file, far beyond what programs accept (RSA of
+#: 16,384 bits: 9 kB; one key). What claims more is no key.
+MOST_KEY, MOST_KEYS = 1 << 16, 1 << 10
+
+#: Object identifiers of key algorithms: rsaEncryption, ecPublicKey, X25519, Ed25519, dsa; and of what encrypts keys:
+#: PBES2, and the start of those of PKCS#5 and PKCS#12.
 KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b656e", "2b6570", "2a8648ce380401")}
+CIPHER_OIDS = tuple(bytes.fromhex(x) for x in ("2a864886f70d0105", "2a864886f70d010c01"))
 
 
 def der_item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -90,31 +105,15 @@ def is_der_key(data: bytes) -> bool:
         return True
     if tags[:2] == [0x02, 0x04] and data[items[0][1] : items[0][2]] == b"\x01" and 16 <= items[1][2] - items[1][1] <= 66:  # EC private key
         return True
+    if tags == [0x30, 0x04]:  # encrypted PKCS#8
+        inner = der_children(data, items[0][1], items[0][2])
+        return bool(inner) and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]].startswith(CIPHER_OIDS) and items[1][2] - items[1][1] >= 16
+    if tags == [0x02, 0x02]:  # PKCS#1 public key: a modulus of 512 bits at least, and a small odd exponent
+        modulus, exponent = (x[2] - x[1] for x in items)
+        return modulus >= 64 and 1 <= exponent <= 5 and data[items[1][2] - 1] & 1 == 1
     return tags == [0x30, 0x03] and algorithm(items[0])  # public key
 
 
-def fields_fill(data: bytes, at: int, least: int) -> bool:
-    """Whether length-prefixed fields fill data[at:], at least `least` of them."""
-    n = 0
-    while at < len(data):
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        n += 1
-    return at == len(data) and n >= least
-
-
-def is_ssh_key(data: bytes) -> bool:
-    if data.startswith(SSH_MAGIC):
-        at = len(SSH_MAGIC)
-        for _ in range(3):  # cipher, key derivation and its options
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at + 8 <= len(data) and int.from_bytes(data[at : at + 4], "big") >= 1
-    return data[4:8] in (b"ssh-", b"ecds") and fields_fill(data, 0, 2)
-
-
 def decoded64(x: str) -> bytes:
     x = "".join(x.split()).rstrip("=")
     if len(x) % 4 == 1:
@@ -126,46 +125,54 @@ def decoded64(x: str) -> bytes:
 
 
 class Folded:
-    """The bytes of a base64 candidate, read line by line as far as they are asked for."""
+    """The bytes of a base64 candidate, decoded once from front to back, as far as they are asked for."""
 
     def __init__(self, text: str, start: int, end: int):
-        self.text, self.lines, self.size = text, [(start, end)], end - start
+        self.text, self.at, self.stop = text, start, end  # what comes next of the line at hand
+        self.data, self.rest, self.whole = bytearray(), "", False
+        self.lines = [(0, start, end)]  # characters before a line, its start and its end
 
-    def more(self) -> bool:
-        m = NEXT_LINE.match(self.text, self.lines[-1][1])
+    def _next_line(self) -> bool:
+        m = NEXT_LINE.match(self.text, self.stop)
         if m is None:
+            self.whole = True
             return False
-        self.lines.append(m.span(1))
-        self.size += len(m[1])
+        before, start, end = self.lines[-1]
+        self.at, self.stop = m.span(1)
+        self.lines.append((before + end - start, self.at, self.stop))
         return True
 
-    def chars(self, n: int) -> str:
-        """The first n characters of the lines read so far."""
-        out = []
-        for start, end in self.lines:
-            if n <= 0:
-                break
-            out.append(self.text[start : min(end, start + n)])
-            n -= end - start
-        return "".join(out)
-
-    def first(self, n: int) -> bytes | None:
-        """The first n bytes, None if there are fewer."""
-        need = (4 * n + 2) // 3
-        while self.size < need:
-            if not self.more():
-                return None
-        return decoded64(self.chars(need))[:n]
+    def first(self, n: int) -> bytearray | None:
+        """All bytes decoded so far, n at least; None if there are fewer."""
+        while len(self.data) < n:
+            if self.at == self.stop and not self._next_line():
+                self._end()
+                return self.data if len(self.data) >= n else None
+            end = min(self.stop, self.at + max(64, (n - len(self.data)) * 4 // 3 + 4))
+            piece = self.rest + self.text[self.at : end]
+            self.at, whole = end, len(piece) // 4 * 4
+            self.rest = piece[whole:]
+            self.data += base64.urlsafe_b64decode(piece[:whole].replace("+", "-").replace("/", "_"))
+        return self.data
+
+    def _end(self) -> None:
+        """The bytes of two or three characters that are left when all lines are read."""
+        if len(self.rest) > 1:
+            self.data += base64.urlsafe_b64decode((self.rest + "==").replace("+", "-").replace("/", "_")[:4])
+        self.rest = ""
 
     def end(self, n: int) -> int | None:
         """Where the text of the first n bytes ends, padding included; None if base64 goes on in that line."""
         need = (4 * n + 2) // 3
-        for start, end in self.lines:
-            if need <= end - start:
-                at = start + need
-                return None if at < end and self.text[at] not in "-_" else PADDING.match(self.text, at).end()
-            need -= end - start
-        return None
+        before, start, end = self.lines[bisect.bisect_left(self.lines, (need,)) - 1]
+        at = start + need - before
+        return None if at > end or (at < end and self.text[at] not in "-_") else PADDING.match(self.text, at).end()
+
+    def rest_of_lines(self) -> int:
+        """Where the last line ends, padding included."""
+        while not self.whole:
+            self._next_line()
+        return PADDING.match(self.text, self.stop).end()
 
 
 def der_end(key: Folded) -> int | None:
@@ -176,42 +183,50 @@ def der_end(key: Folded) -> int | None:
     if n > 4 or head[1] == 0x80 or (head := key.first(3 + n)) is None or head[2 + n] not in (0x02, 0x30):
         return None
     total = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
-    data = key.first(total)
-    return key.end(total) if data is not None and is_der_key(data) else None
+    data = key.first(total) if total <= MOST_KEY else None
+    return key.end(total) if data is not None and is_der_key(bytes(data[:total])) else None
+
+
+def _field(key: Folded, at: int, most: int) -> int | None:
+    """Where the length-prefixed field at `at` ends; None if it isn't all there or has over `most` bytes."""
+    data = key.first(at + 4)
+    size = most + 1 if data is None else int.from_bytes(data[at : at + 4], "big")
+    return None if size > most or key.first(at + 4 + size) is None else at + 4 + size
+
+
+def private_end(key: Folded) -> int | None:
+    """The end of an OpenSSH private key: its magic, cipher, key derivation and its options, then public keys and the
+    private part. One that is cut off after these first fields ends with its lines."""
+    at = len(SSH_MAGIC)
+    for most in (64, 64, 1024):
+        if at is not None:
+            at = _field(key, at, most)
+    count = None if at is None else key.first(at + 4)
+    keys = 0 if count is None else int.from_bytes(count[at : at + 4], "big")
+    if not 1 <= keys <= MOST_KEYS or key.first(at + 8) is None:
+        return None
+    at, left = at + 4, keys + 1
+    while at is not None and left:
+        at, left = _field(key, at, MOST_KEY), left - 1
+    return (None if at is None else key.end(at)) or key.rest_of_lines()
 
 
 def ssh_end(key: Folded) -> int | None:
-    def field(at: int) -> int | None:
-        """Where the field at `at` ends."""
-        size = key.first(at + 4)
-        end = None if size is None else at + 4 + int.from_bytes(size[at:], "big")
-        return None if end is None or key.first(end) is None else end
-
-    if key.first(len(SSH_MAGIC)) == SSH_MAGIC:
-        at, left = len(SSH_MAGIC), 3
-        while at is not None and left:
-            at, left = field(at), left - 1
-        count = None if at is None else key.first(at + 4)
-        if count is not None:
-            at, left = at + 4, int.from_bytes(count[at:], "big") + 1  # public keys and the private part
-            while at is not None and left:
-                at, left = field(at), left - 1
-            if at is not None and (end := key.end(at)) is not None:
-                return end
-        while key.more():
-            pass
-        # cut off: all of its lines
-        return PADDING.match(key.text, key.lines[-1][1]).end() if is_ssh_key(decoded64(key.chars(key.size // 4 * 4))) else None
-    name = key.first(8)
-    if name is None or name[4:8] not in (b"ssh-", b"ecds") or (at := field(0)) is None:
+    head = key.first(len(SSH_MAGIC))
+    if head is not None and head.startswith(SSH_MAGIC):
+        return private_end(key)
+    size = int.from_bytes(head[:4], "big") if head is not None else 0
+    if not 7 <= size <= 64 or (data := key.first(4 + size)) is None:
+        return None
+    layout = SSH_LAYOUTS.get(bytes(data[4 : 4 + size]))
+    if layout is None:
         return None
-    known = SSH_FIELDS.get(key.first(at)[4:])
-    n, found = 1, None
-    while n != known and (at := field(at)) is not None:
-        n += 1
-        if known is None or n == known:
-            found = key.end(at) or found
-    return found
+    at = 4 + size
+    for raw in layout:
+        at = _field(key, at, MOST_KEY) if raw == 0 else (at + raw if key.first(at + raw) is not None else None)
+        if at is None:
+            return None
+    return key.end(at)
 
 
 def json_object(part: str) -> dict | None:

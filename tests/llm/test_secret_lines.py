@@ -74,3 +74,27 @@ def test_long_runs_take_time_in_proportion():
         began = time.perf_counter()
         assert secrets.confirmed_spans(text) == []
         assert time.perf_counter() - began < 5
+
+
+def test_runs_of_empty_fields_are_no_key_and_take_linear_time():
+    for kind in (b"ssh-x", b"ssh-ed25519"):
+        text = B64(blob(kind) + b"\0" * 750_000)
+        began = time.perf_counter()
+        assert secrets.confirmed_spans(text) == []
+        assert time.perf_counter() - began < 1
+    lines = (B64(secrets.SSH_MAGIC + b"\0" * 18) + "\n") * 20_000
+    began = time.perf_counter()
+    secrets.confirmed_spans(lines)
+    assert time.perf_counter() - began < 5
+
+
+def test_encrypted_public_and_certified_keys():
+    scheme = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050c")))))
+    encrypted = der(0x30, scheme, der(4, os.urandom(80)))
+    public = der(0x30, der(2, b"\x00" + os.urandom(128)), der(2, b"\x01\x00\x01"))
+    certificate = blob(b"ssh-ed25519-cert-v01@openssh.com", os.urandom(32), os.urandom(32)) + b"\0" * 12 + blob(b"id", b"") + b"\0" * 16 + blob(b"", b"", b"", ED, os.urandom(83))
+    for key, kind in ((encrypted, "der_key"), (public, "der_key"), (certificate, "ssh_key")):
+        assert found(f"a {B64(key)}\nword") == [(B64(key), kind)]
+    signature = der(0x30, der(2, os.urandom(32)), der(2, os.urandom(32)))
+    assert found(f"a {B64(signature)} b") == []
+    assert found(f"a {B64(certificate[:-3])} b") == []
