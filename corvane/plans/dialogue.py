@@ -207,7 +207,14 @@ def choice_parse(spark, folder):
     return table(spark, folder, "events").select("event_id", F.coalesce(parsing.confident_choice(answer, LABELS, 0.6), F.lit("-")).alias("label"))
 
 
-@plan("last_doc_ids", sql("SELECT conv_id, coalesce(string_agg(d, ',' ORDER BY t), '') AS docs FROM (SELECT conv_id, trim(doc) AS d, min(turn) AS t FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN ' ' ELSE 'D' || length(text) % 4 END AS doc FROM turns WHERE role = 'assistant') WHERE trim(doc) <> '' GROUP BY 1, 2) GROUP BY 1", TURNS_SQL))
+LAST_IDS_SQL = sql(
+    "SELECT conv_id, coalesce(string_agg(d, ',' ORDER BY t), '') AS docs FROM (SELECT conv_id, nullif(trim(doc), '') AS d, min(turn) AS t FROM "
+    "(SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN ' ' ELSE 'D' || length(text) % 4 END AS doc FROM turns WHERE role = 'assistant') GROUP BY 1, 2) GROUP BY 1",
+    TURNS_SQL,
+)
+
+
+@plan("last_doc_ids", LAST_IDS_SQL)
 def last_doc_ids(spark, folder):
     from ..operators import evidence
 
