@@ -189,24 +189,6 @@ def literal_fetch(queries: DataFrame, chunks: DataFrame, limit: int = 40, rare:
     return ranked(hits, limit, F.col("chunk_no"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, limit: int, every: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Chunks by BM25 over words of three letters and digits and more; with `every`, those that have all of a query's words. queries: query_id, ask."""
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]{3,}"), F.lit(0))
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("ask")))).alias("term"))
-    sized = chunks.select("chunk_no", words(F.col("text")).alias("w")).withColumn("size", F.size("w"))
-    total = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"))
-    # only words that some query has go into the shuffle
-    terms = sized.select("chunk_no", "size", F.explode("w").alias("term")).join(small(asked.select("term").distinct()), "term").groupBy("chunk_no", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
-    spread = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = terms.join(spread, "term").crossJoin(F.broadcast(total)).join(small(asked), "term")  # broadcast: one row
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    hits = scored.groupBy("query_id", "chunk_no").agg(F.sum(weight).alias("score"), F.count(F.lit(1)).alias("n"))
-    if every:
-        hits = hits.join(asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted")), "query_id").where("n = wanted").drop("wanted")
-    return ranked(hits.drop("n"), limit, F.desc("score"), F.col("chunk_no"))
-
-
 def sibling_fetch(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Table rows of the problems that hits belong to. hits: query_id, doc_id, page, problem_title; chunks: with problem_title."""
     keys = hits.where("problem_title is not null and page is not null").select("query_id", "doc_id", "page", "problem_title").distinct()

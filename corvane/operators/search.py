@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, intent
-from . import arms, expansion, fusion, ranking
+from . import arms, expansion, fulltext, fusion, ranking
 from .rows import settled
 
 #: Documents' kinds of edges that make them prevail.
@@ -150,11 +150,11 @@ def boosted(q: DataFrame, c: Corpus, limit: int, overfetch: int) -> DataFrame:
 
 
 def lexical(q: DataFrame, c: Corpus, limit: int, overfetch: int) -> DataFrame:
-    return filtered_and_ranked(coded_pool(q, c, arms.bm25(q.select("query_id", "ask"), c.chunks, overfetch, every=True).join(c.chunks, "chunk_no")), q, c, limit)
+    return filtered_and_ranked(coded_pool(q, c, fulltext.search(q.select("query_id", "ask"), c.chunks, overfetch, every=True).join(c.chunks, "chunk_no")), q, c, limit)
 
 
 def hybrid(q: DataFrame, c: Corpus, limit: int, overfetch: int) -> DataFrame:
-    words = arms.bm25(q.select("query_id", "ask"), c.chunks, overfetch, every=True).join(c.chunks, "chunk_no")
+    words = fulltext.search(q.select("query_id", "ask"), c.chunks, overfetch, every=True).join(c.chunks, "chunk_no")
     return filtered_and_ranked(coded_pool(q, c, _scored(fusion.rrf(vector_arm(q, c, overfetch, True), words), c)), q, c, limit)
 
 
@@ -169,7 +169,7 @@ def unioned(other: Callable[[DataFrame, Corpus, int], DataFrame]):
 
 
 def _any_word(q: DataFrame, c: Corpus, n: int) -> DataFrame:
-    return arms.bm25(q.select("query_id", "ask"), c.chunks, n).join(c.chunks, "chunk_no")
+    return fulltext.search(q.select("query_id", "ask"), c.chunks, n).join(c.chunks, "chunk_no")
 
 
 #: Strategies by name: (queries, corpus, limit, overfetch) -> hits with rank and final_score. The reranking one needs a model.

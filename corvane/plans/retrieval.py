@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, intent, serials
-from ..operators import arms, fusion, ranking
+from ..operators import arms, fulltext, fusion, postings, ranking
+from ..sources.writers import shared_folder
 from .base import ASKS_SQL, CHUNKS_SQL, EDGES_SQL, MANUALS_SQL, MODELS_SQL, RANGES_SQL, asks, chunks, edges, manuals, models, ranges, sql, vectors
-from .registry import plan
+from .registry import plan, table
 from .texts import BIBLIOGRAPHIC, FOLD_SQL, INSTALLATION
 
 COLS = "query_id, doc_id, chunk_id, chunk_no, text, page, kind, language, publication_number, revision, error_codes"
@@ -94,14 +97,35 @@ def literal_fetch(spark, folder):
     return found.select("query_id", "chunk_id", "n_literals", F.col("arm_rank").cast("long").alias("arm_rank"))
 
 
+def turn_asks(spark, folder):
+    """Questions: what users said in conversations whose number divides by 20."""
+    said = table(spark, folder, "conversations").where("conv_id % 20 = 0 AND role = 'user'")
+    return said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("ask"))
+
+
+def document_asks(spark, folder):
+    """Questions: whole documents whose number divides by 20."""
+    return table(spark, folder, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("ask"))
+
+
 @plan("lexical_or")
 def lexical_or(spark, folder):
-    return arms.bm25(asks(spark), chunks(spark, folder), 20)
+    return fulltext.search(turn_asks(spark, folder), chunks(spark, folder), 20)
 
 
 @plan("lexical_and")
 def lexical_and(spark, folder):
-    return arms.bm25(asks(spark).select("query_id", F.lit("error motor harness").alias("ask")), chunks(spark, folder), 20, every=True)
+    return fulltext.search(document_asks(spark, folder), chunks(spark, folder), 20, every=True)
+
+
+@plan("postings_search")
+def postings_search(spark, folder):
+    """The same, from a store of postings that was made of the documents in two parts, of which the second replaces a third of the first."""
+    held, n = chunks(spark, folder), F.col("chunk_no")
+    store = postings.PostingsStore(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+    store.update(held.where(n % 4 != 3).withColumn("text", F.when(n % 4 == 0, F.lit("an earlier text")).otherwise(F.col("text"))))
+    store.update(held.where(n % 4 % 3 == 0))
+    return store.search(document_asks(spark, folder), 20, every=True)
 
 
 MERGED_SQL = f"""listed AS (SELECT *, 0 AS arm_ord FROM code UNION ALL SELECT {COLS}, score, arm_rank, 1 FROM vec),

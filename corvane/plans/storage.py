@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import layout, texts
 from ..operators import corpus, versions
+from ..sources import snapshots as snapshots_of
+from ..sources.writers import shared_folder
 from .base import CHUNKS_SQL, MANUALS_SQL, chunks, manuals, sql
 from .inputs import HISTORY_SQL, history
 from .registry import plan, table
@@ -85,6 +89,36 @@ def sink_documents(spark, folder):
     return versions.upsert(old, new.where("doc_id % 3 = 0"), "doc_id")
 
 
+PUBLISHED_SQL = """SELECT source, d.doc_id, sha256(CASE WHEN bad THEN text ELSE text || '!' END) AS h FROM documents d JOIN (SELECT source, bool_or(contains(text, '#')) AS bad FROM documents GROUP BY 1) b USING (source) WHERE NOT bad OR d.doc_id % 2 = 0"""
+
+
+def published(spark, folder):
+    """A table with versions: sources with half of their documents, then all of them, edited; sources with a document that has a mark are held back."""
+    d = table(spark, folder, "documents").select("source", "doc_id", "text")
+    held = snapshots_of.SnapshotTable(spark, f"{shared_folder(spark)}/published-{uuid.uuid4().hex}", "source", "source string, doc_id bigint, text string")
+    held.replace(d.where("doc_id % 2 = 0"))
+    problems = d.where(F.contains("text", F.lit("#"))).select("source", F.lit("mark").alias("reason"))
+    return held, snapshots_of.publish_documents(held, d.withColumn("text", F.concat("text", F.lit("!"))), problems)
+
+
+@plan("publish_documents", PUBLISHED_SQL)
+def publish_documents(spark, folder):
+    held, _ = published(spark, folder)
+    return held.read().select("source", "doc_id", F.sha2("text", 256).alias("h"))
+
+
+@plan("publish_report", "SELECT source, NOT bool_or(contains(text, '#')) AS committed, CASE WHEN bool_or(contains(text, '#')) THEN 'mark' END AS reason FROM documents GROUP BY 1")
+def publish_report(spark, folder):
+    return published(spark, folder)[1][1]
+
+
+@plan("revert_published", "SELECT source, doc_id, sha256(text) AS h FROM documents WHERE doc_id % 2 = 0")
+def revert_published(spark, folder):
+    held, _ = published(spark, folder)
+    held.revert(1)
+    return held.read().select("source", "doc_id", F.sha2("text", 256).alias("h"))
+
+
 @plan("next_version", sql("SELECT doc_id, max(version) + 1 AS next_version FROM versions WHERE status <> 'abandoned' GROUP BY 1", MANUALS_SQL, VERSIONS_SQL))
 def next_version(spark, folder):
     return versions.next_version(document_versions(spark).where("status <> 'abandoned'"))
