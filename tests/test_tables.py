@@ -91,3 +91,20 @@ def test_traces(spark):
     now = F.to_timestamp(F.lit("2024-01-08 12:00:00"))
     got = spark.range(1).select(*[traces.since(F.lit(x), now).cast("string") for x in ("7d", "24h", "30m", "soon")]).collect()[0]
     assert list(got) == ["2024-01-01 12:00:00", "2024-01-07 12:00:00", "2024-01-08 11:30:00", None]
+
+
+def test_lines_are_gathered_into_blocks():
+    body = "NO BUTTON SOUND Button sound is off. See User Guide.\n• All pads\nINCORRECT WATER\nTEMPERATURE\nHoses crossed. Check the hoses.\nPOOR WASH\nPERFORMANCE Oversuds. Check detergent.\nPlease refer to Use & Care Guide. Load not rinsed. 1. Check water.\nmore of it"
+    kinds = [[x.kind for x in b] for b in matrix.blocks(body)]
+    assert kinds == [["problem", "text"], ["problem", "part", "symptom"], ["part"], ["tail"], ["symptom"], ["aside"], ["symptom", "text"]]
+    rows = matrix.unified_rows(body)
+    assert [(r["problem_title"] or r["cells"][0], r["cells"][1], r["cells"][2], r["group_title"], r["problem_detail"]) for r in rows] == [
+        ("NO BUTTON SOUND", "Button sound is off.", "See User Guide.", "", "• All pads"), ("INCORRECT WATER TEMPERATURE", "Hoses crossed.", "Check the hoses.", "", ""),
+        ("Oversuds.", "", "Check detergent.", "POOR WASH PERFORMANCE", ""), ("Load not rinsed.", "", "1. Check water. more of it", "POOR WASH PERFORMANCE", ""),
+    ]
+    assert [r["group_note"] for r in rows[2:]] == ["", "Please refer to Use & Care Guide."]
+
+
+def test_a_title_takes_all_of_its_words_in_capitals():
+    assert matrix.ANCHOR_ROW.match("NO BUTTON SOUND Button sound is off.").groups() == ("NO BUTTON SOUND ", "Button sound is off.")
+    assert matrix.ANCHOR_ROW.match("Door is open.") is None
