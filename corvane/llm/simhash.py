@@ -16,8 +16,8 @@ at most one bit from both, and all that share such a value are at most two bits
 the smallest of them gives the same components with a number of links in proportion to the rows.
 
 Near copies by Jaccard similarity (`drop_near_duplicates`) differ in about ten bits of 64 at a similarity of 0.8, too
-many for the grid: candidates are met by bands of least hashes there, held to the fingerprints' Manhattan bound and
-Hamming distance, and verified exactly on the shingles of whole texts.
+many for the grid: candidates are met by bands of least hashes there, held to their numbers of shingles and, where texts
+have many, to the fingerprints' Manhattan bound and Hamming distance, and verified exactly on the shingles of whole texts.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ from pyspark.sql import types as T
 from .common import arrow_map, discard, fresh, materialise, require
 from .components import connected_components
 
+#: Shingles under which a fingerprint says too little to leave a pair out by it.
+FEW_SHINGLES = 64
+#: Bands, and least hashes of each, that take crowded cells apart: a pair at similarity 0.8 shares one but in 8 of a million cases, one at 0.3 in 4 of 1,000.
+APART = (64, 8)
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
 BLOCK = 1 << 15
 ODD_BITS = 0x5555555555555555
@@ -100,28 +104,34 @@ def band_keys(h: np.ndarray, bands: int, rows: int, seed: int) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(least[j * rows : (j + 1) * rows].tobytes(), j)) for j in range(bands)]
 
 
-def with_sketches(docs: DataFrame, text: str, words: int, seed: int, bands: int, rows: int, names: tuple[str, str]) -> DataFrame:
-    """`docs` and two columns: the text's fingerprint (long), and an array of its `band_keys`."""
+def with_sketches(docs: DataFrame, text: str, words: int, seed: int, bands: int, rows: int, names: tuple[str, str, str]) -> DataFrame:
+    """`docs` and three columns: the text's fingerprint (long), an array of its `band_keys`, and its number of different shingles."""
     require(docs, text)
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            fps, keys = [], []
+            fps, keys, sizes = [], [], []
             for x in batch.column(at).to_pylist():
                 h = shingle_hashes(x or "", words, seed)
                 fps.append(_signed(_majority(h)))
                 keys.append(band_keys(h, bands, rows, seed))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names, *names])
+                sizes.append(len(np.unique(h)))
+            own = [pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *names])
 
-    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.LongType()))]))
+    kinds = (T.LongType(), T.ArrayType(T.LongType()), T.IntegerType())
+    return arrow_map(docs, run, T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)]))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int, bits: int) -> DataFrame:
-    """Of `pairs(u, v)`, rids of `texts(rid, text, fp)`, those whose shingle sets have that Jaccard similarity at least.
+def comparable(fu, fv, nu, nv, similarity: float, bits: int):
+    """Whether two rows can have the similarity: by their numbers of shingles, and, where both have many, by their fingerprints."""
+    sizes = F.least(nu, nv) >= F.greatest(nu, nv) * similarity - 1e-9
+    return sizes & ((F.least(nu, nv) < FEW_SHINGLES) | within(fu, fv, bits))
 
-    Pairs whose fingerprints lie over `bits` bits apart, by the Manhattan bound or then exactly, aren't compared.
-    """
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int, bits: int) -> DataFrame:
+    """Of `pairs(u, v)`, rids of `texts(rid, text, fp, size)`, those whose shingle sets have that Jaccard similarity at least; pairs that aren't `comparable` aren't compared."""
 
     def shingles(x):
         return frozenset(shingle_hashes(x or "", words, seed).tolist())
@@ -138,42 +148,54 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int, s
                 keep.append(both >= similarity * (len(own) + len(other) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("rid").alias("u"), F.col("text").alias("tu"), F.col("fp").alias("fu")).hint("merge"), "u")
-    both = both.join(texts.select(F.col("rid").alias("v"), F.col("text").alias("tv"), F.col("fp").alias("fv")).hint("merge"), "v")
-    return arrow_map(both.where(within(F.col("fu"), F.col("fv"), bits)).select("u", "v", "tu", "tv"), run, "u long, v long")
+    def side(c):
+        return texts.select(F.col("rid").alias(c), F.col("text").alias(f"t{c}"), F.col("fp").alias(f"f{c}"), F.col("size").alias(f"n{c}")).hint("merge")
+
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    return arrow_map(both.where(comparable(F.col("fu"), F.col("fv"), F.col("nu"), F.col("nv"), similarity, bits)).select("u", "v", "tu", "tv"), run, "u long, v long")
+
+
+def across(rows: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """rows(k, rid, c, fp, size) -> (u, v): comparable rows of one cell k and different components c."""
+    a, b = (rows.select("k", *[F.col(c).alias(f"{c}_{side}") for c in ("rid", "c", "fp", "size")]) for side in "uv")
+    met = (F.col("rid_u") > F.col("rid_v")) & (F.col("c_u") != F.col("c_v")) & comparable(F.col("fp_u"), F.col("fp_v"), F.col("size_u"), F.col("size_v"), similarity, bits)
+    return a.withColumnRenamed("k", "k_").join(b.hint("merge"), (F.col("k_") == F.col("k")) & met).select(F.col("rid_u").alias("u"), F.col("rid_v").alias("v"))
 
 
-def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, bits: int, cell_limit: int, probes: int) -> DataFrame:
-    """`rows(rid, text, fp, keys)` -> edges `(u, v)`: rows that share a key and have the similarity, by their whole texts.
+def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, bits: int, cell_limit: int) -> DataFrame:
+    """`rows(rid, text, fp, keys, size)` -> edges `(u, v)`: rows that share a key and have the similarity, by their whole texts.
 
     The rows of one key are a cell. First all rows of a cell are compared with its first one, so that a group of near
-    copies costs as many comparisons as it has rows. Cells whose rows then still are in several components are gone
-    through again: all pairs of different components are compared in a cell of `cell_limit` rows at most, and in a larger
-    one all rows are compared with `probes` more rows of it, drawn by hash.
+    copies costs as many comparisons as it has rows. In cells whose rows then still are in several components, rows of
+    different components are compared. Cells of over `cell_limit` rows are taken apart first: their rows, which share a
+    passage and little else, meet again by many more and longer bands (`APART`), and all of those that meet are compared.
     """
     cells = rows.select("rid", F.posexplode("keys").alias("j", "key")).select("rid", F.xxhash64("j", "key").alias("k"))
     sizes = materialise(cells.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lead")).where("n > 1"), "sizes")
     met = materialise(cells.join(sizes.hint("merge"), "k"), "met")
     discard(sizes)
-    texts = materialise(rows.join(met.select("rid").distinct().hint("merge"), "rid", "left_semi").select("rid", "text", "fp"), "texts")
+    texts = materialise(rows.join(met.select("rid").distinct().hint("merge"), "rid", "left_semi").select("rid", "text", "fp", "size"), "texts")
     starred = met.where("rid <> lead").select(F.col("rid").alias("u"), F.col("lead").alias("v")).distinct()
     first = materialise(similar(starred, texts, similarity, words, seed, bits), "linked")
     labels = connected_components(first).select(F.col("node").alias("rid"), "root")
-    named = met.join(labels.hint("merge"), "rid", "left").select("k", "rid", "n", "lead", F.coalesce("root", "rid").alias("c"))
+    named = met.join(labels.hint("merge"), "rid", "left").select("k", "rid", "n", F.coalesce("root", "rid").alias("c"))
     named = materialise(named, "named")
     discard(met, labels)
-    drawn = [F.xxhash64("rid", "k", F.lit(i)) for i in range(probes)]
-    drawn = F.array(*[F.struct(F.min_by("rid", d).alias("v"), F.min_by("c", d).alias("c")) for d in drawn]).alias("drawn")
-    several = materialise(named.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b"), drawn).where("a <> b").select("k", "drawn"), "several")
+    several = materialise(named.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k"), "several")
     left = materialise(named.join(several.hint("merge"), "k"), "left")
     discard(named, several)
-    few = left.where(F.col("n") <= cell_limit).drop("drawn")
-    small = few.select("k", F.col("rid").alias("u"), F.col("c").alias("cu")).join(few.select("k", F.col("rid").alias("v"), F.col("c").alias("cv"), "lead").hint("merge"), "k")
-    small = small.where("u > v and cu <> cv and v <> lead").select("u", "v")
-    large = left.where(F.col("n") > cell_limit).select("rid", "c", F.explode("drawn").alias("d")).where("c <> d.c")
-    large = large.select(F.greatest("rid", "d.v").alias("u"), F.least("rid", "d.v").alias("v"))
-    second = materialise(similar(small.unionByName(large).distinct(), texts, similarity, words, seed, bits), "linked")
-    discard(left, texts)
+    facts = texts.select("rid", "fp", "size")
+    few = across(left.where(F.col("n") <= cell_limit).select("k", "rid", "c").join(facts.hint("merge"), "rid"), similarity, bits)
+    crowd = left.where(F.col("n") > cell_limit).select("rid", "c").distinct()
+    keys = with_sketches(texts.select("rid", "text").join(crowd.hint("merge"), "rid"), "text", words, seed + 1, *APART, ("fp", "keys", "size"))
+    apart = keys.select("rid", "c", F.posexplode("keys").alias("j", "key")).select(F.xxhash64("j", "key").alias("k"), "rid", "c")
+    apart = materialise(apart, "apart")
+    shared = apart.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k")
+    many = across(apart.join(shared.hint("merge"), "k").join(facts.hint("merge"), "rid"), similarity, bits)
+    pairs = materialise(few.unionByName(many).distinct(), "pairs")
+    discard(left, apart)
+    second = materialise(similar(pairs, texts, similarity, words, seed, bits), "linked")
+    discard(texts, pairs)
     return first.unionByName(second)
 
 
@@ -270,20 +292,20 @@ def classes(rows: DataFrame, bits: int, groups: int, cell_limit: int) -> DataFra
 
 def drop_near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8,
-    bands: int = 16, rows: int = 4, bits: int = 20, cell_limit: int = 64, probes: int = 4,
+    bands: int = 16, rows: int = 4, bits: int = 20, cell_limit: int = 64,
 ) -> DataFrame:
     """`docs` with one row of each component: that with the smallest doc_id (rows without one come last).
 
     Rows are linked if the Jaccard similarity of their sets of five-word shingles is `similarity` at least. It is
     computed from whole texts, for rows that share a key of `bands` bands of `rows` least hashes (at a similarity of 0.8
     all but one in 4,500 pairs do, above it fewer are missed) and whose fingerprints lie within `bits` bits (at 0.8
-    about ten differ, with a standard deviation of three). See `similar_links` for crowded cells. Columns are those of
-    `docs`. Of rows that tie in doc_id, one stays; texts without words are alike.
+    about ten differ, with a standard deviation of three; texts of fewer than FEW_SHINGLES shingles are compared in any
+    case). See `similar_links` for crowded cells; no cell is cut. Columns are those of `docs`. Of rows that tie in doc_id, one stays; texts without words are alike.
     """
-    fp, keys, rid = fresh(docs.columns, "fp_", "keys_", "rid_")
-    marked = materialise(with_sketches(docs, text, words, seed, bands, rows, (fp, keys)).withColumn(rid, F.monotonically_increasing_id()), "marked")
-    own = marked.select(F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"), F.col(text).alias("text"), F.col(fp).alias("fp"), F.col(keys).alias("keys"))
-    found = connected_components(similar_links(own.drop("doc_id"), similarity, words, seed, bits, cell_limit, probes))
+    fp, keys, size, rid = fresh(docs.columns, "fp_", "keys_", "size_", "rid_")
+    marked = materialise(with_sketches(docs, text, words, seed, bands, rows, (fp, keys, size)).withColumn(rid, F.monotonically_increasing_id()), "marked")
+    own = marked.select(F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"), F.col(text).alias("text"), F.col(fp).alias("fp"), F.col(keys).alias("keys"), F.col(size).alias("size"))
+    found = connected_components(similar_links(own.drop("doc_id"), similarity, words, seed, bits, cell_limit))
     keyed = found.join(own.select(F.col("rid").alias("node"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid").alias("key")).hint("merge"), "node")
     keyed = materialise(keyed.select("node", "root", "key"), "members")
     first = materialise(keyed.groupBy("root").agg(F.min("key")["rid"].alias("stays")), "first")

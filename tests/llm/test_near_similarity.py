@@ -55,3 +55,29 @@ def test_rows_of_a_table(spark, sf):
         for a, b in near:
             label[a] = label[b] = min(label[a], label[b])
     assert kept(spark, texts) == {i for i in texts if label[i] == i}
+
+
+def test_crowded_cells_lose_no_pair(spark):
+    """A long passage that all share puts them into the same cells; pairs of near copies among them are found, as if nothing else was there."""
+    rng = np.random.default_rng(21)
+    passage, texts = [f"p{i}" for i in range(60)], {}
+    for g in range(150):
+        own = [f"w{i}" for i in rng.integers(0, 10**6, 90)]
+        texts[2 * g] = " ".join([*passage, *own])
+        for i in rng.choice(90, 1 + g % 6, replace=False):
+            own[i] = "edited"
+        texts[2 * g + 1] = " ".join([*passage, *own])
+    label = {i: i for i in texts}
+    for a, b in combinations(sorted(texts), 2):
+        if (a // 2 == b // 2 or (a + b) % 50 == 0) and jaccard(texts[a], texts[b]) >= 0.8:
+            label[b] = label[a]
+    want = {i for i in texts if label[i] == i}
+    assert 150 < len(want) < 290
+    for limit in (2, 64):
+        assert kept(spark, texts, cell_limit=limit) == want
+
+
+def test_short_texts_are_compared_whatever_their_fingerprints(spark):
+    words = [f"s{i}" for i in range(30)]
+    texts = {0: " ".join(words), 1: " ".join([*words, "more"]), 2: " ".join([*words[:-1], "x"]), 3: " ".join([*words, "a", "b"]), 4: "s0 s1"}
+    assert kept(spark, texts) == {i for i in texts if not any(j < i and jaccard(texts[j], texts[i]) >= 0.8 for j in texts)}
