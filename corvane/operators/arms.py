@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import codes
-from .rows import reach_workers
+from .containment import holding
+from .rows import reach_workers, settled
 
 # The arms' scores.
 CODE, CONNECTOR, NEIGHBOUR, LITERAL, REVISION, REFERENCE = 1.0, 1.0, 0.95, 0.95, 0.88, 0.85
@@ -173,16 +174,10 @@ def manual_revision_fetch(queries: DataFrame, applicable: DataFrame, chunks: Dat
 def literal_fetch(queries: DataFrame, chunks: DataFrame, limit: int = 40, rare: int = LITERAL_CHUNKS) -> DataFrame:
     """Chunks that hold a query's literals, those that `rare` chunks at most have. queries: query_id, ask.
 
-    A literal is letters and digits, so a chunk that holds it has a run of them that does. Runs are made distinct
-    before literals are looked for in them, and a run that holds one is joined back to its chunks by equality.
+    Texts are read once, whatever the number of literals (`containment.holding`).
     """
     asked = queries.select("query_id", F.explode(codes.query_literals(F.col("ask"))).alias("literal"))
-    words = small(asked.select("literal").distinct())
-    runs = chunks.select("chunk_no", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z0-9]{3,}"), F.lit(0)))).alias("run"))
-    mixed = runs.where(F.col("run").rlike("[0-9]") & F.col("run").rlike("[A-Z]"))
-    # a literal has a digit and a letter, so does a run that holds it; distinct runs are compared with the few literals
-    holding = mixed.select("run").distinct().join(words, F.contains("run", F.col("literal")))
-    found = mixed.join(holding, "run").select("chunk_no", "literal").distinct()
+    found = settled(holding(chunks.select("chunk_no", F.upper("text").alias("hay")), asked, "chunk_no", "hay", "literal"))
     counts = found.groupBy("literal").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= rare)
     hits = found.join(counts, "literal").join(small(asked), "literal").groupBy("query_id", "chunk_no").agg(F.count(F.lit(1)).alias("n_literals"))
     hits = chunks.join(hits, "chunk_no").withColumn("score", F.lit(LITERAL))

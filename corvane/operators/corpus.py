@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import layout
+from .containment import holding
 
 # Edges that say which document prevails, and licences that may be filed.
 PRECEDENCE = ("corrects", "supersedes", "superseded_by", "overrides", "corrected_by")
@@ -78,17 +79,18 @@ def drift(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """notice, a and b: editions of one publication without any edge of precedence among them, and newer documents that name an older publication in their title, note or edges but don't say how they stand to it.
 
     docs: doc_id, publication_number, published, blob (what is searched for publications). An edition pair counts as
-    linked if any pair of its publication's editions is; publications are met through the words of the blob.
+    linked if any pair of its publication's editions is; a publication is named if its number stands anywhere in the blob.
     """
     pairs = precedence_pairs(docs, edges)
     d = docs.where("publication_number is not null")
     linked = pairs.join(d.select(F.col("doc_id").alias("a"), F.col("publication_number").alias("p")), "a").join(d.select(F.col("doc_id").alias("b"), F.col("publication_number").alias("q")), "b").where("p = q").select("p").distinct()
     many = d.groupBy(F.col("publication_number").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("n > 1")
     unlinked = many.join(linked, "p", "left_anti").select(F.lit("editions without precedence").alias("notice"), "a", "b")
-    words = F.array_distinct(F.filter(F.split(F.upper(F.coalesce("blob", F.lit(""))), "[^A-Z0-9-]+"), lambda w: w != ""))
-    newer = d.where(date_key(F.col("published")).isNotNull()).select(F.col("doc_id").alias("x"), F.col("publication_number").alias("own"), date_key(F.col("published")).alias("dx"), F.explode(words).alias("word"))
-    older = d.select(F.col("doc_id").alias("y"), F.upper("publication_number").alias("word"), F.col("publication_number").alias("other"), date_key(F.col("published")).alias("dy"))
-    named = newer.join(older, "word").where((F.col("own") != F.col("other")) & (F.col("dx") > F.col("dy")))
+    dated = d.where(date_key(F.col("published")).isNotNull())
+    newer = dated.select(F.col("doc_id").alias("x"), F.col("publication_number").alias("own"), date_key(F.col("published")).alias("dx"))
+    older = d.select(F.col("doc_id").alias("y"), F.lower("publication_number").alias("name"), F.col("publication_number").alias("other"), date_key(F.col("published")).alias("dy"))
+    held = holding(dated.select(F.col("doc_id").alias("x"), F.lower("blob").alias("hay")), older.select("name"), "x", "hay", "name")
+    named = newer.join(held, "x").join(older, "name").where((F.col("own") != F.col("other")) & (F.col("dx") > F.col("dy")))
     named = named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "y").join(pairs, ["a", "b"], "left_anti")
     return unlinked.unionByName(named.select(F.lit("names an older document").alias("notice"), F.col("x").alias("a"), F.col("y").alias("b")).distinct())
 

@@ -3,7 +3,7 @@
 downloads: file, and of saved pages content (their text with soft breaks), of PDFs sample (text of the first and last
 page and the title). documents: doc_id, publication_number, revision, title, source_url, is_pdf, citation; edges:
 doc_id, type, target. Files are joined to documents by what they name, never compared with all of them, except for
-titles and paths that are looked for in saved pages: those documents are few and are met through their longest word.
+titles and paths, which are looked for in saved pages all at once.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .containment import holding
+
 # How publications, revisions and captured addresses are written, and kinds of files.
 PUBLICATION = r"(?i)(?<![0-9A-Za-z])(W\d{8})([A-Z])?(?![0-9A-Za-z])"
 SLUG_REVISION = r"(?i)-rev-?([a-z])(?![a-z0-9])"
@@ -69,26 +71,18 @@ def archive_matches(files: DataFrame, documents: DataFrame) -> DataFrame:
     """file, doc_id and reason for saved pages: the address that they declare, or else a document's path in them, or else its title.
 
     files: file, content, declared. Of several documents at one level the first by doc_id is taken. Paths and titles are
-    met by a word of theirs (letters and digits) that the file has, then looked for as they are.
+    looked for all at once, in one pass over the files.
     """
     docs = documents.withColumn("url", plain_url(F.col("source_url"))).withColumn("tail", url_tail(F.col("url")))
     docs = docs.withColumn("name", F.lower(F.trim(F.element_at(F.split("title", r"\("), 1))))
     soft = F.regexp_replace(F.coalesce("content", F.lit("")), r"=\r?\n", "")
     held = files.select("file", plain_url(F.concat_ws("\n", "file", soft)).alias("hay"), "declared")
     exact = held.select("file", F.explode("declared").alias("url")).join(docs.where("url <> ''").select("url", "doc_id"), "url").select("file", "doc_id", F.lit(1).alias("level"))
-    words = lambda c: F.filter(F.split(c, "[^a-z0-9]+"), lambda w: w != "")
-    longest = lambda c: F.element_at(F.array_sort(F.transform(words(c), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     path = docs.where("url <> '' and tail <> ''").select("doc_id", F.col("tail").alias("needle"), F.lit(2).alias("level"))
     title = docs.where(F.char_length("name") > TITLE_CHARS).select("doc_id", F.col("name").alias("needle"), F.lit(3).alias("level"))
     needles = path.unionByName(title)
-    # a word inside the needle stands whole in the file; those at its ends may go on there
-    inner = F.regexp_replace(F.regexp_replace("needle", "^[a-z0-9]+", ""), "[a-z0-9]+$", "")
-    needles = needles.withColumn("word", F.when(F.size(words(inner)) > 0, longest(inner)))
-    each = held.select("file", "hay", F.explode(F.array_distinct(words(F.col("hay")))).alias("word"))
-    met = each.join(needles.where("word is not null"), "word").where(F.contains("hay", F.col("needle"))).select("file", "doc_id", "level")
-    bare = needles.where("word is null").drop("word")
-    rest = held.join(F.broadcast(bare), F.contains("hay", F.col("needle"))).select("file", "doc_id", "level")  # broadcast: names of one word
-    best = exact.unionByName(met).unionByName(rest).groupBy("file").agg(F.min(F.struct("level", "doc_id")).alias("b"))
+    met = holding(held.select("file", "hay"), needles, "file", "hay", "needle").join(needles, "needle").select("file", "doc_id", "level")
+    best = exact.unionByName(met).groupBy("file").agg(F.min(F.struct("level", "doc_id")).alias("b"))
     reason = F.element_at(F.array(F.lit("declares this address"), F.lit("holds its path"), F.lit("holds its title")), F.col("b.level"))
     return files.select("file").join(best, "file", "left").select("file", F.col("b.doc_id").alias("doc_id"), F.coalesce(reason, F.lit("nothing matched")).alias("reason"), F.col("b.level").alias("level"))
 
