@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, intent, parsing, texts
 from ..operators import corpus, evidence, expansion, policy, ranking
+from ..operators.rows import map_rows
 from .base import ASKS_SQL, CHUNKS_SQL, EDGES_SQL, MANUALS_SQL, asks, chunks, edges, manuals, sql, values_sql
 from .registry import plan, table
 from .texts import FOLD_SQL
@@ -83,32 +84,50 @@ RULES = {
     "stuck-not-lock": "(=> (= door STUCK_LOCKED) (not lockTest))", "stuck-unlock": "(=> (= door STUCK_LOCKED) unlockTest)", "open-not-unlock": "(=> (= door WILL_NOT_LOCK) (not unlockTest))",
     "open-lock": "(=> (= door WILL_NOT_LOCK) lockTest)", "non-negative": "(>= reading 0)", "quote": "(= quoted reading)",
 }
-POLICY_CASES = [
-    (1, "premise", "door", "STUCK_LOCKED"), (1, "claim", "lockTest", "true"), (2, "premise", "door", "STUCK_LOCKED"), (2, "claim", "unlockTest", "true"), (3, "claim", "lockTest", "true"), (4, "premise", "reading", "-1"), (4, "claim", "quoted", "5"),
-    (5, "premise", "reading", "12"), (5, "claim", "quoted", "12"), (5, "claim", "lockTest", "true"), (6, "premise", "reading", "12"), (6, "claim", "quoted", "5"), (7, "premise", "door", "UNKNOWN"), (8, "premise", "door", "WILL_NOT_LOCK"), (8, "claim", "unlockTest", "true"), (8, "claim", "lockTest", "true"),
-]
-WORLDS_SQL = """worlds AS (SELECT row_number() OVER () AS w, * FROM (SELECT unnest(['STUCK_LOCKED', 'WILL_NOT_LOCK', 'UNKNOWN']) AS door) CROSS JOIN (SELECT unnest([true, false]) AS lockTest) CROSS JOIN (SELECT unnest([true, false]) AS unlockTest) CROSS JOIN (SELECT unnest([0, 5, 12, 99]) AS reading)
-  WHERE NOT (door = 'STUCK_LOCKED' AND (lockTest OR NOT unlockTest)) AND NOT (door = 'WILL_NOT_LOCK' AND (unlockTest OR NOT lockTest)))"""
-FACTS_SQL = """facts AS (SELECT w, 'door' AS name, door AS value FROM worlds UNION ALL SELECT w, 'lockTest', CAST(lockTest AS VARCHAR) FROM worlds UNION ALL SELECT w, 'unlockTest', CAST(unlockTest AS VARCHAR) FROM worlds UNION ALL SELECT w, 'reading', CAST(reading AS VARCHAR) FROM worlds UNION ALL SELECT w, 'quoted', CAST(reading AS VARCHAR) FROM worlds)"""
-CASES_SQL = values_sql("pc", "case_id, role, name, value", POLICY_CASES)
-VERDICT_SQL = """able AS (SELECT c.case_id, w FROM (SELECT DISTINCT case_id FROM pc) c CROSS JOIN worlds WHERE NOT EXISTS (SELECT 1 FROM pc p JOIN facts f ON f.name = p.name AND f.w = worlds.w WHERE p.case_id = c.case_id AND p.role = 'premise' AND f.value <> p.value) AND NOT EXISTS (SELECT 1 FROM pc p WHERE p.case_id = c.case_id AND p.role = 'premise' AND p.name = 'reading' AND p.value = '-1')),
-claimed AS (SELECT p.case_id, p.name, count(*) FILTER (f.value = p.value) AS yes, count(*) FILTER (f.value <> p.value) AS no FROM pc p JOIN able a USING (case_id) JOIN facts f ON f.w = a.w AND f.name = p.name WHERE p.role = 'claim' GROUP BY 1, 2),
-verdicts AS (SELECT case_id, CASE WHEN NOT bool_or(role = 'claim') THEN 'no_translations' WHEN case_id NOT IN (SELECT case_id FROM able) THEN 'impossible' ELSE (SELECT CASE min(CASE WHEN yes = 0 THEN 1 WHEN no = 0 THEN 3 ELSE 2 END) WHEN 1 THEN 'invalid' WHEN 2 THEN 'satisfiable' ELSE 'valid' END FROM claimed k WHERE k.case_id = pc.case_id) END AS outcome FROM pc GROUP BY case_id)"""
-
-
-@plan("check_policy", sql("SELECT case_id, outcome FROM verdicts", CASES_SQL, WORLDS_SQL, FACTS_SQL, VERDICT_SQL))
+#: Cases: what events say of a door and a reading, and what is claimed of them. Premises and claims are missing for some.
+EVENT_CASES = """SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'STUCK_LOCKED' WHEN 1 THEN 'WILL_NOT_LOCK' WHEN 2 THEN 'unknown' END AS door, CASE event_id % 5 WHEN 0 THEN 12 WHEN 1 THEN {k} WHEN 2 THEN CASE WHEN user_id % 6 = 5 THEN -1 END END AS reading,
+  CASE WHEN event_id % 3 = 0 THEN 'true' END AS lock_test, CASE WHEN event_id % 7 < 4 THEN CASE WHEN event_id % 2 = 0 THEN 'TRUE' ELSE 'false' END END AS unlock_test, CASE event_id % 11 WHEN 0 THEN 12 WHEN 1 THEN {k} WHEN 2 THEN -3 WHEN 3 THEN 5 END AS quoted FROM events"""
+CASES_SQL = "ec AS (" + EVENT_CASES.replace("{k}", "CAST(json_extract_string(props, '$.k') AS INTEGER)") + ")"
+VERDICT_SQL = """said AS (SELECT *, CASE WHEN lock_test IS NOT NULL THEN CASE door WHEN 'STUCK_LOCKED' THEN 'invalid' WHEN 'WILL_NOT_LOCK' THEN 'valid' ELSE 'satisfiable' END END AS a,
+  CASE WHEN quoted IS NOT NULL THEN CASE WHEN reading IS NOT NULL THEN CASE WHEN quoted = reading THEN 'valid' ELSE 'invalid' END WHEN quoted < 0 THEN 'invalid' ELSE 'satisfiable' END END AS b,
+  CASE WHEN unlock_test IS NOT NULL THEN CASE WHEN door NOT IN ('STUCK_LOCKED', 'WILL_NOT_LOCK') OR door IS NULL THEN 'satisfiable' WHEN (door = 'STUCK_LOCKED') = (unlock_test = 'TRUE') THEN 'valid' ELSE 'invalid' END END AS c FROM ec),
+verdicts AS (SELECT *, CASE WHEN a IS NULL AND b IS NULL AND c IS NULL THEN 'no_translations' WHEN reading < 0 THEN 'impossible' ELSE list_min(list_filter([a, b, c], lambda x: x IS NOT NULL)) END AS outcome FROM said),
+told AS (SELECT event_id, outcome, CASE outcome WHEN 'no_translations' THEN '' WHEN 'satisfiable' THEN '' WHEN 'impossible' THEN 'non-negative' ELSE array_to_string(list_filter([
+  CASE WHEN a = outcome THEN CASE door WHEN 'STUCK_LOCKED' THEN 'stuck-not-lock' ELSE 'open-lock' END END, CASE WHEN b = outcome AND reading IS NULL THEN 'non-negative' END, CASE WHEN b = outcome THEN 'quote' END, CASE WHEN c = outcome THEN CASE door WHEN 'STUCK_LOCKED' THEN 'stuck-unlock' ELSE 'open-not-unlock' END END], lambda x: x IS NOT NULL), ',') END AS rules FROM verdicts)"""
+POLICY = policy.Policy({n: (k, None if k == "int" else v) for n, (k, v) in DOMAINS.items()}, RULES)
+
+
+def event_cases(spark, folder):
+    """case_id, role, name and value of `EVENT_CASES`."""
+    table(spark, folder, "events").createOrReplaceTempView("events_of_cases")
+    held = spark.sql(EVENT_CASES.replace("{k}", "CAST(get_json_object(props, '$.k') AS INT)").replace("FROM events", "FROM events_of_cases"))
+    named = [("premise", "door", "door"), ("premise", "reading", "reading"), ("claim", "lockTest", "lock_test"), ("claim", "quoted", "quoted"), ("claim", "unlockTest", "unlock_test")]
+    each = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for r, n, c in named])
+    return held.select(F.col("event_id").alias("case_id"), F.inline(each))
+
+
+@plan("check_policy", sql("SELECT event_id AS case_id, outcome, rules, rules AS minimal FROM told", CASES_SQL, VERDICT_SQL))
 def check_policy(spark, folder):
-    return policy.check(spark.createDataFrame(POLICY_CASES, "case_id int, role string, name string, value string"), spark, DOMAINS, RULES)
+    found = policy.findings(event_cases(spark, folder), POLICY)
+    return found.select("case_id", "outcome", F.array_join("rules", ",").alias("rules"), F.array_join("minimal", ",").alias("minimal"))
 
 
-@plan("policy_bench", sql("SELECT outcome, count(*) AS n FROM verdicts GROUP BY 1", CASES_SQL, WORLDS_SQL, FACTS_SQL, VERDICT_SQL))
+@plan("policy_bench", sql("SELECT outcome, count(*) AS n FROM verdicts GROUP BY 1", CASES_SQL, VERDICT_SQL))
 def policy_bench(spark, folder):
     return check_policy(spark, folder).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@plan("undecided_claims", sql("SELECT DISTINCT claim FROM (SELECT door, reading, 'lockTest' AS claim, count(DISTINCT lockTest) AS n FROM worlds WHERE door <> 'STUCK_LOCKED' GROUP BY 1, 2 UNION ALL SELECT door, reading, 'unlockTest', count(DISTINCT unlockTest) FROM worlds WHERE door <> 'STUCK_LOCKED' GROUP BY 1, 2) WHERE n > 1", WORLDS_SQL))
+@plan("undecided_claims", sql("SELECT door, reading, count(DISTINCT a) > 1 AS lock_open, count(DISTINCT b) > 1 AS unlock_open FROM (SELECT e.door, e.reading, a, b FROM (SELECT DISTINCT door, reading FROM ec WHERE door IS NOT NULL AND reading >= 0) e, (SELECT unnest([true, false]) AS a), (SELECT unnest([true, false]) AS b) WHERE NOT (e.door = 'STUCK_LOCKED' AND (a OR NOT b)) AND NOT (e.door = 'WILL_NOT_LOCK' AND (b OR NOT a))) GROUP BY 1, 2", CASES_SQL))
 def undecided_claims(spark, folder):
-    return policy.undecided(spark, DOMAINS, RULES, ["door", "reading"], "door <> 'STUCK_LOCKED'")
+    """For each door and reading that events tell: whether the tests are open then."""
+    held = event_cases(spark, folder).where("role = 'premise' AND value IS NOT NULL").groupBy("case_id").pivot("name", ["door", "reading"]).agg(F.first("value")).where("door IS NOT NULL AND CAST(reading AS INT) >= 0")
+    seen = held.select("door", "reading").distinct()
+
+    def told(r):
+        found = POLICY.undecided(["door", "reading"], f"(and (= door {r['door'] if r['door'] != 'unknown' else 'UNKNOWN'}) (= reading {r['reading']}))")
+        return [{"door": r["door"], "reading": int(r["reading"]), "lock_open": "lockTest" in found, "unlock_open": "unlockTest" in found}]
+
+    return map_rows(seen, told, "door string, reading int, lock_open boolean, unlock_open boolean")
 
 
 VALUES = "CASE p_partkey % 7 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN '-' || p_size WHEN 2 THEN p_size || '.0' WHEN 3 THEN ' ' || p_size || ' ' WHEN 4 THEN 'true' WHEN 5 THEN p_size || '.5' ELSE '0' END"
