@@ -87,10 +87,15 @@ def curator_cost(units: DataFrame, reps: DataFrame, by: list[str], input_price:
 
 
 def corpus_fingerprint(chunks: DataFrame) -> DataFrame:
-    """fingerprint: 16 digits over all chunks' document, id and text, in order. Chunks are hashed where they are and their hashes by document, so that one row a document comes together."""
+    """fingerprint: 16 digits over all chunks' document, id and text, whatever their order.
+
+    Each chunk has a SHA-256; the digests' eight words are added up over all chunks, in tasks and then among them, so
+    that no task or row ever holds more than nine numbers. A changed, missing or repeated chunk changes the sums.
+    """
     line = F.sha2(F.concat_ws("\x00", "doc_id", "chunk_id", F.coalesce("text", F.lit(""))), 256)
-    docs = chunks.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", line.alias("h")))), lambda r: r["h"]), "\n"), 256).alias("h"))
-    return docs.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda r: r["h"]), "\n"), 256), 1, 16).alias("fingerprint"))
+    words = [F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
+    sums = chunks.select(line.alias("h")).agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(w), F.lit(0)).cast("string").alias(f"w{i}") for i, w in enumerate(words)])
+    return sums.select(F.substring(F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[f"w{i}" for i in range(8)]), 256), 1, 16).alias("fingerprint"))
 
 
 def alternative_index(chunks: DataFrame, embed: Callable[[Column], Column], folder: str, fingerprint: str) -> tuple[DataFrame, bool]:
@@ -118,8 +123,7 @@ def bakeoff(spark: SparkSession, strategies: dict[str, Callable[[], DataFrame]],
     out = None
     for name, run in strategies.items():
         began = time.perf_counter()
-        hits = run().select("query_id", "rank", "keys").persist()
-        hits.count()
+        hits = settled(run().select("query_id", "rank", "keys"))
         seconds = time.perf_counter() - began
         ranks = metrics.target_ranks(hits, targets, k)
         graded = metrics.graded_hits(hits, targets, forbidden)

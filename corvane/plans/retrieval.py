@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, intent, serials
-from ..operators import arms, fulltext, fusion, postings, ranking
+from ..operators import arms, fulltext, fusion, postings, ranking, vector_index
 from ..sources.writers import shared_folder
 from .base import ASKS_SQL, CHUNKS_SQL, EDGES_SQL, MANUALS_SQL, MODELS_SQL, RANGES_SQL, asks, chunks, edges, manuals, models, ranges, sql, vectors
 from .registry import plan, table
@@ -128,6 +128,28 @@ def postings_search(spark, folder):
     return store.search(document_asks(spark, folder), 20, every=True)
 
 
+def indexed(spark, folder):
+    """An index of all embeddings, and its hits for those whose number divides by 20."""
+    held = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id_"), "embedding")
+    asked = held.where("id_ % 20 = 0").select(F.col("id_").alias("query_id"), F.col("embedding").alias("vector"))
+    path = f"{shared_folder(spark)}/lists-{uuid.uuid4().hex}"
+    book = vector_index.fit(held)
+    vector_index.build(held, book, path)
+    return held, asked, vector_index.search(asked, held, book, path, 8)
+
+
+@plan("vector_index")
+def vector_index_fetch(spark, folder):
+    return indexed(spark, folder)[2].select("query_id", F.col("id_").alias("vec_id"), F.round("score", 9).alias("score"), "arm_rank")
+
+
+@plan("vector_index_recall")
+def vector_index_recall(spark, folder):
+    """recall, against all rows, of the first eight hits."""
+    held, asked, found = indexed(spark, folder)
+    return vector_index.recall(found, arms.nearest(asked, held, 8))
+
+
 MERGED_SQL = f"""listed AS (SELECT *, 0 AS arm_ord FROM code UNION ALL SELECT {COLS}, score, arm_rank, 1 FROM vec),
 uniq AS (SELECT * FROM listed QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, chunk_id ORDER BY arm_ord, arm_rank) = 1),
 merged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY arm_ord, arm_rank) AS merge_ord FROM uniq)"""
