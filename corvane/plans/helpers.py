@@ -191,7 +191,6 @@ def outline_parts(spark, folder):
     return table(spark, folder, "customer").select("c_custkey", F.inline(corpus.parts(30 + F.col("c_custkey") % 70, 20)))
 
 
-PARTS_SQL = r"u AS (SELECT doc_id, page, unnest(regexp_extract_all(substr(text, 1, 400) || ' W' || (10000000 + chunk_no % 300) || ' W' || (10000000 + page), '\bW[0-9]{8}\b', 0)) AS part, chunk_no FROM chunks WHERE page <= 6), f AS (SELECT doc_id, part, min(chunk_no) AS at0 FROM u GROUP BY 1, 2)"
 
 
 @plan("is_correcting_doc", sql("SELECT m.doc_id, coalesce(bool_or(e.type IN ('corrects', 'supersedes', 'overrides')), false) OR m.tier = 'technical_service_pointer' OR m.doc_type = 'technical_service_pointer' AS correcting, coalesce(bool_or(e.type = 'superseded_by'), false) AS superseded FROM manuals m LEFT JOIN edges e USING (doc_id) GROUP BY m.doc_id, m.tier, m.doc_type", MANUALS_SQL, EDGES_SQL))

@@ -111,9 +111,9 @@ def grade_hits(spark, folder):
 STOP = repr(texts.STOP_WORDS)
 TOKENS = f"list_filter(list_distinct(regexp_extract_all(lower(coalesce({{x}}, '')), '[a-z0-9]{{{{3,}}}}', 0)), lambda w: NOT list_contains({STOP}, w))"
 FOLDED = r"trim(regexp_replace(lower(coalesce({x}, '')), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
-#: A user's turn as a claim, the next assistant turn as the block that it cites.
-CLAIMS_SQL = r"""claims AS (SELECT conv_id, turn, substr(text, 1, 60 + turn * 10) AS claim, CASE WHEN nxt IS NOT NULL OR turn % 4 = 2 THEN turn + 1 END AS cited, nxt AS evidence FROM (
-  SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w || ' ' || substr(text, 1, 40) END AS nxt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user')"""
+#: A user's turn as a claim, the next assistant turn as the block that it cites; every third has the claim in it.
+CLAIMS_SQL = r"""claims AS (SELECT conv_id, turn, text AS claim, CASE WHEN nxt IS NOT NULL OR turn % 4 = 2 THEN turn + 1 END AS cited, nxt AS evidence FROM (
+  SELECT *, CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w || CASE WHEN turn % 3 = 0 THEN ' ' || text ELSE '' END END AS nxt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user')"""
 
 
 def claims(spark, folder):
@@ -121,9 +121,9 @@ def claims(spark, folder):
 
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, folder, "conversations")
-    nxt = F.when(F.lead("role").over(w) == "assistant", F.concat(F.lead("text").over(w), F.lit(" "), F.substring("text", 1, 40)))
+    nxt = F.when(F.lead("role").over(w) == "assistant", F.concat(F.lead("text").over(w), F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" "), "text")).otherwise("")))
     c = c.withColumn("evidence", nxt).where("role = 'user'")
-    return c.select("conv_id", "turn", F.substring("text", F.lit(1), (60 + F.col("turn") * 10).cast("int")).alias("claim"), F.when(F.col("evidence").isNotNull() | (F.col("turn") % 4 == 2), F.col("turn") + 1).alias("cited"), "evidence")
+    return c.select("conv_id", "turn", F.col("text").alias("claim"), F.when(F.col("evidence").isNotNull() | (F.col("turn") % 4 == 2), F.col("turn") + 1).alias("cited"), "evidence")
 
 
 GROUNDED_SQL = f"""g AS (SELECT *, {TOKENS.format(x='claim')} AS t, {TOKENS.format(x='evidence')} AS e, {FOLDED.format(x='claim')} AS fc, {FOLDED.format(x='evidence')} AS fe FROM claims),

@@ -119,8 +119,7 @@ def split_list(spark, folder):
 
 @plan("quality_predicates", sql("SELECT chunk_no, regexp_matches(body, '[0-9]') AND length(regexp_replace(body, '[^A-Za-z]', '', 'g')) < 8 AS opaque FROM short", CHUNKS_SQL, pages.SHORT_SQL))
 def quality_predicates(spark, folder):
-    body = F.substring("text", F.lit(1), (60 + F.col("chunk_no") % 120).cast("int"))
-    return chunks(spark, folder).select("chunk_no", chunking.is_opaque(body).alias("opaque"))
+    return chunks(spark, folder).select("chunk_no", chunking.is_opaque(F.col("text")).alias("opaque"))
 
 
 @plan("page_blob", sql("SELECT doc_id, page, length(string_agg(text || chr(10), chr(10) ORDER BY chunk_no)) AS chars FROM chunks GROUP BY 1, 2", CHUNKS_SQL))

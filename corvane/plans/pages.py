@@ -11,7 +11,7 @@ from .registry import plan, table
 
 HEADS = ("SECTION 3 Overview", "TEST #4: Valve", "Ordinary line here", "WARNING: you must disconnect", "ERROR CODE table", "TEST #8: Drain .......... 3-15", "DIAGNOSTIC MODE entry", "Sensor check", "IMPORTANT")
 #: Documents' lines with headings put between them.
-PAGES_SQL = f"""manual AS (SELECT doc_id, list_extract({list(HEADS)!r}, CAST(doc_id % 9 + 1 AS INTEGER)) || chr(10) || text || chr(10) || list_extract({list(HEADS)!r}, CAST(doc_id % 7 + 1 AS INTEGER)) || chr(10) || 'closing line' AS text FROM documents WHERE doc_id % 3 = 0),
+PAGES_SQL = f"""manual AS (SELECT doc_id, list_extract({list(HEADS)!r}, CAST(doc_id % 9 + 1 AS INTEGER)) || chr(10) || text || chr(10) || list_extract({list(HEADS)!r}, CAST(doc_id % 7 + 1 AS INTEGER)) || chr(10) || 'closing line' AS text FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM manual)"""
 TRIMMED = "trim(line)"
 IS_HEADING = f"""CASE WHEN {TRIMMED} = '' OR regexp_matches({TRIMMED}, '{chunking.CONTENTS_ROW}') OR regexp_matches({TRIMMED}, '{chunking.NOT_HEADING}') OR NOT regexp_matches({TRIMMED}, '{chunking.HEADING}') THEN false WHEN regexp_matches({TRIMMED}, '{chunking.BANNER}') THEN true
@@ -21,7 +21,7 @@ WHEN regexp_matches({TRIMMED}, '{chunking.NOTE}') OR (contains({TRIMMED}, '.') A
 def manual(spark, folder):
     heads = F.array(*map(F.lit, HEADS))
     pick = lambda n: F.element_at(heads, (F.col("doc_id") % n + 1).cast("int"))
-    return table(spark, folder, "documents").where("doc_id % 3 = 0").select("doc_id", F.concat_ws("\n", pick(9), "text", pick(7), F.lit("closing line")).alias("text"))
+    return table(spark, folder, "documents").select("doc_id", F.concat_ws("\n", pick(9), "text", pick(7), F.lit("closing line")).alias("text"))
 
 
 def lines(spark, folder):
@@ -79,13 +79,12 @@ def strip_table_cells(spark, folder):
     return part_rows(spark, folder).select("p_partkey", F.array_join(chunking.strip_table_cells(made, F.col("cells")), "/").alias("kept"))
 
 
-SHORT_SQL = "short AS (SELECT *, substr(text, 1, CAST(60 + chunk_no % 120 AS INTEGER)) AS body FROM chunks)"
+SHORT_SQL = "short AS (SELECT *, text AS body FROM chunks)"
 
 
 @plan("dedupe_prefer_tables", sql("SELECT chunk_no FROM (SELECT s.*, t.codes FROM short s LEFT JOIN (SELECT doc_id, flatten(list(error_codes)) AS codes FROM short WHERE kind = 'table_row' GROUP BY 1) t USING (doc_id)) WHERE NOT (kind <> 'table_row' AND len(error_codes) > 0 AND codes IS NOT NULL AND list_has_all(codes, error_codes) AND length(body) < 120)", CHUNKS_SQL, SHORT_SQL))
 def dedupe_prefer_tables(spark, folder):
-    c = chunks(spark, folder).withColumn("text", F.substring("text", F.lit(1), (60 + F.col("chunk_no") % 120).cast("int")))
-    return chunking.prefer_tables(c).select("chunk_no")
+    return chunking.prefer_tables(chunks(spark, folder)).select("chunk_no")
 
 
 AUDIT_SQL = r"""input AS (SELECT doc_id, chunk_id, kind, body, error_codes, ['Code', 'Remedy'] AS headers, CASE WHEN chunk_no % 3 = 0 THEN doc_id || ' Code Remedy ' ELSE '' END || body AS text, doc_id AS label, CASE WHEN chunk_no % 4 = 0 THEN 'Sec' END AS section, CASE WHEN chunk_no % 5 = 1 THEN 'Prop' END AS proposal FROM short),
@@ -95,12 +94,13 @@ UNION ALL SELECT doc_id, chunk_id, 'opaque_numeric_row', 'warning', true FROM in
 UNION ALL SELECT doc_id, chunk_id, 'error_code_unbound', 'critical', false FROM input WHERE kind = 'table_row' AND len(error_codes) > 0 AND (len(list_filter(string_split(body, '|'), lambda x: trim(x) <> '')) < 2 OR list_contains(error_codes, trim(body)))
 UNION ALL SELECT doc_id, chunk_id, 'missing_section_path', 'warning', true FROM input WHERE kind IN ('prose', 'procedure', 'table_row') AND section IS NULL AND proposal IS NOT NULL
 UNION ALL SELECT doc_id, chunk_id, 'missing_doc_context', 'info', true FROM input WHERE kind <> 'article' AND NOT contains(text, label)
-UNION ALL SELECT i.doc_id, chunk_id, 'duplicate_table_as_prose', 'warning', true FROM input i JOIN tbl USING (doc_id) WHERE kind <> 'table_row' AND len(error_codes) > 0 AND list_has_all(codes, error_codes) AND length(body) < 120)"""
+UNION ALL SELECT i.doc_id, chunk_id, 'duplicate_table_as_prose', 'warning', true FROM input i JOIN tbl USING (doc_id) WHERE kind <> 'table_row' AND len(error_codes) > 0 AND list_has_all(codes, error_codes) AND length(body) < 120
+UNION ALL SELECT doc_id, chunk_id, 'oversized_prose', 'info', false FROM input WHERE kind IN ('prose', 'procedure') AND length(body) > 4000)"""
 
 
 def audit_input(spark, folder):
     n = F.col("chunk_no")
-    c = chunks(spark, folder).withColumn("body", F.substring("text", F.lit(1), (60 + n % 120).cast("int")))
+    c = chunks(spark, folder).withColumn("body", F.col("text"))
     text = F.concat(F.when(n % 3 == 0, F.concat("doc_id", F.lit(" Code Remedy "))).otherwise(""), "body")
     return c.select("doc_id", "chunk_id", "kind", "body", "error_codes", F.array(F.lit("Code"), F.lit("Remedy")).alias("headers"), text.alias("text"), F.col("doc_id").alias("label"), F.when(n % 4 == 0, "Sec").alias("section"), F.when(n % 5 == 1, "Prop").alias("proposal"))
 

@@ -39,7 +39,7 @@ def evidence_for_judge(spark, folder):
     return evidence.prefix_within(items, "conv_id", "turn", "cost", 400).select("conv_id", "turn")
 
 
-HITS_SQL = """hits AS (SELECT conv_id AS query_id, turn AS rank, 'D' || conv_id % 5 AS doc_id, 'k' || conv_id || '-' || turn AS chunk_id, CAST(turn % 2 + 1 AS INTEGER) AS page, CASE WHEN turn % 3 <> 0 THEN CASE turn % 2 WHEN 0 THEN 'Leak ' ELSE 'leak ' END || conv_id % 3 END AS problem, 1.0 / (turn + 1) AS score, substr(text, 1, 30) AS body, turn * 1.5 AS x0, conv_id % 7 * 1.0 AS y0, conv_id % 12 AS unit FROM conversations)"""
+HITS_SQL = """hits AS (SELECT conv_id AS query_id, turn AS rank, 'D' || conv_id % 5 AS doc_id, 'k' || conv_id || '-' || turn AS chunk_id, CAST(turn % 2 + 1 AS INTEGER) AS page, CASE WHEN turn % 3 <> 0 THEN CASE turn % 2 WHEN 0 THEN 'Leak ' ELSE 'leak ' END || conv_id % 3 END AS problem, 1.0 / (turn + 1) AS score, text AS body, turn * 1.5 AS x0, conv_id % 7 * 1.0 AS y0, conv_id % 12 AS unit FROM conversations)"""
 
 
 def problem_hits(spark, folder):
@@ -47,7 +47,7 @@ def problem_hits(spark, folder):
     title = F.when(t % 3 != 0, F.concat(F.when(t % 2 == 0, "Leak ").otherwise("leak "), n % 3))
     return table(spark, folder, "conversations").select(
         n.alias("query_id"), t.alias("rank"), F.concat(F.lit("D"), n % 5).alias("doc_id"), F.concat(F.lit("k"), n, F.lit("-"), t).alias("chunk_id"), (t % 2 + 1).cast("int").alias("page"), title.alias("problem_title"), (1 / (t + 1)).alias("score"),
-        F.substring("text", 1, 30).alias("body"), (t * 1.5).alias("x0"), (n % 7).cast("double").alias("y0"), (t * 2.5).alias("x1"), (n % 7 + 3).cast("double").alias("y1"), (n % 12).alias("unit_id"), F.array(F.concat(F.lit("F"), t % 2, F.lit("E1"))).alias("error_codes"), t.alias("place"),
+        F.col("text").alias("body"), (t * 1.5).alias("x0"), (n % 7).cast("double").alias("y0"), (t * 2.5).alias("x1"), (n % 7 + 3).cast("double").alias("y1"), (n % 12).alias("unit_id"), F.array(F.concat(F.lit("F"), t % 2, F.lit("E1"))).alias("error_codes"), t.alias("place"),
     )
 
 
