@@ -168,7 +168,8 @@ def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, bit
     The rows of one key are a cell. First all rows of a cell are compared with its first one, so that a group of near
     copies costs as many comparisons as it has rows. In cells whose rows then still are in several components, rows of
     different components are compared. Cells of over `cell_limit` rows are taken apart first: their rows, which share a
-    passage and little else, meet again by many more and longer bands (`APART`), and all of those that meet are compared.
+    passage and little else, meet again by many more and longer bands (`APART`), are compared with the first one of each
+    such cell, and what is in different components even then with all that it meets.
     """
     cells = rows.select("rid", F.posexplode("keys").alias("j", "key")).select("rid", F.xxhash64("j", "key").alias("k"))
     sizes = materialise(cells.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lead")).where("n > 1"), "sizes")
@@ -185,18 +186,30 @@ def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, bit
     left = materialise(named.join(several.hint("merge"), "k"), "left")
     discard(named, several)
     facts = texts.select("rid", "fp", "size")
-    few = across(left.where(F.col("n") <= cell_limit).select("k", "rid", "c").join(facts.hint("merge"), "rid"), similarity, bits)
+    few = left.where(F.col("n") <= cell_limit).select("k", "rid", "c")
     crowd = left.where(F.col("n") > cell_limit).select("rid", "c").distinct()
     keys = with_sketches(texts.select("rid", "text").join(crowd.hint("merge"), "rid"), "text", words, seed + 1, *APART, ("fp", "keys", "size"))
-    apart = keys.select("rid", "c", F.posexplode("keys").alias("j", "key")).select(F.xxhash64("j", "key").alias("k"), "rid", "c")
-    apart = materialise(apart, "apart")
-    shared = apart.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k")
-    many = across(apart.join(shared.hint("merge"), "k").join(facts.hint("merge"), "rid"), similarity, bits)
-    pairs = materialise(few.unionByName(many).distinct(), "pairs")
-    discard(left, apart)
-    second = materialise(similar(pairs, texts, similarity, words, seed, bits), "linked")
+    apart = materialise(keys.select("rid", "c", F.posexplode("keys").alias("j", "key")).select(F.xxhash64("j", "key").alias("k"), "rid", "c"), "apart")
+    # again all of a cell with one of it, so that of a group of near copies hardly any are left in different components
+    leads = apart.groupBy("k").agg(F.min(F.struct("rid", "c")).alias("lead"), F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k", "lead")
+    starred = apart.join(leads.hint("merge"), "k").where("c <> lead.c").select(F.col("rid").alias("u"), F.col("lead.rid").alias("v")).distinct()
+    middle = materialise(similar(starred, texts, similarity, words, seed, bits), "linked")
+    # components of components
+    roots = crowd.unionByName(few.select("rid", "c")).distinct()
+    joined = middle.join(roots.select(F.col("rid").alias("u"), F.col("c").alias("cu")).hint("merge"), "u").join(roots.select(F.col("rid").alias("v"), F.col("c").alias("cv")).hint("merge"), "v")
+    merged = connected_components(joined.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(F.col("node").alias("c"), "root")
+    merged = materialise(merged, "merged")
+
+    def several_left(cells):
+        now = cells.join(merged.hint("merge"), "c", "left").select("k", "rid", F.coalesce("root", "c").alias("c"))
+        shared = now.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k")
+        return across(now.join(shared.hint("merge"), "k").join(facts.hint("merge"), "rid"), similarity, bits)
+
+    pairs = materialise(several_left(few).unionByName(several_left(apart)).distinct(), "pairs")
+    discard(left, apart, merged)
+    last = materialise(similar(pairs, texts, similarity, words, seed, bits), "linked")
     discard(texts, pairs)
-    return first.unionByName(second)
+    return first.unionByName(middle).unionByName(last)
 
 
 def _signed(x: int) -> int:
