@@ -162,14 +162,14 @@ def across(rows: DataFrame, similarity: float, bits: int) -> DataFrame:
     return a.withColumnRenamed("k", "k_").join(b.hint("merge"), (F.col("k_") == F.col("k")) & met).select(F.col("rid_u").alias("u"), F.col("rid_v").alias("v"))
 
 
-def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, bits: int, cell_limit: int) -> DataFrame:
+def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, bits: int, cell_limit: int, exhaustive: bool = False) -> DataFrame:
     """`rows(rid, text, fp, keys, size)` -> edges `(u, v)`: rows that share a key and have the similarity, by their whole texts.
 
     The rows of one key are a cell. First all rows of a cell are compared with its first one, so that a group of near
     copies costs as many comparisons as it has rows. In cells whose rows then still are in several components, rows of
-    different components are compared. Cells of over `cell_limit` rows are taken apart first: their rows, which share a
-    passage and little else, meet again by many more and longer bands (`APART`), are compared with the first one of each
-    such cell, and what is in different components even then with all that it meets.
+    different components are compared. Rows of cells of over `cell_limit` rows meet again by many more and longer bands
+    (`APART`), and all of such a cell are compared with four of it; only if `exhaustive` also with each other, where they are
+    in different components even then, which takes the square of their number.
     """
     cells = rows.select("rid", F.posexplode("keys").alias("j", "key")).select("rid", F.xxhash64("j", "key").alias("k"))
     sizes = materialise(cells.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lead")).where("n > 1"), "sizes")
@@ -190,9 +190,11 @@ def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, bit
     crowd = left.where(F.col("n") > cell_limit).select("rid", "c").distinct()
     keys = with_sketches(texts.select("rid", "text").join(crowd.hint("merge"), "rid"), "text", words, seed + 1, *APART, ("fp", "keys", "size"))
     apart = materialise(keys.select("rid", "c", F.posexplode("keys").alias("j", "key")).select(F.xxhash64("j", "key").alias("k"), "rid", "c"), "apart")
-    # again all of a cell with one of it, so that of a group of near copies hardly any are left in different components
-    leads = apart.groupBy("k").agg(F.min(F.struct("rid", "c")).alias("lead"), F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k", "lead")
-    starred = apart.join(leads.hint("merge"), "k").where("c <> lead.c").select(F.col("rid").alias("u"), F.col("lead.rid").alias("v")).distinct()
+    # again all of a cell with some of it: the first, the last, and two drawn by hash
+    drawn = [F.min(F.struct("rid", "c")), F.max(F.struct("rid", "c")), *[F.min_by(F.struct("rid", "c"), F.xxhash64("rid", "k", F.lit(i))) for i in range(2)]]
+    leads = apart.groupBy("k").agg(F.array(*drawn).alias("leads"), F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k", "leads")
+    starred = apart.join(leads.hint("merge"), "k").select("rid", "c", F.explode("leads").alias("lead")).where("c <> lead.c")
+    starred = starred.select(F.greatest("rid", "lead.rid").alias("u"), F.least("rid", "lead.rid").alias("v")).distinct()
     middle = materialise(similar(starred, texts, similarity, words, seed, bits), "linked")
     # components of components
     roots = crowd.unionByName(few.select("rid", "c")).distinct()
@@ -205,7 +207,8 @@ def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, bit
         shared = now.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k")
         return across(now.join(shared.hint("merge"), "k").join(facts.hint("merge"), "rid"), similarity, bits)
 
-    pairs = materialise(several_left(few).unionByName(several_left(apart)).distinct(), "pairs")
+    pairs = several_left(few).unionByName(several_left(apart)) if exhaustive else several_left(few)
+    pairs = materialise(pairs.distinct(), "pairs")
     discard(left, apart, merged)
     last = materialise(similar(pairs, texts, similarity, words, seed, bits), "linked")
     discard(texts, pairs)
@@ -305,7 +308,7 @@ def classes(rows: DataFrame, bits: int, groups: int, cell_limit: int) -> DataFra
 
 def drop_near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8,
-    bands: int = 16, rows: int = 4, bits: int = 20, cell_limit: int = 64,
+    bands: int = 16, rows: int = 4, bits: int = 20, cell_limit: int = 64, exhaustive: bool = False,
 ) -> DataFrame:
     """`docs` with one row of each component: that with the smallest doc_id (rows without one come last).
 
@@ -313,12 +316,13 @@ def drop_near_duplicates(
     computed from whole texts, for rows that share a key of `bands` bands of `rows` least hashes (at a similarity of 0.8
     all but one in 4,500 pairs do, above it fewer are missed) and whose fingerprints lie within `bits` bits (at 0.8
     about ten differ, with a standard deviation of three; texts of fewer than FEW_SHINGLES shingles are compared in any
-    case). See `similar_links` for crowded cells; no cell is cut. Columns are those of `docs`. Of rows that tie in doc_id, one stays; texts without words are alike.
+    case). See `similar_links` for crowded cells, where links can be missed that no other row of a component makes up for,
+    unless `exhaustive`. Columns are those of `docs`. Of rows that tie in doc_id, one stays; texts without words are alike.
     """
     fp, keys, size, rid = fresh(docs.columns, "fp_", "keys_", "size_", "rid_")
     marked = materialise(with_sketches(docs, text, words, seed, bands, rows, (fp, keys, size)).withColumn(rid, F.monotonically_increasing_id()), "marked")
     own = marked.select(F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"), F.col(text).alias("text"), F.col(fp).alias("fp"), F.col(keys).alias("keys"), F.col(size).alias("size"))
-    found = connected_components(similar_links(own.drop("doc_id"), similarity, words, seed, bits, cell_limit))
+    found = connected_components(similar_links(own.drop("doc_id"), similarity, words, seed, bits, cell_limit, exhaustive))
     keyed = found.join(own.select(F.col("rid").alias("node"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid").alias("key")).hint("merge"), "node")
     keyed = materialise(keyed.select("node", "root", "key"), "members")
     first = materialise(keyed.groupBy("root").agg(F.min("key")["rid"].alias("stays")), "first")
