@@ -13,3 +13,11 @@ def test_procedural_words_end_at_accented_letters_as_in_sql(spark):
     got = [r["checked"] for r in metrics.groundedness(rows).orderBy("n").collect()]
     want = duckdb.execute(r"SELECT list_transform(?, lambda x: regexp_matches(x, '(?i)\b(test|vac)\b'))", [said]).fetchone()[0]
     assert got == want == [True, False, True, False]
+
+
+def test_editions_whose_manifest_edge_goes_astray_are_linked_as_in_sql(spark, tmp_path):
+    spark.range(1, 1001).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    got = {tuple(r) for r in registry.PLANS["precedence_drift"](spark, str(tmp_path)).collect()}
+    assert got == set(duck.sql(registry.SQL["precedence_drift"]).fetchall())
