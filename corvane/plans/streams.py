@@ -14,8 +14,9 @@ from .registry import plan, table
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table's rows as a stream, whether it is one file or a folder of them (a pattern may match either)."""
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def drained(df: DataFrame, mode: str) -> DataFrame:

@@ -21,3 +21,9 @@ def test_editions_whose_manifest_edge_goes_astray_are_linked_as_in_sql(spark, tm
     duck.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
     got = {tuple(r) for r in registry.PLANS["precedence_drift"](spark, str(tmp_path)).collect()}
     assert got == set(duck.sql(registry.SQL["precedence_drift"]).fetchall())
+
+
+def test_streams_read_tables_that_are_folders(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/conversations.parquet").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got, want = (sorted(map(tuple, registry.PLANS["stream_board_fold"](spark, x).collect())) for x in (str(tmp_path), sf))
+    assert got == want and got
