@@ -1,11 +1,17 @@
 """What showed only in larger tables: letters with accents beside words, tables in folders, numbers beyond those of small tables."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import metrics
+from corvane import plans
+from corvane.operators import arms, metrics
 from corvane.plans import registry
 
+plans.load()
+
 
 def test_procedural_words_end_at_accented_letters_as_in_sql(spark):
     said = ["dañvac one two three four", "vacuum one two three four", "Vac one two three four", "é_vac one two three four"]
@@ -27,3 +33,25 @@ def test_streams_read_tables_that_are_folders(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/conversations.parquet").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     got, want = (sorted(map(tuple, registry.PLANS["stream_board_fold"](spark, x).collect())) for x in (str(tmp_path), sf))
     assert got == want and got
+
+
+@pytest.mark.parametrize("group", [None, "g"])
+def test_nearest_in_small_blocks_with_many_ties(spark, monkeypatch, group):
+    monkeypatch.setattr(arms, "CELLS", 40)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    x[50:200] = x[0]  # copies
+    rows = spark.createDataFrame([(f"k{int(i):03d}", f"g{int(i) % 17}", v.tolist()) for i, v in zip(rng.permutation(300), x)], "id_ string, g string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(12)], "query_id int, vector array<double>")
+    c = arms.cosine("vector", "embedding")
+    both = asked.crossJoin(rows).where(c.isNotNull()).select("query_id", group or "id_", c.alias("score"))
+    both = both.groupBy("query_id", group).agg(F.max("score").alias("score")) if group else both
+    want = arms.ranked(both, 7, F.desc(F.round("score", 12)), F.col(group or "id_"))
+    got = arms.nearest(asked, rows, 7, group)
+    key = lambda df: sorted((r["query_id"], r["arm_rank"], r[group or "id_"]) for r in df.collect())
+    assert key(got) == key(want)
+    best = arms.Best(12, 7)  # what is held doesn't grow with what comes
+    for _ in range(400):
+        best.take(rng.normal(size=(12, 50)), pa.array(rng.integers(0, 9999, 50)))
+        assert len(best.q) <= 84 and best.gathered <= best.room + 600
+    assert best.room <= 4 * 40 + 84
