@@ -3,8 +3,8 @@
 `fit` learns from a bounded sample of rows, drawn by a hash of their ids: list centres by Lloyd's rounds, whose sums Spark
 adds up, and codewords for each of `parts` stretches of the residuals. `build` puts every row into the list of its nearest
 centre with one byte a stretch, as a table with a folder for each list. `search` looks into the `probes` lists nearest to a
-query: batches of a list are scored by table look-ups for all queries that probe it, the best `kept` of each query go on to
-their exact cosines. A folder that no query probes isn't read.
+query: rows of a list are scored, as their codes have them, for all queries that probe it, in blocks of bounded size; the best
+`kept` of each query and task go on, and of these the best `kept` of each query to their exact cosines. A folder that no query probes isn't read.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .arms import BROADCAST_QUERIES, ranked
+from .arms import CELLS, Best, ranked
 from .rows import reach_workers
 
 #: Rows that centres and codewords are learned from at most, and centres at most (a matrix that is broadcast).
 SAMPLE, MOST_LISTS = 50_000, 4_096
+#: Queries that the lists are searched for at once; a worker holds `kept` rows of each.
+BROADCAST_QUERIES = 2_500
 
 
 @dataclass
@@ -44,6 +46,10 @@ class Codebook:
         rest = (x - self.centres[at]).reshape(len(x), self.parts, -1)
         return np.stack([nearest_rows(rest[:, p], self.words[p]) for p in range(self.parts)], axis=1).astype(np.uint8)
 
+    def decode(self, codes: np.ndarray, at: int) -> np.ndarray:
+        """The rows of one list as their codes have them."""
+        return self.centres[at] + self.words[np.arange(self.parts), codes].reshape(len(codes), -1)
+
 
 def nearest_rows(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmax(x @ centres.T - (centres**2).sum(axis=1) / 2, axis=1)
@@ -140,8 +146,7 @@ def search(queries: DataFrame, vectors: DataFrame, book: Codebook, path: str, li
     """query_id, id_, score (exact cosine) and arm_rank of the nearest rows that the index at `path` finds. queries: query_id, vector.
 
     By default three in four lists are probed, which finds over nine in ten of the nearest even where vectors have no
-    clusters (random directions); where they have, few lists do. Queries are taken in blocks of BROADCAST_QUERIES, as in
-    exact search.
+    clusters (random directions); where they have, few lists do. Queries are taken in blocks of BROADCAST_QUERIES.
     """
     spark = queries.sparkSession
     reach_workers(spark)
@@ -168,26 +173,19 @@ def search(queries: DataFrame, vectors: DataFrame, book: Codebook, path: str, li
 
     def score(batches):
         b, q, names, probing = held.value
-        stretches = q.reshape(len(q), b.parts, -1)
-        tables = np.einsum("qpd,pwd->qpw", stretches, b.words)  # a query's products with all codewords
+        best = Best(len(names), kept)
         for batch in batches:
             lists = batch.column("list").to_numpy(zero_copy_only=False)
             codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(-1, b.parts)
-            found_q, found_row, found_score = [], [], []
             for c in np.unique(lists):
                 mine, who = np.flatnonzero(lists == c), probing[int(c)]
-                if not len(who):
-                    continue
-                approx = (q[who] @ b.centres[c])[:, None] + sum(tables[who, p][:, codes[mine, p]] for p in range(b.parts))
-                best = np.argpartition(-approx, min(kept, len(mine)) - 1, axis=1)[:, :kept]
-                found_q.append(np.repeat(who, best.shape[1]))
-                found_row.append(mine[best.ravel()])
-                found_score.append(np.take_along_axis(approx, best, axis=1).ravel())
-            at, rows_, scores = (np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for v in (found_q, found_row, found_score))
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at], name_type), batch.column("id_").take(pa.array(rows_, pa.int64())).cast(id_type), pa.array(scores, pa.float64())], names=["query_id", "id_", "score"])
-
-    schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("id_", kinds[1]), T.StructField("score", T.DoubleType())])
-    first = ranked(index.mapInArrow(score, schema), kept, F.desc("score"), F.col("id_")).select("query_id", "id_")
+                for low in range(0, len(mine) if len(who) else 0, max(1, CELLS // max(1, len(who)))):
+                    some = mine[low : low + max(1, CELLS // len(who))]
+                    best.take(q[who] @ b.decode(codes[some], int(c)).T, batch.column("id_").take(pa.array(some)).cast(id_type), who)
+        yield from best.batches(np.array(names, dtype=object), name_type, "id_")
+
+    schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("id_", kinds[1]), T.StructField("score", T.DoubleType()), T.StructField("rounded_", T.DoubleType())])
+    first = ranked(index.mapInArrow(score, schema), kept, F.desc("rounded_"), F.col("id_")).select("query_id", "id_")
     return ranked(_exact(first, asked, vectors), limit, F.desc(F.round("score", 12)), F.col("id_"))
 
 
