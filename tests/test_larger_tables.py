@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane import plans
-from corvane.operators import arms, metrics
+from corvane.operators import arms, fulltext, metrics
 from corvane.plans import registry
 
 plans.load()
@@ -55,3 +55,18 @@ def test_nearest_in_small_blocks_with_many_ties(spark, monkeypatch, group):
         best.take(rng.normal(size=(12, 50)), pa.array(rng.integers(0, 9999, 50)))
         assert len(best.q) <= 84 and best.gathered <= best.room + 600
     assert best.room <= 4 * 40 + 84
+
+
+def test_texts_with_any_lexeme_in_blocks_equal_the_join(spark, monkeypatch):
+    monkeypatch.setattr(fulltext, "CELLS", 30)
+    monkeypatch.setattr(fulltext, "BROADCAST_QUERIES", 5)
+    rng = np.random.default_rng(5)
+    words = "door lock washer drum pump valve hose filter cycle rinse".split()
+    texts = spark.createDataFrame([(int(i), None if i % 9 == 0 else " ".join(rng.choice(words, rng.integers(0, 9)))) for i in range(150)], "chunk_no long, text string").repartition(3)
+    asks = spark.createDataFrame([(i, " ".join(rng.choice([*words, "unknown", "the"], 3))) for i in range(12)], "query_id long, ask string")
+    held = fulltext.postings(texts, "chunk_no")
+    want = arms.ranked(fulltext.matched(fulltext.question_lexemes(asks), held, "chunk_no", False), 6, F.desc(F.round("score", 9)), F.col("chunk_no"))
+    got = fulltext.search(asks, texts, 6)
+    key = lambda df: sorted((r["query_id"], r["arm_rank"], r["chunk_no"], round(r["score"], 9)) for r in df.collect())
+    assert key(got) == key(want) and got.columns == want.columns
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row for a pair
