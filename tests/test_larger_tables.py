@@ -4,10 +4,11 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane import plans
-from corvane.operators import arms, fulltext, metrics
+from corvane.operators import arms, evidence, fulltext, metrics
 from corvane.plans import registry
 
 plans.load()
@@ -70,3 +71,31 @@ def test_texts_with_any_lexeme_in_blocks_equal_the_join(spark, monkeypatch):
     key = lambda df: sorted((r["query_id"], r["arm_rank"], r["chunk_no"], round(r["score"], 9)) for r in df.collect())
     assert key(got) == key(want) and got.columns == want.columns
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row for a pair
+
+
+def test_siblings_by_sums_of_sizes_equal_the_windows(spark):
+    rng = np.random.default_rng(9)
+    name = lambda v: [str(x) if rng.random() > 0.15 else None for x in v]
+    n = 160
+    chunks = spark.createDataFrame(
+        [(f"d{a}", f"c{b}", int(p) if p else None, t, "table_row" if k else "prose", x, float(y)) for a, b, p, t, k, x, y in zip(rng.integers(0, 2, n), rng.integers(0, 300, n), rng.integers(0, 3, n), name(rng.integers(0, 2, n)), rng.random(n) > 0.1, rng.choice(["see test #1", "first", "x"], n), rng.integers(0, 5, n))],
+        "doc_id string, chunk_id string, page int, problem_title string, kind string, body string, y0 double",
+    ).distinct()
+    some = [r for r in chunks.collect()]
+    hits = []
+    for q in range(40):
+        for rank in range(int(rng.integers(1, 5))):
+            r = some[rng.integers(len(some))]
+            hits.append((q, rank // 2 if q % 5 == 0 else rank, float(rng.random()), r.doc_id, r.chunk_id if q % 3 else f"h{q}-{rank}", r.page, r.problem_title))
+    hits += [(99, r, 0.5, "d9", "lone", None, None) for r in range(3)]  # one hit again and again
+    hits = spark.createDataFrame(hits, "query_id int, rank int, score double, doc_id string, chunk_id string, page int, problem_title string")
+    key = ["query_id", "doc_id", "page", "problem_title"]
+    grouped = hits.where("problem_title is not null and page is not null").groupBy(*key).agg(F.min("rank").alias("at"))
+    rows = chunks.where("kind = 'table_row'").join(grouped, key[1:]).select(*key, "chunk_id", "at", F.row_number().over(Window.partitionBy(*key).orderBy(*evidence.sibling_order())).alias("own"))
+    both = rows.unionByName(hits.select(*key, "chunk_id", F.col("rank").alias("at"), F.lit(0).alias("own")))
+    first = both.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "doc_id", "chunk_id").orderBy("at", F.desc("own")))).where("r = 1")
+    want = first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "own", "chunk_id")))
+    read = lambda df: sorted((r["query_id"], r["place"], r["chunk_id"], r["doc_id"]) for r in df.collect())
+    assert read(evidence.expand_siblings(hits, chunks)) == read(want)
+    plan = evidence.expand_siblings(hits, chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "part#" in plan  # rows dealt out, not sorted again for each query
