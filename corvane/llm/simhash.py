@@ -37,8 +37,8 @@ from .components import connected_components
 
 #: Shingles under which a fingerprint says too little to leave a pair out by it.
 FEW_SHINGLES = 64
-#: Bands, and least hashes of each, that take crowded cells apart: a pair at similarity 0.8 shares one but in 8 of a million cases, one at 0.3 in 4 of 1,000.
-APART = (64, 8)
+#: Shingles of a crowded cell's rows, on either side, that meet in one task's group.
+GROUP_SHINGLES = 1 << 17
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
 BLOCK = 1 << 15
 ODD_BITS = 0x5555555555555555
@@ -162,14 +162,92 @@ def across(rows: DataFrame, similarity: float, bits: int) -> DataFrame:
     return a.withColumnRenamed("k", "k_").join(b.hint("merge"), (F.col("k_") == F.col("k")) & met).select(F.col("rid_u").alias("u"), F.col("rid_v").alias("v"))
 
 
-def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, bits: int, cell_limit: int, exhaustive: bool = False) -> DataFrame:
+def with_sets(texts: DataFrame, words: int, seed: int) -> DataFrame:
+    """`texts(rid, text, fp, size)` -> rid, fp and `set` (binary): the different hashes of the text's shingles, in order."""
+
+    def run(batches):
+        for batch in batches:
+            made = [np.unique(shingle_hashes(x or "", words, seed)).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], names=["rid", "fp", "set"])
+
+    return arrow_map(texts.select("rid", "text", "fp"), run, "rid long, fp long, set binary")
+
+
+def first_links(rows: pa.Table, similarity: float, bits: int) -> pa.Table:
+    """rows(rid, c, main, asks, fp, set) -> (u, v, cu, cv): links of rows that ask with the others, until no pair of different components is left to compare.
+
+    A set's similarity to all others comes from lists of the rows by shingle. As a row that is similar enough has one of any
+    few of a set's shingles (all but the least overlap, and one), those of the rarest are looked up first.
+    """
+    rows = rows.combine_chunks()
+    asks = rows["asks"].to_numpy(zero_copy_only=False)
+    rid, main, fp = (rows[c].to_numpy(zero_copy_only=False) for c in ("rid", "main", "fp"))
+    names, code = np.unique(rows["c"].to_numpy(), return_inverse=True)
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["set"].to_pylist()]
+    label = np.arange(len(names))  # components that are one by the links found here have one label
+    held = np.flatnonzero(~asks)
+    size = np.array([len(sets[i]) for i in held])
+    all_ = np.concatenate([sets[i] for i in held]) if len(held) else np.empty(0, np.uint64)
+    order = np.argsort(all_, kind="stable")
+    lists, owner = all_[order], np.repeat(np.arange(len(held)), size)[order]
+
+    def owners(low, high):
+        n = high - low
+        return owner[np.arange(n.sum()) + np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n)]
+
+    found = []
+    for i in np.flatnonzero(asks):
+        own, n = sets[i], len(sets[i])
+        # of two rows that both ask the larger id does
+        open_ = (label[code[held]] != label[code[i]]) & (main[held] | (rid[held] < rid[i])) & (np.minimum(size, n) >= np.maximum(size, n) * similarity - 1e-9)
+        open_ &= (np.minimum(size, n) < FEW_SHINGLES) | (np.bitwise_count(fp[held].view(np.uint64) ^ fp[i : i + 1].view(np.uint64)) <= bits)
+        if not open_.any():
+            continue
+        low, high = np.searchsorted(lists, own, "left"), np.searchsorted(lists, own, "right")
+        rarest = np.argsort(high - low, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+        can = np.zeros(len(held), dtype=bool)
+        can[owners(low[rarest], high[rarest])] = True
+        can &= open_
+        if not can.any():
+            continue
+        both = np.bincount(owners(low, high), minlength=len(held))
+        for j in np.flatnonzero(can & (both >= similarity * (n + size - both))):
+            a, b = label[code[i]], label[code[held[j]]]
+            if a != b:
+                found.append((rid[i], rid[held[j]], names[code[i]], names[code[held[j]]]))
+                label[label == a] = b
+    return pa.table([pa.array(list(x), pa.int64()) for x in (zip(*found) if found else [()] * 4)], names=["u", "v", "cu", "cv"])
+
+
+def crowd_links(cells: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int, bits: int, room: int = GROUP_SHINGLES) -> DataFrame:
+    """`cells(k, rid, c)`, rids of `texts(rid, text, fp, size)` -> (u, v, cu, cv): rows of one cell, comparable, of different components and with the similarity; of pairs that join the same components, one at least.
+
+    Rows outside a cell's largest component ask all of the cell. Both sides are dealt into blocks of `room` shingles, and each
+    two blocks meet in a group of their own, so that neither a cell nor a pair of rows is held or made anywhere: what is
+    dealt are rows times blocks. The comparisons are the square of a cell's rows only where they stay apart.
+    """
+    sets = materialise(with_sets(texts.join(cells.select("rid").distinct().hint("merge"), "rid", "left_semi"), words, seed), "sets")
+    each = cells.join(texts.select("rid", "size").hint("merge"), "rid").groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    blocks = lambda s: F.greatest(F.ceil(s / room), F.lit(1))
+    most = F.max_by(F.struct("c", "s"), F.struct("n", "c"))
+    dealt = each.groupBy("k").agg(most.alias("most"), F.sum("s").alias("s")).select("k", F.col("most.c").alias("largest"), blocks(F.col("s")).alias("held"), blocks(F.col("s") - F.col("most.s")).alias("asked"))
+    rows = cells.join(dealt.hint("merge"), "k").withColumn("main", F.col("c") == F.col("largest"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    at = lambda n, seed: F.pmod(F.xxhash64("rid", F.lit(seed)), n)
+    own = ["k", "rid", "c", "main"]
+    held = rows.select(*own, at(F.col("held"), 0).alias("i"), spread(F.col("asked")).alias("j"), F.lit(False).alias("asks"))
+    asked = rows.where(~F.col("main")).select(*own, spread(F.col("held")).alias("i"), at(F.col("asked"), 1).alias("j"), F.lit(True).alias("asks"))
+    met = held.unionByName(asked).join(sets.hint("merge"), "rid")
+    return met.groupBy("k", "i", "j").applyInArrow(lambda t: first_links(t, similarity, bits), "u long, v long, cu long, cv long")
+
+
+def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, bits: int, cell_limit: int, exhaustive: bool = True) -> DataFrame:
     """`rows(rid, text, fp, keys, size)` -> edges `(u, v)`: rows that share a key and have the similarity, by their whole texts.
 
     The rows of one key are a cell. First all rows of a cell are compared with its first one, so that a group of near
     copies costs as many comparisons as it has rows. In cells whose rows then still are in several components, rows of
-    different components are compared. Rows of cells of over `cell_limit` rows meet again by many more and longer bands
-    (`APART`), and all of such a cell are compared with four of it; only if `exhaustive` also with each other, where they are
-    in different components even then, which takes the square of their number.
+    different components are compared: in cells of over `cell_limit` rows by `crowd_links`, without a row for a pair (only if
+    `exhaustive`), in smaller ones as pairs.
     """
     cells = rows.select("rid", F.posexplode("keys").alias("j", "key")).select("rid", F.xxhash64("j", "key").alias("k"))
     sizes = materialise(cells.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lead")).where("n > 1"), "sizes")
@@ -185,34 +263,20 @@ def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, bit
     several = materialise(named.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k"), "several")
     left = materialise(named.join(several.hint("merge"), "k"), "left")
     discard(named, several)
-    facts = texts.select("rid", "fp", "size")
     few = left.where(F.col("n") <= cell_limit).select("k", "rid", "c")
-    crowd = left.where(F.col("n") > cell_limit).select("rid", "c").distinct()
-    keys = with_sketches(texts.select("rid", "text").join(crowd.hint("merge"), "rid"), "text", words, seed + 1, *APART, ("fp", "keys", "size"))
-    apart = materialise(keys.select("rid", "c", F.posexplode("keys").alias("j", "key")).select(F.xxhash64("j", "key").alias("k"), "rid", "c"), "apart")
-    # again all of a cell with some of it: the first, the last, and two drawn by hash
-    drawn = [F.min(F.struct("rid", "c")), F.max(F.struct("rid", "c")), *[F.min_by(F.struct("rid", "c"), F.xxhash64("rid", "k", F.lit(i))) for i in range(2)]]
-    leads = apart.groupBy("k").agg(F.array(*drawn).alias("leads"), F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k", "leads")
-    starred = apart.join(leads.hint("merge"), "k").select("rid", "c", F.explode("leads").alias("lead")).where("c <> lead.c")
-    starred = starred.select(F.greatest("rid", "lead.rid").alias("u"), F.least("rid", "lead.rid").alias("v")).distinct()
-    middle = materialise(similar(starred, texts, similarity, words, seed, bits), "linked")
+    crowded = left.where(F.col("n") > cell_limit).select("k", "rid", "c")
+    middle = materialise(crowd_links(crowded if exhaustive else crowded.limit(0), texts, similarity, words, seed, bits), "linked")
     # components of components
-    roots = crowd.unionByName(few.select("rid", "c")).distinct()
-    joined = middle.join(roots.select(F.col("rid").alias("u"), F.col("c").alias("cu")).hint("merge"), "u").join(roots.select(F.col("rid").alias("v"), F.col("c").alias("cv")).hint("merge"), "v")
-    merged = connected_components(joined.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(F.col("node").alias("c"), "root")
+    merged = connected_components(middle.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(F.col("node").alias("c"), "root")
     merged = materialise(merged, "merged")
-
-    def several_left(cells):
-        now = cells.join(merged.hint("merge"), "c", "left").select("k", "rid", F.coalesce("root", "c").alias("c"))
-        shared = now.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k")
-        return across(now.join(shared.hint("merge"), "k").join(facts.hint("merge"), "rid"), similarity, bits)
-
-    pairs = several_left(few).unionByName(several_left(apart)) if exhaustive else several_left(few)
+    now = few.join(merged.hint("merge"), "c", "left").select("k", "rid", F.coalesce("root", "c").alias("c"))
+    shared = now.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k")
+    pairs = across(now.join(shared.hint("merge"), "k").join(texts.select("rid", "fp", "size").hint("merge"), "rid"), similarity, bits)
     pairs = materialise(pairs.distinct(), "pairs")
-    discard(left, apart, merged)
+    discard(left, merged)
     last = materialise(similar(pairs, texts, similarity, words, seed, bits), "linked")
     discard(texts, pairs)
-    return first.unionByName(middle).unionByName(last)
+    return first.unionByName(middle.select("u", "v")).unionByName(last)
 
 
 def _signed(x: int) -> int:
@@ -308,7 +372,7 @@ def classes(rows: DataFrame, bits: int, groups: int, cell_limit: int) -> DataFra
 
 def drop_near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8,
-    bands: int = 16, rows: int = 4, bits: int = 20, cell_limit: int = 64, exhaustive: bool = False,
+    bands: int = 16, rows: int = 4, bits: int = 20, cell_limit: int = 64, exhaustive: bool = True,
 ) -> DataFrame:
     """`docs` with one row of each component: that with the smallest doc_id (rows without one come last).
 
@@ -316,8 +380,8 @@ def drop_near_duplicates(
     computed from whole texts, for rows that share a key of `bands` bands of `rows` least hashes (at a similarity of 0.8
     all but one in 4,500 pairs do, above it fewer are missed) and whose fingerprints lie within `bits` bits (at 0.8
     about ten differ, with a standard deviation of three; texts of fewer than FEW_SHINGLES shingles are compared in any
-    case). See `similar_links` for crowded cells, where links can be missed that no other row of a component makes up for,
-    unless `exhaustive`. Columns are those of `docs`. Of rows that tie in doc_id, one stays; texts without words are alike.
+    case). See `similar_links` for crowded cells; unless `exhaustive`, their rows are compared with one of each cell only, and
+    links can be missed that no other row of a component makes up for. Columns are those of `docs`. Of rows that tie in doc_id, one stays; texts without words are alike.
     """
     fp, keys, size, rid = fresh(docs.columns, "fp_", "keys_", "size_", "rid_")
     marked = materialise(with_sketches(docs, text, words, seed, bands, rows, (fp, keys, size)).withColumn(rid, F.monotonically_increasing_id()), "marked")

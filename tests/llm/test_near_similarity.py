@@ -82,3 +82,41 @@ def test_short_texts_are_compared_whatever_their_fingerprints(spark):
     words = [f"s{i}" for i in range(30)]
     texts = {0: " ".join(words), 1: " ".join([*words, "more"]), 2: " ".join([*words[:-1], "x"]), 3: " ".join([*words, "a", "b"]), 4: "s0 s1"}
     assert kept(spark, texts) == {i for i in texts if not any(j < i and jaccard(texts[j], texts[i]) >= 0.8 for j in texts)}
+
+
+def test_a_crowd_about_the_threshold_loses_no_pair(spark):
+    """Copies of one text, each edited elsewhere, so that similarities lie about 0.8 and no few rows stand for the others."""
+    rng = np.random.default_rng(4)
+    base, texts = [f"w{i}" for i in range(240)], {}
+    for i in range(260):
+        own = list(base)
+        for at in rng.choice(240, 3 + i % 3, replace=False):
+            own[at] = f"e{i}-{at}"
+        texts[i] = " ".join(own)
+    sets = {i: set(simhash.shingle_hashes(t, 5, 42).tolist()) for i, t in texts.items()}
+    near = [(a, b) for a, b in combinations(texts, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    label = {i: i for i in texts}
+    for _ in texts:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    want = {i for i in texts if label[i] == i}
+    assert 20 < len(want) < 240
+    assert kept(spark, texts) == want
+    # any cells and components in small blocks: the same components as by all pairs
+    rows = spark.createDataFrame([(i, t, simhash._signed(simhash.fingerprint(t, 5)), len(sets[i])) for i, t in texts.items()], "rid long, text string, fp long, size int")
+    cells = spark.createDataFrame([(1, i, i - i % 4) for i in texts] + [(2, i, i - i % 4) for i in range(0, 260, 3)], "k long, rid long, c long")
+    links = simhash.crowd_links(cells, rows, 0.8, 5, 42, 64, room=5_000)
+    found = {(r.u, r.v) for r in links.collect()}
+    assert found <= {(b, a) for a, b in near} | set(near) and len(found) < len(near)
+
+    def components(pairs):
+        label = {i: i - i % 4 for i in texts}
+        for _ in range(260):
+            held = dict(label)
+            for a, b in pairs:
+                one, other = sorted((label[a], label[b]))
+                label |= {i: one for i in label if label[i] == other}
+            if held == label:
+                return label
+
+    assert components(found) == components(near)
