@@ -230,19 +230,22 @@ def training_export(spark, folder):
 
 
 def _boards(spark, folder, *todo):
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
-    li = table(spark, folder, "lineitem").withColumn("n", F.row_number().over(order))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    v = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("version")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
     none = F.array().cast("array<string>")
-    unit = F.struct(
-        F.concat(F.lit("u"), "n").alias("unit_key"), F.col("n").alias("ordinal"), F.concat(F.lit("Line "), "n").alias("title"), F.lit("other").alias("unit_type"), F.col("n").alias("page_start"), F.col("n").alias("page_end"), F.lit(0.0).alias("start_y"), F.lit(1.0).alias("end_y"), none.alias("section_path"), F.col("l_returnflag").alias("source_text"), none.alias("source_span"), F.lit("").alias("content_hash"),
-        F.lit(review.PROPOSED).alias("review_status"), F.lit(review.BY_MODEL).alias("origin"), F.lit(False).alias("needs_ocr"), none.alias("edits"),
-    )
-    page = F.struct(F.col("n").alias("page"), F.col("l_returnflag").alias("text"))
-    v = li.groupBy(F.col("l_orderkey").alias("version")).agg(F.collect_list(unit).alias("units"), F.collect_list(page).alias("pages"))
-    by_page = lambda a: F.array_sort(a, lambda x, y: x["page_start"] - y["page_start"])
+
+    def unit(x, i):
+        n = i + 1
+        return F.struct(
+            F.concat(F.lit("u"), n).alias("unit_key"), n.alias("ordinal"), F.concat(F.lit("Line "), n).alias("title"), F.lit("other").alias("unit_type"), n.alias("page_start"), n.alias("page_end"), F.lit(0.0).alias("start_y"), F.lit(1.0).alias("end_y"), none.alias("section_path"), x["l_returnflag"].alias("source_text"), none.alias("source_span"), F.lit("").alias("content_hash"),
+            F.lit(review.PROPOSED).alias("review_status"), F.lit(review.BY_MODEL).alias("origin"), F.lit(False).alias("needs_ocr"), none.alias("edits"),
+        )
+
+    pages = F.transform("lines", lambda x, i: F.struct((i + 1).alias("page"), x["l_returnflag"].alias("text")))
+    v = v.select("version", F.transform("lines", unit).alias("units"), pages.alias("pages"))
     names = [f.split(":") for f in review.EDIT[len("struct<") : -1].split(",")]
     edits = F.array(*[F.struct(*[F.lit(e.get(n)).cast(t).alias(n) for n, t in names]) for e in todo])
-    return v.withColumn("units", by_page("units")).withColumn("todo", edits.cast(f"array<{review.EDIT}>"))
+    return v.withColumn("todo", edits.cast(f"array<{review.EDIT}>"))
 
 
 def _edited(spark, folder, *todo):

@@ -99,3 +99,23 @@ def test_siblings_by_sums_of_sizes_equal_the_windows(spark):
     assert read(evidence.expand_siblings(hits, chunks)) == read(want)
     plan = evidence.expand_siblings(hits, chunks)._jdf.queryExecution().optimizedPlan().toString()
     assert "part#" in plan  # rows dealt out, not sorted again for each query
+
+
+def test_equal_boards_are_edited_once(spark):
+    from corvane.operators import review
+
+    unit = lambda i: {"unit_key": f"u{i}", "ordinal": i, "title": f"Line {i}", "unit_type": "other", "page_start": i, "page_end": i, "start_y": 0.0, "end_y": 1.0}
+    todo = [{"action": "resize_push", "unit_key": "u1", "end_page": 2}, {"action": "remove", "unit_key": "u9"}]
+    rows = [(v, [unit(i) for i in range(1, 2 + v % 3)] if v % 7 else None, [{"page": 1, "text": "a"}, {"page": 2, "text": None}] if v % 2 else None, todo if v % 5 else None) for v in range(300)]
+    boards = spark.createDataFrame(rows, f"version long, units array<{review.UNIT}>, pages {review.PAGES}, todo array<{review.EDIT}>")
+    got = review.edit_units(boards)
+    assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()  # what was edited is joined, each different board once
+    rows = {r.version: r for r in got.collect()}
+    assert len(rows) == 300 and got.columns == ["version", "units", "changed", "removed", "errors"]
+    for v, r in rows.items():
+        n = (1 + v % 3) if v % 7 else 0
+        assert len(r.errors) == (0 if v % 5 == 0 else 2 if n == 0 else 1)
+        keys = [f"u{i}" for i in range(1, n + 1) if i != 2 or v % 5 == 0]
+        assert [u.unit_key for u in r.units] == keys and r.removed == (["u2"] if v % 5 and n >= 2 else [])
+        if v % 5 and n:
+            assert r.units[0].page_end == 2 and r.units[0].source_text == ("a" if v % 2 else "")
