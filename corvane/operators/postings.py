@@ -65,7 +65,10 @@ class PostingsStore:
         """As `fulltext.search`, from the store."""
         asked = settled(fulltext.question_lexemes(queries, ask)).withColumnRenamed("lexeme", "term").withColumn("kind", F.lit(WORD))
         held = self.lookup(asked.select("kind", "term").distinct()).withColumnRenamed("term", "lexeme").drop("kind")
-        found = fulltext.matched(asked.withColumnRenamed("term", "lexeme").drop("kind"), held, self.key, every)
+        asked = asked.withColumnRenamed("term", "lexeme").drop("kind")
+        if every:
+            return fulltext.all_of(asked, held, limit, self.key)
+        found = fulltext.matched(asked, held, self.key, every)
         return ranked(found, limit, F.desc(F.round("score", 9)), F.col(self.key))
 
     def keys_with(self, queries: DataFrame, column: str, kind: str) -> DataFrame:

@@ -119,3 +119,24 @@ def test_equal_boards_are_edited_once(spark):
         assert [u.unit_key for u in r.units] == keys and r.removed == (["u2"] if v % 5 and n >= 2 else [])
         if v % 5 and n:
             assert r.units[0].page_end == 2 and r.units[0].source_text == ("a" if v % 2 else "")
+
+
+def test_texts_with_all_lexemes_in_blocks_equal_the_joins(spark, monkeypatch, tmp_path):
+    from corvane.operators import postings
+
+    monkeypatch.setattr(fulltext, "SOUGHT", 12)
+    rng = np.random.default_rng(6)
+    words = "door lock washer drum pump valve hose filter cycle rinse".split()
+    texts = spark.createDataFrame([(int(i), None if i % 9 == 0 else " ".join(rng.choice(words, rng.integers(0, 14))), None) for i in range(150)], "chunk_no long, text string, error_codes array<string>").repartition(3)
+    asks = [(i, " ".join(rng.choice([*words, "the"], 1 + i % 4))) for i in range(14)] + [(20, "unknown door"), (21, "the"), (22, "rinse doors"), (23, "door door rinsing"), (24, None)]
+    asks = spark.createDataFrame(asks, "query_id long, ask string")
+    held = fulltext.postings(texts, "chunk_no")
+    want = arms.ranked(fulltext.matched(fulltext.question_lexemes(asks), held, "chunk_no", True), 6, F.desc(F.round("score", 9)), F.col("chunk_no"))
+    store = postings.PostingsStore(spark, str(tmp_path))
+    store.update(texts)
+    key = lambda df: sorted((r["query_id"], r["arm_rank"], r["chunk_no"], r["score"]) for r in df.collect())
+    for got in (fulltext.search(asks, texts, 6, every=True), store.search(asks, 6, every=True)):
+        assert key(got) == key(want) and got.columns == want.columns
+        assert {22, 23} <= {r["query_id"] for r in got.collect()}
+    plan = fulltext.search(asks, texts, 6, every=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "lexeme" not in plan.split("MapInArrow")[0]  # no row for a pair, joined are alike questions only
