@@ -174,3 +174,25 @@ def test_pages_in_columns_equal_word_by_word(spark):
         assert (got[k].text, got[k].reordered, got[k].partition_x, parted[k]) == (want, at is not None, at, at)
     plan = boxes.columns_of(pages, ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan  # no word goes to Python
+
+
+def test_boxes_of_long_pages_make_no_object_of_a_word(spark, monkeypatch):
+    from corvane.operators import boxes, structured
+
+    tokens = [f"w{i}" if i % 50 else "" for i in range(400)]
+    words = [{"text": t, "x0": i % 10 * 55.0, "y0": i // 10 * 12.0, "x1": i % 10 * 55.0 + 40, "y1": i // 10 * 12.0 + 10} for i, t in enumerate(tokens)]
+    body = " ".join(t for t in tokens[11:39] if t)
+    page = {"page": 1, "text": body + "\nTEST #4: Valve\n" + " ".join(tokens[61:79]), "language": None, "drawn": False, "tables": [], "words": words, "page_width": 612.0, "page_height": 792.0, "layout_kind": "default"}
+    documents = spark.createDataFrame([(1, "A", [page, page | {"page": 2, "words": None}]), (2, "B", None), (3, "C", [page | {"page": 3, "words": words[:30]}])], f"doc_id int, label string, pages array<{structured.PAGE}>")
+    want = {(d, c["page"], c["body"]): c["bbox"] for d, label, pages in [(1, "A", [page, page | {"page": 2, "words": None}]), (3, "C", [page | {"page": 3, "words": words[:30]}])] for c in structured.Chunker(label).run(pages)}
+    assert want[1, 1, body] == {"x0": 0.0, "y0": 12.0, "x1": 535.0, "y1": 46.0}
+    plan = structured.chunk_documents(documents)
+    assert {(r.doc_id, r.page, r.body): r.bbox.asDict() if r.bbox else None for r in plan.collect()} == want
+    lists = boxes.words_of(pa.array([words, None, [], words[:2]]))
+    assert [len(w) for w in lists] == [400, 0, 0, 2]
+    monkeypatch.setattr(boxes.Words, "of", None)  # rows of words are never asked for
+    held = boxes.PageWords(lists[0], 612.0, "default")
+    assert "_tokens" not in vars(held) and held.box("no words") is None and "_tokens" not in vars(held)  # too short to be looked for
+    assert held.box(body) == want[1, 1, body]
+    one = documents.select("doc_id", "pages", "label")
+    assert structured.canonical_nodes(one).count() > 3
