@@ -52,22 +52,27 @@ class PostingsStore:
         rows = terms(changed, self.key, codes).withColumn("bucket", _bucket(F.col("kind"), F.col("term"), self.buckets))
         # one task a bucket and part of its terms, so that a bucket has few files
         rows = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64(self.key), F.lit(4)))
-        return self.table.commit(self.table.stage(rows, removed, changed.select(self.key)), base)
+        return self.table.commit(self.table.stage(rows, removed, changed.select(self.key), whole=True), base)
 
     def lookup(self, wanted: DataFrame) -> DataFrame:
         """The postings of the terms of wanted(kind, term, ...), with the other columns of `wanted`. Folders of other buckets aren't read."""
         asked = wanted.withColumn("bucket", _bucket(F.col("kind"), F.col("term"), self.buckets))
-        held = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())  # BUCKETS rows at most
-        rows = self.table.read(where=f"bucket IN ({', '.join(map(str, held))})" if held else "false")
+        rows = self.table.read(where=self._within(asked))
         return rows.join(small(asked), ["bucket", "kind", "term"]).drop("bucket")
 
+    def _within(self, asked: DataFrame) -> str:
+        held = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())  # BUCKETS rows at most
+        return f"bucket IN ({', '.join(map(str, held))})" if held else "false"
+
     def search(self, queries: DataFrame, limit: int, every: bool = False, ask: str = "ask") -> DataFrame:
-        """As `fulltext.search`, from the store."""
+        """As `fulltext.search`, from the store. With `every`, postings are gathered of the keys that may have all of a question's lexemes alone, and rows that were replaced are told among these."""
         asked = settled(fulltext.question_lexemes(queries, ask)).withColumnRenamed("lexeme", "term").withColumn("kind", F.lit(WORD))
+        if every:
+            rows, newest = self.table.layers(where=self._within(asked.select(_bucket(F.col("kind"), F.col("term"), self.buckets).alias("bucket"))))
+            rows = rows.where(F.col("kind") == WORD).withColumnRenamed("term", "lexeme").drop("kind", "bucket")
+            return fulltext.all_of(asked.withColumnRenamed("term", "lexeme").drop("kind"), rows, limit, self.key, newest)
         held = self.lookup(asked.select("kind", "term").distinct()).withColumnRenamed("term", "lexeme").drop("kind")
         asked = asked.withColumnRenamed("term", "lexeme").drop("kind")
-        if every:
-            return fulltext.all_of(asked, held, limit, self.key)
         found = fulltext.matched(asked, held, self.key, every)
         return ranked(found, limit, F.desc(F.round("score", 9)), F.col(self.key))
 

@@ -13,6 +13,7 @@ reading joins older rows with the keys of the later ones; `compact` makes one se
 from __future__ import annotations
 
 import errno
+import functools
 import json
 import os
 import uuid
@@ -101,6 +102,14 @@ class SnapshotTable:
 
     def read(self, number: int | None = None, where: str | None = None) -> DataFrame:
         """The rows of a version (the current one by default). `where` is put on the files, so that it prunes partitions."""
+        rows, newest = self.layers(number, where)
+        if newest is not None:
+            rows = rows.join(newest, F.col(self.key).eqNullSafe(F.col("key_")) & (F.col("seq_") < F.col("newest_")), "left_anti")
+        return rows.drop("seq_")
+
+    def layers(self, number: int | None = None, where: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """The rows of all segments of a version, with the number `seq_` that they came with; and key_ and newest_, before
+        which the key's rows don't count (None if there is no later segment)."""
         v = self.version(number)
         rows = None
         for s in v.segments:
@@ -108,12 +117,9 @@ class SnapshotTable:
             part = part.withColumn("seq_", F.lit(s["number"]))
             rows = part if rows is None else rows.unionByName(part)
         if rows is None:
-            return self.spark.createDataFrame([], self.schema)
-        later = self._touched(v.segments[1:])
-        if later is not None:  # keys of later segments: as few as the changes since the last compaction
-            newest = later.groupBy(F.col(self.key).alias("key_")).agg(F.max("seq_").alias("newest_"))
-            rows = rows.join(newest, F.col(self.key).eqNullSafe(F.col("key_")) & (F.col("seq_") < F.col("newest_")), "left_anti")
-        return rows.drop("seq_")
+            return self.spark.createDataFrame([], self.schema).withColumn("seq_", F.lit(0)), None
+        later = self._touched(v.segments[1:])  # as few as the changes since the last compaction
+        return rows, None if later is None else later.groupBy(F.col(self.key).alias("key_")).agg(F.max("seq_").alias("newest_"))
 
     def _segment(self, folder: str) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{folder}/rows")
@@ -127,18 +133,17 @@ class SnapshotTable:
 
     # changes
 
-    def stage(self, rows: DataFrame, removed: DataFrame | None = None, replaced: DataFrame | None = None) -> str:
+    def stage(self, rows: DataFrame, removed: DataFrame | None = None, replaced: DataFrame | None = None, whole: bool = False) -> str:
         """Writes a segment that no version refers to yet: `rows`, which replace all rows of their keys (and those of the
-        keys of `replaced`), and keys `removed` without new rows. Returns its name."""
+        keys of `replaced`), and keys `removed` without new rows. Returns its name. With `whole`, `replaced` has all keys of
+        `rows`, so these aren't read back."""
         folder = uuid.uuid4().hex
         base = f"{self.path}/data/{folder}"
         names = [c for c, _ in self.spark.createDataFrame([], self.schema).dtypes]
         writer = rows.select(*names).write.options(**self.options)
         (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{base}/rows")
-        keys = self._segment(folder).select(self.key)
-        for other in (removed, replaced):
-            keys = keys.unionByName(other.select(self.key)) if other is not None else keys
-        keys.distinct().write.parquet(f"{base}/keys")
+        keys = [df.select(self.key) for df in (None if whole else self._segment(folder), removed, replaced) if df is not None]
+        functools.reduce(DataFrame.unionByName, keys).distinct().write.parquet(f"{base}/keys")
         return folder
 
     def commit(self, folder: str, base: int, note: str = "") -> int:

@@ -196,3 +196,37 @@ def test_boxes_of_long_pages_make_no_object_of_a_word(spark, monkeypatch):
     assert held.box(body) == want[1, 1, body]
     one = documents.select("doc_id", "pages", "label")
     assert structured.canonical_nodes(one).count() > 3
+
+
+def test_store_gathers_postings_of_keys_that_may_answer_alone(spark, monkeypatch, tmp_path):
+    from corvane.operators import postings
+
+    read, block = [], fulltext._block
+    monkeypatch.setattr(fulltext, "_block", lambda asked, rows, *more: read.append([r["chunk_no"] for r in rows.collect()]) or block(asked, rows, *more))
+    monkeypatch.setattr(fulltext, "SOUGHT", 6)
+    rows = lambda x: spark.createDataFrame([(i, t, None) for i, t in x], "chunk_no long, text string, error_codes array<string>")
+    texts = [(i, f"doors lock bit{i} pump part{i % 100}") for i in range(300)]
+    store = postings.PostingsStore(spark, str(tmp_path))
+    store.update(rows([(i, "door bit7" if i == 30 else "an earlier lock" if i % 3 == 0 and i != 108 else t) for i, t in texts]))
+    store.update(rows([(i, t) for i, t in texts if i % 3 == 0 and i != 108]), removed=rows([(108, None)]).select("chunk_no"))
+    asks = spark.createDataFrame([(1, "door bit7"), (2, "locked bit12 doors"), (3, "pump part8"), (4, "bit8 part9"), (5, "unknown door"), (6, "bit7 the doors")], "query_id long, ask string")
+    want = [(1, 1, 7), (2, 1, 12), (3, 1, 8), (3, 2, 208), (6, 1, 7)]
+    assert sorted((r["query_id"], r["arm_rank"], r["chunk_no"]) for r in store.search(asks, 6, every=True).collect()) == want
+    assert len(read) > 1 and sorted(set(sum(read, []))) == [7, 8, 12, 30, 208]  # 30 for its earlier text; before: every key that has a lexeme of a question, in each block
+    assert fulltext.search(asks, rows(texts), 6, every=True).count() == 6  # 108 too
+    assert sorted(set(sum(read, []))) == [7, 8, 12, 30, 108, 208]
+
+
+def test_postings_equal_positions_whatever_is_put_in_order_at_once(spark, monkeypatch):
+    from corvane.functions import english
+
+    rng = np.random.default_rng(11)
+    words = "door doors lock Washing the of running ran dooré F5E2 x 12".split()
+    texts = [(i, None if i % 7 == 0 else " ".join(rng.choice(words, rng.integers(0, 12))) + f" word{i}") for i in range(60)] + [(100, ""), (101, "the of"), (None, "door lock door")]
+    want = sorted((i or -1, t, p) for i, x in texts if x is not None for t, p in english.positions(x, english.Stems()).items())
+    for most in (1, 30, 10**6):
+        monkeypatch.setattr(fulltext, "WORDS", most)
+        monkeypatch.setattr(fulltext, "LEARNED", most)
+        got = fulltext.postings(spark.createDataFrame(texts, "k long, text string").repartition(2), "k")
+        assert got.columns == ["k", "lexeme", "positions"]
+        assert sorted((r["k"] or -1, r["lexeme"], r["positions"]) for r in got.collect()) == want
