@@ -16,27 +16,27 @@ at most one bit from both, and all that share such a value are at most two bits
 the smallest of them gives the same components with a number of links in proportion to the rows.
 
 Near copies by Jaccard similarity (`drop_near_duplicates`) differ in about ten bits of 64 at a similarity of 0.8, too
-many for the grid: candidates are met by bands of least hashes there, held to their numbers of shingles and, where texts
-have many, to the fingerprints' Manhattan bound and Hamming distance, and verified exactly on the shingles of whole texts.
+many for the grid, and no number of bits holds for all of them: a shingle that a text repeats counts each time in its
+fingerprint and once in its set. So candidates are met there by what sets that are similar enough must share, the first of
+their shingles in one order of all (`with_firsts`), and verified exactly on the shingles of whole texts.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import accumulate, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_map, discard, fresh, materialise, require
 from .components import connected_components
 
-#: Shingles under which a fingerprint says too little to leave a pair out by it.
-FEW_SHINGLES = 64
+#: Counts by which shingles are put in order, and how many of them are in a row.
+COUNTS, COUNTS_ROW = 1 << 20, 1 << 14
 #: Shingles of a crowded cell's rows, on either side, that meet in one task's group.
 GROUP_SHINGLES = 1 << 17
 #: Shingles whose bits are counted at once; bounds memory for very long texts.
@@ -87,51 +87,78 @@ def with_fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed:
     return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
-@lru_cache(maxsize=4)
-def _orders(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.integers(0, 2**64, count, dtype=np.uint64), rng.integers(0, 2**64, count, dtype=np.uint64) | np.uint64(1)
+def _counted(h: np.ndarray) -> np.ndarray:
+    """The number of the count that each shingle is counted in."""
+    return (h >> np.uint64(40)).astype(np.int64) & (COUNTS - 1)
 
 
-def band_keys(h: np.ndarray, bands: int, rows: int, seed: int) -> list[int]:
-    """A key for each band of `rows` least hashes (MinHash) of a set of shingles; two sets share a band's key with a chance of their Jaccard similarity to the power `rows`. No shingles: zeros."""
+def shingle_counts(rows: DataFrame, text: str, words: int, seed: int) -> np.ndarray:
+    """How many texts have a shingle of each of COUNTS counts, where many shingles share a count: enough to tell frequent ones."""
+    require(rows, text)
+
+    def run(batches):
+        held, new, n = np.zeros(COUNTS, dtype=np.int64), [], 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                new.append(np.unique(shingle_hashes(x or "", words, seed)))
+                n += len(new[-1])
+                if n > COUNTS:
+                    held += np.bincount(_counted(np.concatenate(new)), minlength=COUNTS)
+                    new, n = [], 0
+        if new:
+            held += np.bincount(_counted(np.concatenate(new)), minlength=COUNTS)
+        for part, counts in enumerate(held.reshape(-1, COUNTS_ROW)):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["part", "counts"])
+
+    def added(table):
+        total = sum(np.frombuffer(x, dtype=np.int64) for x in table["counts"].to_pylist())
+        return pa.table([table["part"].combine_chunks()[:1], pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+
+    each = arrow_map(rows.select(text), run, "part int, counts binary")
+    out = np.zeros((COUNTS // COUNTS_ROW, COUNTS_ROW), dtype=np.int64)
+    for r in each.groupBy("part").applyInArrow(added, "part int, counts binary").collect():  # COUNTS numbers in all
+        out[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
+    return np.minimum(out.reshape(-1), 2**32 - 1).astype(np.uint32)
+
+
+def firsts(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Of a set of shingles those that sets of the similarity can't all lack: the first ones by `counts`, then hash, all but the least overlap, and one. No shingles: zero."""
     if not len(h):
-        return [0] * bands
-    flip, times = _orders(bands * rows, seed)
-    least = np.full(bands * rows, 2**64 - 1, dtype=np.uint64)
-    for at in range(0, len(h), 512):
-        np.minimum(least, ((h[at : at + 512, None] ^ flip) * times).min(axis=0), out=least)
-    return [_signed(xxhash.xxh64_intdigest(least[j * rows : (j + 1) * rows].tobytes(), j)) for j in range(bands)]
+        return np.zeros(1, dtype=np.uint64)
+    order = np.lexsort((h, counts[_counted(h)]))
+    return h[order[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]]
 
 
-def with_sketches(docs: DataFrame, text: str, words: int, seed: int, bands: int, rows: int, names: tuple[str, str, str]) -> DataFrame:
-    """`docs` and three columns: the text's fingerprint (long), an array of its `band_keys`, and its number of different shingles."""
-    require(docs, text)
-    at = docs.columns.index(text)
+def with_firsts(rows: DataFrame, counts: np.ndarray, similarity: float, words: int, seed: int) -> DataFrame:
+    """`rows(rid, text)` -> k, rid and size: a row for each of the `firsts` of the text's shingles, and the number of its different shingles.
+
+    Two sets with the similarity have so many shingles in common that the first of these, in any order that is the same for
+    all, is among the firsts of both. Where rare shingles come first, few others share them.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         for batch in batches:
-            fps, keys, sizes = [], [], []
-            for x in batch.column(at).to_pylist():
-                h = shingle_hashes(x or "", words, seed)
-                fps.append(_signed(_majority(h)))
-                keys.append(band_keys(h, bands, rows, seed))
-                sizes.append(len(np.unique(h)))
-            own = [pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *names])
+            keys, sizes = [], []
+            for x in batch.column(1).to_pylist():
+                h = np.unique(shingle_hashes(x or "", words, seed))
+                keys.append(firsts(h, shared.value, similarity))
+                sizes.append(len(h))
+            n = np.array([len(k) for k in keys])
+            k = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([pa.array(k), batch.column(0).take(at), pa.array(sizes, pa.int32()).take(at)], names=["k", "rid", "size"])
 
-    kinds = (T.LongType(), T.ArrayType(T.LongType()), T.IntegerType())
-    return arrow_map(docs, run, T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)]))
+    return arrow_map(rows.select("rid", "text"), run, "k long, rid long, size int")
 
 
-def comparable(fu, fv, nu, nv, similarity: float, bits: int):
-    """Whether two rows can have the similarity: by their numbers of shingles, and, where both have many, by their fingerprints."""
-    sizes = F.least(nu, nv) >= F.greatest(nu, nv) * similarity - 1e-9
-    return sizes & ((F.least(nu, nv) < FEW_SHINGLES) | within(fu, fv, bits))
+def comparable(nu, nv, similarity: float):
+    """Whether two rows can have the similarity, by their numbers of shingles."""
+    return F.least(nu, nv) >= F.greatest(nu, nv) * similarity - 1e-9
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int, bits: int) -> DataFrame:
-    """Of `pairs(u, v)`, rids of `texts(rid, text, fp, size)`, those whose shingle sets have that Jaccard similarity at least; pairs that aren't `comparable` aren't compared."""
+def similar(pairs: DataFrame, rows: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
+    """Of `pairs(u, v)`, rids of `rows(rid, text)`, those whose shingle sets have that Jaccard similarity at least."""
 
     def shingles(x):
         return frozenset(shingle_hashes(x or "", words, seed).tolist())
@@ -148,40 +175,41 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int, s
                 keep.append(both >= similarity * (len(own) + len(other) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    def side(c):
-        return texts.select(F.col("rid").alias(c), F.col("text").alias(f"t{c}"), F.col("fp").alias(f"f{c}"), F.col("size").alias(f"n{c}")).hint("merge")
-
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    return arrow_map(both.where(comparable(F.col("fu"), F.col("fv"), F.col("nu"), F.col("nv"), similarity, bits)).select("u", "v", "tu", "tv"), run, "u long, v long")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
+    texts = materialise(rows.select("rid", "text").join(asked, "rid", "left_semi"), "texts")
+    side = lambda c: texts.select(F.col("rid").alias(c), F.col("text").alias(f"t{c}")).hint("merge")
+    found = materialise(arrow_map(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "tu", "tv"), run, "u long, v long"), "linked")
+    discard(texts)
+    return found
 
 
-def across(rows: DataFrame, similarity: float, bits: int) -> DataFrame:
-    """rows(k, rid, c, fp, size) -> (u, v): comparable rows of one cell k and different components c."""
-    a, b = (rows.select("k", *[F.col(c).alias(f"{c}_{side}") for c in ("rid", "c", "fp", "size")]) for side in "uv")
-    met = (F.col("rid_u") > F.col("rid_v")) & (F.col("c_u") != F.col("c_v")) & comparable(F.col("fp_u"), F.col("fp_v"), F.col("size_u"), F.col("size_v"), similarity, bits)
+def across(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows(k, rid, c, size) -> (u, v): comparable rows of one cell k and different components c."""
+    a, b = (rows.select("k", *[F.col(c).alias(f"{c}_{side}") for c in ("rid", "c", "size")]) for side in "uv")
+    met = (F.col("rid_u") > F.col("rid_v")) & (F.col("c_u") != F.col("c_v")) & comparable(F.col("size_u"), F.col("size_v"), similarity)
     return a.withColumnRenamed("k", "k_").join(b.hint("merge"), (F.col("k_") == F.col("k")) & met).select(F.col("rid_u").alias("u"), F.col("rid_v").alias("v"))
 
 
 def with_sets(texts: DataFrame, words: int, seed: int) -> DataFrame:
-    """`texts(rid, text, fp, size)` -> rid, fp and `set` (binary): the different hashes of the text's shingles, in order."""
+    """`texts(rid, text)` -> rid and `set` (binary): the different hashes of the text's shingles, in order."""
 
     def run(batches):
         for batch in batches:
             made = [np.unique(shingle_hashes(x or "", words, seed)).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], names=["rid", "fp", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["rid", "set"])
 
-    return arrow_map(texts.select("rid", "text", "fp"), run, "rid long, fp long, set binary")
+    return arrow_map(texts.select("rid", "text"), run, "rid long, set binary")
 
 
-def first_links(rows: pa.Table, similarity: float, bits: int) -> pa.Table:
-    """rows(rid, c, main, asks, fp, set) -> (u, v, cu, cv): links of rows that ask with the others, until no pair of different components is left to compare.
+def first_links(rows: pa.Table, similarity: float) -> pa.Table:
+    """rows(rid, c, main, asks, set) -> (u, v, cu, cv): links of rows that ask with the others, until no pair of different components is left to compare.
 
     A set's similarity to all others comes from lists of the rows by shingle. As a row that is similar enough has one of any
     few of a set's shingles (all but the least overlap, and one), those of the rarest are looked up first.
     """
     rows = rows.combine_chunks()
     asks = rows["asks"].to_numpy(zero_copy_only=False)
-    rid, main, fp = (rows[c].to_numpy(zero_copy_only=False) for c in ("rid", "main", "fp"))
+    rid, main = (rows[c].to_numpy(zero_copy_only=False) for c in ("rid", "main"))
     names, code = np.unique(rows["c"].to_numpy(), return_inverse=True)
     sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["set"].to_pylist()]
     label = np.arange(len(names))  # components that are one by the links found here have one label
@@ -200,7 +228,6 @@ def first_links(rows: pa.Table, similarity: float, bits: int) -> pa.Table:
         own, n = sets[i], len(sets[i])
         # of two rows that both ask the larger id does
         open_ = (label[code[held]] != label[code[i]]) & (main[held] | (rid[held] < rid[i])) & (np.minimum(size, n) >= np.maximum(size, n) * similarity - 1e-9)
-        open_ &= (np.minimum(size, n) < FEW_SHINGLES) | (np.bitwise_count(fp[held].view(np.uint64) ^ fp[i : i + 1].view(np.uint64)) <= bits)
         if not open_.any():
             continue
         low, high = np.searchsorted(lists, own, "left"), np.searchsorted(lists, own, "right")
@@ -219,14 +246,16 @@ def first_links(rows: pa.Table, similarity: float, bits: int) -> pa.Table:
     return pa.table([pa.array(list(x), pa.int64()) for x in (zip(*found) if found else [()] * 4)], names=["u", "v", "cu", "cv"])
 
 
-def crowd_links(cells: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int, bits: int, room: int = GROUP_SHINGLES) -> DataFrame:
-    """`cells(k, rid, c)`, rids of `texts(rid, text, fp, size)` -> (u, v, cu, cv): rows of one cell, comparable, of different components and with the similarity; of pairs that join the same components, one at least.
+def crowd_links(cells: DataFrame, texts: DataFrame, similarity: float, words: int, seed: int, bits: int = 64, room: int = GROUP_SHINGLES) -> DataFrame:
+    """`cells(k, rid, c)`, rids of `texts(rid, text, size)` -> (u, v, cu, cv): rows of one cell, comparable, of different components and with the similarity; of pairs that join the same components, one at least. No pair is left out by its fingerprints' `bits`.
 
     Rows outside a cell's largest component ask all of the cell. Both sides are dealt into blocks of `room` shingles, and each
     two blocks meet in a group of their own, so that neither a cell nor a pair of rows is held or made anywhere: what is
     dealt are rows times blocks. The comparisons are the square of a cell's rows only where they stay apart.
     """
-    sets = materialise(with_sets(texts.join(cells.select("rid").distinct().hint("merge"), "rid", "left_semi"), words, seed), "sets")
+    if bits < 64:
+        raise ValueError("no number of bits under 64 keeps all similar pairs")
+    sets = materialise(with_sets(texts.join(cells.select("rid").distinct(), "rid", "left_semi"), words, seed), "sets")
     each = cells.join(texts.select("rid", "size").hint("merge"), "rid").groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
     blocks = lambda s: F.greatest(F.ceil(s / room), F.lit(1))
     most = F.max_by(F.struct("c", "s"), F.struct("n", "c"))
@@ -238,44 +267,48 @@ def crowd_links(cells: DataFrame, texts: DataFrame, similarity: float, words: in
     held = rows.select(*own, at(F.col("held"), 0).alias("i"), spread(F.col("asked")).alias("j"), F.lit(False).alias("asks"))
     asked = rows.where(~F.col("main")).select(*own, spread(F.col("held")).alias("i"), at(F.col("asked"), 1).alias("j"), F.lit(True).alias("asks"))
     met = held.unionByName(asked).join(sets.hint("merge"), "rid")
-    return met.groupBy("k", "i", "j").applyInArrow(lambda t: first_links(t, similarity, bits), "u long, v long, cu long, cv long")
+    return met.groupBy("k", "i", "j").applyInArrow(lambda t: first_links(t, similarity), "u long, v long, cu long, cv long")
 
 
-def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, bits: int, cell_limit: int, exhaustive: bool = True) -> DataFrame:
-    """`rows(rid, text, fp, keys, size)` -> edges `(u, v)`: rows that share a key and have the similarity, by their whole texts.
+def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, cell_limit: int) -> DataFrame:
+    """`rows(rid, text)` -> edges `(u, v)`, whose components are those of all pairs with the similarity, by their whole texts.
 
-    The rows of one key are a cell. First all rows of a cell are compared with its first one, so that a group of near
-    copies costs as many comparisons as it has rows. In cells whose rows then still are in several components, rows of
-    different components are compared: in cells of over `cell_limit` rows by `crowd_links`, without a row for a pair (only if
-    `exhaustive`), in smaller ones as pairs.
+    The rows that have one shingle among their `firsts` are a cell. First all rows of a cell are compared with its first one,
+    so that a group of near copies costs as many comparisons as it has rows. In cells whose rows then still are in several
+    components, rows of different components are compared: in cells of over `cell_limit` rows by `crowd_links`, without a
+    row for a pair, in smaller ones as pairs.
     """
-    cells = rows.select("rid", F.posexplode("keys").alias("j", "key")).select("rid", F.xxhash64("j", "key").alias("k"))
-    sizes = materialise(cells.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lead")).where("n > 1"), "sizes")
-    met = materialise(cells.join(sizes.hint("merge"), "k"), "met")
-    discard(sizes)
-    texts = materialise(rows.join(met.select("rid").distinct().hint("merge"), "rid", "left_semi").select("rid", "text", "fp", "size"), "texts")
-    starred = met.where("rid <> lead").select(F.col("rid").alias("u"), F.col("lead").alias("v")).distinct()
-    first = materialise(similar(starred, texts, similarity, words, seed, bits), "linked")
+    cells = with_firsts(rows, shingle_counts(rows, "text", words, seed), similarity, words, seed)
+    cell = Window.partitionBy("k")
+    least = F.min(F.struct("rid", "size")).over(cell)
+    met = cells.select("k", "rid", "size", F.count(F.lit(1)).over(cell).alias("n"), least.alias("lead")).where("n > 1")
+    met = materialise(met.select("k", "rid", "size", "n", F.col("lead.rid").alias("lead"), F.col("lead.size").alias("least")), "met")
+    starred = met.where((F.col("rid") != F.col("lead")) & comparable(F.col("size"), F.col("least"), similarity))
+    starred = materialise(starred.select(F.col("rid").alias("u"), F.col("lead").alias("v")).distinct(), "pairs")
+    first = similar(starred, rows, similarity, words, seed)
+    discard(starred)
     labels = connected_components(first).select(F.col("node").alias("rid"), "root")
-    named = met.join(labels.hint("merge"), "rid", "left").select("k", "rid", "n", F.coalesce("root", "rid").alias("c"))
+    named = met.join(labels.hint("merge"), "rid", "left").select("k", "rid", "size", "n", F.coalesce("root", "rid").alias("c"))
     named = materialise(named, "named")
     discard(met, labels)
     several = materialise(named.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k"), "several")
     left = materialise(named.join(several.hint("merge"), "k"), "left")
     discard(named, several)
-    few = left.where(F.col("n") <= cell_limit).select("k", "rid", "c")
-    crowded = left.where(F.col("n") > cell_limit).select("k", "rid", "c")
-    middle = materialise(crowd_links(crowded if exhaustive else crowded.limit(0), texts, similarity, words, seed, bits), "linked")
+    few = left.where(F.col("n") <= cell_limit).select("k", "rid", "size", "c")
+    crowded = left.where(F.col("n") > cell_limit)
+    sizes = crowded.select("rid", "size").distinct()
+    texts = materialise(rows.join(sizes, "rid").select("rid", "text", "size"), "texts")
+    middle = materialise(crowd_links(crowded.select("k", "rid", "c"), texts, similarity, words, seed), "linked")
+    discard(texts)
     # components of components
     merged = connected_components(middle.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(F.col("node").alias("c"), "root")
     merged = materialise(merged, "merged")
-    now = few.join(merged.hint("merge"), "c", "left").select("k", "rid", F.coalesce("root", "c").alias("c"))
+    now = few.join(merged.hint("merge"), "c", "left").select("k", "rid", "size", F.coalesce("root", "c").alias("c"))
     shared = now.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k")
-    pairs = across(now.join(shared.hint("merge"), "k").join(texts.select("rid", "fp", "size").hint("merge"), "rid"), similarity, bits)
-    pairs = materialise(pairs.distinct(), "pairs")
+    pairs = materialise(across(now.join(shared.hint("merge"), "k"), similarity).distinct(), "pairs")
     discard(left, merged)
-    last = materialise(similar(pairs, texts, similarity, words, seed, bits), "linked")
-    discard(texts, pairs)
+    last = similar(pairs, rows, similarity, words, seed)
+    discard(pairs)
     return first.unionByName(middle.select("u", "v")).unionByName(last)
 
 
@@ -371,24 +404,23 @@ def classes(rows: DataFrame, bits: int, groups: int, cell_limit: int) -> DataFra
 
 
 def drop_near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8,
-    bands: int = 16, rows: int = 4, bits: int = 20, cell_limit: int = 64, exhaustive: bool = True,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, seed: int = 42, similarity: float = 0.8, cell_limit: int = 64, exhaustive: bool = True,
 ) -> DataFrame:
     """`docs` with one row of each component: that with the smallest doc_id (rows without one come last).
 
-    Rows are linked if the Jaccard similarity of their sets of five-word shingles is `similarity` at least. It is
-    computed from whole texts, for rows that share a key of `bands` bands of `rows` least hashes (at a similarity of 0.8
-    all but one in 4,500 pairs do, above it fewer are missed) and whose fingerprints lie within `bits` bits (at 0.8
-    about ten differ, with a standard deviation of three; texts of fewer than FEW_SHINGLES shingles are compared in any
-    case). See `similar_links` for crowded cells; unless `exhaustive`, their rows are compared with one of each cell only, and
-    links can be missed that no other row of a component makes up for. Columns are those of `docs`. Of rows that tie in doc_id, one stays; texts without words are alike.
-    """
-    fp, keys, size, rid = fresh(docs.columns, "fp_", "keys_", "size_", "rid_")
-    marked = materialise(with_sketches(docs, text, words, seed, bands, rows, (fp, keys, size)).withColumn(rid, F.monotonically_increasing_id()), "marked")
-    own = marked.select(F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid"), F.col(text).alias("text"), F.col(fp).alias("fp"), F.col(keys).alias("keys"), F.col(size).alias("size"))
-    found = connected_components(similar_links(own.drop("doc_id"), similarity, words, seed, bits, cell_limit, exhaustive))
-    keyed = found.join(own.select(F.col("rid").alias("node"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid").alias("key")).hint("merge"), "node")
-    keyed = materialise(keyed.select("node", "root", "key"), "members")
+    Rows are linked if the Jaccard similarity of their sets of five-word shingles is `similarity` at least, computed from
+    whole texts. No such pair is left out (so `exhaustive` can't be False): see `with_firsts` for the rows that are compared,
+    and `similar_links` for crowded cells. Columns are those of `docs`. Of rows that tie in doc_id, one stays; texts without
+    words are alike.
+    """
+    if not exhaustive:
+        raise ValueError("all similar pairs are found")
+    require(docs, doc_id, text)
+    (rid,) = fresh(docs.columns, "rid_")
+    marked = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "marked")
+    found = connected_components(similar_links(marked.select(F.col(rid).alias("rid"), F.col(text).alias("text")), similarity, words, seed, cell_limit))
+    own = marked.select(F.col(rid).alias("node"), F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("doc_id"), F.col(rid).alias("rid")).alias("key"))
+    keyed = materialise(found.join(own.hint("merge"), "node").select("node", "root", "key"), "members")
     first = materialise(keyed.groupBy("root").agg(F.min("key")["rid"].alias("stays")), "first")
     gone = materialise(keyed.join(first.hint("merge"), "root").where("node <> stays").select(F.col("node").alias(rid)), "gone")
     discard(keyed, first)
