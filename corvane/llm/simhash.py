@@ -157,6 +157,17 @@ def comparable(nu, nv, similarity: float):
     return F.least(nu, nv) >= F.greatest(nu, nv) * similarity - 1e-9
 
 
+def promising(met: DataFrame, similarity: float) -> DataFrame:
+    """`met(u, v, nu, nv)`, a row for each of the `firsts` that two rows share, and their sizes -> (u, v): pairs that share enough of them to have the similarity.
+
+    Of what two sets have in common, all up to the last of the one's firsts is among the other's too; after it come as many
+    of its shingles as the least overlap takes, less one.
+    """
+    each = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.first("nu").alias("nu"), F.first("nv").alias("nv"))
+    least = F.ceil((F.col("nu") + F.col("nv")) * (similarity / (1 + similarity)) - 1e-9)
+    return each.where(F.col("n") >= least - F.ceil(F.greatest("nu", "nv") * similarity - 1e-9) + 1).select("u", "v")
+
+
 def similar(pairs: DataFrame, rows: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
     """Of `pairs(u, v)`, rids of `rows(rid, text)`, those whose shingle sets have that Jaccard similarity at least."""
 
@@ -184,10 +195,10 @@ def similar(pairs: DataFrame, rows: DataFrame, similarity: float, words: int, se
 
 
 def across(rows: DataFrame, similarity: float) -> DataFrame:
-    """rows(k, rid, c, size) -> (u, v): comparable rows of one cell k and different components c."""
+    """rows(k, rid, c, size) -> (u, v, nu, nv): comparable rows of one cell k and different components c, and their sizes."""
     a, b = (rows.select("k", *[F.col(c).alias(f"{c}_{side}") for c in ("rid", "c", "size")]) for side in "uv")
     met = (F.col("rid_u") > F.col("rid_v")) & (F.col("c_u") != F.col("c_v")) & comparable(F.col("size_u"), F.col("size_v"), similarity)
-    return a.withColumnRenamed("k", "k_").join(b.hint("merge"), (F.col("k_") == F.col("k")) & met).select(F.col("rid_u").alias("u"), F.col("rid_v").alias("v"))
+    return a.withColumnRenamed("k", "k_").join(b.hint("merge"), (F.col("k_") == F.col("k")) & met).select(F.col("rid_u").alias("u"), F.col("rid_v").alias("v"), F.col("size_u").alias("nu"), F.col("size_v").alias("nv"))
 
 
 def with_sets(texts: DataFrame, words: int, seed: int) -> DataFrame:
@@ -276,7 +287,8 @@ def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, cel
     The rows that have one shingle among their `firsts` are a cell. First all rows of a cell are compared with its first one,
     so that a group of near copies costs as many comparisons as it has rows. In cells whose rows then still are in several
     components, rows of different components are compared: in cells of over `cell_limit` rows by `crowd_links`, without a
-    row for a pair, in smaller ones as pairs.
+    row for a pair, in smaller ones as pairs. Pairs that share too few of their firsts for it (`promising`) aren't compared;
+    one that the first round leaves out by that, as it counts the cells with one lead only, comes again in the second.
     """
     cells = with_firsts(rows, shingle_counts(rows, "text", words, seed), similarity, words, seed)
     cell = Window.partitionBy("k")
@@ -284,7 +296,8 @@ def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, cel
     met = cells.select("k", "rid", "size", F.count(F.lit(1)).over(cell).alias("n"), least.alias("lead")).where("n > 1")
     met = materialise(met.select("k", "rid", "size", "n", F.col("lead.rid").alias("lead"), F.col("lead.size").alias("least")), "met")
     starred = met.where((F.col("rid") != F.col("lead")) & comparable(F.col("size"), F.col("least"), similarity))
-    starred = materialise(starred.select(F.col("rid").alias("u"), F.col("lead").alias("v")).distinct(), "pairs")
+    starred = starred.select(F.col("rid").alias("u"), F.col("lead").alias("v"), F.col("size").alias("nu"), F.col("least").alias("nv"))
+    starred = materialise(promising(starred, similarity), "pairs")
     first = similar(starred, rows, similarity, words, seed)
     discard(starred)
     labels = connected_components(first).select(F.col("node").alias("rid"), "root")
@@ -305,7 +318,8 @@ def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, cel
     merged = materialise(merged, "merged")
     now = few.join(merged.hint("merge"), "c", "left").select("k", "rid", "size", F.coalesce("root", "c").alias("c"))
     shared = now.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k")
-    pairs = materialise(across(now.join(shared.hint("merge"), "k"), similarity).distinct(), "pairs")
+    # a pair that also shares a crowded cell has been compared there, so the count of the others alone may leave it out
+    pairs = materialise(promising(across(now.join(shared.hint("merge"), "k"), similarity), similarity), "pairs")
     discard(left, merged)
     last = similar(pairs, rows, similarity, words, seed)
     discard(pairs)
