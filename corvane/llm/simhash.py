@@ -309,10 +309,10 @@ def similar_links(rows: DataFrame, similarity: float, words: int, seed: int, cel
     discard(named, several)
     few = left.where(F.col("n") <= cell_limit).select("k", "rid", "size", "c")
     crowded = left.where(F.col("n") > cell_limit)
-    sizes = crowded.select("rid", "size").distinct()
+    sizes = materialise(crowded.select("rid", "size").distinct(), "sizes")
     texts = materialise(rows.join(sizes, "rid").select("rid", "text", "size"), "texts")
     middle = materialise(crowd_links(crowded.select("k", "rid", "c"), texts, similarity, words, seed), "linked")
-    discard(texts)
+    discard(texts, sizes)
     # components of components
     merged = connected_components(middle.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).select(F.col("node").alias("c"), "root")
     merged = materialise(merged, "merged")
